@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_stop_like long, n_long_words long"
+FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_long_words long, n_symbol_words long, n_upper long, n_bangs long"
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -22,8 +22,9 @@ def features(docs: DataFrame) -> DataFrame:
 
     Words are runs without ASCII white space; a null text has none. ``n_repeat_words`` counts the
     words inside windows of three words that occur twice or more, the first time included;
-    ``n_dup_lines`` the lines with a word that equal an earlier line; ``n_stop_like`` the words of
-    at most three characters; ``n_long_words`` those of over 20.
+    ``n_dup_lines`` the lines with a word that equal an earlier line; ``n_long_words`` the words of
+    over 20 characters; ``n_symbol_words`` those with one of the symbols; ``n_upper`` the letters
+    A-Z; ``n_bangs`` the exclamation marks.
     """
     names = [x.split()[0] for x in FEATURES.split(", ")]
     keep = [c for c in docs.columns if c not in names]
@@ -55,8 +56,11 @@ def features(docs: DataFrame) -> DataFrame:
                 got[:, 0] = np.diff(at)
                 got[:, 1] = per_text(head[data] & ~space)
                 got[:, 2] = per_text(symbol[data])
-                got[:, 6] = per_text(width <= 3, at)
-                got[:, 7] = per_text(width > 20, at)
+                got[:, 6] = per_text(width > 20, at)
+                marks = np.concatenate([[0], np.cumsum(symbol[data])])
+                got[:, 7] = per_text(marks[ends] > marks[starts], at)
+                got[:, 8] = per_text((data >= 65) & (data < 91))
+                got[:, 9] = per_text(data == 33)
                 hashes = K.span_hashes(data, starts, ends)
                 text_of = np.repeat(np.arange(n), np.diff(at))
                 # windows of three words
@@ -93,55 +97,58 @@ def features(docs: DataFrame) -> DataFrame:
     return given.mapInArrow(run, f"{fields}, {FEATURES}")
 
 
-def _vote(good: Column, bad: Column) -> Column:
-    return F.when(bad, 0).when(good, 1).otherwise(-1).cast("byte")
+def _vote(bad: Column, good: Column | None = None) -> Column:
+    return F.when(bad, 0).when(F.lit(False) if good is None else good, 1).otherwise(-1).cast("byte")
 
 
 def rules() -> dict[str, Column]:
-    """Each rule's vote over the feature columns: 1 keep, 0 drop, -1 abstain."""
+    """Each rule's vote over the feature columns: 1 keep, 0 drop, -1 abstain. Most only ever drop or abstain."""
     words = F.greatest(F.col("n_words"), F.lit(1))
-    lines = F.greatest(F.col("n_lines"), F.lit(1))
-    mean_width = F.col("word_chars") / words
-    symbols, repeats, same = F.col("n_symbols") / words, F.col("n_repeat_words") / words, F.col("n_dup_lines") / lines
+    per_word = lambda c: F.col(c) / words
+    width, same = per_word("word_chars"), F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))
     return {
-        "length": _vote(F.col("n_words").between(80, 50_000), F.col("n_words") < 30),
-        "word_width": _vote(mean_width.between(3, 9), (mean_width < 2.5) | (mean_width > 14)),
-        "symbols": _vote(symbols < 0.05, symbols > 0.3),
-        "repeated_words": _vote(repeats < 0.2, repeats > 0.5),
-        "same_lines": _vote(same < 0.1, same > 0.4),
-        "short_words": _vote((F.col("n_stop_like") / words).between(0.08, 0.7), F.col("n_stop_like") / words < 0.02),
-        "long_words": _vote(F.col("n_long_words") / words < 0.05, F.col("n_long_words") / words > 0.3),
+        "length": _vote(F.col("n_words") < 30, F.col("n_words").between(80, 50_000)),
+        "word_width": _vote((width < 2.5) | (width > 9), width.between(3, 7)),
+        "symbols": _vote(per_word("n_symbols") > 0.1, per_word("n_symbols") < 0.02),
+        "symbol_words": _vote(per_word("n_symbol_words") > 0.1),
+        "shouting": _vote(F.col("n_upper") > 0.4 * F.greatest(F.col("word_chars"), F.lit(1))),
+        "bangs": _vote(per_word("n_bangs") > 0.2),
+        "repeated_words": _vote(per_word("n_repeat_words") > 0.3, per_word("n_repeat_words") < 0.1),
+        "same_lines": _vote(same > 0.3),
+        "long_words": _vote(per_word("n_long_words") > 0.2),
     }
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, start: float = 0.8, prior: float = 0.9, strength: float = 20.0) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior probability of good per vote pattern, and each rule's table [class bad/good, vote 0/1/abstain].
+def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300, prior: float = 0.9, weight: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior probability of good per vote pattern, and each rule's table [class bad/good, vote drop/keep/abstain].
 
-    ``patterns``: votes per row, ``counts``: documents with them. The tables start at an accuracy
-    of ``start`` and carry pseudo-counts of ``strength`` documents, so that good stays the class
-    that keep votes speak for.
+    ``patterns``: votes per row, ``counts``: documents with them. The tables start from, and are
+    drawn to with the weight of a share ``weight`` of the documents, the belief that a good
+    document gets a drop vote in 2 of 100 cases and a bad one in 40, whatever the rule; so good
+    stays the class that drop votes speak against.
     """
-    m = patterns.shape[1]
+    m, total = patterns.shape[1], float(counts.sum())
     vote = np.where(patterns < 0, 2, patterns).astype(int)
-    seen = np.array([[(counts * (vote[:, r] == v)).sum() for v in range(3)] for r in range(m)], float) if len(counts) else np.zeros((m, 3))
-    silent = (seen[:, 2] + 1) / (seen.sum(1) + 2)
+    keeps = np.array([(counts * (vote[:, r] == 1)).sum() for r in range(m)]) / max(total, 1.0)
     table = np.zeros((m, 2, 3))
-    for c in (0, 1):
-        table[:, c, c] = (1 - silent) * start
-        table[:, c, 1 - c] = (1 - silent) * (1 - start)
-        table[:, c, 2] = silent
-    anchor, good = table.copy() * strength, prior
-    post = np.full(len(counts), prior)
-    for _ in range(rounds if counts.sum() else 0):
+    for c, drop in ((0, 0.4), (1, 0.02)):
+        table[:, c, 0] = drop
+        table[:, c, 1] = (1 - drop) * np.clip(keeps, 0.001, 0.999)
+        table[:, c, 2] = 1 - table[:, c, 0] - table[:, c, 1]
+    strength = 10 + weight * total
+    anchor, good = table * strength, prior
+    post, rows = np.full(len(counts), prior), np.arange(m)
+    for _ in range(rounds if total else 0):
         log = np.log(table)
-        score = [np.log(max(p, 1e-12)) + log[np.arange(m), c, :][np.arange(m), vote].sum(1) for c, p in ((0, 1 - good), (1, good))]
-        new = 1 / (1 + np.exp(np.clip(score[0] - score[1], -700, 700)))
+        bad_score = np.log(1 - good) + log[rows, 0, vote].sum(1)
+        good_score = np.log(good) + log[rows, 1, vote].sum(1)
+        new = 1 / (1 + np.exp(np.clip(bad_score - good_score, -700, 700)))
         moved = np.abs(new - post).max()
         post = new
         for c, w in ((0, counts * (1 - post)), (1, counts * post)):
-            hits = np.array([[(w * (vote[:, r] == v)).sum() for v in range(3)] for r in range(m)])
-            table[:, c, :] = (hits + anchor[:, c, :]) / (hits + anchor[:, c, :]).sum(1, keepdims=True)
-        good = (counts @ post + prior * strength) / (counts.sum() + strength)
+            hits = np.array([[(w * (vote[:, r] == v)).sum() for v in range(3)] for r in range(m)]) + anchor[:, c, :]
+            table[:, c, :] = hits / hits.sum(1, keepdims=True)
+        good = (counts @ post + prior * strength) / (total + strength)
         if moved < 1e-9:
             break
     return post, table
