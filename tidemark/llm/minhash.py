@@ -227,7 +227,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall:
         F.when(F.col("me") == F.col("it"), 2).otherwise((F.col("me") > F.col("it")).cast("int")).alias("side"),
     )
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("copy_key", F.md5("text"))
-    chosen = chosen.join(members.select(F.col("copy_key").alias("m_key"), F.col("rep").alias("m_rep")), F.col("doc_id").eqNullSafe(F.col("m_rep")) & (F.col("copy_key") == F.col("m_key")))
+    wanted = members.select(F.col("copy_key").alias("m_key"), F.col("rep").alias("m_rep")).hint("merge")  # the same plan at every size
+    chosen = chosen.join(wanted, F.col("doc_id").eqNullSafe(F.col("m_rep")) & (F.col("copy_key") == F.col("m_key")))
     sets = _sets(chosen.select("copy_key", "text"), k)
     rows_ = dealt.join(sets, "copy_key").select("pair", "side", "copy_key", "grams").repartition("pair").sortWithinPartitions("pair")
     found = written(_compared(rows_, threshold), folder, "links")
