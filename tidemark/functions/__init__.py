@@ -1 +1 @@
-
+"""Column expressions: funding rules, periods, ratios of half-lives."""
