@@ -20,7 +20,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32  # A-Z only
 
 _BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+OTHER_BASE = 0xBF58476D1CE4E5B9
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -102,12 +102,12 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, equal for equal bytes wherever they stand."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, equal for equal bytes wherever they stand; another ``base`` gives another hash."""
     n = len(data)
     total = np.zeros(n + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * powers(_BASE, n), out=total[1:])
-    there = (total[ends] - total[starts]) * powers(_BASE_INVERSE, n + 1)[starts]
+    np.cumsum((data.astype(U) + U(1)) * powers(base, n), out=total[1:])
+    there = (total[ends] - total[starts]) * powers(pow(base, -1, 1 << 64), n + 1)[starts]
     return mix(there + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 

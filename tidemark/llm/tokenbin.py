@@ -106,21 +106,31 @@ class FrameReader:
         return b"".join(out)
 
 
-class PieceEncoder:
-    """Encodes whole texts with the tokenizers library, remembering the ids of pieces.
+class WordEncoder:
+    """Encodes whole texts with the tokenizers library, remembering the ids of words.
 
-    A byte-level tokenizer that splits text before a single space between two other characters
-    gives such pieces the ids they have alone. Texts with other white space at a piece's border are
-    encoded whole. The memory holds at most two generations of ``most`` pieces.
+    A byte-level tokenizer always splits a text before a single space between two other characters,
+    so the words between such spaces have the ids that they have alone, each with its space. A text
+    with other white space at a word's border, or with a special token's string, is encoded whole.
+
+    Words are known by two independent 64-bit hashes of their bytes, so only new ones become
+    strings; these are encoded many at a time, a line each, and the ids of a line feed part them.
+    The memory starts anew after ``most`` words.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.tool, self.most = Tokenizer.from_file(path), most
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.splits = self._splits_at_spaces(path)
+        feed = self.tool.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else None
+        self._forget()
+
+    def _forget(self) -> None:
+        none = np.zeros(0, np.uint64)
+        self.tables = [(none, none, none.astype(np.int64), none.astype(np.int64))] * 2  # sorted keys, checks, places, lengths; the second table is recent
+        self.pool, self.used = np.zeros(1 << 20, "<u4"), 0
 
     @staticmethod
     def _splits_at_spaces(path: str) -> bool:
@@ -131,42 +141,133 @@ class PieceEncoder:
         pre = d.get("pre_tokenizer") or {}
         return d.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        import re
-
-        odd = re.compile(r"\s\s|^\s|\s$|<\|")
-        cut: list[list[str] | None] = []
-        for t in texts:
-            if not self.splits or not t or odd.search(t):
-                cut.append(None)
-            else:
-                head, *rest = t.split(" ")
-                cut.append([head, *(" " + x for x in rest)])
-        wanted = {p for pieces in cut if pieces for p in pieces}
-        if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
-        for p in [p for p in wanted if p not in self.new and p in self.old]:
-            self.new[p] = self.old[p]
-        missing = [p for p in wanted if p not in self.new]
-        self.new.update(zip(missing, self._encode(missing), strict=True))
-        whole = iter(self._encode([t for t, pieces in zip(texts, cut, strict=True) if pieces is None]))
-        get = self.new.__getitem__
-        return [next(whole) if pieces is None else b"".join(map(get, pieces)) for pieces in cut]
-
-
-_encoders: dict[str, PieceEncoder] = {}
-
-
-def encoder(path: str) -> PieceEncoder:
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learned(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, heads: np.ndarray):
+        """Groups (words, lengths, ids one after the other) of new words; length -1 for one that cannot be encoded alone."""
+        # words with white space or a special string inside, or a rare lead byte near an end, are looked at one by one
+        risky = ((data >= 9) & (data <= 13)) | ((data >= 28) & (data <= 31))
+        risky[:-1] |= (data[:-1] == 60) & (data[1:] == 124)
+        count = np.concatenate([[0], np.cumsum(risky)])
+        lead = np.isin(data, np.array([0xC2, 0xE1, 0xE2, 0xE3], np.uint8))
+        slow = (count[ends] > count[starts]) | lead[starts] | lead[np.maximum(ends - 2, starts)] | lead[np.maximum(ends - 3, starts)]
+        if self.feed is None:
+            slow[:] = True
+        odd = lambda w: w[0].isspace() or w[-1].isspace() or "<|" in w
+        held, alone = np.flatnonzero(slow), []
+        for i in held:
+            w = data[starts[i] : ends[i]].tobytes().decode("utf-8")
+            alone.append(None if odd(w) else w if heads[i] else " " + w)
+        never = held[[w is None for w in alone]] if len(held) else held
+        yield never, np.full(len(never), -1, np.int64), np.zeros(0, "<u4")
+        some = held[[w is not None for w in alone]] if len(held) else held
+        got = self._whole([w for w in alone if w is not None])
+        yield some, np.array([len(x) for x in got], np.int64), np.concatenate([np.zeros(0, "<u4"), *got])
+        plain = np.flatnonzero(~slow)
+        for k in range(0, len(plain), 512):
+            part = plain[k : k + 512]
+            # a line per word: (space) word, line feed
+            size = ends[part] - starts[part]
+            lead_in = (~heads[part]).astype(np.int64)
+            line = np.cumsum(size + lead_in + 1)
+            put = line - 1 - size
+            buffer = np.full(int(line[-1]), 32, np.uint8)
+            where = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            buffer[np.repeat(put, size) + where] = data[np.repeat(starts[part], size) + where]
+            buffer[line - 1] = 10
+            ids = self._whole([buffer[:-1].tobytes().decode("utf-8")])[0]
+            cut = np.concatenate([[-1], np.flatnonzero(ids == self.feed), [len(ids)]])
+            yield part, np.diff(cut) - 1, ids[ids != self.feed]
+
+    def _find(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and length of each word's ids: length -1 for one that cannot be encoded alone, place -1 for an unknown one."""
+        place, length = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+        for have, check, places, lengths in self.tables:
+            if len(have):
+                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                hit = (have[at] == keys) & (check[at] == checks)
+                place[hit], length[hit] = places[at[hit]], lengths[at[hit]]
+        return place, length
+
+    def _add(self, keys: np.ndarray, checks: np.ndarray, length: np.ndarray, ids: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), "<u4")])
+        self.pool[self.used : self.used + len(ids)] = ids
+        new = (keys, checks, self.used + np.cumsum(np.maximum(length, 0)) - np.maximum(length, 0), length)
+        self.used += len(ids)
+        recent = [np.concatenate(x) for x in zip(self.tables[1], new, strict=True)]
+        order = np.argsort(recent[0], kind="stable")
+        recent = tuple(x[order] for x in recent)
+        if len(recent[0]) > 100_000:
+            main = [np.concatenate(x) for x in zip(self.tables[0], recent, strict=True)]
+            order = np.argsort(main[0], kind="stable")
+            self.tables = [tuple(x[order] for x in main), tuple(x[:0] for x in recent)]
+        else:
+            self.tables[1] = recent
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids per text) for texts as bytes and offsets."""
+        from tidemark.llm import kernels as K
+
+        n = len(offsets) - 1
+        text = lambda a, b: data[a:b].tobytes().decode("utf-8")
+        if not self.splits:
+            whole = self._whole([text(a, b) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+            return np.concatenate([np.zeros(0, "<u4"), *whole]), np.array([len(x) for x in whole], np.int64)
+        if len(self.tables[0][0]) > self.most:
+            self._forget()
+        blank = data == 32
+        starts, ends = K.spans(~blank, offsets)
+        at = np.searchsorted(starts, offsets)
+        heads = np.zeros(len(starts), bool)
+        heads[at[:-1][np.diff(at) > 0]] = True  # the first word of each text has no space before it
+        mark = np.where(heads, np.uint64(0x5851F42D4C957F2D), np.uint64(0))
+        keys, checks = K.span_hashes(data, starts, ends) ^ mark, K.span_hashes(data, starts, ends, K.OTHER_BASE) ^ mark
+        first, back = np.unique(keys, return_index=True, return_inverse=True)[1:]
+        u_keys, u_checks = keys[first], checks[first]
+        place, length = self._find(u_keys, u_checks)
+        unknown = np.flatnonzero(place < 0)
+        if len(unknown):
+            new = first[unknown]
+            for of, sizes, own in self._learned(data, starts[new], ends[new], heads[new]):
+                self._add(u_keys[unknown[of]], u_checks[unknown[of]], sizes, own)
+            place, length = self._find(u_keys, u_checks)
+        place, length = place[back], length[back]
+        # texts that have to be encoded whole: blanks beside blanks or at an end, odd words, and hashes of two words that meet
+        bad = np.zeros(n, bool)
+        gaps = np.diff(offsets) - np.add.reduceat(np.append(ends - starts, 0), np.minimum(at[:-1], len(starts))) * (np.diff(at) > 0)
+        bad |= gaps != np.maximum(np.diff(at) - 1, 0)
+        edge = np.flatnonzero(np.diff(offsets) > 0)
+        bad[edge] |= blank[offsets[edge]] | blank[offsets[edge + 1] - 1]
+        wrong = np.flatnonzero((length < 0) | (place < 0) | (checks != u_checks[back]))
+        bad[np.searchsorted(at, wrong, "right") - 1] = True
+        length = np.maximum(length, 0)
+        counts = np.add.reduceat(np.append(length, 0), np.minimum(at[:-1], len(length))) * (np.diff(at) > 0)
+        # ids of all words, one after the other
+        total = int(length.sum())
+        begin = np.cumsum(length) - length
+        ids = self.pool[np.arange(total) + np.repeat(place - begin, length)]
+        if bad.any():
+            cut = np.concatenate([[0], np.cumsum(counts)])
+            which = np.flatnonzero(bad)
+            parts = [ids[cut[i] : cut[i + 1]] for i in range(n)]
+            for i, own in zip(which, self._whole([text(offsets[i], offsets[i + 1]) for i in which]), strict=True):
+                parts[i] = own
+            ids, counts = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        return ids, counts
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
     """One encoder per process and tokenizer file."""
     if path not in _encoders:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        _encoders[path] = PieceEncoder(path)
+        _encoders[path] = WordEncoder(path)
     return _encoders[path]
 
 
@@ -183,27 +284,28 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, fram
         import pyarrow as pa
         from pyspark import TaskContext
 
+        from tidemark.llm import kernels as K
+
         encode, part = encoder(tokenizer), TaskContext.get().partitionId()
         files, path = open_folder(folder)
         files.create_dir(path, recursive=True)
         attempt, count, out, name = uuid.uuid4().hex[:12], 0, None, ""
-        end = struct.pack("<I", end_id)
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text")
             names, places, sizes = [], [], []
-            for at in range(0, len(texts), 256):
-                for raw in encode(texts.slice(at, 256).to_pylist()):
-                    if out is None or out.place >= file_tokens:
-                        if out is not None:
-                            out.close()
-                        name, count = f"tokens-{part:06d}-{count:05d}-{attempt}.bin.zst", count + 1
-                        out = FrameWriter(files.open_output_stream(f"{path}/{name}", compression=None), frame_tokens)
-                    names.append(name)
-                    places.append(out.place)
-                    sizes.append(len(raw) // 4 + 1)
-                    out.add(raw)
-                    out.add(end)
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(names), pa.int32()), pa.array(names, pa.string()), ids, pa.array(places, pa.int64()), pa.array(sizes, pa.int64())], ["part", "file", "doc_id", "place", "n_tokens"])
+            for _, _, data, offsets in K.chunks(batch.column("text")):
+                tokens, counts = encode(data, offsets)
+                tokens = np.insert(tokens, np.cumsum(counts), np.uint32(end_id)).astype("<u4")
+                if out is None or out.place >= file_tokens:
+                    if out is not None:
+                        out.close()
+                    name, count = f"tokens-{part:06d}-{count:05d}-{attempt}.bin.zst", count + 1
+                    out = FrameWriter(files.open_output_stream(f"{path}/{name}", compression=None), frame_tokens)
+                names += [name] * len(counts)
+                places.append(out.place + np.cumsum(counts + 1) - counts - 1)
+                sizes.append(counts + 1)
+                out.add(tokens.tobytes())
+            places, sizes = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (places, sizes))
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(names), pa.int32()), pa.array(names, pa.string()), batch.column("doc_id"), pa.array(places, pa.int64()), pa.array(sizes, pa.int64())], ["part", "file", "doc_id", "place", "n_tokens"])
         if out is not None:
             out.close()
 
