@@ -66,11 +66,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, share
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_hashes(F.col("text")).alias("tokens"))
     hits = _windows(given, "doc_id", "tokens", masks).join(bounded(seeds), "seed")
     back = F.least("at", "lead")
-    side = hits.select(
+    # written, so that the comparison below stays out of the join, which then runs as compiled code over all windows
+    side = written(hits.select(
         "doc_id", "item_id", "n_item", (F.col("at") - back).alias("doc_from"), (F.col("item_at") - back).alias("item_from"),
         F.slice("tokens", F.col("at") - back + 1, back + after).alias("mine"),
         F.slice("item", F.col("lead") - back + 1, back + after).alias("theirs"),
-    )
+    ), folder, "hits")
     n = F.least(F.size("mine"), F.size("theirs"))
     side = side.withColumn("same", F.zip_with(F.slice("mine", F.lit(1), n), F.slice("theirs", F.lit(1), n), lambda a, b: (a == b).cast("int")))
     wide = F.least("n_item", F.lit(overlap))
