@@ -98,7 +98,8 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0, file_bytes:
     joined = keyed.join(equal, "_sha", "left")
     target = F.when(F.col("_big") & F.col("_top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_top")), F.col("_top"))
     rows = joined.select("page_id", "url", "html", target.alias("target"))
-    return written(rows.mapInArrow(run, INDEX), folder, "index")
+    parts = max(4, -(-pages.count() // 500_000))  # files of some 50 MB, not one from each task
+    return written(rows.mapInArrow(run, INDEX).repartition(parts), folder, "index")
 
 
 def byte_ranges(index: DataFrame, most_gap: int = 1 << 16, most_bytes: int = 1 << 23) -> DataFrame:
