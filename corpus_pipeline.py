@@ -28,8 +28,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of equal and near-equal texts: the one with the smallest doc_id."""
     classes = minhash.near_duplicates(docs)
-    others = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_other")).distinct()
-    return docs.join(others, F.col("doc_id").eqNullSafe(F.col("_other")), "left_anti")
+    others = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__other")).distinct()
+    return docs.join(others, F.col("doc_id").eqNullSafe(F.col("__other")), "left_anti")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,5 +84,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, share
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` whose doc_id has no contaminated text; all columns."""
-    found = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    found = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")

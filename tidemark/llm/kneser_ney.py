@@ -101,13 +101,14 @@ def _mapped(folder: str, name: str, dtype) -> np.ndarray:
     if (folder, name) not in _maps:
         import os
         import tempfile
+        import zlib
 
         from pyarrow import fs
 
         files, path = open_folder(folder)
         path = f"{path}/{name}"
         if not isinstance(files, fs.LocalFileSystem):
-            own = os.path.join(tempfile.gettempdir(), f"{abs(hash(folder))}-{name}")
+            own = os.path.join(tempfile.gettempdir(), f"{zlib.crc32(folder.encode())}-{name}")
             if not os.path.exists(own):
                 fs.copy_files(path, own + ".part", source_filesystem=files, destination_filesystem=fs.LocalFileSystem())
                 os.replace(own + ".part", own)

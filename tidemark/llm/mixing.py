@@ -24,6 +24,7 @@ from tidemark.llm.scratch import new_folder, written
 BUCKETS = 1024  # of a source, for the running total
 ROUNDS = 16  # of the permutation
 MOST_SHARDS = 4096
+MOST_COUNTS = 1_000_000  # shards times sources: what the driver draws and hands out
 
 
 def word_count(text: Column) -> Column:
@@ -49,10 +50,12 @@ def targets(sizes: Sequence[float], weights: Sequence[float], total: float, most
 def shard_counts(quotas: np.ndarray, slots: int, seed: int) -> list[tuple[int, int, int, int]]:
     """(shard, source, first slot, slots): multinomial draws from what is left of the quotas, shard by shard.
 
-    Shards have ``slots`` slots, more where there would be over MOST_SHARDS.
+    Shards have ``slots`` slots, more where there would be over MOST_SHARDS of them or over
+    MOST_COUNTS counts.
     """
     rng, left, shard, out = np.random.default_rng(seed), quotas.astype(np.int64).copy(), 0, []
-    size = max(slots, -(-int(left.sum()) // MOST_SHARDS))
+    most = max(1, min(MOST_SHARDS, MOST_COUNTS // max(len(left), 1)))
+    size = max(slots, -(-int(left.sum()) // most))
     while left.sum():
         want = min(size, int(left.sum()))
         drawn = np.zeros_like(left)
@@ -145,11 +148,10 @@ def taken_texts(docs: DataFrame, mixed: Mix) -> DataFrame:
     ``n_chars``, where it is a column, is the length of the new text.
     """
     columns, fields = docs.columns, docs.schema
-    plan = mixed.documents.where("taken > 0").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("source").alias("_s"), F.col("size").alias("_size"), "pieces").dropDuplicates(["_d", "_k", "_s"])
-    keyed = docs.withColumn("_key", F.md5(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")) & F.col("source").cast("string").eqNullSafe(F.col("_s")))
-    joined = joined.select(*(F.col(f"`{c}`") for c in columns), F.col("_size"), F.col("pieces").alias("_pieces"), F.array_max(F.col("pieces.times")).alias("_most"))
-    rounds = joined.select("*", F.explode(F.sequence(F.lit(1), F.col("_most").cast("int"))).alias("_round"))
+    plan = mixed.documents.where("taken > 0").select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("pieces").alias("__pieces")).dropDuplicates(["__doc", "__key", "__source"])
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("__key")) & F.col("source").cast("string").eqNullSafe(F.col("__source"))
+    most = F.array_max(F.col("__pieces.times")).cast("int")
+    rounds = docs.join(plan, same).select(*(F.col(f"`{c}`") for c in columns), "__size", "__pieces", F.explode(F.sequence(F.lit(1), most)).alias("__round"))
 
     def run(batches):
         import pyarrow as pa
@@ -157,8 +159,8 @@ def taken_texts(docs: DataFrame, mixed: Mix) -> DataFrame:
         from tidemark.llm import kernels as K
 
         for batch in batches:
-            texts, sizes, rounds_ = batch.column("text"), batch.column("_size").to_pylist(), batch.column("_round").to_pylist()
-            pieces, out = batch.column("_pieces").to_pylist(), []
+            texts, sizes, rounds_ = batch.column("text"), batch.column("__size").to_pylist(), batch.column("__round").to_pylist()
+            pieces, out = batch.column("__pieces").to_pylist(), []
             for i, j, data, offsets in K.chunks(texts):
                 starts, _ = K.spans(~K.SPACE[data], offsets)
                 at = np.searchsorted(starts, offsets)

@@ -163,10 +163,10 @@ def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """
     votes = rules()
     given = features(docs)
-    voted = given.withColumn("_votes", F.concat_ws(",", *(v.cast("string") for v in votes.values())))
+    voted = given.withColumn("__votes", F.concat_ws(",", *(v.cast("string") for v in votes.values())))
     table = given.select(*(v.alias(k) for k, v in votes.items())).groupBy(*votes).count().toPandas()  # at most 3 ** rules rows
     patterns = table[list(votes)].to_numpy().astype(int).reshape(-1, len(votes))
     post, _ = fit(patterns, table["count"].to_numpy().astype(float))
     rows = [(",".join(map(str, p)), float(q)) for p, q in zip(patterns, post, strict=True)]
-    known = F.broadcast(docs.sparkSession.createDataFrame(rows, "_votes string, quality double"))  # bounded as above
-    return voted.drop("quality", "good").join(known, "_votes", "left").drop("_votes").withColumn("good", F.col("quality") >= least)
+    known = F.broadcast(docs.sparkSession.createDataFrame(rows, "__votes string, quality double"))  # bounded as above
+    return voted.drop("quality", "good").join(known, "__votes", "left").drop("__votes").withColumn("good", F.col("quality") >= least)

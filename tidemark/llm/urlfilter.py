@@ -42,7 +42,7 @@ def _char_grams(text: Column, mark: str) -> Column:
 def with_grams(urls: DataFrame) -> DataFrame:
     """Adds host, path and the n-grams of both as ``_grams``."""
     host, path = host_and_path(F.col("url"))
-    return urls.withColumns({"host": host, "path": path}).withColumn("_grams", F.concat(_char_grams(F.col("host"), "h"), _char_grams(F.col("path"), "p")))
+    return urls.withColumns({"host": host, "path": path}).withColumn("__grams", F.concat(_char_grams(F.col("host"), "h"), _char_grams(F.col("path"), "p")))
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
@@ -58,10 +58,10 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
 
 def train(labelled: DataFrame, buckets: int = 1 << 14):
     """(hashing, model) from a small table (url, label 0/1); meant for up to some 100,000 rows."""
-    hashing = HashingTF(inputCol="_grams", outputCol="_features", numFeatures=buckets, binary=True)
-    rows = hashing.transform(with_grams(labelled.select("url", F.col("label").cast("double").alias("label")))).select("_features", "label").coalesce(1).cache()
+    hashing = HashingTF(inputCol="__grams", outputCol="__features", numFeatures=buckets, binary=True)
+    rows = hashing.transform(with_grams(labelled.select("url", F.col("label").cast("double").alias("label")))).select("__features", "label").coalesce(1).cache()
     try:
-        model = LogisticRegression(featuresCol="_features", labelCol="label", predictionCol="_block", probabilityCol="_probability", rawPredictionCol="_raw", regParam=0.01, maxIter=40).fit(rows)
+        model = LogisticRegression(featuresCol="__features", labelCol="label", predictionCol="__block", probabilityCol="__probability", rawPredictionCol="__raw", regParam=0.01, maxIter=40).fit(rows)
     finally:
         rows.unpersist()
     return hashing, model
@@ -89,7 +89,7 @@ def judge(urls: DataFrame, rules: Sequence[Rule], trained, block_at: float = 0.5
     names = ["host", "path", "rule", "verdict", "block_score"]
     keep = [c for c in urls.columns if c not in names]
     scored = model.transform(hashing.transform(with_grams(urls.select(*keep))))
-    score = F.get(vector_to_array("_probability"), F.lit(1))
-    out = scored.withColumns({"_rule": rule_of(rules, F.col("host"), F.col("path")), "block_score": score})
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("block_score") >= block_at, "block").otherwise("allow"))
-    return out.select(*(F.col(f"`{c}`") for c in keep), "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "block_score")
+    score = F.get(vector_to_array("__probability"), F.lit(1))
+    out = scored.withColumns({"__rule": rule_of(rules, F.col("host"), F.col("path")), "block_score": score})
+    verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.col("block_score") >= block_at, "block").otherwise("allow"))
+    return out.select(*(F.col(f"`{c}`") for c in keep), "host", "path", F.col("__rule.rule").alias("rule"), verdict.alias("verdict"), "block_score")
