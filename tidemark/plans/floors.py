@@ -138,6 +138,16 @@ h2 AS (SELECT *, CASE part WHEN 2 THEN p WHEN 1 THEN p + greatest(least(1000 - p
 h3 AS (SELECT *, CASE WHEN long THEN '8h' ELSE '1h' END AS schedule, CASE WHEN long THEN r8 / 8.0 ELSE r8 END AS eff FROM h2),
 cls AS (SELECT venue, time, p, schedule, CASE WHEN CASE WHEN long THEN r8 = 8000 ELSE r8 = 1000 END THEN 'floor' WHEN abs(abs(eff - p) - 5000) <= 0.1 THEN 'clamp_5bp' WHEN abs(abs(eff - p) - 3000) <= 0.1 THEN 'clamp_3bp' WHEN abs(eff - p) <= 0.1 THEN 'unclamped' ELSE 'other' END AS regime FROM h3)"""
 
+ERAS_SQL = f"""{RULES_SQL},
+k AS (SELECT *, CASE WHEN regime IN ('clamp_3bp', 'clamp_5bp', 'unclamped') THEN schedule || ' ' || regime END AS mark FROM cls),
+b AS (SELECT *, last_value(mark IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bk, first_value(mark IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ah, count(mark) OVER (w ROWS UNBOUNDED PRECEDING) AS stretch FROM k WINDOW w AS (PARTITION BY venue ORDER BY time)),
+n AS (SELECT *, split_part(bk, ' ', 1) AS bs, split_part(bk, ' ', 2) AS br, split_part(ah, ' ', 1) AS hs, split_part(ah, ' ', 2) AS hr, max(CASE WHEN mark IS NULL AND schedule = split_part(ah, ' ', 1) THEN 1 END) OVER (PARTITION BY venue, stretch ORDER BY time ROWS UNBOUNDED PRECEDING) AS new FROM b),
+e AS (SELECT *, CASE WHEN mark IS NOT NULL THEN mark WHEN bk IS NULL THEN ah WHEN ah IS NULL OR bk = ah THEN bk WHEN bs <> hs THEN CASE WHEN new = 1 THEN ah ELSE bk END WHEN br = 'unclamped' THEN ah ELSE bk END AS era_of, mark IS NULL AND bk <> ah AND bs = hs AND br <> 'unclamped' AND hr <> 'unclamped' AS open FROM n),
+c AS (SELECT *, CASE WHEN era_of IS DISTINCT FROM lag(era_of) OVER (PARTITION BY venue ORDER BY time) THEN 1 ELSE 0 END AS ch FROM e),
+r AS (SELECT *, sum(ch) OVER (PARTITION BY venue ORDER BY time ROWS UNBOUNDED PRECEDING) AS era, CASE split_part(era_of, ' ', 2) WHEN 'clamp_3bp' THEN p BETWEEN -2000 AND 4000 WHEN 'clamp_5bp' THEN p BETWEEN -4000 AND 6000 END AS inb FROM c)
+SELECT venue, CAST(era AS BIGINT) AS era, split_part(any_value(era_of), ' ', 1) AS schedule, split_part(any_value(era_of), ' ', 2) AS rule, min(time) AS first_time, max(time) AS last_time, count(*) AS n_records, count(*) FILTER (regime = 'floor') AS n_floor, count(*) FILTER (regime = 'other') AS n_other,
+count(*) FILTER (regime = 'floor' AND coalesce(NOT inb, true)) AS floor_not_in_band, count(*) FILTER (regime <> 'floor' AND inb) AS in_band_not_floor, count(*) FILTER (open) AS undetermined_after FROM r GROUP BY venue, era"""
+
 QUERIES = {
     "floor_share_by_phase": (floor_share_by_phase, f"""WITH {REC}, g AS (SELECT venue, CAST(hour(time) % 8 AS INT) AS phase, count(*) AS n, avg(CASE WHEN r = 1000 THEN 1.0 ELSE 0.0 END) AS share FROM fund GROUP BY 1, 2)
 SELECT venue, phase, n, round(share, 9) AS share, round(min(share) OVER (PARTITION BY venue), 9) AS smallest, round(max(share) OVER (PARTITION BY venue), 9) AS largest FROM g"""),
@@ -170,7 +180,7 @@ SELECT venue, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(mn, 6) AS "mi
     "rule_classes": (rule_classes, f"{RULES_SQL} SELECT venue, schedule, regime, count(*) AS n, min(time) AS first_time, max(time) AS last_time FROM cls GROUP BY 1, 2, 3"),
     "rule_switch": (rule_switch, f"""{RULES_SQL}, f AS (SELECT *, min(time) FILTER (regime = 'clamp_5bp') OVER (PARTITION BY venue) AS sw, p BETWEEN -4000 AND 6000 AS inb FROM cls)
 SELECT venue, any_value(sw) AS switch_time, max(time) FILTER (time < sw) AS last_before, count(*) FILTER (schedule = '8h') AS eight_hourly, count(*) FILTER (time >= sw AND regime IN ('clamp_3bp', 'unclamped')) AS late_old, count(*) FILTER (time >= sw AND schedule = '1h') AS common_hours, count(*) FILTER (time >= sw AND schedule = '1h' AND regime = 'floor') AS common_floor, count(*) FILTER (time >= sw AND schedule = '1h' AND regime = 'floor' AND NOT inb) AS common_floor_not_in_band, count(*) FILTER (time >= sw AND schedule = '1h' AND regime <> 'floor' AND inb) AS common_in_band_not_floor, count(*) FILTER (time >= sw AND schedule = '1h' AND regime NOT IN ('floor', 'clamp_5bp')) AS common_other FROM f GROUP BY 1"""),
-    "rule_eras": (rule_eras, None),
+    "rule_eras": (rule_eras, ERAS_SQL),
     "ratio_sets": (ratio_sets, f"""WITH {REC}, c AS (SELECT event_id, 0.1::DOUBLE + (((p % 800) + 800) % 800) / 1000.0::DOUBLE AS a, 0.1::DOUBLE + (((p * 7 % 850) + 850) % 850) / 1000.0::DOUBLE AS b, 0.0001::DOUBLE + (((p * 3 % 400) + 400) % 400) / 10000.0::DOUBLE AS va, 0.0001::DOUBLE + (((p * 5 % 400) + 400) % 400) / 10000.0::DOUBLE AS vb FROM fund),
 z AS (SELECT *, b * b - {R.Z95 ** 2} * vb AS q, a * b AS m, a * a - {R.Z95 ** 2} * va AS cc FROM c), y AS (SELECT *, m * m - q * cc AS root FROM z),
 x AS (SELECT *, CASE WHEN q > 0 AND root >= 0 THEN 'bounded' WHEN q < 0 AND root > 0 THEN 'two_rays' WHEN q < 0 THEN 'whole_line' ELSE 'undefined' END AS shape, (m - sqrt(greatest(root, 0))) / q AS l, (m + sqrt(greatest(root, 0))) / q AS h FROM y),
