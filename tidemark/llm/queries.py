@@ -62,7 +62,7 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.drop_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linededup.repeated_runs(table(spark, sf_dir, "documents")).drop("tag")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
