@@ -36,3 +36,16 @@ def test_model_queries_run(spark):
 
     for name in ("hmm_selection", "switching_best", "garch"):
         assert models.QUERIES[name][0](spark, DATA).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_documents(spark):
+    import json
+
+    from tidemark.plans import documents
+
+    d = json.loads(documents.floor_document(spark, DATA))
+    assert set(d) == {"venues", "spans", "phases", "periods", "quantiles"}
+    assert d["venues"]["click"]["at"] + d["venues"]["click"]["below"] + d["venues"]["click"]["above"] == d["venues"]["click"]["n"]
+    d = json.loads(documents.gap_document(spark, DATA))
+    assert set(d["split"]["1"]) == {"location", "averaging", "dispersion"}
