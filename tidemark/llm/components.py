@@ -26,7 +26,9 @@ def components(edges: DataFrame, folder: str, most_rounds: int = 60) -> DataFram
     now, mark = written(now, folder, "edges-0"), None
     for k in range(1, most_rounds + 1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_nearest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # written first, so that Spark can split the rows of a node with very many neighbours in the join
+        near = written(_nearest(both), folder, f"nearest-{k}")
+        large = both.join(near, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _nearest(large)
         star = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.withColumnRenamed("m", "v"))
         now = written(star.where("u != v").distinct(), folder, f"edges-{k}")
