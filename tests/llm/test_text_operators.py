@@ -91,6 +91,7 @@ def test_near_duplicates(spark, corpus, block):
         for _ in range(g.randrange(5)):
             copy[g.randrange(100)] = f"z{g.randrange(1000)}"
         rows.append((100 + i, " ".join(copy)))
+    rows += [(200, "und und und " * 300), (201, "so so " * 50 + prose(21, 5)), (202, "so so " * 400 + prose(21, 5))]  # few different n-grams, often repeated
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("copy_key", F.lit(1))
     got = minhash.near_duplicates(docs, block=block)
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_classes(rows)

@@ -27,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.llm.kernels import tidied
 from tidemark.llm.scratch import new_folder, open_folder, written
 
 END = 0x27220A0F5C1DDE11  # hash of the end token: no bytes stand for it
@@ -201,7 +202,7 @@ def train(texts: DataFrame, per_shard: int = 1 << 20) -> Model:
     schema = "shard int, key long, n long"
 
     # the vocabulary
-    counted = given.mapInArrow(lambda b: _partial(b, lambda d, o: tokens(d, o)[0], 0), schema).groupBy("key").agg(F.sum("n").alias("n"))
+    counted = given.mapInArrow(tidied(lambda b: _partial(b, lambda d, o: tokens(d, o)[0], 0)), schema).groupBy("key").agg(F.sum("n").alias("n"))
     counted = written(counted, folder, "vocabulary")
     word_bits = _bits(counted.count(), per_shard >> 2)
     shard = F.shiftrightunsigned("key", 64 - word_bits).cast("int") if word_bits else F.lit(0)
@@ -248,7 +249,7 @@ def train(texts: DataFrame, per_shard: int = 1 << 20) -> Model:
         return pa.table({"id": pa.array(np.append(seen, -1), pa.int64())} | {k: pa.array(np.append(v, extra[k]).astype(np.int64)) for k, v in by.items()})
 
     stats = "id long, n1 long, n2 long, n3 long, n long, cont long"
-    per_id = given.mapInArrow(lambda b: _partial(b, bigram_keys, bits), schema).groupBy("shard").applyInArrow(store_bigrams, stats)
+    per_id = given.mapInArrow(tidied(lambda b: _partial(b, bigram_keys, bits)), schema).groupBy("shard").applyInArrow(store_bigrams, stats)
     sums = [F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n", "cont")]
     per_id = written(per_id.groupBy("id").agg(*sums), folder, "per-id")
     row = per_id.where("id = -1").first()
@@ -328,7 +329,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(k), pa.array(np.full(len(n), model.total, np.int64)), pa.array(b), pa.array(s)], [*keep, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema)
-    return given.mapInArrow(run, f"{fields}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return given.mapInArrow(tidied(run), f"{fields}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _raw_counts(model: Model, ids: np.ndarray) -> np.ndarray:

@@ -19,6 +19,8 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.llm.kernels import tidied
+
 BUCKETS = 1 << 15
 SIZES = (2, 3)  # byte n-grams
 
@@ -110,7 +112,7 @@ def train(labelled: DataFrame, buckets: int = BUCKETS, most_languages: int = 256
             yield pa.RecordBatch.from_arrays([pa.array([str(name)] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["lang", "bucket", "n"])
 
     counted = labelled.select("text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    rows = counted.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    rows = counted.mapInArrow(tidied(run), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     limit = most_languages * buckets
     got = rows.limit(limit + 1).toPandas()
     if len(got) > limit:
@@ -169,4 +171,4 @@ def identify(docs: DataFrame, model: Model, least_gap: float = 1.0) -> DataFrame
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema)
-    return given.mapInArrow(run, f"{fields}, lang_pred string, score double, ambiguous boolean")
+    return given.mapInArrow(tidied(run), f"{fields}, lang_pred string, score double, ambiguous boolean")

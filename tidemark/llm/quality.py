@@ -14,6 +14,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.llm.kernels import tidied
+
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_long_words long, n_symbol_words long, n_upper long, n_bangs long"
 
 
@@ -94,7 +96,7 @@ def features(docs: DataFrame) -> DataFrame:
 
     given = docs.select(*keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema)
-    return given.mapInArrow(run, f"{fields}, {FEATURES}")
+    return given.mapInArrow(tidied(run), f"{fields}, {FEATURES}")
 
 
 def _vote(bad: Column, good: Column | None = None) -> Column:

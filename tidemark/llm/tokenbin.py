@@ -20,7 +20,7 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.scratch import new_folder, open_folder, written
+from tidemark.llm.scratch import new_folder, open_folder, small_batches, written
 
 # fixed values of the seekable zstandard format
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -113,12 +113,12 @@ class WordEncoder:
     so the words between such spaces have the ids that they have alone, each with its space. A text
     with other white space at a word's border, or with a special token's string, is encoded whole.
 
-    Words are known by two independent 64-bit hashes of their bytes, so only new ones become
+    Words are known by two independent hashes of 64 and 32 bits of their bytes, so only new ones become
     strings; these are encoded many at a time, a line each, and the ids of a line feed part them.
     The memory starts anew after ``most`` words.
     """
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tool, self.most = Tokenizer.from_file(path), most
@@ -129,7 +129,7 @@ class WordEncoder:
 
     def _forget(self) -> None:
         none = np.zeros(0, np.uint64)
-        self.tables = [(none, none, none.astype(np.int64), none.astype(np.int64))] * 2  # sorted keys, checks, places, lengths; the second table is recent
+        self.tables = [(none, none.astype(np.uint32), none.astype(np.int32), none.astype(np.int32))] * 2  # sorted keys, checks, places, lengths; the second table is recent
         self.pool, self.used = np.zeros(1 << 20, "<u4"), 0
 
     @staticmethod
@@ -194,7 +194,8 @@ class WordEncoder:
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), "<u4")])
         self.pool[self.used : self.used + len(ids)] = ids
-        new = (keys, checks, self.used + np.cumsum(np.maximum(length, 0)) - np.maximum(length, 0), length)
+        place = self.used + np.cumsum(np.maximum(length, 0)) - np.maximum(length, 0)
+        new = (keys, checks, place.astype(np.int32), length.astype(np.int32))
         self.used += len(ids)
         recent = [np.concatenate(x) for x in zip(self.tables[1], new, strict=True)]
         order = np.argsort(recent[0], kind="stable")
@@ -223,7 +224,8 @@ class WordEncoder:
         heads = np.zeros(len(starts), bool)
         heads[at[:-1][np.diff(at) > 0]] = True  # the first word of each text has no space before it
         mark = np.where(heads, np.uint64(0x5851F42D4C957F2D), np.uint64(0))
-        keys, checks = K.span_hashes(data, starts, ends) ^ mark, K.span_hashes(data, starts, ends, K.OTHER_BASE) ^ mark
+        keys = K.span_hashes(data, starts, ends) ^ mark
+        checks = (K.span_hashes(data, starts, ends, K.OTHER_BASE) >> np.uint64(32)).astype(np.uint32)
         first, back = np.unique(keys, return_index=True, return_inverse=True)[1:]
         u_keys, u_checks = keys[first], checks[first]
         place, length = self._find(u_keys, u_checks)
@@ -292,7 +294,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, fram
         attempt, count, out, name = uuid.uuid4().hex[:12], 0, None, ""
         for batch in batches:
             names, places, sizes = [], [], []
-            for _, _, data, offsets in K.chunks(batch.column("text")):
+            for _, _, data, offsets in K.chunks(batch.column("text"), 1 << 18):
                 tokens, counts = encode(data, offsets)
                 tokens = np.insert(tokens, np.cumsum(counts), np.uint32(end_id)).astype("<u4")
                 if out is None or out.place >= file_tokens:
@@ -311,7 +313,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, fram
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").select("doc_id", "text")
-    return written(rows.mapInArrow(run, "part int, file string, doc_id long, place long, n_tokens long"), folder, "index")
+    from tidemark.llm.kernels import tidied
+
+    with small_batches(docs.sparkSession):
+        return written(rows.mapInArrow(tidied(run), "part int, file string, doc_id long, place long, n_tokens long"), folder, "index")
 
 
 def read_tokens(index: DataFrame, folder: str) -> DataFrame:
@@ -324,12 +329,15 @@ def read_tokens(index: DataFrame, folder: str) -> DataFrame:
         files, path = open_folder(folder)
         name, reader = None, None
         for batch in batches:
-            out = []
-            for file, place, n in zip(*(batch.column(c).to_pylist() for c in ("file", "place", "n_tokens")), strict=True):
+            out, size, done = [], 0, 0
+            for i, (file, place, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("file", "place", "n_tokens")), strict=True), 1):
                 if file != name:
                     name, reader = file, FrameReader(files.open_input_file(f"{path}/{file}"))
                 out.append(reader.ids(place, n))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "ids"])
+                size += len(out[-1])
+                if size > 1 << 22 or i == batch.num_rows:  # hand on a few MB at a time
+                    yield pa.RecordBatch.from_arrays([*batch.slice(done, i - done).columns, pa.array(out, pa.binary())], [*batch.schema.names, "ids"])
+                    out, size, done = [], 0, i
 
     cut = F.floor(F.col("place") / (1 << 20))  # tasks smaller than files
     rows = index.repartition("file", cut).sortWithinPartitions("file", "place")
