@@ -25,6 +25,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.components import components
+from tidemark.llm.kernels import tidied
 from tidemark.llm.scratch import new_folder, written
 
 
@@ -40,7 +41,7 @@ def band_plan(threshold: float = 0.8, recall: float = 0.999, most_hashes: int =
 
 
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, copy_key, n_grams, bands): of every row its text's digest, set size and band hashes."""
+    """(doc_id, copy_key, n_grams, bands): of every row its text's digest, number of different n-grams and band hashes."""
 
     def run(batches):
         import numpy as np
@@ -62,7 +63,9 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                         for r in range(rows):
                             total += np.minimum.reduceat(grams * times[b * rows + r], at[some]) * within[r]
                         out[some, b] = K.mix(total + np.uint64(b + 1))
-                sizes.append(np.diff(at))
+                text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                each = np.unique(grams + text.astype(np.uint64) * within[0], return_index=True)[1]
+                sizes.append(np.bincount(text[each], minlength=len(at) - 1))  # different n-grams
                 flat.append(out)
             n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
             body = np.concatenate(flat) if flat else np.zeros((0, bands), np.uint64)
@@ -72,7 +75,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
     text = F.coalesce(F.col("text"), F.lit(""))
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("copy_key"), text.alias("text"))
-    return given.mapInArrow(run, "doc_id long, copy_key string, n_grams long, bands array<long>")
+    return given.mapInArrow(tidied(run), "doc_id long, copy_key string, n_grams long, bands array<long>")
 
 
 def _sets(rows: DataFrame, k: int) -> DataFrame:
@@ -97,7 +100,7 @@ def _sets(rows: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), lists], [*(f.name for f in fields), "grams"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return rows.mapInArrow(run, f"{schema}, grams array<long>")
+    return rows.mapInArrow(tidied(run), f"{schema}, grams array<long>")
 
 
 def _compared(rows: DataFrame, threshold: float) -> DataFrame:
@@ -182,7 +185,7 @@ def _compared(rows: DataFrame, threshold: float) -> DataFrame:
             yield batch_of(found)
         yield batch_of(done(group))
 
-    return rows.mapInArrow(run, "copy_key string, other string, links long")
+    return rows.mapInArrow(tidied(run), "copy_key string, other string, links long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 128) -> DataFrame:
