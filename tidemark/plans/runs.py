@@ -138,7 +138,7 @@ SELECT 'orders' AS k, round(max(own), 4) AS shift, count(*) AS placements, round
     "ar1_half_life": (ar1, f"WITH {DAY}, p AS (SELECT a.v AS x, b.v AS y FROM daily a JOIN daily b ON b.day = a.day + INTERVAL 1 DAY), g AS (SELECT count(*) AS pairs, regr_slope(y, x) AS phi FROM p) SELECT 'orders' AS k, pairs, round(phi, 7) AS phi, CASE WHEN phi > 0 AND phi < 1 THEN round(ln(0.5) / ln(phi), 7) END AS half_life FROM g"),
     "within_quarter": (within_quarter, f"WITH {DAY} SELECT 'orders' AS k, CAST(day AS VARCHAR) AS day, round(v - avg(v) OVER (PARTITION BY year(day), quarter(day)), 3) + 0 AS within FROM daily"),
     "weekly_means": (weekly_means, f"WITH {DAY} SELECT 'orders' AS k, CAST(CAST(date_trunc('week', day) AS DATE) AS VARCHAR) AS week, round(avg(v), 3) AS mean, count(*) AS n FROM daily GROUP BY 2 HAVING count(*) >= 5"),
-    "index_windows": (index_windows, f"""WITH {REC}, {HOURLY_SQL}, i AS (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY time) - 1 AS i, count(*) OVER (PARTITION BY venue) AS n FROM hr), w AS (SELECT venue, unnest(range(0, (max(n) - 168) // 48 + 1)) AS w FROM i GROUP BY 1)
+    "index_windows": (index_windows, f"""WITH {REC}, {HOURLY_SQL}, i AS (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY time) - 1 AS i, count(*) OVER (PARTITION BY venue) AS n FROM hr), w AS (SELECT venue, unnest(range(0, (max(n) - 168) // 48 + 1)) AS w FROM i WHERE n >= 168 GROUP BY 1)
 SELECT venue, w AS "window", min(time) AS first_time, max(time) AS last_time, count(*) AS n, round(avg(m), 4) AS mean FROM i JOIN w USING (venue) WHERE i >= w * 48 AND i < w * 48 + 168 GROUP BY 1, 2"""),
     "trailing_means": (trailing, f"WITH {REC}, {HOURLY_SQL} SELECT venue, time, m, CASE WHEN count(m) OVER w = 24 THEN round(avg(m) OVER w, 4) END AS strict, round(avg(m) OVER w, 4) AS trailing FROM hr WINDOW w AS (PARTITION BY venue ORDER BY time ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)"),
     "median_filter": (median_filter, f"""WITH {REC}, {HOURLY_SQL}, i AS (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY time) AS i, count(*) OVER (PARTITION BY venue) AS n FROM hr), o AS (SELECT unnest([-3, -2, -1, 0, 1, 2, 3]) AS o)
