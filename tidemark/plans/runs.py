@@ -130,10 +130,10 @@ QUERIES = {
     "negative_spells": (spells, f"{ISLANDS} SELECT 'orders' AS k, CAST(first_day AS VARCHAR) AS first_day, CAST(last_day AS VARCHAR) AS last_day, length FROM sp WHERE length >= 2"),
     "longest_negative_run": (longest_run, f"{ISLANDS} SELECT 'orders' AS k, CAST(first_day AS VARCHAR) AS first_day, CAST(last_day AS VARCHAR) AS last_day, length, (SELECT CAST(sum(length) AS BIGINT) FROM sp) AS n_negative FROM sp ORDER BY length DESC, first_day LIMIT 1"),
     "rolling_28_days": (rolling, f"WITH {DAY}, r AS (SELECT day, avg(v) OVER w AS rolling, count(v) OVER w AS n FROM daily WINDOW w AS (ORDER BY day RANGE BETWEEN INTERVAL 27 DAY PRECEDING AND CURRENT ROW)) SELECT 'orders' AS k, CAST(day AS VARCHAR) AS day, round(rolling, 2) AS rolling FROM r WHERE n = 28"),
-    "rolling_stats": (rolling_stats, f"WITH {DAY}, r AS (SELECT day, avg(v) OVER w AS rolling, count(v) OVER w AS n FROM daily WINDOW w AS (ORDER BY day RANGE BETWEEN INTERVAL 27 DAY PRECEDING AND CURRENT ROW)) SELECT 'orders' AS k, count(*) AS windows, count(*) FILTER (rolling < 0) AS negative, round(min(rolling), 2) AS lowest, CAST(arg_min(day, rolling) AS VARCHAR) AS lowest_day FROM r WHERE n = 28"),
+    "rolling_stats": (rolling_stats, f"WITH {DAY}, r AS (SELECT day, avg(v) OVER w AS rolling, count(v) OVER w AS n FROM daily WINDOW w AS (ORDER BY day RANGE BETWEEN INTERVAL 27 DAY PRECEDING AND CURRENT ROW)) SELECT 'orders' AS k, count(*) AS windows, count(*) FILTER (rolling < 0) AS negative, round(min(rolling), 2) AS lowest, CAST(arg_min(day, rolling) AS VARCHAR) AS lowest_day FROM r WHERE n = 28 HAVING count(*) > 0"),
     "level_shift": (level_shift, f"""WITH {DAY}, r0 AS (SELECT day, avg(v) OVER w AS r, count(v) OVER w AS n FROM daily WINDOW w AS (ORDER BY day RANGE BETWEEN INTERVAL 27 DAY PRECEDING AND CURRENT ROW)), r AS (SELECT day, r FROM r0 WHERE n = 28),
 p AS (SELECT a.day, b.r - a.r AS s FROM r a JOIN r b ON b.day = a.day + INTERVAL 29 DAY), o AS (SELECT max(s) FILTER (day = DATE '1997-06-30') AS own FROM p)
-SELECT 'orders' AS k, round(max(own), 4) AS shift, count(*) AS placements, round(avg(CASE WHEN abs(s) >= abs(own) THEN 1.0 WHEN own IS NULL THEN NULL ELSE 0.0 END), 4) AS share_as_large FROM p, o"""),
+SELECT 'orders' AS k, round(max(own), 4) AS shift, count(*) AS placements, round(avg(CASE WHEN abs(s) >= abs(own) THEN 1.0 WHEN own IS NULL THEN NULL ELSE 0.0 END), 4) AS share_as_large FROM p, o HAVING count(*) > 0"""),
     "autocorrelations": (acf, f"WITH {DAY}, x AS (SELECT day, v - avg(v) OVER () AS x FROM daily), l AS (SELECT unnest([1, 7, 30]) AS lag) SELECT 'orders' AS k, lag, round(sum(a.x * b.x) / (SELECT sum(x * x) FROM x), 9) AS acf FROM x a, l JOIN x b ON b.day = a.day + to_days(CAST(lag AS INT)) GROUP BY lag"),
     "ar1_half_life": (ar1, f"WITH {DAY}, p AS (SELECT a.v AS x, b.v AS y FROM daily a JOIN daily b ON b.day = a.day + INTERVAL 1 DAY), g AS (SELECT count(*) AS pairs, regr_slope(y, x) AS phi FROM p) SELECT 'orders' AS k, pairs, round(phi, 7) AS phi, CASE WHEN phi > 0 AND phi < 1 THEN round(ln(0.5) / ln(phi), 7) END AS half_life FROM g"),
     "within_quarter": (within_quarter, f"WITH {DAY} SELECT 'orders' AS k, CAST(day AS VARCHAR) AS day, round(v - avg(v) OVER (PARTITION BY year(day), quarter(day)), 3) + 0 AS within FROM daily"),
