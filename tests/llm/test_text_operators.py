@@ -135,6 +135,48 @@ def test_repeated_passages_go(corpus):
     assert digest[4] == 60 and digest[1] == 120 and digest[3] == 0
 
 
+def brute_repeats(spark, rows):
+    """Removed words by document, here and by plain Python."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: {x for s in r.removed for x in range(s.first, s.last)} for r in linededup.repeated_runs(docs).collect()}
+    want = repeated(rows)
+    return {k: v for k, v in got.items() if v}, want
+
+
+def test_passages_whose_phrases_stand_earlier_go(spark):
+    passage = prose(32, 60, 5000).split()
+    # earlier documents hold every fingerprint, but no 50 words
+    rows = [(i, f"{prose(100 + i, 20)} {' '.join(passage[i % 12 : i % 12 + 49])} {prose(200 + i, 20)}") for i in range(48)]  # Z
+    rows += [(50, f"{prose(35, 9)} {' '.join(passage)} {prose(36, 30)}"), (51, f"{prose(37, 70)} {' '.join(passage)} {prose(38, 7)}")]  # A and B
+    got, want = brute_repeats(spark, rows)
+    assert want == {51: set(range(70, 130))} and got == want
+
+
+def test_passages_whose_phrases_stand_earlier_in_the_same_text_go(spark):
+    passage = prose(39, 60, 5000).split()
+    own = " ".join(passage[:40]) + " x y " + " ".join(passage[20:])
+    rows = [(1, f"{prose(43, 11)} {' '.join(passage)}"), (2, f"{own} {prose(44, 15)} {' '.join(passage)} {prose(45, 5)}")]
+    got, want = brute_repeats(spark, rows)
+    assert len(want[2]) == 60 and got == want
+
+
+def test_repeats_of_random_cuts(spark):
+    g = random.Random(7)
+    sources = [prose(46 + i, 300, 3000).split() for i in range(3)] + [("a b c " * 60).split()]
+    rows = []
+    for i in range(60):
+        w = []
+        for _ in range(g.randrange(1, 6)):
+            s = g.choice(sources)
+            at, n = g.randrange(len(s)), g.randrange(5, 120)
+            w += s[at : at + n] + prose(g.randrange(10**6), g.randrange(4), 3000).split()
+        for _ in range(g.randrange(3)):
+            w[g.randrange(len(w))] = "edited"
+        rows.append((i, " ".join(w)))
+    got, want = brute_repeats(spark, rows)
+    assert len(want) > 30 and got == want
+
+
 def test_line_feed_stays_between_lines(spark):
     p = prose(31, 55)
     docs = spark.createDataFrame([(1, p), (2, f"first line\n{p}\nlast line"), (3, f"head {p}\ntail")], "doc_id long, text string")

@@ -3,14 +3,15 @@
 Repeated passages stand inside lines as often as they fill lines, so the units are words, not whole
 lines; a passage of whole lines is found all the same, and lines left empty go. Every stretch of
 ``gram`` words has a hash; of every ``run - gram + 1`` consecutive hashes the smallest one (the
-last of equal ones) is a fingerprint. Two equal runs of ``run`` words or more share such a window,
-hence a fingerprint: none is missed.
-
-Every fingerprint position is joined with the fingerprint's first position in (doc_id, word)
-order, or, where the document holds it before, with its place before in the document. The match is
-extended word by word both ways, and its words are deleted from the later place if there are
-``run`` of them or more. The join has one row per position, however many documents share a
-passage.
+last of equal ones) is the fingerprint of the window of ``run`` words that they fill. Equal windows
+have equal fingerprints, so a window whose fingerprint stands once stands once.
+
+Consecutive windows with the same fingerprint place make a block. Blocks of a fingerprint are
+grouped by a hash of all their words: every block but the first of its group is a repeat as a
+whole. Where a fingerprint has several different blocks (a phrase in other surroundings, an end
+of a passage, a near copy), the first block of each group is cut into its windows, and every
+window but the first of its kind is a repeat. So each window is held against all places of its
+fingerprint, in joins with one row per block or window, however many documents share a passage.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ EMPTY = "array<struct<first:int,last:int>>"
 
 
 def fingerprints(hashes, offsets, gram: int, run: int):
-    """(text, place in the text, hash, place before of the same hash in the text or -1) of the fingerprints of texts of word hashes."""
+    """(text, place in the text, number of windows, fingerprint, hash of the words) of the blocks of texts of word hashes."""
     import numpy as np
 
     from tidemark.llm import kernels as K
@@ -32,11 +33,10 @@ def fingerprints(hashes, offsets, gram: int, run: int):
     n, wide = len(hashes), run - gram + 1
     none = np.zeros(0, np.int64)
     if n < run:
-        return none, none, np.zeros(0, np.uint64), none
-    base = 0xD6E8FEB86659FD93
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * K.powers(base, n), dtype=np.uint64)])
+        return none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    total, back = sums(hashes)
     m = n - gram + 1
-    grams = K.mix((total[gram:] - total[:m]) * K.powers(pow(base, -1, 1 << 64), n)[:m])
+    grams = K.mix((total[gram:] - total[:m]) * back[:m])
     # index of the smallest hash of each window, by windows of doubling width; the later of equals
     best, width = np.arange(m), 1
     while width < wide:
@@ -45,19 +45,30 @@ def fingerprints(hashes, offsets, gram: int, run: int):
         best = np.where(grams[right] <= grams[left], right, left)
         width += step
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    inside = text[: n - run + 1] == text[run - 1 :]
-    picked = np.unique(best[: n - run + 1][inside])
-    marks, of = grams[picked], text[picked]
-    order = np.lexsort((picked, marks, of))
-    same = (of[order][1:] == of[order][:-1]) & (marks[order][1:] == marks[order][:-1])
-    place = picked - offsets[of]
-    before = np.full(len(picked), -1, np.int64)
-    before[order[1:][same]] = place[order[:-1][same]]
-    return of, place, marks, before
+    windows = np.flatnonzero(text[: n - run + 1] == text[run - 1 :])
+    if not len(windows):
+        return none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    picked = best[windows]
+    first = np.flatnonzero(np.concatenate([[True], picked[1:] != picked[:-1]]))
+    size, begin = np.diff(np.append(first, len(windows))), windows[first]
+    of = text[begin]
+    blocks = K.mix((total[begin + size + run - 1] - total[begin]) * back[begin] + size.astype(np.uint64) * np.uint64(K.OTHER_BASE))
+    return of, begin - offsets[of], size, grams[picked[first]], blocks
+
+
+def sums(hashes):
+    """Running sums of word hashes times powers, and the factors that make differences of them independent of their place."""
+    import numpy as np
+
+    from tidemark.llm import kernels as K
+
+    base, n = 0xD6E8FEB86659FD93, len(hashes)
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * K.powers(base, n), dtype=np.uint64)]), K.powers(pow(base, -1, 1 << 64), n)
 
 
 def marks(docs: DataFrame, gram: int, run: int) -> DataFrame:
-    """(doc_id, tag, n_words, at, mark, before): per row its fingerprints; tag is the text's checksum."""
+    """(doc_id, tag, n_words, at, size, mark, block): per row its blocks; tag is the text's checksum."""
+    kinds = {"at": "int32", "size": "int32", "mark": "int64", "block": "int64"}
 
     def task(batches):
         import numpy as np
@@ -66,21 +77,19 @@ def marks(docs: DataFrame, gram: int, run: int) -> DataFrame:
         from tidemark.llm import kernels as K
 
         for batch in batches:
-            parts, sizes, counts = {"at": [], "mark": [], "before": []}, [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
+            parts, sizes, counts = {k: [np.zeros(0, v)] for k, v in kinds.items()}, [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
             for _, _, data, offsets in K.chunks(batch.column("text")):
                 hashes, at = K.words(data, offsets)
-                of, place, found, before = fingerprints(hashes, at, gram, run)
-                parts["at"].append(place.astype(np.int32))
-                parts["mark"].append(found.view(np.int64))
-                parts["before"].append(before.astype(np.int32))
+                of, place, size, found, blocks = fingerprints(hashes, at, gram, run)
+                for k, v in (("at", place.astype(np.int32)), ("size", size.astype(np.int32)), ("mark", found.view(np.int64)), ("block", blocks.view(np.int64))):
+                    parts[k].append(v)
                 sizes.append(np.bincount(of, minlength=len(at) - 1))
                 counts.append(np.diff(at))
             ends = pa.array(np.cumsum(np.concatenate(sizes)), pa.int32())
-            flat = lambda k, kind: pa.array(np.concatenate(parts[k]) if parts[k] else np.zeros(0, np.int64), kind)
-            lists = [pa.ListArray.from_arrays(ends, flat(k, kind)) for k, kind in (("at", pa.int32()), ("mark", pa.int64()), ("before", pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(np.concatenate(counts), pa.int64()), *lists], ["doc_id", "tag", "n_words", "at", "mark", "before"])
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(v))) for v in parts.values()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(np.concatenate(counts), pa.int64()), *lists], ["doc_id", "tag", "n_words", *kinds])
 
-    return _keyed(docs).mapInArrow(tidied(task), "doc_id long, tag long, n_words long, at array<int>, mark array<long>, before array<int>")
+    return _keyed(docs).mapInArrow(tidied(task), "doc_id long, tag long, n_words long, at array<int>, size array<int>, mark array<long>, block array<long>")
 
 
 def words(docs: DataFrame) -> DataFrame:
@@ -109,82 +118,80 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(text.cast("binary")).alias("tag"), text.alias("text"))
 
 
-def _extended(rows: DataFrame, run: int) -> DataFrame:
-    """(doc_id, tag, first, last) of the words that matches cover; last is exclusive.
+def _windows(rows: DataFrame, run: int) -> DataFrame:
+    """(doc_id, tag, at, mark, window): the windows of the blocks ``open`` (at, size, mark) of rows of doc_id, tag and words, with a hash of their words."""
 
-    rows: doc_id, tag, role, words, skipped, fars, ordered by the first three within partitions: a
-    document's own words (role 0), then those of every other (or the same) document that it shares
-    fingerprints with (role 1), without the first ``skipped``, and per distance between the two the
-    places in the document of the fingerprints.
-    """
+    def task(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from tidemark.llm import kernels as K
+
+        for batch in batches:
+            column, blocks = batch.column("words"), batch.column("open")
+            at, data = column.offsets.to_numpy().astype(np.int64), column.values.to_numpy()
+            of = blocks.offsets.to_numpy().astype(np.int64)
+            begin, size, mark = (blocks.values.field(c).to_numpy() for c in ("at", "size", "mark"))
+            for i, j in K.runs(at, K.CHUNK // 4):
+                total, back = sums(K.mix(data[at[i] : at[j]].view(np.uint32).astype(np.uint64) + np.uint64(K.OTHER_BASE)))
+                part = slice(of[i], of[j])
+                row = np.repeat(np.repeat(np.arange(i, j), np.diff(of[i : j + 1])), size[part])
+                inside = np.arange(len(row)) - np.repeat(np.cumsum(size[part]) - size[part], size[part])
+                place = np.repeat(begin[part], size[part]) + inside
+                lie = place + at[row] - at[i]
+                window = K.mix((total[lie + run] - total[lie]) * back[lie]).view(np.int64)
+                index = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(index), batch.column("tag").take(index), pa.array(place.astype(np.int32)), pa.array(np.repeat(mark[part], size[part])), pa.array(window)], ["doc_id", "tag", "at", "mark", "window"])
+
+    return rows.mapInArrow(tidied(task), "doc_id long, tag long, at int, mark long, window long")
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """(doc_id, tag, removed): the ordered ranges ``all`` (first, last) of each row, those that overlap or touch made one."""
 
     def task(batches):
         import numpy as np
         import pyarrow as pa
 
-        key, mine = None, None
         for batch in batches:
-            column = batch.column("words")
-            at, data = column.offsets.to_numpy(), column.values.to_numpy()
-            docs, tags, roles = (batch.column(c).to_pylist() for c in ("doc_id", "tag", "role"))
-            fars, skipped = batch.column("fars").to_pylist(), batch.column("skipped").to_numpy()
-            keep, first, last = [], [], []
+            column = batch.column("all")
+            at = column.offsets.to_numpy()
+            first, last = (column.values.field(c).to_numpy() for c in ("first", "last"))
+            firsts, lasts, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [0]
             for i in range(batch.num_rows):
-                if roles[i] == 0:
-                    key, mine = (docs[i], tags[i]), data[at[i] : at[i + 1]].copy()
-                    continue
-                assert key == (docs[i], tags[i])
-                theirs = data[at[i] : at[i + 1]]
-                for pair in fars[i]:
-                    s = max(pair["far"], 0)
-                    beside = theirs[s - pair["far"] - int(skipped[i]) :]
-                    n = min(len(mine) - s, len(beside))
-                    same = mine[s : s + n] == beside[:n]
-                    wrong, b = np.flatnonzero(~same), 0
-                    for p in (x - s for x in pair["ats"]):
-                        if p < b or not same[p]:
-                            continue  # inside the run before, or a clash of hashes
-                        k = int(np.searchsorted(wrong, p))
-                        a = int(wrong[k - 1]) + 1 if k else 0
-                        b = int(wrong[k]) if k < len(wrong) else n
-                        if b - a >= run:
-                            keep.append(i)
-                            first.append(s + a)
-                            last.append(s + b)
-            index = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(index), batch.column("tag").take(index), pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["doc_id", "tag", "first", "last"])
-
-    return rows.mapInArrow(tidied(task), "doc_id long, tag long, first int, last int")
-
-
-def _runs(docs: DataFrame, table: DataFrame, run: int) -> DataFrame:
-    """(doc_id, tag, removed) of the documents with words to delete, from the table of fingerprints."""
-    each = table.select("doc_id", "tag", "n_words", F.explode(F.arrays_zip("at", "mark", "before")).alias("m")).select("doc_id", "tag", "n_words", "m.*")
-    where = F.struct(F.col("doc_id").alias("d"), F.col("tag").alias("t"), F.col("at").alias("a"))
-    heads = each.where("before < 0").drop("before")
-    first = heads.groupBy("mark").agg(F.min(where).alias("first"), F.max(where).alias("_last")).where("first != _last").select("mark", "first")
-    key = ["doc_id", "tag", "n_words"]
-    met = heads.join(first, "mark").where(where != F.col("first")).select(*key, F.col("first.d").alias("d"), F.col("first.t").alias("t"), (F.col("at") - F.col("first.a")).alias("far"), "at")
-    again = each.where("before >= 0").select(*key, F.col("doc_id").alias("d"), F.col("tag").alias("t"), (F.col("at") - F.col("before")).alias("far"), "at")
-    met = met.unionByName(again).groupBy(*key, "d", "t", "far").agg(F.sort_array(F.collect_set("at")).alias("ats"))
-    met = met.groupBy(*key, "d", "t").agg(F.collect_list(F.struct("far", "ats")).alias("fars"), F.greatest(-F.max("far"), F.lit(0)).alias("skipped"), F.min("far").alias("_least"))
-    # one shuffle of the words serves both: a document's own, and those of the documents it is held against
-    need = F.greatest(F.col("n_words") - F.col("_least") - F.col("skipped"), F.lit(0)).cast("int")
-    others = met.select(F.col("d").alias("w_doc"), F.col("t").alias("w_tag"), "doc_id", "tag", F.lit(1).alias("role"), "skipped", need.alias("need"), "fars")
-    own = met.select(F.col("doc_id").alias("w_doc"), F.col("tag").alias("w_tag"), "doc_id", "tag", F.lit(0).alias("role"), F.lit(0).alias("skipped"), F.col("n_words").cast("int").alias("need")).distinct()
-    wanted = others.unionByName(own, allowMissingColumns=True)
-    hashed = words(docs.select("doc_id", "text")).select(F.col("doc_id").alias("h_doc"), F.col("tag").alias("h_tag"), "words")
-    got = wanted.join(hashed, F.col("w_doc").eqNullSafe(F.col("h_doc")) & (F.col("w_tag") == F.col("h_tag")))
-    pairs = got.select("doc_id", "tag", "role", "skipped", "fars", F.slice("words", F.col("skipped") + 1, F.col("need")).alias("words")).repartition("doc_id", "tag").sortWithinPartitions("doc_id", "tag", "role")
-    step = F.struct(F.col("first").alias("first"), F.col("last").alias("last"))
-    gathered = _extended(pairs, run).groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set(step)).alias("all"))
+                a, b = first[at[i] : at[i + 1]], np.maximum.accumulate(last[at[i] : at[i + 1]])
+                new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+                firsts.append(a[new])
+                lasts.append(b[np.append(new[1:] - 1, len(b) - 1)])
+                sizes.append(len(new))
+            ranges = pa.StructArray.from_arrays([pa.array(np.concatenate(firsts)), pa.array(np.concatenate(lasts))], ["first", "last"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), ranges)], ["doc_id", "tag", "removed"])
+
+    return rows.mapInArrow(tidied(task), f"doc_id long, tag long, removed {EMPTY}")
 
-    def merge(done, x):
-        tail = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(tail["first"].alias("first"), F.greatest(tail["last"], x["last"]).alias("last"))))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["last"] >= x["first"]), joined).otherwise(F.concat(done, F.array(x)))
 
-    return gathered.select("doc_id", "tag", F.aggregate("all", F.array().cast(EMPTY), merge).alias("removed"))
+def _runs(docs: DataFrame, table: DataFrame, run: int, folder: str) -> DataFrame:
+    """(doc_id, tag, removed) of the documents with words to delete, from the table of blocks."""
+    each = table.select("doc_id", "tag", F.explode(F.arrays_zip("at", "size", "mark", "block")).alias("m")).select("doc_id", "tag", "m.*")
+    where = F.struct(F.col("doc_id").alias("d"), F.col("tag").alias("t"), F.col("at").alias("a"))
+    # sums are written before they are joined, so that Spark can split a frequent key
+    often = written(each.groupBy("mark").agg(F.count("*").alias("_n")).where("_n > 1").select("mark"), folder, "often")
+    met = written(each.join(often, "mark"), folder, "blocks")
+    groups = written(met.groupBy("mark", "block").agg(F.min(where).alias("first"), F.max(where).alias("_last"), F.max("size").alias("size")), folder, "groups")
+    copied = groups.where("first != _last").select("mark", "block", "first")
+    whole = met.join(copied, ["mark", "block"]).where(where != F.col("first")).select("doc_id", "tag", F.col("at").alias("first"), (F.col("at") + F.col("size") + (run - 1)).alias("last"))
+    # fingerprints with several different blocks: the first of each, window by window
+    several = written(groups.groupBy("mark").agg(F.min("block").alias("_a"), F.max("block").alias("_b")).where("_a != _b").select("mark"), folder, "several")
+    block = F.struct(F.col("first.a").alias("at"), "size", "mark")
+    opened = groups.join(several, "mark").groupBy(F.col("first.d").alias("o_doc"), F.col("first.t").alias("o_tag")).agg(F.collect_list(block).alias("open"))
+    hashed = words(docs.select("doc_id", "text"))
+    held = hashed.join(opened, F.col("doc_id").eqNullSafe(F.col("o_doc")) & (F.col("tag") == F.col("o_tag"))).select("doc_id", "tag", "words", "open")
+    windows = written(_windows(held, run), folder, "windows")
+    earliest = windows.groupBy("mark", "window").agg(F.min(where).alias("first"), F.max(where).alias("_last")).where("first != _last").select("mark", "window", "first")
+    earliest = written(earliest, folder, "earliest")
+    single = windows.join(earliest, ["mark", "window"]).where(where != F.col("first")).select("doc_id", "tag", F.col("at").alias("first"), (F.col("at") + run).alias("last"))
+    step = F.struct(F.col("first").alias("first"), F.col("last").alias("last"))
+    return _merged(whole.unionByName(single).groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set(step)).alias("all")))
 
 
 def repeated_runs(docs: DataFrame, run: int = 50, gram: int = 8) -> DataFrame:
@@ -193,13 +200,12 @@ def repeated_runs(docs: DataFrame, run: int = 50, gram: int = 8) -> DataFrame:
     ``tag`` is the checksum of the text. Of equal runs the one in the smallest (doc_id, tag, word)
     stays; a document that repeats itself keeps the first part. Rows that stand twice with the same
     doc_id and text are one document to each other, so neither is cut for the other. A null doc_id
-    sorts first; a null or empty text has no words. At a later run's ends, up to
-    ``run - gram`` words may stay that repeat another document than the one the fingerprint was first
-    seen in.
+    sorts first; a null or empty text has no words. What goes is every word in a stretch of ``run``
+    words that stands earlier.
     """
     folder = new_folder(docs.sparkSession, "linededup")
     table = written(marks(docs.select("doc_id", "text"), gram, run), folder, "marks")
-    runs = _runs(docs, table, run).select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t"), "removed")
+    runs = _runs(docs, table, run, folder).select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t"), "removed")
     rows = table.select("doc_id", "tag", "n_words").join(runs, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tag") == F.col("_t")), "left")
     gone = F.aggregate("removed", F.lit(0), lambda n, x: n + x["last"] - x["first"])
     return rows.select("doc_id", "tag", "n_words", F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast(EMPTY)).alias("removed"))
