@@ -56,6 +56,41 @@ def test_bootstrap_does_not_depend_on_partitions(spark, series):
     assert one == two and len(one) == 6
 
 
+def test_bootstrap_paths_are_as_long_as_the_series(spark, series):
+    best = M.best(M.fit(series, ["key"], (2,), 2, 60), ["key"])
+    whole = {r.rep: r.ll for r in M.bootstrap(best, ["key"], None, 3, rounds=5).collect()}
+    assert whole == {r.rep: r.ll for r in M.bootstrap(best, ["key"], 600, 3, rounds=5).collect()}
+
+
+def test_model_queries_take_all_hours_of_all_venues(spark):
+    from tidemark.plans import models
+    from tidemark.plans.tables import hourly
+
+    d = "/root/testdata/sf0.01"
+    want = {r.venue: r["count"] for r in hourly(spark, d).groupBy("venue").count().collect()}
+    got = {r.venue: r.n for r in models.series(spark, d).collect()}
+    assert got == want and len(got) == 5 and min(got.values()) > 600
+
+
+def test_model_queries_keep_the_reference_counts(monkeypatch):
+    from unittest.mock import MagicMock
+
+    from tidemark.plans import models
+
+    M_, W_ = MagicMock(), MagicMock()
+    monkeypatch.setattr(models, "M", M_)
+    monkeypatch.setattr(models, "W", W_)
+    monkeypatch.setattr(models, "series", MagicMock())
+    models.hmm_selection(None, "")
+    assert M_.fit.call_args.args[2:6] == ((2, 3, 4, 5), 40, 100_000, 1e-6)
+    models.hmm_bootstrap(None, "")
+    assert M_.fit.call_args.args[2:4] == ((2,), 8) and M_.bootstrap.call_args.args[2:] == (None, 500)
+    models.switching_draws(None, "")
+    assert W_.fit_switching.call_args.args[2] == 40 and W_.simulated_ratio.call_args.args[3] == 50_000
+    models.garch(None, "")
+    assert W_.fit_garch.call_args.args[2] == ("normal", "t")
+
+
 def test_profile_has_its_top_at_the_estimate(spark, series):
     m = M.best(M.fit(series, ["key"], (2,), 2, 300, 1e-9), ["key"])
     at = m.first().a[0][1]
@@ -88,6 +123,11 @@ def test_garch_fit(spark):
     assert r.alpha + r.beta == pytest.approx(0.9, abs=0.12)
 
 
+def test_garch_loss_far_out():
+    x = W.simulate_garch(0.0, 0.1, 0.1, 0.8, 50, np.random.default_rng(2))
+    assert np.isfinite(W.garch_loss([0.0, 0.0, -800.0, -800.0], x, False))
+
+
 def test_arch_lm_and_bootstrap(spark):
     x = np.random.default_rng(8).standard_normal(500)
     rows = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "key int, t int, v double")

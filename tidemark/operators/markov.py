@@ -284,9 +284,9 @@ def durations(model: Column | str = "a") -> Column:
     return F.transform(F.col(model) if isinstance(model, str) else model, lambda row, i: 1 / (1 - F.get(row, i)))
 
 
-def bootstrap(models: DataFrame, keys: list[str], t: int, reps: int = 500, seed: int = 20, rounds: int = 400, tol: float = 1e-5, chunk: int = 10) -> DataFrame:
-    """(keys, rep, ll, n_rounds, model columns): models refitted to simulated paths, one row per replicate."""
-    plan = models.select(*keys, *[c for c in ("k", "pi", "a", "mu", "sigma")], F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // chunk))).alias("chunk")).repartition(*keys, "chunk")
+def bootstrap(models: DataFrame, keys: list[str], t: int | None, reps: int = 500, seed: int = 20, rounds: int = 400, tol: float = 1e-5, chunk: int = 10) -> DataFrame:
+    """(keys, rep, ll, n_rounds, model columns): models refitted to simulated paths of ``t`` steps (None: as many as the model's series, its n), one row per replicate."""
+    plan = models.select(*keys, *[c for c in ("k", "pi", "a", "mu", "sigma")], (F.col("n") if t is None else F.lit(t)).cast("int").alias("t"), F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // chunk))).alias("chunk")).repartition(*keys, "chunk")
 
     def run(batches):
         import pandas as pd
@@ -296,7 +296,7 @@ def bootstrap(models: DataFrame, keys: list[str], t: int, reps: int = 500, seed:
                 pi, a, mu, sigma = member(row)
                 out = []
                 for r in range(row["chunk"] * chunk, min(reps, (row["chunk"] + 1) * chunk)):
-                    x = simulate(a[0], mu[0], sigma[0], t, np.random.default_rng([seed, r]))
+                    x = simulate(a[0], mu[0], sigma[0], row["t"], np.random.default_rng([seed, r]))
                     *p, ll, n = em(x, pi, a, mu, sigma, rounds, tol)
                     out.append({**{c: row[c] for c in keys}, "rep": r, "rounds": int(n[0]), **as_row(row["k"], *(c[0] for c in by_sigma(*p)), ll[0])})
                 yield pd.DataFrame(out)

@@ -135,10 +135,14 @@ def garch_variance(r, omega, alpha, beta, first):
     return h
 
 
+def logistic(x: float) -> float:
+    return 1 / (1 + math.exp(min(-x, 700)))
+
+
 def garch_loss(free, r, nu_free: bool) -> float:
     """Negative log-likelihood at unconstrained parameters: mu, ln omega, logits of alpha + beta and alpha's share [, ln (nu - 2)]."""
     mu, omega = free[0], math.exp(min(free[1], 50))
-    both, share = 1 / (1 + math.exp(-free[2])), 1 / (1 + math.exp(-free[3]))
+    both, share = logistic(free[2]), logistic(free[3])
     e = r - mu
     h = garch_variance(e, omega, both * share, both * (1 - share), e.var())
     if not nu_free:
@@ -295,7 +299,7 @@ def fit_garch(series: DataFrame, keys: list[str], dists=("normal", "t"), scale:
                 free = [r.mean(), math.log(r.var() * 0.05), (2.0, 3.0, 1.0, 4.0)[row["start"]], (-2.0, -1.0, 0.0, -3.0)[row["start"]]]
                 student = row["dist"] == "t"
                 x, loss = nelder_mead(lambda p: garch_loss(p, r, student), np.array(free + [math.log(4.0)] * student))
-                both, share = 1 / (1 + math.exp(-x[2])), 1 / (1 + math.exp(-x[3]))
+                both, share = logistic(x[2]), logistic(x[3])
                 out.append({**{k: row[k] for k in keys}, "dist": row["dist"], "start": row["start"], "ll": -loss + len(r) * math.log(scale), "mu": x[0] / scale, "omega": math.exp(x[1]) / scale**2, "alpha": both * share, "beta": both * (1 - share), "nu": 2 + math.exp(x[4]) if student else None, "n": len(r)})
             yield pd.DataFrame(out, columns=[*keys, "dist", "start", "ll", "mu", "omega", "alpha", "beta", "nu", "n"])
 

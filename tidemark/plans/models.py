@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 from tidemark.operators import markov as M, switching as W
 from tidemark.plans.tables import hourly, rounded
 
-HOURS = 240  # of each venue's series: the models are fitted to its last ten days
+# The reference's counts.
+STARTS, SELECTION_STARTS, SELECTION_KS = 8, 40, (2, 3, 4, 5)
+CAP, TOL = 100_000, 1e-6  # rounds of EM are stopped by the tolerance
+REPS, BOOT_CAP, BOOT_TOL = 500, 400, 1e-6
+SWITCHING_STARTS, DRAWS = 40, 50_000
 
 
-def series(spark, d, venues=("click", "view")):
-    """(venue, n, x): the last hours of each venue's mean premium, in bps."""
-    from pyspark.sql import Window
+def series(spark, d):
+    """(venue, n, x): each venue's whole series of hourly mean premiums, in bps."""
+    return M.as_arrays(hourly(spark, d).withColumn("v", F.col("m") / 1000.0), ["venue"], "v", "time")
 
-    last = F.row_number().over(Window.partitionBy("venue").orderBy(F.desc("time")))
-    h = hourly(spark, d).where(F.col("venue").isin(*venues)).withColumn("_r", last).where(F.col("_r") <= HOURS)
-    return M.as_arrays(h.withColumn("v", F.col("m") / 1000.0), ["venue"], "v", "time")
 
-
-def fits(spark, d, ks=(2,), starts=4, kinds=("random",)):
-    return M.fit(series(spark, d), ["venue"], ks, starts, 150, 1e-5, kinds=kinds)
+def fits(spark, d, ks=(2,), starts=STARTS, kinds=("random",), chunk=4):
+    return M.fit(series(spark, d), ["venue"], ks, starts, CAP, TOL, chunk=chunk, kinds=kinds)
 
 
 def best(spark, d):
@@ -36,11 +36,11 @@ def hmm_optima(spark, d):
 
 
 def hmm_selection(spark, d):
-    return M.selection(M.best(fits(spark, d, (2, 3)), ["venue", "k"]), ["venue"])
+    return M.selection(M.best(fits(spark, d, SELECTION_KS, SELECTION_STARTS, chunk=20), ["venue", "k"]), ["venue"])
 
 
 def hmm_polish(spark, d):
-    return M.polish(series(spark, d), best(spark, d), ["venue"], 400, 1e-7).select("venue", "k", "ll", M.durations().alias("durations"), "mu", "sigma")
+    return M.polish(series(spark, d), best(spark, d), ["venue"], CAP, 1e-9).select("venue", "k", "ll", M.durations().alias("durations"), "mu", "sigma")
 
 
 def hmm_states(spark, d):
@@ -54,12 +54,12 @@ def hmm_residuals(spark, d):
 
 def hmm_bootstrap(spark, d):
     m = best(spark, d)
-    return M.bootstrap_summary(M.bootstrap(m, ["venue"], 200, 12, rounds=60), m, ["venue"])
+    return M.bootstrap_summary(M.bootstrap(m, ["venue"], None, REPS, rounds=BOOT_CAP, tol=BOOT_TOL), m, ["venue"])
 
 
 def hmm_profile(spark, d):
     m = best(spark, d)
-    p = M.profile(series(spark, d), m, ["venue"], (0, 1), (0.01, 0.05, 0.1, 0.2, 0.4), 80)
+    p = M.profile(series(spark, d), m, ["venue"], (0, 1), (0.01, 0.05, 0.1, 0.2, 0.4))
     return p.join(M.profile_bound(p, ["venue"]), "venue", "left")
 
 
@@ -67,16 +67,20 @@ def hmm_boundary(spark, d):
     return M.boundary_score(series(spark, d), best(spark, d), ["venue"], (0, 1))
 
 
+def regimes(spark, d):
+    return W.fit_switching(series(spark, d), ["venue"], SWITCHING_STARTS)
+
+
 def switching_fits(spark, d):
-    return W.admissible(W.fit_switching(series(spark, d), ["venue"], 6, 120))
+    return W.admissible(regimes(spark, d))
 
 
 def switching_best(spark, d):
-    return W.best_switching(W.fit_switching(series(spark, d), ["venue"], 6, 120), ["venue"])
+    return W.best_switching(regimes(spark, d), ["venue"])
 
 
 def switching_optima(spark, d):
-    return W.optima_histogram(W.fit_switching(series(spark, d), ["venue"], 6, 120), ["venue"])
+    return W.optima_histogram(regimes(spark, d), ["venue"])
 
 
 def switching_ratio(spark, d):
@@ -85,15 +89,15 @@ def switching_ratio(spark, d):
 
 def switching_draws(spark, d):
     m = switching_best(spark, d)
-    return W.simulated_ratio(W.inference(series(spark, d), m, ["venue"]), ["venue"], m, 4000, 1000)
+    return W.simulated_ratio(W.inference(series(spark, d), m, ["venue"]), ["venue"], m, DRAWS)
 
 
 def switching_decay(spark, d):
-    return W.decay(switching_best(spark, d), ["venue"], 24)
+    return W.decay(switching_best(spark, d), ["venue"])
 
 
 def garch(spark, d):
-    return W.fit_garch(series(spark, d), ["venue"], ("normal",), 1.0)
+    return W.fit_garch(series(spark, d), ["venue"], ("normal", "t"), 1.0)
 
 
 QUERIES = {f.__name__: (f, None) for f in (hmm_fits, hmm_optima, hmm_selection, hmm_polish, hmm_states, hmm_residuals, hmm_bootstrap, hmm_profile, hmm_boundary, switching_fits, switching_best, switching_optima, switching_ratio, switching_draws, switching_decay, garch)}

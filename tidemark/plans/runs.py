@@ -116,7 +116,7 @@ def arch(spark, d):
 
 
 def bootstrap_median(spark, d):
-    return T.block_bootstrap_median(hourly(spark, d).withColumn("m", F.col("m").cast("double")), ["venue"], "m", "time", 24, 400)
+    return T.block_bootstrap_median(hourly(spark, d).withColumn("m", F.col("m").cast("double")), ["venue"], "m", "time", 24, 2000)
 
 
 LJ = ", ".join(f"sum(d * lag{k}) / sum(d * d) AS r{k}" for k in range(1, 25))
