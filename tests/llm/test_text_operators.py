@@ -218,6 +218,29 @@ def test_decontamination(spark, corpus):
     assert kept >= {0, 5, 6, 204, 206, None} and not kept & {200, 201, 202, 203, 207}
 
 
+def test_parts_of_short_items_see_all_allowed_substitutions():
+    for n in range(1, 13):
+        allowed = n - int(np.ceil(n * 0.8 - 1e-9))
+        for wrong in itertools.combinations(range(n), allowed):
+            assert any(not set(wrong) & set(range(a, a + k)) for a, k in decontam.short_parts(n, 0.8))
+
+
+def test_short_items_are_found(spark):
+    items = {n: [f"i{n}t{k}" for k in range(n)] for n in range(1, 13)}
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    rows, want = [], set()
+    for n, w in items.items():
+        allowed = n - int(np.ceil(n * 0.8 - 1e-9))
+        for wrong in itertools.chain.from_iterable(itertools.combinations(range(n), m) for m in range(allowed + 2) if m <= n):
+            text = " ".join("other" if i in wrong else x for i, x in enumerate(w))
+            for before, after in (("", ""), ("two words ", " three more words")):
+                rows.append((len(rows), before + text + after))
+                if len(wrong) <= allowed and n >= 3:  # an item of one or two tokens matches nothing
+                    want.add((len(rows) - 1, n, n - len(wrong)))
+    got = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id, r.n_equal) for r in got} == want
+
+
 def test_decontamination_of_nothing(spark, corpus, nothing):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminated(corpus, empty).collect() == []

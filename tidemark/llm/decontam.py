@@ -7,16 +7,21 @@ window of ``overlap`` tokens with the most equal tokens is taken: the pair count
 reaches ``share``. Items shorter than ``overlap`` are compared whole.
 
 The two masks together hit every window of 13 tokens with up to two substitutions (tested by
-enumeration).
+enumeration). An item shorter than ``overlap`` has seeds of its own: its tokens are cut into one
+part more than substitutions are allowed, so that one part stays whole; every part is a seed, at
+its place in the item, and documents are searched for parts of those lengths.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.scratch import new_folder, written
 
 MASKS = ("11101011", "110100111")
+LEAST = 3  # tokens of an item; fewer are too common to tell anything
 
 
 def token_hashes(text: Column) -> Column:
@@ -39,6 +44,14 @@ def _windows(table: DataFrame, key: str, tokens: str, masks: tuple[str, ...]) ->
     return at.select(key, tokens, "at", F.explode(seeds).alias("seed")).where("seed is not null")
 
 
+def short_parts(n: int, share: float) -> list[tuple[int, int]]:
+    """(start, length) of the parts of an item of ``n`` tokens, one of which stays whole in every match that reaches ``share``."""
+    parts = n - math.ceil(n * share - 1e-9) + 1
+    parts = min(n, parts)
+    edges = [n * i // parts for i in range(parts + 1)]
+    return list(zip(edges, (b - a for a, b in zip(edges, edges[1:]))))
+
+
 def _best(overlap: Column) -> Column:
     """Most equal tokens in a window of ``overlap`` tokens of the array ``same`` (0 or 1 per token), and where it starts."""
     starts = F.sequence(F.lit(0), F.size("same") - overlap)
@@ -51,20 +64,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, share
 
     ``docs`` (doc_id, text), ``benchmark`` (item_id, text); other columns are ignored. Up to
     ``broadcast_rows`` seeds of the benchmark, each with the stretch of its item that a comparison
-    needs, are broadcast after they have been counted; beyond, Spark joins them by a shuffle. Items of fewer tokens than the shortest mask have no seed and match nothing;
-    texts that are null, empty or without letters and digits match nothing. Documents that stand
+    needs, are broadcast after they have been counted; beyond, Spark joins them by a shuffle. Items of
+    fewer tokens than ``overlap`` match where that share of all their tokens is equal, but items of
+    one or two tokens match nothing; texts that are null, empty or without letters and digits match nothing. Documents that stand
     twice under one doc_id give one row; a null doc_id or item_id is kept.
     """
     folder = new_folder(docs.sparkSession, "decontam")
     reach, after = overlap - 1, overlap + max(map(len, masks))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), token_hashes(F.col("text")).alias("item"))
     lead = F.least("at", F.lit(reach))
-    seeds = _windows(items, "item_id", "item", masks).select("seed", "item_id", F.col("at").alias("item_at"), lead.alias("lead"), F.size("item").alias("n_item"), F.slice("item", F.col("at") - lead + 1, lead + after).alias("item"))
+    long = _windows(items.where(F.size("item") >= overlap), "item_id", "item", masks)
+    parts = {n: short_parts(n, share) for n in range(LEAST, overlap)}
+    lengths = sorted({r.n for r in items.where(F.size("item").between(LEAST, overlap - 1)).select(F.size("item").alias("n")).distinct().collect()})
+    plain = tuple("1" * k for k in sorted({k for n in lengths for _, k in parts[n]}))
+    at_length = F.lit(None).cast("array<struct<at:int,seed:bigint>>")
+    for n in lengths:
+        own = F.array(*(F.struct(F.lit(a).cast("int").alias("at"), _seed("1" * k, "item", F.lit(a)).alias("seed")) for a, k in parts[n]))
+        at_length = F.when(F.size("item") == n, own).otherwise(at_length)
+    short = items.where(F.size("item").between(LEAST, overlap - 1)).select("item_id", "item", F.inline(at_length)).select("item_id", "item", "at", "seed")
+    seeds = long.unionByName(short).select("seed", "item_id", F.col("at").alias("item_at"), lead.alias("lead"), F.size("item").alias("n_item"), F.slice("item", F.col("at") - lead + 1, lead + after).alias("item"))
     seeds = written(seeds.distinct(), folder, "seeds")
     small = seeds.limit(broadcast_rows + 1).count() <= broadcast_rows
     bounded = F.broadcast if small else (lambda x: x)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_hashes(F.col("text")).alias("tokens"))
-    hits = _windows(given, "doc_id", "tokens", masks).join(bounded(seeds), "seed")
+    hits = _windows(given, "doc_id", "tokens", (*masks, *plain)).join(bounded(seeds), "seed")
     back = F.least("at", "lead")
     # written, so that the comparison below stays out of the join, which then runs as compiled code over all windows
     side = written(hits.select(
