@@ -45,6 +45,30 @@ def test_hashes_are_those_of_the_words():
     assert (K.unmix(K.mix(x)) == x).all()
 
 
+def test_hashes_of_patterned_words_differ():
+    import pyarrow as pa
+
+    word = "a"
+    for _ in range(12):  # a polynomial modulo 2**64 gives this word and its complement the same hash
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    (_, _, data, offsets), = K.chunks(pa.array([f"{word} {other} {word}"]))
+    h, _ = K.words(data, offsets)
+    assert h[0] == h[2] != h[1]
+    tokens = np.array([ord(c) for c in word], np.uint64), np.array([ord(c) for c in other], np.uint64)
+    assert K.rolling(tokens[0], len(word)) != K.rolling(tokens[1], len(word))
+
+
+def test_windows_have_the_hash_of_their_words():
+    g = np.random.default_rng(3)
+    few = g.integers(0, 3, 4000).astype(np.uint64)
+    for n in (1, 2, 5, 8, 13):
+        seen = {}
+        for i, h in enumerate(K.rolling(few, n)):
+            assert seen.setdefault(tuple(few[i : i + n]), h) == h
+        assert len(set(seen.values())) == len(seen) and i == len(few) - n
+
+
 # 10
 
 

@@ -21,9 +21,8 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True  # the white space of the word pattern [^\
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32  # A-Z only
 
-_BASE = 0x9E3779B97F4A7C15
-OTHER_BASE = 0xBF58476D1CE4E5B9
-_powers: dict[int, np.ndarray] = {}
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)  # the lowest i bytes
+OTHER_SEED = 0xBF58476D1CE4E5B9
 
 
 def tidied(run):
@@ -60,19 +59,7 @@ def unmix(x: np.ndarray) -> np.ndarray:
 
 def multipliers(n: int, seed: int) -> np.ndarray:
     """``n`` odd 64-bit numbers, the same for the same seed everywhere."""
-    return mix(np.arange(1, n + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed)) | U(1)
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept per process."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, CHUNK // 4), base, dtype=U)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if n <= 4 * CHUNK:
-            _powers[base] = have
-    return have[:n]
+    return mix(np.arange(1, n + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed & 0xFFFFFFFFFFFFFFFF)) | U(1)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -118,13 +105,37 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, equal for equal bytes wherever they stand; another ``base`` gives another hash."""
-    n = len(data)
-    total = np.zeros(n + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * powers(base, n), out=total[1:])
-    there = (total[ends] - total[starts]) * powers(pow(base, -1, 1 << 64), n + 1)[starts]
-    return mix(there + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, equal for equal bytes wherever they stand; another ``seed`` gives another hash.
+
+    Each eight bytes of a span (fewer at its end) are mixed with a key that belongs to their place in
+    it; the mixed numbers are added up and mixed with the length. Nothing in it is a polynomial of the
+    bytes, so no pattern of letters makes hashes of long words meet.
+    """
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    more = np.maximum(size - 1, 0) >> 3  # eights after the first
+    keys = multipliers(int(more.max(initial=0)) + 1, seed + 0x2545F4914F6CDD1D)
+    total = mix((eight[starts] & _MASKS[np.minimum(size, 8)]) + keys[0])
+    long = np.flatnonzero(more)
+    if len(long):
+        more = more[long]
+        first = np.cumsum(more) - more
+        place = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        value = eight[np.repeat(starts[long], more) + 8 * place] & _MASKS[np.minimum(np.repeat(size[long], more) - 8 * place, 8)]
+        total[long] += np.add.reduceat(mix(value + keys[place]), first)
+    return mix(total + size.astype(U) * U(0xD6E8FEB86659FD93))
+
+
+def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every window of ``n`` hashes, by windows of doubling width mixed in pairs (the last pair may overlap)."""
+    out, width = mix(hashes + U(n)), 1
+    while width < n:
+        step = min(width, n - width)
+        out = mix(out[: len(out) - step] * U(0x9E3779B97F4A7C15 + 2 * width) + out[step:])
+        width += step
+    return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -34,9 +34,8 @@ def fingerprints(hashes, offsets, gram: int, run: int):
     none = np.zeros(0, np.int64)
     if n < run:
         return none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    total, back = sums(hashes)
-    m = n - gram + 1
-    grams = K.mix((total[gram:] - total[:m]) * back[:m])
+    grams, whole = K.rolling(hashes, gram), K.rolling(hashes, run)
+    m = len(grams)
     # index of the smallest hash of each window, by windows of doubling width; the later of equals
     best, width = np.arange(m), 1
     while width < wide:
@@ -52,20 +51,11 @@ def fingerprints(hashes, offsets, gram: int, run: int):
     first = np.flatnonzero(np.concatenate([[True], picked[1:] != picked[:-1]]))
     size, begin = np.diff(np.append(first, len(windows))), windows[first]
     of = text[begin]
-    blocks = K.mix((total[begin + size + run - 1] - total[begin]) * back[begin] + size.astype(np.uint64) * np.uint64(K.OTHER_BASE))
+    # the first and the last window of a block overlap or touch: together they are all its words
+    blocks = K.mix(whole[begin] * np.uint64(K.OTHER_SEED) + whole[begin + size - 1] + size.astype(np.uint64))
     return of, begin - offsets[of], size, grams[picked[first]], blocks
 
 
-def sums(hashes):
-    """Running sums of word hashes times powers, and the factors that make differences of them independent of their place."""
-    import numpy as np
-
-    from tidemark.llm import kernels as K
-
-    base, n = 0xD6E8FEB86659FD93, len(hashes)
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * K.powers(base, n), dtype=np.uint64)]), K.powers(pow(base, -1, 1 << 64), n)
-
-
 def marks(docs: DataFrame, gram: int, run: int) -> DataFrame:
     """(doc_id, tag, n_words, at, size, mark, block): per row its blocks; tag is the text's checksum."""
     kinds = {"at": "int32", "size": "int32", "mark": "int64", "block": "int64"}
@@ -133,13 +123,13 @@ def _windows(rows: DataFrame, run: int) -> DataFrame:
             of = blocks.offsets.to_numpy().astype(np.int64)
             begin, size, mark = (blocks.values.field(c).to_numpy() for c in ("at", "size", "mark"))
             for i, j in K.runs(at, K.CHUNK // 4):
-                total, back = sums(K.mix(data[at[i] : at[j]].view(np.uint32).astype(np.uint64) + np.uint64(K.OTHER_BASE)))
+                whole = K.rolling(data[at[i] : at[j]].view(np.uint32).astype(np.uint64), run)
                 part = slice(of[i], of[j])
                 row = np.repeat(np.repeat(np.arange(i, j), np.diff(of[i : j + 1])), size[part])
                 inside = np.arange(len(row)) - np.repeat(np.cumsum(size[part]) - size[part], size[part])
                 place = np.repeat(begin[part], size[part]) + inside
                 lie = place + at[row] - at[i]
-                window = K.mix((total[lie + run] - total[lie]) * back[lie]).view(np.int64)
+                window = whole[lie].view(np.int64)
                 index = pa.array(row)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(index), batch.column("tag").take(index), pa.array(place.astype(np.int32)), pa.array(np.repeat(mark[part], size[part])), pa.array(window)], ["doc_id", "tag", "at", "mark", "window"])
 

@@ -225,7 +225,7 @@ class WordEncoder:
         heads[at[:-1][np.diff(at) > 0]] = True  # the first word of each text has no space before it
         mark = np.where(heads, np.uint64(0x5851F42D4C957F2D), np.uint64(0))
         keys = K.span_hashes(data, starts, ends) ^ mark
-        checks = (K.span_hashes(data, starts, ends, K.OTHER_BASE) >> np.uint64(32)).astype(np.uint32)
+        checks = (K.span_hashes(data, starts, ends, K.OTHER_SEED) >> np.uint64(32)).astype(np.uint32)
         first, back = np.unique(keys, return_index=True, return_inverse=True)[1:]
         u_keys, u_checks = keys[first], checks[first]
         place, length = self._find(u_keys, u_checks)
