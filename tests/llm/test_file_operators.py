@@ -124,47 +124,54 @@ def test_token_files_of_nothing(nothing):
 # 7
 
 
-def plain_model(token_lists):
-    uni, bi = Counter(), Counter()
+def plain_model(token_lists, order):
+    """Counts of single tokens and p(context, token), by the formulas, with tuples as n-grams."""
+    uni, counts = Counter(), {m: Counter() for m in range(1, order + 1)}
     for w in token_lists:
         uni.update(w)
-        bi.update(zip(["<s>", *w[:-1]], w))
-    ctx, cont = defaultdict(lambda: [0, 0, 0, 0]), Counter()
-    for (a, b), n in bi.items():
-        ctx[a][0] += n
-        ctx[a][min(n, 3)] += 1
-        cont[b] += 1
-    count = lambda c: [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
-    d, e = [0, *kneser_ney.discounts(*count(bi))], [0, *kneser_ney.discounts(*count(cont))]
-    total = sum(cont.values())
-    even = sum(e[min(n, 3)] for n in cont.values()) / total / (len(uni) + 1)
-
-    def p(a, b):
-        low = max(cont[b] - e[min(cont[b], 3)], 0) / total + even
-        if a not in ctx:
+        row = ["<s>"] * (order - 1) + w
+        counts[order].update(tuple(row[i : i + order]) for i in range(len(w)))
+    for m in range(order, 1, -1):
+        for g, n in counts[m].items():
+            counts[m - 1][g[1:]] += n if g[1] == "<s>" else 1
+    d, ctx = {}, {m: defaultdict(lambda: [0, 0, 0, 0]) for m in counts}
+    for m, c in counts.items():
+        d[m] = [0, *kneser_ney.discounts(*(sum(v == k for v in c.values()) for k in (1, 2, 3, 4)))]
+        for g, n in c.items():
+            ctx[m][g[:-1]][0] += n
+            ctx[m][g[:-1]][min(n, 3)] += 1
+
+    def p(context, token, m=order):
+        context = tuple(context)[len(context) - m + 1 :]
+        low = p(context[1:], token, m - 1) if m > 1 else 1 / (len(uni) + 1)
+        if context not in ctx[m]:
             return low
-        x, n = ctx[a], bi[a, b]
-        return max(n - d[min(n, 3)], 0) / x[0] + sum(d[k] * x[k] for k in (1, 2, 3)) / x[0] * low
+        x, n = ctx[m][context], counts[m][(*context, token)]
+        return max(n - d[m][min(n, 3)], 0) / x[0] + sum(d[m][k] * x[k] for k in (1, 2, 3)) / x[0] * low
 
     return uni, p
 
 
-def test_language_model(spark, corpus):
-    more = spark.createDataFrame([(600 + i, prose(80 + i, 150, 60).upper(), "en", "a", 0) for i in range(30)], corpus.schema)
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model(spark, corpus, order):
+    more = spark.createDataFrame([(600 + i, prose(80 + i, 150, 20).upper(), "en", "a", 0) for i in range(30)], corpus.schema)
     docs = corpus.unionByName(more).withColumn("score", F.lit(0))
     held = F.coalesce(F.col("doc_id") % 5 == 0, F.lit(False))
     tokens = lambda t: [*(w for w in WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))), None]
-    uni, p = plain_model([tokens(r.text) for r in docs.where(~held).collect()])
+    uni, p = plain_model([tokens(r.text) for r in docs.where(~held).collect()], order)
     n, v = sum(uni.values()), len(uni)
-    model = kneser_ney.train(docs.where(~held), per_shard=64)
-    assert (model.total, model.distinct) == (n, v) and model.bigram_bits > 1
+    model = kneser_ney.train(docs.where(~held), order, per_shard=64)
+    assert (model.total, model.distinct) == (n, v) and model.bits > 1
     for r in kneser_ney.score(docs, model).collect():
         w = tokens(r.text)
+        row = ["<s>"] * (order - 1) + w
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(x in uni for x in w), n)
         assert r.base_score == pytest.approx(sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w))
-        assert r.score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w[:-1]], w)))
-    some = ["w1x", "w2x", None, "<s>"]
-    assert all(sum(p(a, b) for b in uni) + p(a, "never seen") == pytest.approx(1) for a in some)
+        assert r.score == pytest.approx(sum(math.log10(p(row[i : i + order - 1], x)) for i, x in enumerate(w)))
+    some = [["w1x", "w2x", "w3x"], ["w3x", "w1x", None], ["<s>", "<s>", "<s>"], ["<s>", "<s>", "w1x"], ["never seen", "w1x", "w2x"]]
+    for context in some:
+        context = context[4 - order :]
+        assert sum(p(context, b) for b in uni) + p(context, "never seen") == pytest.approx(1)
 
 
 def test_language_model_of_nothing(nothing, corpus):

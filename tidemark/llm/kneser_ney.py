@@ -1,38 +1,46 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, stored as sorted hash arrays, memory-mapped for scoring.
-
-Tokens are the words of a text with A-Z lower-cased, then one end token. Training makes, in a
-folder that all executors reach:
-
-- ``words``: the sorted 64-bit hashes of all training tokens. A token's rank there is its id.
-- ``counts``, ``keep``, ``cont``: by id, the token's count, the weight that its contexts leave to
-  the lower order, divided by the context's total, and the lower-order probability.
-- ``bigrams-<shard>``: the sorted, mixed keys of all bigrams (context id, id) in a shard, and
-  ``bigram-counts-<shard>``; the top bits of the mixed key are the shard.
-
-p(w | v) = max(c(vw) - D(c), 0) / c(v.) + keep(v) * p(w), with discounts D1, D2, D3+ from the
-numbers of bigrams seen once to four times; p(w) is built alike from the number of different
-contexts of w, interpolated with a uniform share for all tokens and one unseen. Contexts that
-training has not seen leave everything to the lower order. The context of a text's first token is
-a start mark.
-
-The counting shuffles partial counts by shard, so a frequent bigram or word is summed before it
-moves, and no task holds more than a shard.
+"""Interpolated modified Kneser-Ney model of order n: counted in Spark, stored as sorted hash arrays, memory-mapped for scoring.
+
+Tokens are the words of a text with A-Z lower-cased, then one end token; before each text stand
+``order - 1`` start marks. Training makes, in a folder that all executors reach:
+
+- ``words-<shard>``, ``times-<shard>``: the sorted 64-bit hashes of the training tokens and their
+  counts. A token's rank among all of them is its id.
+- for each length m of n-grams and each shard (the top bits of an n-gram's 64-bit key): ``edges``,
+  where each of 2**14 buckets (the next bits) begins; ``rest``, the next 32 bits of the keys, in
+  order; and, alongside, ``count`` (how often the n-gram stands for m = order, else the number of
+  different tokens before it; for one that begins with a start mark, which nothing precedes, how
+  often it stands) and, for it as a context, ``total`` (the counts of what follows it) and ``ones``,
+  ``twos``, ``more`` (how many different tokens follow it once, twice, and more often).
+
+p(w | v) = max(c(vw) - D(c), 0) / total(v) + (D1 ones + D2 twos + D3 more) / total(v) * p(w | v without
+its first token); discounts of each length come from the numbers of n-grams with counts of one to
+four; single tokens are interpolated with a uniform share for all tokens and one unseen. A context
+that training has not seen leaves everything to the lower order.
+
+Counting is one chain of shuffles, one per length. What moves is blobs: the n-grams of one shard
+that a task has summed, as packed columns. Summed before they move, spread by their own hash, a
+frequent n-gram or context burdens no task, and a task holds one shard. ``per_shard`` is the number
+of tokens per shard: raise it with the corpus, so that shards stay fewer than files should be.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.kernels import tidied
-from tidemark.llm.scratch import new_folder, open_folder, written
+from tidemark.llm.scratch import new_folder, open_folder
 
 END = 0x27220A0F5C1DDE11  # hash of the end token: no bytes stand for it
-HELD = 1 << 21  # distinct keys a task sums before it hands them on
-SLICE = 1 << 18  # ids in a slice of the arrays by id
+PORTION = 1 << 21  # tokens a task sums before it hands their n-grams on
+BUCKET_BITS = 14
+UNKNOWN = 0xFFFFFFFF  # id of tokens that training has not seen
+VALUES = ("count", "total", "ones", "twos", "more")
+BLOBS = "shard int, n long, data binary"
+SPREAD = 1024  # groups that sums of shards travel in
 
 
 def tokens(data, offsets) -> tuple[np.ndarray, np.ndarray]:
@@ -43,140 +51,197 @@ def tokens(data, offsets) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(hashes, at[1:], np.uint64(END)), at + np.arange(len(at))
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
+def key_of(ids: list[np.ndarray]) -> np.ndarray:
+    """64-bit keys of n-grams given as columns of ids; those of one or two tokens are all different."""
+    from tidemark.llm import kernels as K
+
+    wide = [x.astype(np.uint64) for x in ids]
+    key = K.mix(wide[0] + np.uint64(1)) if len(wide) == 1 else K.mix(wide[0] << np.uint64(32) | wide[1])
+    for x in wide[2:]:
+        key = K.mix(key + x * np.uint64(0x9E3779B97F4A7C15))
+    return key
+
+
+def _top(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of unsigned numbers, the first in order, as compressed planes of bytes."""
+    import zstandard
+
+    first = np.diff(columns[0], prepend=columns[0].dtype.type(0))
+    planes = (np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in (first, *columns[1:]))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def _unpack(blob: bytes, n: int, kinds: list) -> list[np.ndarray]:
+    import zstandard
+
+    raw, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8), 0, []
+    for kind in kinds:
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(kind)[:, 0] if n else np.zeros(0, kind))
+        at += n * size
+    out[0] = np.cumsum(out[0], dtype=out[0].dtype)
+    return out
 
 
-def _partial(batches, keys_of, bits: int):
-    """Sum keys over a task's texts, by portions of up to about HELD distinct keys: shard, key, n."""
+def _blobs(shard: np.ndarray, columns: list[np.ndarray]):
+    """(shard, n, blob) of each shard; rows are put in order of the first column."""
+    order = np.lexsort((columns[0], shard))
+    shard = shard[order]
+    edges = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
+    columns = [c[order] for c in columns]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(shard[a]), int(b - a), _pack([c[a:b] for c in columns])
+
+
+def _batch(rows):
     import pyarrow as pa
 
+    shard, n, data = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], ["shard", "n", "data"])
+
+
+def _grouped(keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Sorted different keys, a row of each, and the sums of the values of each."""
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
+    return keys[order[first]], order[first], [np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values]
+
+
+def _counted(batches, columns_of, bits: int):
+    """Blobs of the counts of n-grams (key, columns from ``columns_of``), portion by portion of a task's texts."""
     from tidemark.llm import kernels as K
 
-    def rows(keys, counts):
-        shard = (keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
-        for i in range(0, len(keys), 1 << 17):
-            part = slice(i, i + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(shard[part]), pa.array(keys[part].view(np.int64)), pa.array(counts[part])], ["shard", "key", "n"])
+    def summed():
+        keys, columns = np.concatenate([k for k, _ in held]), [np.concatenate(c) for c in zip(*(c for _, c in held), strict=True)]
+        keys, row, (n,) = _grouped(keys, [np.ones(len(keys), np.uint64)])
+        return _batch(list(_blobs(_top(keys, bits), [*(c[row] for c in columns), n])))
 
-    held, new, size = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
+    held, size = [], 0
     for batch in batches:
         for _, _, data, offsets in K.chunks(batch.column("text")):
-            new.append(keys_of(data, offsets))
-            size += len(new[-1])
-            if size >= HELD:
-                fresh, n = np.unique(np.concatenate(new), return_counts=True)
-                held = _summed(np.concatenate([held[0], fresh]), np.concatenate([held[1], n]))
-                new, size = [], 0
-                if len(held[0]) >= HELD:
-                    yield from rows(*held)
-                    held = (held[0][:0], held[1][:0])
-    if new:
-        fresh, n = np.unique(np.concatenate(new), return_counts=True)
-        held = _summed(np.concatenate([held[0], fresh]), np.concatenate([held[1], n]))
-    if len(held[0]):
-        yield from rows(*held)
-
-
-def _save(folder: str, name: str, **arrays) -> None:
+            held.append(columns_of(data, offsets))
+            size += len(held[-1][0])
+            if size >= PORTION:
+                yield summed()
+                held, size = [], 0
+    if size:
+        yield summed()
+
+
+def _save(folder: str, **arrays) -> None:
     """Arrays as raw files, moved into place when whole: a task that runs again leaves the same."""
     import uuid
 
     files, path = open_folder(folder)
     files.create_dir(path, recursive=True)
-    for key, array in arrays.items():
-        part = f"{path}/.{key}-{name}-{uuid.uuid4().hex}"
+    for name, array in arrays.items():
+        part = f"{path}/.{name}-{uuid.uuid4().hex}"
         with files.open_output_stream(part, compression=None) as out:
             out.write(np.ascontiguousarray(array).tobytes())
-        files.move(part, f"{path}/{key}-{name}")
+        files.move(part, f"{path}/{name}")
 
 
-_maps: dict[tuple[str, str], np.ndarray] = {}
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """The values in the smallest unsigned type that holds them all."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
 
 
-def _mapped(folder: str, name: str, dtype) -> np.ndarray:
-    """A file of the folder as a memory map; one that is not on a mounted file system is copied to this machine first."""
-    if (folder, name) not in _maps:
+@dataclass
+class Model:
+    folder: str
+    order: int
+    word_bits: int = 0
+    bits: int = 0  # of the shards of n-grams
+    word_starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # rank of each word shard's first
+    total: int = 0  # training tokens
+    distinct: int = 0
+    discounts: dict[int, tuple[float, ...]] = field(default_factory=dict)  # by length
+    single: int = 0  # the sum of the counts of single tokens
+    unseen: float = 0.0  # what a token gets that training has not seen
+
+    def opened(self, name: str, dtype) -> np.ndarray:
+        """A file of the folder as a memory map that lives as long as the array; where the folder is not on a mounted file system, its bytes."""
         import os
-        import tempfile
-        import zlib
 
         from pyarrow import fs
 
-        files, path = open_folder(folder)
-        path = f"{path}/{name}"
-        if not isinstance(files, fs.LocalFileSystem):
-            own = os.path.join(tempfile.gettempdir(), f"{zlib.crc32(folder.encode())}-{name}")
-            if not os.path.exists(own):
-                fs.copy_files(path, own + ".part", source_filesystem=files, destination_filesystem=fs.LocalFileSystem())
-                os.replace(own + ".part", own)
-            path = own
-        _maps[folder, name] = np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
-    return _maps[folder, name]
+        files, path = open_folder(self.folder)
+        if isinstance(files, fs.LocalFileSystem):
+            return np.memmap(f"{path}/{name}", dtype, "r") if os.path.getsize(f"{path}/{name}") else np.zeros(0, dtype)
+        with files.open_input_file(f"{path}/{name}") as f:
+            return np.frombuffer(f.read(), dtype)
 
-
-@dataclass
-class Model:
-    folder: str
-    word_bits: int
-    bigram_bits: int
-    word_starts: list[int]  # rank of each word shard's first
-    total: int  # training tokens
-    distinct: int
-    discounts: tuple[float, ...] = ()
-    unseen: float = 0.0
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Rank of each token, -1 for one that training has not seen."""
+    def words(self, hashes: np.ndarray, with_times: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each token (UNKNOWN for one that training has not seen) and, if asked for, its count."""
         known, back = np.unique(hashes, return_inverse=True)
-        out = np.full(len(known), -1, np.int64)
-        edges = np.searchsorted(known >> np.uint64(64 - self.word_bits) if self.word_bits else np.zeros(len(known), np.uint64), np.arange((1 << self.word_bits) + 1, dtype=np.uint64))
+        ids, times = np.full(len(known), UNKNOWN, np.uint32), np.zeros(len(known), np.int64)
+        edges = np.searchsorted(_top(known, self.word_bits), np.arange((1 << self.word_bits) + 1))
         for s in np.flatnonzero(np.diff(edges)):
-            have = _mapped(self.folder, f"words-{s}", np.uint64) if self.word_starts[s + 1] > self.word_starts[s] else None
-            if have is None:
+            if self.word_starts[s + 1] == self.word_starts[s]:
                 continue
-            part = known[edges[s] : edges[s + 1]]
-            at = np.minimum(np.searchsorted(have, part), len(have) - 1)
-            out[edges[s] : edges[s + 1]] = np.where(have[at] == part, at + self.word_starts[s], -1)
-        return out[back]
-
-    def by_id(self, name: str, ids: np.ndarray, dtype) -> np.ndarray:
-        """Values of an array by id, for ids that training has seen."""
-        out = np.zeros(len(ids), dtype)
-        order = np.argsort(ids, kind="stable")
-        edges = np.searchsorted(ids[order], np.arange(0, self.distinct + SLICE + 1, SLICE))
-        for s in np.flatnonzero(np.diff(edges)):
-            part = order[edges[s] : edges[s + 1]]
-            out[part] = _mapped(self.folder, f"{name}-{s}", dtype)[ids[part] - s * SLICE]
-        return out
+            part, have = slice(edges[s], edges[s + 1]), self.opened(f"words-{s}", np.uint64)
+            at = np.minimum(np.searchsorted(have, known[part]), len(have) - 1)
+            hit = have[at] == known[part]
+            ids[part] = np.where(hit, at + self.word_starts[s], UNKNOWN)
+            if with_times:
+                times[part] = np.where(hit, self.opened(f"times-{s}", np.int64)[at], 0)
+        return ids[back], times[back]
+
+    def columns_at(self, m: int, s: int) -> dict[str, np.ndarray] | None:
+        """The arrays of a shard of n-grams of length ``m``; None if it has none."""
+        from pyarrow import fs
 
-    def bigram_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of mixed bigram keys, 0 for those not seen."""
-        out = np.zeros(len(keys), np.int64)
+        files, path = open_folder(self.folder)
+        if files.get_file_info(f"{path}/kinds-{m}-{s}").type == fs.FileType.NotFound:
+            return None
+        kinds = self.opened(f"kinds-{m}-{s}", np.uint8)
+        names = VALUES if m < self.order else VALUES[:1]
+        return {"edges": self.opened(f"edges-{m}-{s}", np.uint32), "rest": self.opened(f"rest-{m}-{s}", np.uint32)} | {v: self.opened(f"{v}-{m}-{s}", f"<u{kinds[i]}") for i, v in enumerate(names)}
+
+    def found(self, ids: list[np.ndarray]) -> dict[str, np.ndarray]:
+        """The values of n-grams given as columns of ids, zeros for unknown ones; shard after shard, each unmapped after its use."""
+        m, keys = len(ids), key_of(ids)
+        bits = self.bits if m > 1 else self.word_bits
         order = np.argsort(keys)
-        ordered = keys[order]
-        edges = np.searchsorted(ordered >> np.uint64(64 - self.bigram_bits) if self.bigram_bits else np.zeros(len(keys), np.uint64), np.arange((1 << self.bigram_bits) + 1, dtype=np.uint64))
+        keys = keys[order]
+        edges = np.searchsorted(_top(keys, bits), np.arange((1 << bits) + 1))
+        out = {v: np.zeros(len(keys), np.int64) for v in (VALUES if m < self.order else VALUES[:1])}
         for s in np.flatnonzero(np.diff(edges)):
-            have = _mapped(self.folder, f"bigrams-{s}", np.uint64)
-            if not len(have):
+            have = self.columns_at(m, s)
+            if have is None:
                 continue
-            part = ordered[edges[s] : edges[s + 1]]
-            at = np.minimum(np.searchsorted(have, part), len(have) - 1)
-            out[order[edges[s] : edges[s + 1]]] = np.where(have[at] == part, _mapped(self.folder, f"bigram_counts-{s}", np.uint32)[at], 0)
+            bucket, want = _places(keys[edges[s] : edges[s + 1]], bits)
+            lo, end = have["edges"][bucket].astype(np.int64), have["edges"][bucket + 1].astype(np.int64)
+            hi = end.copy()
+            for _ in range(int((hi - lo).max()).bit_length()):
+                mid = (lo + hi) >> 1
+                less = have["rest"][np.minimum(mid, len(have["rest"]) - 1)] < want
+                go = lo < hi
+                lo, hi = np.where(go & less, mid + 1, lo), np.where(go & ~less, mid, hi)
+            lo = np.minimum(lo, len(have["rest"]) - 1)
+            hit = np.flatnonzero((lo < end) & (have["rest"][lo] == want))
+            for v, values in out.items():
+                values[order[edges[s] + hit]] = have[v][lo[hit]]
         return out
 
 
-def _bigram_keys(ids: np.ndarray, at: np.ndarray, start: int) -> np.ndarray:
-    """Mixed keys (context, token); the context of a text's first token is ``start``."""
-    from tidemark.llm import kernels as K
+def _places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and 32 bits after it of keys of one shard."""
+    below = keys << np.uint64(bits)
+    return (below >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), (below << np.uint64(BUCKET_BITS) >> np.uint64(32)).astype(np.uint32)
+
 
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[at[:-1]] = start
-    return K.mix((before.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64))
+def padded(hashes_or_ids: np.ndarray, at: np.ndarray, marks: int, mark) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens with ``marks`` start marks before each text, and the places of the tokens proper."""
+    n, rows = len(hashes_or_ids), len(at) - 1
+    place = np.arange(n) + marks * (np.repeat(np.arange(rows), np.diff(at)) + 1)
+    out = np.full(n + marks * rows, mark, hashes_or_ids.dtype)
+    out[place] = hashes_or_ids
+    return out, place
 
 
 def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
@@ -188,94 +253,133 @@ def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float,
     return tuple(min(max(x, 0.0), k) for k, x in enumerate(d, 1))
 
 
-def _bits(rows: int, per_shard: int) -> int:
-    return max(0, math.ceil(math.log2(max(rows, 1) / per_shard)))
+def _discount(count: np.ndarray, d: tuple[float, ...]) -> np.ndarray:
+    return np.choose(np.minimum(count, 3), [0.0, *d])
 
 
-def train(texts: DataFrame, per_shard: int = 1 << 20) -> Model:
+def _stored(level: int, order: int, folder: str, bits: int, next_bits: int, mark: int):
+    """A function for applyInArrow: stores one shard of n-grams of length ``level`` and hands on those of the length below."""
+
+    def run(key, table):
+        import pyarrow as pa
+
+        shard, sizes, data = key[0].as_py(), table.column("n").to_pylist(), table.column("data").to_pylist()
+        if shard < 0:  # sums of shards, by length
+            sums = {}
+            for m, raw in zip(sizes, data, strict=True):
+                sums[m] = sums.get(m, 0) + np.frombuffer(raw, np.int64)
+            return pa.Table.from_batches([_batch([(shard, m, v.tobytes()) for m, v in sums.items()])])
+        values = VALUES if level < order else VALUES[:1]
+        kinds = [np.uint32] * level + [np.uint64] * len(values)
+        columns = [np.concatenate(c) for c in zip(*(_unpack(d, n, kinds) for n, d in zip(sizes, data, strict=True)), strict=True)]
+        ids, sums = columns[:level], columns[level:]
+        keys, row, sums = _grouped(key_of(ids), sums)
+        ids, count = [c[row] for c in ids], sums[0]
+        bucket, rest = _places(keys, bits)
+        arrays = {v: _narrow(s) for v, s in zip(values, sums, strict=True)}
+        _save(folder, **{f"edges-{level}-{shard}": np.searchsorted(bucket, np.arange((1 << BUCKET_BITS) + 1)).astype(np.uint32), f"rest-{level}-{shard}": rest}, **{f"{v}-{level}-{shard}": a for v, a in arrays.items()}, **{f"kinds-{level}-{shard}": np.array([a.itemsize for a in arrays.values()], np.uint8)})
+        told = np.array([(count == 1).sum(), (count == 2).sum(), (count == 3).sum(), (count == 4).sum(), (count > 2).sum(), count.sum()], np.int64)
+        out = [(-1 - shard % SPREAD, level, told.tobytes())]
+        if level > 1:
+            some = np.flatnonzero(count)  # n-grams of start marks alone are contexts only
+            ids, count = [c[some] for c in ids], count[some]
+            tops = [(count == 1).astype(np.uint64), (count == 2).astype(np.uint64), (count > 2).astype(np.uint64)]
+            left, at, stats = _grouped(key_of(ids[:-1]), [count, *tops])
+            none = np.zeros(len(some), np.uint64)
+            given = np.where(ids[1] == mark, count, np.uint64(1)) if level > 2 else np.ones(len(some), np.uint64)
+            right, to, (given,) = _grouped(key_of(ids[1:]), [given])
+            lower = [np.concatenate([a[at], b[to]]) for a, b in zip(ids[:-1], ids[1:], strict=True)]
+            rows = [*lower, np.concatenate([none[: len(left)], given]), *(np.concatenate([s, none[: len(right)]]) for s in stats)]
+            out += _blobs(_top(np.concatenate([left, right]), next_bits), rows)
+        return pa.Table.from_batches([_batch(out)])
+
+    return run
+
+
+def train(texts: DataFrame, order: int = 3, per_shard: int = 1 << 20) -> Model:
     """Count ``texts`` (a column text; null counts as empty) and store the model in a new shared folder.
 
-    Fails for over 2**32 - 2 different tokens. ``per_shard`` is the number of keys aimed at per file.
+    ``order`` is the longest n-gram, two at least. Repeated rows count as often as they stand; texts
+    may have any length. Fails for over 2**32 - 2 different tokens. ``per_shard`` is the number of
+    tokens aimed at per shard. No text gives a model without tokens.
     """
     spark, folder = texts.sparkSession, new_folder(texts.sparkSession, "kneser-ney")
+    if order < 2:
+        raise ValueError("order is two at least")
     given = texts.select(F.coalesce("text", F.lit("")).alias("text"))
-    schema = "shard int, key long, n long"
-
-    # the vocabulary
-    counted = given.mapInArrow(tidied(lambda b: _partial(b, lambda d, o: tokens(d, o)[0], 0)), schema).groupBy("key").agg(F.sum("n").alias("n"))
-    counted = written(counted, folder, "vocabulary")
-    word_bits = _bits(counted.count(), per_shard >> 2)
-    shard = F.shiftrightunsigned("key", 64 - word_bits).cast("int") if word_bits else F.lit(0)
+    size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits_for = lambda n: max(0, math.ceil(math.log2(max(size / 6, 1) / n)))  # noqa: E731  some six bytes per token
+    model = Model(folder, order, bits_for(per_shard << 3), bits_for(per_shard))
 
     def store_words(key, table):
         import pyarrow as pa
 
-        keys, counts = _summed(table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy())
         shard = key[0].as_py()
-        _save(folder, str(shard), words=keys, raw_counts=counts)
-        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64())})
-
-    sizes = {r.shard: (r.n, r.total) for r in counted.withColumn("shard", shard).groupBy("shard").applyInArrow(store_words, "shard int, n long, total long").collect()}
-    starts = np.concatenate([[0], np.cumsum([sizes.get(s, (0, 0))[0] for s in range(1 << word_bits)])]).tolist()
-    model = Model(folder, word_bits, 0, starts, sum(t for _, t in sizes.values()), starts[-1])
-    if model.distinct >= 1 << 32:
+        columns = [np.concatenate(c) for c in zip(*(_unpack(d, n, [np.uint64, np.uint64]) for n, d in zip(table.column("n").to_pylist(), table.column("data").to_pylist(), strict=True)), strict=True)]
+        keys, _, (times,) = _grouped(columns[0], columns[1:])
+        _save(folder, **{f"words-{shard}": keys, f"times-{shard}": times.astype(np.int64)})
+        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "total": pa.array([int(times.sum())], pa.int64())})
+
+    def hashed(data, offsets):
+        hashes, _ = tokens(data, offsets)
+        return hashes, [hashes]
+
+    word_bits = model.word_bits
+    sizes = {r.shard: (r.n, r.total) for r in given.mapInArrow(tidied(lambda b: _counted(b, hashed, word_bits)), BLOBS).groupBy("shard").applyInArrow(store_words, "shard int, n long, total long").collect()}  # a row per shard
+    model.word_starts = np.concatenate([[0], np.cumsum([sizes.get(s, (0, 0))[0] for s in range(1 << word_bits)])]).astype(np.int64)
+    model.total, model.distinct = sum(t for _, t in sizes.values()), int(model.word_starts[-1])
+    if model.distinct >= UNKNOWN - 1:
         raise ValueError("over 2**32 - 2 different tokens")
     if not model.total:
         return model
-    mark = model.distinct  # id of the start mark
-
-    # bigrams
-    model.bigram_bits = bits = min(20, _bits(model.total, per_shard))
+    mark, bits = model.distinct, model.bits  # id of the start mark
 
-    def bigram_keys(data, offsets):
+    def grams(data, offsets):
         hashes, at = tokens(data, offsets)
-        return _bigram_keys(model.ids(hashes), at, mark)
-
-    def store_bigrams(key, table):
-        import pyarrow as pa
-
-        from tidemark.llm import kernels as K
+        ids, place = padded(model.words(hashes)[0], at, order - 1, mark)
+        columns = [ids[place - i] for i in range(order - 1, -1, -1)]
+        return key_of(columns), columns
+
+    rows = given.mapInArrow(tidied(lambda b: _counted(b, grams, bits)), BLOBS)
+    for m in range(order, 0, -1):
+        rows = rows.groupBy("shard").applyInArrow(_stored(m, order, folder, bits if m > 1 else word_bits, bits if m > 2 else word_bits, mark), BLOBS)
+    told: dict[int, np.ndarray] = {}
+    for r in rows.where("shard < 0").select("n", "data").collect():  # a row per length and group of shards
+        told[r.n] = told.get(r.n, 0) + np.frombuffer(bytes(r.data), np.int64)
+    model.discounts = {m: discounts(*t[:4].tolist()) for m, t in told.items()}
+    ones, twos, _, _, more, model.single = told[1].tolist()
+    d = model.discounts[1]
+    model.unseen = (d[0] * ones + d[1] * twos + d[2] * more) / model.single / (model.distinct + 1)
+    return model
 
-        keys, counts = _summed(table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy())
-        _save(folder, str(key[0].as_py()), bigrams=keys, bigram_counts=np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
-        pair = K.unmix(keys)
-        context, word = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        seen, at = np.unique(np.concatenate([context, word]), return_inverse=True)
-        c, w = at[: len(context)], at[len(context) :]
-        n = len(seen)
-        by = {"n1": np.bincount(c[counts == 1], minlength=n), "n2": np.bincount(c[counts == 2], minlength=n), "n3": np.bincount(c[counts > 2], minlength=n), "n": np.bincount(c, counts, n).astype(np.int64), "cont": np.bincount(w, minlength=n)}
-        # counts of counts ride on a row of their own
-        extra = {"n1": (counts == 1).sum(), "n2": (counts == 2).sum(), "n3": (counts == 3).sum(), "n": (counts == 4).sum(), "cont": 0}
-        return pa.table({"id": pa.array(np.append(seen, -1), pa.int64())} | {k: pa.array(np.append(v, extra[k]).astype(np.int64)) for k, v in by.items()})
-
-    stats = "id long, n1 long, n2 long, n3 long, n long, cont long"
-    per_id = given.mapInArrow(tidied(lambda b: _partial(b, bigram_keys, bits)), schema).groupBy("shard").applyInArrow(store_bigrams, stats)
-    sums = [F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n", "cont")]
-    per_id = written(per_id.groupBy("id").agg(*sums), folder, "per-id")
-    row = per_id.where("id = -1").first()
-    d = model.discounts = discounts(row.n1, row.n2, row.n3, row.n)
-    of = per_id.where("id >= 0").agg(*(F.count_if(F.col("cont") == k).alias(f"c{k}") for k in (1, 2, 3, 4)), F.count_if(F.col("cont") > 2).alias("more"), F.sum("cont").alias("all")).first()
-    e = discounts(of.c1, of.c2, of.c3, of.c4)
-    model.unseen = (e[0] * of.c1 + e[1] * of.c2 + e[2] * of.more) / of["all"] / (model.distinct + 1)
-
-    # arrays by id
-    def store_slices(key, table):
-        import pyarrow as pa
 
-        s = key[0].as_py()
-        size = min(SLICE, mark + 1 - s * SLICE)
-        at = table.column("id").to_numpy() - s * SLICE
-        n1, n2, n3, n, cont = (table.column(c).to_numpy() for c in ("n1", "n2", "n3", "n", "cont"))
-        keep, total, lower = np.ones(size), np.zeros(size), np.full(size, model.unseen)
-        keep[at] = np.where(n > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / np.maximum(n, 1), 1.0)
-        total[at] = n
-        lower[at] = np.maximum(cont - np.choose(np.minimum(cont, 3), [0.0, *e]), 0) / of["all"] + model.unseen
-        _save(folder, str(s), keep=keep, context=total, cont=lower)
-        return pa.table({"slice": pa.array([s], pa.int32())})
-
-    slices = per_id.where("id >= 0").withColumn("slice", F.floor(F.col("id") / SLICE).cast("int"))
-    slices.groupBy("slice").applyInArrow(store_slices, "slice int").collect()  # a row per slice of ids
-    return model
+def _logs(model: Model, data, offsets):
+    """(offsets, known, base, full) of the tokens of texts."""
+    hashes, at = tokens(data, offsets)
+    n, v, order = model.total, model.distinct, model.order
+    if not n:
+        even = np.zeros(len(hashes))
+        return at, np.zeros(len(hashes), bool), even, even
+    ids, times = model.words(hashes, with_times=True)
+    base = np.log10((times + 1) / (n + 1 * (v + 1)))
+    ids, place = padded(ids, at, order - 1, v)
+    p = np.full(len(place), model.unseen)
+    before = None  # values of the n-grams that end one place earlier
+    for m in range(1, order + 1):
+        # a window for every token, and for m < order for the mark before a text's first
+        ends = np.unique(np.concatenate([place, place - 1])) if m < order else place
+        now = model.found([ids[ends - i] for i in range(m - 1, -1, -1)])
+        count = now["count"][np.searchsorted(ends, place)]
+        if m == 1:
+            p += np.maximum(count - _discount(count, model.discounts[1]), 0) / model.single
+        else:
+            d, total = model.discounts[m], before["total"]
+            keep = d[0] * before["ones"] + d[1] * before["twos"] + d[2] * before["more"]
+            p = np.where(total > 0, (np.maximum(count - _discount(count, d), 0) + keep * p) / np.maximum(total, 1), p)
+        if m < order:
+            left = np.searchsorted(ends, place - 1)
+            before = {k: x[left] for k, x in now.items()}
+    return at, times > 0, base, np.log10(p)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -283,38 +387,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     ``score`` is the log10 probability of the text's tokens, ``base_score`` that of add-one unigram
     counts, ``n_known`` the tokens that training has seen; columns of these names are replaced. A
-    null text has its end token alone. A model of no text gives every token the same share.
+    null text has its end token alone. A model of no text gives every token the same share. Every
+    row is scored by itself, repeated ones too, over its whole text.
     """
     names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     keep = [c for c in docs.columns if c not in names]
     given = docs.select(*keep)
 
-    def logs(data, offsets):
-        hashes, at = tokens(data, offsets)
-        n, v = model.total, model.distinct
-        if not n:
-            even = np.zeros(len(hashes))
-            return at, np.zeros(len(hashes), bool), even, even
-        ids = model.ids(hashes)
-        known = ids >= 0
-        counts = np.zeros(len(ids), np.int64)
-        lower = np.full(len(ids), model.unseen)
-        seen = np.unique(ids[known], return_inverse=True)
-        counts[known] = _raw_counts(model, seen[0])[seen[1]]
-        lower[known] = model.by_id("cont", seen[0], np.float64)[seen[1]]
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[at[:-1]] = v
-        of = np.unique(before[before >= 0], return_inverse=True)
-        keep_, total = np.ones(len(ids)), np.zeros(len(ids))
-        keep_[before >= 0] = model.by_id("keep", of[0], np.float64)[of[1]]
-        total[before >= 0] = model.by_id("context", of[0], np.float64)[of[1]]
-        both = np.flatnonzero(known & (before >= 0))
-        c = np.zeros(len(ids), np.int64)
-        c[both] = model.bigram_counts(_mix_pair(before[both], ids[both]))
-        higher = np.maximum(c - np.choose(np.minimum(c, 3), [0.0, *model.discounts]), 0) / np.maximum(total, 1)
-        return at, known, np.log10((counts + 1) / (n + 1 * (v + 1))), np.log10(higher + keep_ * lower)
-
     def run(batches):
         import pyarrow as pa
 
@@ -323,25 +402,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
             for _, _, data, offsets in K.chunks(batch.column("text"), 4 * K.CHUNK):
-                at, known, base, full = logs(data, offsets)
+                at, known, base, full = _logs(model, data, offsets)
                 parts.append((np.diff(at), np.add.reduceat(known.astype(np.int64), at[:-1]), np.add.reduceat(base, at[:-1]), np.add.reduceat(full, at[:-1])))
             n, k, b, s = (np.concatenate(x) for x in zip(*parts, strict=True))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(k), pa.array(np.full(len(n), model.total, np.int64)), pa.array(b), pa.array(s)], [*keep, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema)
     return given.mapInArrow(tidied(run), f"{fields}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _raw_counts(model: Model, ids: np.ndarray) -> np.ndarray:
-    """Training counts of sorted ids."""
-    out = np.zeros(len(ids), np.int64)
-    edges = np.searchsorted(ids, model.word_starts)
-    for s in np.flatnonzero(np.diff(edges)):
-        out[edges[s] : edges[s + 1]] = _mapped(model.folder, f"raw_counts-{s}", np.int64)[ids[edges[s] : edges[s + 1]] - model.word_starts[s]]
-    return out
-
-
-def _mix_pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    from tidemark.llm import kernels as K
-
-    return K.mix((context.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64))

@@ -57,7 +57,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(fold(7) == 2, F.lit(False)))
-    model = kneser_ney.train(docs.where("not held_out"))
+    model = kneser_ney.train(docs.where("not held_out"), order=3)
     return kneser_ney.score(docs, model).drop("text")
 
 
