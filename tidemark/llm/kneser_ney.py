@@ -3,14 +3,16 @@
 Tokens are the words of a text with A-Z lower-cased, then one end token; before each text stand
 ``order - 1`` start marks. Training makes, in a folder that all executors reach:
 
-- ``words-<shard>``, ``times-<shard>``: the sorted 64-bit hashes of the training tokens and their
-  counts. A token's rank among all of them is its id.
+- ``words-<shard>``, ``times-<shard>``, ``ranks-<shard>``: the sorted 64-bit hashes of the training
+  tokens, their counts, and their places by falling count. Place and shard make a token's id, so
+  frequent tokens have small ids, which pack well.
 - for each length m of n-grams and each shard (the top bits of an n-gram's 64-bit key): ``edges``,
   where each of 2**14 buckets (the next bits) begins; ``rest``, the next 32 bits of the keys, in
-  order; and, alongside, ``count`` (how often the n-gram stands for m = order, else the number of
-  different tokens before it; for one that begins with a start mark, which nothing precedes, how
-  often it stands) and, for it as a context, ``total`` (the counts of what follows it) and ``ones``,
-  ``twos``, ``more`` (how many different tokens follow it once, twice, and more often).
+  order; and, alongside, ``small``, a byte for each value, with those over 254 in ``over``. Values:
+  ``count`` (how often the n-gram stands for m = order, else the number of different tokens before
+  it; for one that begins with a start mark, which nothing precedes, how often it stands) and, for
+  it as a context, ``total`` (the counts of what follows it) and ``ones``, ``twos``, ``more`` (how
+  many different tokens follow it once, twice, and more often).
 
 p(w | v) = max(c(vw) - D(c), 0) / total(v) + (D1 ones + D2 twos + D3 more) / total(v) * p(w | v without
 its first token); discounts of each length come from the numbers of n-grams with counts of one to
@@ -71,32 +73,22 @@ def _pack(columns: list[np.ndarray]) -> bytes:
     import zstandard
 
     first = np.diff(columns[0], prepend=columns[0].dtype.type(0))
-    planes = (np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in (first, *columns[1:]))
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    narrow = [c.astype(np.min_scalar_type(int(c.max(initial=0)))) for c in (first, *columns[1:])]
+    planes = (c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in narrow)
+    return bytes(c.itemsize for c in narrow) + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
 def _unpack(blob: bytes, n: int, kinds: list) -> list[np.ndarray]:
     import zstandard
 
-    raw, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8), 0, []
-    for kind in kinds:
-        size = np.dtype(kind).itemsize
-        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(kind)[:, 0] if n else np.zeros(0, kind))
+    raw, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[len(kinds) :]), np.uint8), 0, []
+    for size, kind in zip(blob, kinds):
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(f"<u{size}")[:, 0].astype(kind))
         at += n * size
     out[0] = np.cumsum(out[0], dtype=out[0].dtype)
     return out
 
 
-def _blobs(shard: np.ndarray, columns: list[np.ndarray]):
-    """(shard, n, blob) of each shard; rows are put in order of the first column."""
-    order = np.lexsort((columns[0], shard))
-    shard = shard[order]
-    edges = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
-    columns = [c[order] for c in columns]
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        yield int(shard[a]), int(b - a), _pack([c[a:b] for c in columns])
-
-
 def _batch(rows):
     import pyarrow as pa
 
@@ -104,21 +96,50 @@ def _batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], ["shard", "n", "data"])
 
 
-def _grouped(keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Sorted different keys, a row of each, and the sums of the values of each."""
-    order = np.argsort(keys, kind="stable")
-    first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
-    return keys[order[first]], order[first], [np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values]
+def _firsts(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    new = np.ones(len(sorted_columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in sorted_columns])
+    return np.flatnonzero(new)
+
+
+def _added(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, first) if len(first) else values[:0]
+
 
+def _blobs(columns: list[np.ndarray], values: list[np.ndarray], bits: int, wide: int):
+    """(shard, n, blob): different rows of ``columns`` (ids of ``wide`` bits, or hashes) and the sums of their values, shard by shard.
 
-def _counted(batches, columns_of, bits: int):
-    """Blobs of the counts of n-grams (key, columns from ``columns_of``), portion by portion of a task's texts."""
+    One sort, by shard, as many columns as fit 64 bits, and bits of the key: equal rows come together
+    (those that a clash keeps apart are added up where they arrive).
+    """
+    keys = key_of(columns) if wide < 64 else columns[0]
+    shard, fit = _top(keys, bits), min(len(columns), (64 - bits) // wide)
+    mixed = keys
+    if wide < 64:
+        mixed = shard.astype(np.uint64)
+        for c in columns[:fit]:
+            mixed = mixed << np.uint64(wide) | c.astype(np.uint64)
+        spare = 64 - bits - fit * wide
+        if spare:
+            mixed = mixed << np.uint64(spare) | keys & np.uint64((1 << spare) - 1)
+    order = np.argsort(mixed)
+    columns = [c[order] for c in columns]
+    first = _firsts(*columns)
+    columns, values, shard = [c[first] for c in columns], [_added(v[order], first) for v in values], shard[order[first]]
+    edges = np.append(_firsts(shard), len(shard))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(shard[a]), int(b - a), _pack([c[a:b] for c in (*columns, *values)])
+
+
+def _counted(batches, columns_of, bits: int, wide: int):
+    """Blobs of the counts of what ``columns_of`` finds in texts, portion by portion of a task's texts."""
     from tidemark.llm import kernels as K
 
     def summed():
-        keys, columns = np.concatenate([k for k, _ in held]), [np.concatenate(c) for c in zip(*(c for _, c in held), strict=True)]
-        keys, row, (n,) = _grouped(keys, [np.ones(len(keys), np.uint64)])
-        return _batch(list(_blobs(_top(keys, bits), [*(c[row] for c in columns), n])))
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        return _batch(list(_blobs(columns, [np.ones(len(columns[0]), np.uint32)], bits, wide)))
 
     held, size = [], 0
     for batch in batches:
@@ -145,18 +166,14 @@ def _save(folder: str, **arrays) -> None:
         files.move(part, f"{path}/{name}")
 
 
-def _narrow(values: np.ndarray) -> np.ndarray:
-    """The values in the smallest unsigned type that holds them all."""
-    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
-
-
 @dataclass
 class Model:
     folder: str
     order: int
     word_bits: int = 0
     bits: int = 0  # of the shards of n-grams
-    word_starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # rank of each word shard's first
+    word_sizes: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # tokens per word shard
+    mark: int = 0  # id of the start mark, over those of all tokens
     total: int = 0  # training tokens
     distinct: int = 0
     discounts: dict[int, tuple[float, ...]] = field(default_factory=dict)  # by length
@@ -176,57 +193,54 @@ class Model:
             return np.frombuffer(f.read(), dtype)
 
     def words(self, hashes: np.ndarray, with_times: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Rank of each token (UNKNOWN for one that training has not seen) and, if asked for, its count."""
+        """Id of each token (UNKNOWN for one that training has not seen) and, if asked for, its count."""
         known, back = np.unique(hashes, return_inverse=True)
         ids, times = np.full(len(known), UNKNOWN, np.uint32), np.zeros(len(known), np.int64)
         edges = np.searchsorted(_top(known, self.word_bits), np.arange((1 << self.word_bits) + 1))
         for s in np.flatnonzero(np.diff(edges)):
-            if self.word_starts[s + 1] == self.word_starts[s]:
+            if not self.word_sizes[s]:
                 continue
             part, have = slice(edges[s], edges[s + 1]), self.opened(f"words-{s}", np.uint64)
             at = np.minimum(np.searchsorted(have, known[part]), len(have) - 1)
             hit = have[at] == known[part]
-            ids[part] = np.where(hit, at + self.word_starts[s], UNKNOWN)
+            ids[part] = np.where(hit, (self.opened(f"ranks-{s}", np.uint32)[at].astype(np.int64) << self.word_bits) + s, UNKNOWN)
             if with_times:
                 times[part] = np.where(hit, self.opened(f"times-{s}", np.int64)[at], 0)
         return ids[back], times[back]
 
-    def columns_at(self, m: int, s: int) -> dict[str, np.ndarray] | None:
-        """The arrays of a shard of n-grams of length ``m``; None if it has none."""
+    def found(self, ids: list[np.ndarray]) -> dict[str, np.ndarray]:
+        """The values of n-grams given as columns of ids, zeros for unknown ones; shard after shard, each unmapped after its use."""
         from pyarrow import fs
 
         files, path = open_folder(self.folder)
-        if files.get_file_info(f"{path}/kinds-{m}-{s}").type == fs.FileType.NotFound:
-            return None
-        kinds = self.opened(f"kinds-{m}-{s}", np.uint8)
-        names = VALUES if m < self.order else VALUES[:1]
-        return {"edges": self.opened(f"edges-{m}-{s}", np.uint32), "rest": self.opened(f"rest-{m}-{s}", np.uint32)} | {v: self.opened(f"{v}-{m}-{s}", f"<u{kinds[i]}") for i, v in enumerate(names)}
-
-    def found(self, ids: list[np.ndarray]) -> dict[str, np.ndarray]:
-        """The values of n-grams given as columns of ids, zeros for unknown ones; shard after shard, each unmapped after its use."""
         m, keys = len(ids), key_of(ids)
         bits = self.bits if m > 1 else self.word_bits
         order = np.argsort(keys)
         keys = keys[order]
         edges = np.searchsorted(_top(keys, bits), np.arange((1 << bits) + 1))
-        out = {v: np.zeros(len(keys), np.int64) for v in (VALUES if m < self.order else VALUES[:1])}
+        names = VALUES if m < self.order else VALUES[:1]
+        out = np.zeros((len(keys), len(names)), np.int64)
         for s in np.flatnonzero(np.diff(edges)):
-            have = self.columns_at(m, s)
-            if have is None:
-                continue
+            if files.get_file_info(f"{path}/rest-{m}-{s}").type == fs.FileType.NotFound:
+                continue  # no n-gram fell into this shard
+            begin, rest = self.opened(f"edges-{m}-{s}", np.uint32), self.opened(f"rest-{m}-{s}", np.uint32)
             bucket, want = _places(keys[edges[s] : edges[s + 1]], bits)
-            lo, end = have["edges"][bucket].astype(np.int64), have["edges"][bucket + 1].astype(np.int64)
+            lo, end = begin[bucket].astype(np.int64), begin[bucket + 1].astype(np.int64)
             hi = end.copy()
             for _ in range(int((hi - lo).max()).bit_length()):
                 mid = (lo + hi) >> 1
-                less = have["rest"][np.minimum(mid, len(have["rest"]) - 1)] < want
+                less = rest[np.minimum(mid, len(rest) - 1)] < want
                 go = lo < hi
                 lo, hi = np.where(go & less, mid + 1, lo), np.where(go & ~less, mid, hi)
-            lo = np.minimum(lo, len(have["rest"]) - 1)
-            hit = np.flatnonzero((lo < end) & (have["rest"][lo] == want))
-            for v, values in out.items():
-                values[order[edges[s] + hit]] = have[v][lo[hit]]
-        return out
+            lo = np.minimum(lo, len(rest) - 1)
+            hit = np.flatnonzero((lo < end) & (rest[lo] == want))
+            values = self.opened(f"small-{m}-{s}", np.uint8).reshape(-1, len(names))[lo[hit]].astype(np.int64)
+            large = np.nonzero(values == 255)
+            if len(large[0]):
+                over = self.opened(f"over-{m}-{s}", np.int64).reshape(2, -1)
+                values[large] = over[1][np.searchsorted(over[0], lo[hit][large[0]] * len(names) + large[1])]
+            out[order[edges[s] + hit]] = values
+        return dict(zip(names, out.T, strict=True))
 
 
 def _places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -257,8 +271,11 @@ def _discount(count: np.ndarray, d: tuple[float, ...]) -> np.ndarray:
     return np.choose(np.minimum(count, 3), [0.0, *d])
 
 
-def _stored(level: int, order: int, folder: str, bits: int, next_bits: int, mark: int):
+def _stored(level: int, model: Model):
     """A function for applyInArrow: stores one shard of n-grams of length ``level`` and hands on those of the length below."""
+    bits_of = lambda m: model.bits if m > 1 else model.word_bits
+    folder, mark, wide = model.folder, model.mark, model.mark.bit_length()
+    names = VALUES if level < model.order else VALUES[:1]
 
     def run(key, table):
         import pyarrow as pa
@@ -269,28 +286,32 @@ def _stored(level: int, order: int, folder: str, bits: int, next_bits: int, mark
             for m, raw in zip(sizes, data, strict=True):
                 sums[m] = sums.get(m, 0) + np.frombuffer(raw, np.int64)
             return pa.Table.from_batches([_batch([(shard, m, v.tobytes()) for m, v in sums.items()])])
-        values = VALUES if level < order else VALUES[:1]
-        kinds = [np.uint32] * level + [np.uint64] * len(values)
+        kinds = [np.uint32] * level + [np.uint64] * len(names)
         columns = [np.concatenate(c) for c in zip(*(_unpack(d, n, kinds) for n, d in zip(sizes, data, strict=True)), strict=True)]
-        ids, sums = columns[:level], columns[level:]
-        keys, row, sums = _grouped(key_of(ids), sums)
-        ids, count = [c[row] for c in ids], sums[0]
-        bucket, rest = _places(keys, bits)
-        arrays = {v: _narrow(s) for v, s in zip(values, sums, strict=True)}
-        _save(folder, **{f"edges-{level}-{shard}": np.searchsorted(bucket, np.arange((1 << BUCKET_BITS) + 1)).astype(np.uint32), f"rest-{level}-{shard}": rest}, **{f"{v}-{level}-{shard}": a for v, a in arrays.items()}, **{f"kinds-{level}-{shard}": np.array([a.itemsize for a in arrays.values()], np.uint8)})
-        told = np.array([(count == 1).sum(), (count == 2).sum(), (count == 3).sum(), (count == 4).sum(), (count > 2).sum(), count.sum()], np.int64)
+        keys = key_of(columns[:level])
+        order = np.argsort(keys)
+        first = _firsts(keys[order])
+        keys, ids, values = keys[order[first]], [c[order[first]] for c in columns[:level]], np.stack([_added(c[order], first) for c in columns[level:]], 1)
+        bucket, rest = _places(keys, bits_of(level))
+        large = np.flatnonzero(values.ravel() > 254)
+        _save(folder, **{
+            f"edges-{level}-{shard}": np.searchsorted(bucket, np.arange((1 << BUCKET_BITS) + 1)).astype(np.uint32),
+            f"small-{level}-{shard}": np.minimum(values, 255).astype(np.uint8),
+            f"over-{level}-{shard}": np.stack([large, values.ravel()[large].astype(np.int64)]),
+            f"rest-{level}-{shard}": rest,
+        })
+        count = values[:, 0]
+        tops = [count == 1, count == 2, count > 2]
+        told = np.array([*(t.sum() for t in tops[:2]), (count == 3).sum(), (count == 4).sum(), tops[2].sum(), count.sum()], np.int64)
         out = [(-1 - shard % SPREAD, level, told.tobytes())]
         if level > 1:
             some = np.flatnonzero(count)  # n-grams of start marks alone are contexts only
-            ids, count = [c[some] for c in ids], count[some]
-            tops = [(count == 1).astype(np.uint64), (count == 2).astype(np.uint64), (count > 2).astype(np.uint64)]
-            left, at, stats = _grouped(key_of(ids[:-1]), [count, *tops])
-            none = np.zeros(len(some), np.uint64)
+            ids, count, none = [c[some] for c in ids], count[some], np.zeros(len(some), np.uint64)
             given = np.where(ids[1] == mark, count, np.uint64(1)) if level > 2 else np.ones(len(some), np.uint64)
-            right, to, (given,) = _grouped(key_of(ids[1:]), [given])
-            lower = [np.concatenate([a[at], b[to]]) for a, b in zip(ids[:-1], ids[1:], strict=True)]
-            rows = [*lower, np.concatenate([none[: len(left)], given]), *(np.concatenate([s, none[: len(right)]]) for s in stats)]
-            out += _blobs(_top(np.concatenate([left, right]), next_bits), rows)
+            # each n-gram tells its context about its count, and the n-gram without its first token of one more token before it
+            lower = [np.concatenate(pair) for pair in zip(ids[:-1], ids[1:], strict=True)]
+            stats = [np.concatenate(pair) for pair in ((none, given), (count, none), *((t[some].astype(np.uint64), none) for t in tops))]
+            out += _blobs(lower, stats, bits_of(level - 1), wide)
         return pa.Table.from_batches([_batch(out)])
 
     return run
@@ -315,34 +336,35 @@ def train(texts: DataFrame, order: int = 3, per_shard: int = 1 << 20) -> Model:
         import pyarrow as pa
 
         shard = key[0].as_py()
-        columns = [np.concatenate(c) for c in zip(*(_unpack(d, n, [np.uint64, np.uint64]) for n, d in zip(table.column("n").to_pylist(), table.column("data").to_pylist(), strict=True)), strict=True)]
-        keys, _, (times,) = _grouped(columns[0], columns[1:])
-        _save(folder, **{f"words-{shard}": keys, f"times-{shard}": times.astype(np.int64)})
+        keys, times = (np.concatenate(c) for c in zip(*(_unpack(d, n, [np.uint64, np.int64]) for n, d in zip(table.column("n").to_pylist(), table.column("data").to_pylist(), strict=True)), strict=True))
+        order = np.argsort(keys)
+        first = _firsts(keys[order])
+        keys, times = keys[order[first]], _added(times[order], first)
+        ranks = np.empty(len(keys), np.uint32)
+        ranks[np.lexsort((keys, -times))] = np.arange(len(keys), dtype=np.uint32)
+        _save(folder, **{f"words-{shard}": keys, f"times-{shard}": times, f"ranks-{shard}": ranks})
         return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "total": pa.array([int(times.sum())], pa.int64())})
 
-    def hashed(data, offsets):
-        hashes, _ = tokens(data, offsets)
-        return hashes, [hashes]
-
     word_bits = model.word_bits
-    sizes = {r.shard: (r.n, r.total) for r in given.mapInArrow(tidied(lambda b: _counted(b, hashed, word_bits)), BLOBS).groupBy("shard").applyInArrow(store_words, "shard int, n long, total long").collect()}  # a row per shard
-    model.word_starts = np.concatenate([[0], np.cumsum([sizes.get(s, (0, 0))[0] for s in range(1 << word_bits)])]).astype(np.int64)
-    model.total, model.distinct = sum(t for _, t in sizes.values()), int(model.word_starts[-1])
-    if model.distinct >= UNKNOWN - 1:
-        raise ValueError("over 2**32 - 2 different tokens")
+    counted = given.mapInArrow(tidied(lambda b: _counted(b, lambda d, o: [tokens(d, o)[0]], word_bits, 64)), BLOBS)
+    sizes = {r.shard: (r.n, r.total) for r in counted.groupBy("shard").applyInArrow(store_words, "shard int, n long, total long").collect()}  # a row per shard
+    model.word_sizes = np.array([sizes.get(s, (0, 0))[0] for s in range(1 << word_bits)])
+    model.total, model.distinct = sum(t for _, t in sizes.values()), int(model.word_sizes.sum())
+    model.mark = int(model.word_sizes.max()) << word_bits
+    if model.mark >= UNKNOWN:
+        raise ValueError("over 2**32 - 2 ids of tokens")
     if not model.total:
         return model
-    mark, bits = model.distinct, model.bits  # id of the start mark
 
     def grams(data, offsets):
         hashes, at = tokens(data, offsets)
-        ids, place = padded(model.words(hashes)[0], at, order - 1, mark)
-        columns = [ids[place - i] for i in range(order - 1, -1, -1)]
-        return key_of(columns), columns
+        ids, place = padded(model.words(hashes)[0], at, order - 1, model.mark)
+        return [ids[place - i] for i in range(order - 1, -1, -1)]
 
-    rows = given.mapInArrow(tidied(lambda b: _counted(b, grams, bits)), BLOBS)
+    wide = model.mark.bit_length()
+    rows = given.mapInArrow(tidied(lambda b: _counted(b, grams, model.bits, wide)), BLOBS)
     for m in range(order, 0, -1):
-        rows = rows.groupBy("shard").applyInArrow(_stored(m, order, folder, bits if m > 1 else word_bits, bits if m > 2 else word_bits, mark), BLOBS)
+        rows = rows.groupBy("shard").applyInArrow(_stored(m, model), BLOBS)
     told: dict[int, np.ndarray] = {}
     for r in rows.where("shard < 0").select("n", "data").collect():  # a row per length and group of shards
         told[r.n] = told.get(r.n, 0) + np.frombuffer(bytes(r.data), np.int64)
@@ -362,7 +384,7 @@ def _logs(model: Model, data, offsets):
         return at, np.zeros(len(hashes), bool), even, even
     ids, times = model.words(hashes, with_times=True)
     base = np.log10((times + 1) / (n + 1 * (v + 1)))
-    ids, place = padded(ids, at, order - 1, v)
+    ids, place = padded(ids, at, order - 1, model.mark)
     p = np.full(len(place), model.unseen)
     before = None  # values of the n-grams that end one place earlier
     for m in range(1, order + 1):
