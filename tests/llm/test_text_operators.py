@@ -3,7 +3,7 @@
 import itertools
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -121,6 +121,28 @@ def test_near_duplicates(spark, corpus, block):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_classes(rows)
 
 
+def test_one_row_of_each_class_stays(spark):
+    a, b, near = prose(1, 90), prose(2, 90), prose(1, 90).split()
+    near[40] = "changed"
+    rows = [(5, a, "x"), (5, a, "y"), (7, b, "x"), (7, a, "x"), (None, a, "x"), (None, prose(3, 90), "x"), (None, prose(3, 90), "x"), (8, " ".join(near), "x"), (9, None, "x"), (10, "", "x"), (None, prose(4, 60), "x")]
+    got = minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, rep string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(5, a), (7, b), (None, prose(3, 90)), (9, None), (None, prose(4, 60))], key=str)
+
+
+def test_planted_pairs_are_found(spark):
+    """Pairs of texts at 0.8 to 0.85: nine in ten at least, by comparing all pairs."""
+    g, rows = np.random.default_rng(5), []
+    for i in range(300):
+        base = prose(1000 + i, 150, 5000).split()
+        other = list(base)
+        for at in g.choice(140, 3, replace=False):
+            other[at] = "other"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    at_least = [i for i in range(300) if len(grams(rows[2 * i][1]) & grams(rows[2 * i + 1][1])) >= 0.8 * len(grams(rows[2 * i][1]) | grams(rows[2 * i + 1][1]))]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(at_least) > 100 and sum(got[2 * i + 1] == 2 * i for i in at_least) >= 0.99 * len(at_least)
+
+
 def test_near_duplicates_of_nothing(nothing):
     assert minhash.near_duplicates(nothing).collect() == []
 
@@ -234,9 +256,9 @@ def test_decontamination(spark, corpus):
         207: prose(53, 30_000) + ", ".join(["", *long]),
     }
     docs = corpus.select("doc_id", "text").unionByName(spark.createDataFrame(list(planted.items()), "doc_id long, text string")).withColumn("tokens", F.lit(0))
-    want = {(200, 0, 13), (201, 0, 11), (202, 1, 13), (203, 2, 9), (207, 0, 13)}
+    want = {(200, 0, 13), (201, 0, 11), (202, 1, 13), (203, 2, 9), (206, 3, 2), (207, 0, 13)}
     for limit in (2_000_000, 3):  # broadcast, and by a shuffle
-        got = decontam.contaminated(docs, bench, broadcast_rows=limit).collect()
+        got = decontam.contaminated(docs, bench, broadcast_bytes=limit).collect()
         assert {(r.doc_id, r.item_id, r.n_equal) for r in got} - {(205, 0, 12)} == want
     kept = {r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()}
     assert kept >= {0, 5, 6, 204, 206, None} and not kept & {200, 201, 202, 203, 207}
@@ -265,6 +287,20 @@ def test_short_items_are_found(spark):
     assert {(r.doc_id, r.item_id, r.n_equal) for r in got} == want
 
 
+def test_only_texts_with_items_go(spark):
+    item, clean = prose(1, 20), prose(2, 50)
+    rows = [(None, clean), (None, f"{clean} {item}"), (3, clean), (3, f"{item} {clean}"), (4, f"{item} {clean}"), (5, None)]
+    kept = decontam.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(None, clean), (3, clean), (5, None)], key=str)
+
+
+def test_the_shortest_items_match_themselves_alone(spark):
+    docs = spark.createDataFrame([(1, "Alpha, beta! gamma"), (2, "beta alpha"), (3, "delta")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "alpha beta"), (2, "delta"), (3, ""), (4, "gamma delta")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()) == [(1, 1), (3, 2)]
+    assert decontam.contaminated(docs, items, least=3).count() == 0
+
+
 def test_decontamination_of_nothing(spark, corpus, nothing):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminated(corpus, empty).collect() == []
@@ -390,15 +426,31 @@ def test_mix(spark, corpus):
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs, block=16).documents.collect()))
 
 
+def test_dealing_in_groups_uses_up_the_quotas(spark):
+    quotas = np.array([100_000, 0, 37, 40_000])
+    for most in (4, 1 << 18):
+        rows = mixing.dealt(spark, quotas, 1000, 3, most).collect()
+        assert max(r.shard for r in rows) == 140 and sorted(rows) == sorted(mixing.dealt(spark, quotas, 1000, 3, most).collect())
+        for s, q in enumerate(quotas):
+            own = sorted((r["first"], r.n) for r in rows if r.source_no == s)
+            assert sum(n for _, n in own) == q and all(a + n == b for (a, n), (b, _) in zip(own, own[1:]))
+        sizes = Counter()
+        for r in rows:
+            sizes[r.shard] += r.n
+        assert sorted(sizes.values())[1:] == [1000] * 140
+
+
 def test_taken_texts_hold_the_words_taken(spark, corpus):
-    docs = corpus.dropDuplicates(["doc_id", "text"]).withColumn("n_chars", F.length("text"))
-    m = mixing.mix(docs, block=16)
-    taken = {r.doc_id: r.taken for r in m.documents.collect()}
-    got = Counter()
-    texts = {r.doc_id: words(r.text) for r in docs.collect()}
+    docs = corpus.unionByName(corpus).withColumn("n_chars", F.length("text"))  # every row twice or more
+    m = mixing.mix(docs, block=16, bucket_rows=3)
+    taken, got, texts = Counter(), Counter(), defaultdict(set)
+    for r in m.documents.collect():
+        taken[r.doc_id, r.source] += r.taken
+    for r in docs.collect():
+        texts[r.doc_id] |= set(words(r.text))
     for r in mixing.taken_texts(docs, m).collect():
-        got[r.doc_id] += len(words(r.text))
-        assert r.n_chars == len(r.text) and set(words(r.text)) <= set(texts[r.doc_id])
+        got[r.doc_id, r.source] += len(words(r.text))
+        assert r.n_chars == len(r.text) and set(words(r.text)) <= texts[r.doc_id]
     assert {k: v for k, v in taken.items() if v} == dict(got)
 
 

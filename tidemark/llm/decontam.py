@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.llm.scratch import new_folder, written
 
 MASKS = ("11101011", "110100111")
-LEAST = 3  # tokens of an item; fewer are too common to tell anything
 
 
 def token_hashes(text: Column) -> Column:
@@ -59,39 +58,46 @@ def _best(overlap: Column) -> Column:
     return F.array_max(scored)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, share: float = 0.8, masks: tuple[str, ...] = MASKS, broadcast_rows: int = 2_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, share: float = 0.8, masks: tuple[str, ...] = MASKS, broadcast_bytes: int = 1 << 25, least: int = 1) -> DataFrame:
     """(doc_id, item_id, n_equal, n_compared, doc_token, item_token): the best overlap of every document with every item it holds.
 
-    ``docs`` (doc_id, text), ``benchmark`` (item_id, text); other columns are ignored. Up to
-    ``broadcast_rows`` seeds of the benchmark, each with the stretch of its item that a comparison
-    needs, are broadcast after they have been counted; beyond, Spark joins them by a shuffle. Items of
-    fewer tokens than ``overlap`` match where that share of all their tokens is equal, but items of
-    one or two tokens match nothing; texts that are null, empty or without letters and digits match nothing. Documents that stand
-    twice under one doc_id give one row; a null doc_id or item_id is kept.
+    ``docs`` (doc_id, text), ``benchmark`` (item_id, text); other columns are ignored. Seeds of the
+    benchmark, each with the stretch of its item that a comparison needs, are broadcast if all of
+    them together have up to ``broadcast_bytes``; beyond, Spark joins them by a shuffle. Items of fewer
+    tokens than ``overlap`` match where that share of all their tokens is equal, so an item of one
+    to four tokens matches itself alone; ``least`` leaves out items with fewer tokens. Texts that are
+    null, empty or without letters and digits match nothing; texts may have any length. Documents
+    that stand twice under one doc_id give one row; a null doc_id or item_id is kept. An empty table
+    on either side gives an empty table.
     """
-    folder = new_folder(docs.sparkSession, "decontam")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_hashes(F.col("text")).alias("tokens"))
+    return _found(given, "doc_id", benchmark, overlap, share, masks, broadcast_bytes, least)
+
+
+def _found(given: DataFrame, key: str, benchmark: DataFrame, overlap: int, share: float, masks: tuple[str, ...], broadcast_bytes: int, least: int) -> DataFrame:
+    """As :func:`contaminated`, for rows (``key``, tokens)."""
+    folder = new_folder(given.sparkSession, "decontam")
     reach, after = overlap - 1, overlap + max(map(len, masks))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), token_hashes(F.col("text")).alias("item"))
     lead = F.least("at", F.lit(reach))
     long = _windows(items.where(F.size("item") >= overlap), "item_id", "item", masks)
-    parts = {n: short_parts(n, share) for n in range(LEAST, overlap)}
-    lengths = sorted({r.n for r in items.where(F.size("item").between(LEAST, overlap - 1)).select(F.size("item").alias("n")).distinct().collect()})
+    parts = {n: short_parts(n, share) for n in range(least, overlap)}
+    lengths = sorted({r.n for r in items.where(F.size("item").between(least, overlap - 1)).select(F.size("item").alias("n")).distinct().collect()})
     plain = tuple("1" * k for k in sorted({k for n in lengths for _, k in parts[n]}))
     at_length = F.lit(None).cast("array<struct<at:int,seed:bigint>>")
     for n in lengths:
         own = F.array(*(F.struct(F.lit(a).cast("int").alias("at"), _seed("1" * k, "item", F.lit(a)).alias("seed")) for a, k in parts[n]))
         at_length = F.when(F.size("item") == n, own).otherwise(at_length)
-    short = items.where(F.size("item").between(LEAST, overlap - 1)).select("item_id", "item", F.inline(at_length)).select("item_id", "item", "at", "seed")
+    short = items.where(F.size("item").between(least, overlap - 1)).select("item_id", "item", F.inline(at_length)).select("item_id", "item", "at", "seed")
     seeds = long.unionByName(short).select("seed", "item_id", F.col("at").alias("item_at"), lead.alias("lead"), F.size("item").alias("n_item"), F.slice("item", F.col("at") - lead + 1, lead + after).alias("item"))
     seeds = written(seeds.distinct(), folder, "seeds")
-    small = seeds.limit(broadcast_rows + 1).count() <= broadcast_rows
+    small = seeds.count() * (8 * (reach + after) + 64) <= broadcast_bytes
     bounded = F.broadcast if small else (lambda x: x)
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_hashes(F.col("text")).alias("tokens"))
-    hits = _windows(given, "doc_id", "tokens", (*masks, *plain)).join(bounded(seeds), "seed")
+    hits = _windows(given, key, "tokens", (*masks, *plain)).join(bounded(seeds), "seed")
     back = F.least("at", "lead")
     # written, so that the comparison below stays out of the join, which then runs as compiled code over all windows
     side = written(hits.select(
-        "doc_id", "item_id", "n_item", (F.col("at") - back).alias("doc_from"), (F.col("item_at") - back).alias("item_from"),
+        key, "item_id", "n_item", (F.col("at") - back).alias("doc_from"), (F.col("item_at") - back).alias("item_from"),
         F.slice("tokens", F.col("at") - back + 1, back + after).alias("mine"),
         F.slice("item", F.col("lead") - back + 1, back + after).alias("theirs"),
     ), folder, "hits")
@@ -101,11 +107,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, share
     scored = side.where(F.size("same") >= wide).withColumn("wide", wide).withColumn("best", _best(F.col("wide")))
     good = scored.where(F.col("best.equal") >= F.ceil(F.col("wide") * share - 1e-9))
     place = F.struct(F.col("best.equal").alias("n_equal"), F.col("wide").alias("n_compared"), (-(F.col("doc_from") - F.col("best.back"))).alias("d"), (-(F.col("item_from") - F.col("best.back"))).alias("i"))
-    top = good.groupBy("doc_id", "item_id").agg(F.max(place).alias("p"))
-    return top.select("doc_id", "item_id", F.col("p.n_equal").cast("long").alias("n_equal"), F.col("p.n_compared").cast("long").alias("n_compared"), (-F.col("p.d")).cast("long").alias("doc_token"), (-F.col("p.i")).cast("long").alias("item_token"))
+    top = good.groupBy(key, "item_id").agg(F.max(place).alias("p"))
+    return top.select(key, "item_id", F.col("p.n_equal").cast("long").alias("n_equal"), F.col("p.n_compared").cast("long").alias("n_compared"), (-F.col("p.d")).cast("long").alias("doc_token"), (-F.col("p.i")).cast("long").alias("item_token"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` whose doc_id has no contaminated text; all columns."""
-    found = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, share: float = 0.8, masks: tuple[str, ...] = MASKS, broadcast_bytes: int = 1 << 25, least: int = 1) -> DataFrame:
+    """The rows of ``docs`` whose own text holds no item; all columns. What else stands under a doc_id, null or not, plays no part."""
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    given = docs.select(digest.alias("__text"), token_hashes(F.col("text")).alias("tokens"))
+    bad = _found(given, "__text", benchmark, overlap, share, masks, broadcast_bytes, least).select("__text").distinct()
+    return docs.withColumn("__text", digest).join(bad, "__text", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -5,7 +5,7 @@ Words are runs of characters other than ASCII white space; a text's set holds it
 of their sets is at least ``threshold``.
 
 1. Equal texts form one class from the start (by 128-bit digest); only one of them goes on.
-2. Each text gets ``bands`` hashes of ``rows`` minima each; :func:`band_plan` chooses both for the
+2. Each different text gets ``bands`` hashes of ``rows`` minima each; :func:`band_plan` chooses both for the
    wanted recall. Texts that share a band hash are candidates. The shuffle on band hashes links
    each text to the smallest one of its bucket, so a bucket of any size gives a row per text.
 3. Candidates that hang together are compared on their full sets, in blocks of at most about
@@ -188,30 +188,24 @@ def _compared(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(tidied(run), "copy_key string, other string, links long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 128) -> DataFrame:
-    """(doc_id, class_id, n_links, n_copies) for every row of ``docs`` (doc_id, text; other columns are ignored).
-
-    ``class_id`` is the smallest doc_id among the documents that hang together by equal texts or
-    links; ``n_links`` the number of other, different texts linked to the document's text;
-    ``n_copies`` the number of rows with its very text. A null text counts as empty. Texts without
-    a word are linked only to equal texts. A row that stands twice is returned twice. A null doc_id
-    is kept and is the smallest only if it is the only one. An empty table gives an empty table.
-    """
+def _classes(docs: DataFrame, k: int, threshold: float, recall: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, copy_key) of every row, and of every different text (copy_key, rep, n_copies, n_links, root): rep is its smallest doc_id, root the text that its class is named by."""
     spark = docs.sparkSession
     folder = new_folder(spark, "minhash")
     bands, rows = band_plan(threshold, recall)
     docs = docs.select("doc_id", "text")
     sig = written(signatures(docs, k, bands, rows), folder, "signatures")
-    texts = sig.groupBy("copy_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("n_grams").alias("n_grams"))
+    # one row per different text goes on; copies are counted before they move
+    texts = written(sig.groupBy("copy_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")), folder, "texts")
     node = F.xxhash64("copy_key")  # of candidates only: a clash costs a comparison
-    banded = sig.select(node.alias("node"), F.explode("bands").alias("band"))
+    banded = texts.select(node.alias("node"), F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").select("band", "hub")
     near = banded.join(hubs, "band").where("node != hub").select("node", "hub").distinct()
     hang = written(components(near, f"{folder}/candidates"), folder, "hang")
 
     # blocks: by candidate group and class of set size, then by digest
     step = -math.log(threshold)
-    members = texts.where("n_grams > 0").withColumn("node", F.xxhash64("copy_key")).join(hang, "node")
+    members = texts.drop("bands").where("n_grams > 0").withColumn("node", F.xxhash64("copy_key")).join(hang, "node")
     members = members.select("copy_key", "rep", F.col("root").alias("hang"), F.floor(F.log("n_grams") / step + 1e-9).cast("int").alias("size_class"))
     members = written(members, folder, "members")
     counts = members.groupBy("hang", "size_class").count().groupBy("hang").agg(F.map_from_entries(F.collect_list(F.struct("size_class", F.ceil(F.col("count") / block).cast("int")))).alias("blocks"))
@@ -238,7 +232,42 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall:
 
     groups = components(found.where("other is not null").select("copy_key", "other"), f"{folder}/classes")
     links = found.groupBy("copy_key").agg(F.sum("links").alias("n_links"))
-    grouped = texts.join(groups.withColumnRenamed("node", "copy_key"), "copy_key", "left").join(links, "copy_key", "left").withColumn("root", F.coalesce("root", "copy_key"))
-    classes = grouped.groupBy("root").agg(F.min("rep").alias("class_id"))
-    labelled = grouped.join(classes, "root").select("copy_key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    return sig.select("doc_id", "copy_key").join(labelled, "copy_key").select("doc_id", "class_id", "n_links", "n_copies")
+    grouped = texts.drop("bands").join(groups.withColumnRenamed("node", "copy_key"), "copy_key", "left").join(links, "copy_key", "left")
+    return sig.select("doc_id", "copy_key"), grouped.select("copy_key", "rep", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "copy_key").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 128) -> DataFrame:
+    """(doc_id, class_id, n_links, n_copies) for every row of ``docs`` (doc_id, text; other columns are ignored).
+
+    ``class_id`` is the smallest doc_id among the documents that hang together by equal texts or
+    links; ``n_links`` the number of other, different texts linked to the document's text;
+    ``n_copies`` the number of rows with its very text. A null text counts as empty. Texts without
+    a word are linked only to equal texts. Texts may have any length. A row that stands twice is
+    returned twice. A null doc_id is kept and is the smallest only if it is the only one. An empty
+    table gives an empty table.
+    """
+    rows, texts = _classes(docs, k, threshold, recall, block)
+    names = texts.groupBy("root").agg(F.min("rep").alias("class_id"))
+    labelled = texts.join(names, "root").select("copy_key", "class_id", "n_links", "n_copies")
+    return rows.join(labelled, "copy_key").select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def _row_key(doc_id, copy_key):
+    """Of a document: its doc_id and text in 128 bits."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("-")), F.lit(":"), copy_key))
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 128) -> DataFrame:
+    """One row of ``docs`` (doc_id, text, any other columns) per class of :func:`near_duplicates`, all columns.
+
+    The row with the smallest doc_id stays (one with a null doc_id only where no other is), of
+    several texts under it the one with the smallest digest, and of rows equal in doc_id and text
+    one of them. So rows are told apart by doc_id and text together: other rows of the same doc_id
+    stay if they are the first of classes of their own.
+    """
+    _, texts = _classes(docs, k, threshold, recall, block)
+    first = F.min(F.struct(F.col("rep").isNull(), "rep", "copy_key")).alias("f")
+    kept = texts.groupBy("root").agg(first).select(_row_key(F.col("f.rep"), F.col("f.copy_key")).alias("__row"))
+    # equal rows become one within tasks, then by a shuffle that the join uses too
+    one = docs.withColumn("__row", _row_key(F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))))).dropDuplicates(["__row"])
+    return one.join(kept.hint("merge"), "__row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
