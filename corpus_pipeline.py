@@ -19,31 +19,33 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is identified and not in doubt; learns from their ``lang`` column."""
+    """Keeps the rows whose language is identified and not in doubt; learns from their ``lang`` column. Rows with a null or letterless text go; repeated rows are judged alike."""
     model = langid.train(docs.select("text", "lang"))
     judged = langid.identify(docs, model)
     return judged.where((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of equal and near-equal texts: the one with the smallest doc_id."""
-    classes = minhash.near_duplicates(docs)
-    others = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__other")).distinct()
-    return docs.join(others, F.col("doc_id").eqNullSafe(F.col("__other")), "left_anti")
+    """Keeps one row of each class of equal and near-equal texts: that with the smallest doc_id, a null one last.
+
+    Rows are told apart by doc_id and text together; of rows equal in both one stays. A null text
+    counts as empty.
+    """
+    return minhash.drop_near_duplicates(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a passage of the benchmark."""
+    """Drops the rows whose own text holds a passage of the benchmark; a null or empty text holds none."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes, as documents: again for words taken twice."""
+    """The words that the mix takes, as documents: again for words taken twice. Repeated rows are mixed each by itself; a null text has no words and is not taken."""
     return mixing.taken_texts(docs, mixing.mix(docs))
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the documents, read back: doc_id, start, n_tokens, ids_crc32, file and place."""
+    """Token files of all rows, repeated ones too, read back: doc_id, start, n_tokens, ids_crc32, file and place."""
     return tokenbin.token_digests(docs, tokenizer_path(), END_ID)
 
 
