@@ -42,6 +42,7 @@ BUCKET_BITS = 14
 UNKNOWN = 0xFFFFFFFF  # id of tokens that training has not seen
 VALUES = ("count", "total", "ones", "twos", "more")
 BLOBS = "shard int, n long, data binary"
+COUNTS, CONTEXTS = 0, 1  # kinds of blobs: the first of the values, the others
 SPREAD = 1024  # groups that sums of shards travel in
 
 
@@ -68,21 +69,21 @@ def _top(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
 
-def _pack(columns: list[np.ndarray]) -> bytes:
-    """Columns of unsigned numbers, the first in order, as compressed planes of bytes."""
+def _pack(columns: list[np.ndarray], kind: int) -> bytes:
+    """Columns of unsigned numbers, the first in order, as compressed planes of bytes after a mark of their kind."""
     import zstandard
 
     first = np.diff(columns[0], prepend=columns[0].dtype.type(0))
     narrow = [c.astype(np.min_scalar_type(int(c.max(initial=0)))) for c in (first, *columns[1:])]
     planes = (c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in narrow)
-    return bytes(c.itemsize for c in narrow) + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    return bytes([kind, *(c.itemsize for c in narrow)]) + zstandard.ZstdCompressor(level=3).compress(b"".join(planes))
 
 
 def _unpack(blob: bytes, n: int, kinds: list) -> list[np.ndarray]:
     import zstandard
 
-    raw, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[len(kinds) :]), np.uint8), 0, []
-    for size, kind in zip(blob, kinds):
+    raw, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[len(kinds) + 1 :]), np.uint8), 0, []
+    for size, kind in zip(blob[1:], kinds):
         out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(f"<u{size}")[:, 0].astype(kind))
         at += n * size
     out[0] = np.cumsum(out[0], dtype=out[0].dtype)
@@ -108,7 +109,7 @@ def _added(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, first) if len(first) else values[:0]
 
 
-def _blobs(columns: list[np.ndarray], values: list[np.ndarray], bits: int, wide: int):
+def _blobs(columns: list[np.ndarray], values: list[np.ndarray], bits: int, wide: int, kind: int = COUNTS):
     """(shard, n, blob): different rows of ``columns`` (ids of ``wide`` bits, or hashes) and the sums of their values, shard by shard.
 
     One sort, by shard, as many columns as fit 64 bits, and bits of the key: equal rows come together
@@ -130,7 +131,7 @@ def _blobs(columns: list[np.ndarray], values: list[np.ndarray], bits: int, wide:
     columns, values, shard = [c[first] for c in columns], [_added(v[order], first) for v in values], shard[order[first]]
     edges = np.append(_firsts(shard), len(shard))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        yield int(shard[a]), int(b - a), _pack([c[a:b] for c in (*columns, *values)])
+        yield int(shard[a]), int(b - a), _pack([c[a:b] for c in (*columns, *values)], kind)
 
 
 def _counted(batches, columns_of, bits: int, wide: int):
@@ -286,8 +287,14 @@ def _stored(level: int, model: Model):
             for m, raw in zip(sizes, data, strict=True):
                 sums[m] = sums.get(m, 0) + np.frombuffer(raw, np.int64)
             return pa.Table.from_batches([_batch([(shard, m, v.tobytes()) for m, v in sums.items()])])
-        kinds = [np.uint32] * level + [np.uint64] * len(names)
-        columns = [np.concatenate(c) for c in zip(*(_unpack(d, n, kinds) for n, d in zip(sizes, data, strict=True)), strict=True)]
+        held = [np.zeros((0, level), np.uint32)], [np.zeros((0, len(names)), np.uint64)]
+        for n, d in zip(sizes, data, strict=True):
+            own = slice(0, 1) if d[0] == COUNTS else slice(1, len(VALUES))
+            columns = _unpack(d, n, [np.uint32] * level + [np.uint64] * len(VALUES[own]))
+            held[0].append(np.stack(columns[:level], 1))
+            held[1].append(np.zeros((n, len(names)), np.uint64))
+            held[1][-1][:, own] = np.stack(columns[level:], 1)
+        columns = [*np.concatenate(held[0]).T, *np.concatenate(held[1]).T]
         keys = key_of(columns[:level])
         order = np.argsort(keys)
         first = _firsts(keys[order])
@@ -306,12 +313,11 @@ def _stored(level: int, model: Model):
         out = [(-1 - shard % SPREAD, level, told.tobytes())]
         if level > 1:
             some = np.flatnonzero(count)  # n-grams of start marks alone are contexts only
-            ids, count, none = [c[some] for c in ids], count[some], np.zeros(len(some), np.uint64)
+            ids, count = [c[some] for c in ids], count[some]
             given = np.where(ids[1] == mark, count, np.uint64(1)) if level > 2 else np.ones(len(some), np.uint64)
-            # each n-gram tells its context about its count, and the n-gram without its first token of one more token before it
-            lower = [np.concatenate(pair) for pair in zip(ids[:-1], ids[1:], strict=True)]
-            stats = [np.concatenate(pair) for pair in ((none, given), (count, none), *((t[some].astype(np.uint64), none) for t in tops))]
-            out += _blobs(lower, stats, bits_of(level - 1), wide)
+            # each n-gram tells the n-gram without its first token of one more token before it, and its context about its count
+            out += _blobs(ids[1:], [given], bits_of(level - 1), wide)
+            out += _blobs(ids[:-1], [count, *(t[some].astype(np.uint64) for t in tops)], bits_of(level - 1), wide, CONTEXTS)
         return pa.Table.from_batches([_batch(out)])
 
     return run
