@@ -207,12 +207,12 @@ def test_url_rules(spark):
     assert got[14].verdict == "block" and got[17].verdict == "allow"
 
 
-def test_url_model_on_words_it_has_not_seen(spark):
-    labelled = urlfilter.labelled_urls(spark)
-    test = labelled.where(F.col("url").rlike("casino|porn|library|garden"))
-    trained = urlfilter.train(labelled.where(~F.col("url").rlike("casino|porn|library|garden")))
-    got = urlfilter.judge(test, [], trained)
-    assert got.agg(F.avg(((F.col("verdict") == "block") == (F.col("label") == 1)).cast("double"))).first()[0] >= 0.9
+def test_url_model_on_sites_it_has_not_seen(spark):
+    labelled = urlfilter.labelled_urls(spark).withColumn("held", F.pmod(F.xxhash64("site"), F.lit(5)) == 0)
+    got = urlfilter.judge(labelled.where("held"), [], urlfilter.train(labelled.where("not held"))).groupBy("label", "verdict").count().collect()
+    n = {(r.label, r.verdict): r["count"] for r in got}
+    assert n[1.0, "block"] >= 0.8 * (n[1.0, "block"] + n.get((1.0, "allow"), 0))
+    assert n[1.0, "block"] >= 0.95 * (n[1.0, "block"] + n.get((0.0, "block"), 0))
 
 
 # pipeline

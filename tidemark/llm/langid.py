@@ -7,8 +7,8 @@ text as ambiguous.
 
 The classifiers are log-odds of smoothed n-gram frequencies, computed in closed form from one
 count per (language, n-gram bucket): training is one distributed pass over all labelled rows and
-needs no sample. What reaches the driver is that count table, of at most ``most_languages`` times
-``buckets`` rows.
+needs no sample. What reaches the driver is that count table, a row per language with at most
+``buckets`` pairs, for at most ``most_languages`` languages.
 """
 
 from __future__ import annotations
@@ -89,7 +89,7 @@ class Model:
 
 
 def train(labelled: DataFrame, buckets: int = BUCKETS, most_languages: int = 256, smoothing: float = 0.5) -> Model:
-    """Fit on all rows of ``labelled`` (text, lang); rows with a null in either are left out."""
+    """Fit on all rows of ``labelled`` (text, lang), each as often as it stands; rows with a null in either are left out."""
 
     def run(batches):
         import pyarrow as pa
@@ -113,15 +113,14 @@ def train(labelled: DataFrame, buckets: int = BUCKETS, most_languages: int = 256
 
     counted = labelled.select("text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     rows = counted.mapInArrow(tidied(run), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    limit = most_languages * buckets
-    got = rows.limit(limit + 1).toPandas()
-    if len(got) > limit:
+    packed = rows.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("ns")).limit(most_languages + 1).toArrow()
+    if packed.num_rows > most_languages:
         raise ValueError(f"more than {most_languages} languages")
-    names = sorted(got["lang"].unique())
+    got = {name: k for k, name in enumerate(packed.column("lang").to_pylist())}
+    names = sorted(got)
     counts = np.zeros((len(names), buckets))
     for k, name in enumerate(names):
-        part = got[got["lang"] == name]
-        counts[k, part["bucket"].to_numpy()] = part["n"].to_numpy()
+        counts[k, packed.column("buckets")[got[name]].values.to_numpy()] = packed.column("ns")[got[name]].values.to_numpy()
     share = (counts + smoothing) / (counts + smoothing).sum(1, keepdims=True) if names else counts
     code = codewords(len(names))
     weights = np.zeros((buckets, code.shape[1]))
@@ -136,7 +135,8 @@ def identify(docs: DataFrame, model: Model, least_gap: float = 1.0) -> DataFrame
 
     ``lang_pred`` is ``und`` with score 0 for a null text, a text without a letter, and every text
     if the model knows no language. Columns of ``docs`` with these names are replaced; column
-    names are otherwise free. Whole texts are read, of any length.
+    names are otherwise free. Whole texts are read, of any length. Of codewords equally near, that
+    of the first language by name is taken and the text is flagged; repeated rows are judged alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: buckets x bits
     keep = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]

@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.kernels import tidied
+from tidemark.llm.scratch import new_folder, written
 
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_long_words long, n_symbol_words long, n_upper long, n_bangs long"
 
@@ -156,15 +157,19 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300, prior: floa
     return post, table
 
 
-def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, least: float = 0.5, keep_text: bool = True) -> DataFrame:
     """All columns of ``docs`` plus the features, ``quality`` (posterior probability) and ``good``.
 
-    The votes of all rows are counted; then every row is given the posterior of its votes. A null
-    or empty text has no words and gets drop votes from its length. Repeated rows count as often
-    as they stand. An empty table gives an empty table.
+    The votes of all rows are counted; then every row is given the posterior of its votes. Without
+    ``keep_text`` the result has no column text, and the features are written once and read twice;
+    with it they are computed twice, as texts are larger than features. A null or empty text has no
+    words and gets drop votes from its length. Repeated rows count as often as they stand. An empty
+    table gives an empty table.
     """
     votes = rules()
     given = features(docs)
+    if not keep_text:
+        given = written(given.drop("text"), new_folder(docs.sparkSession, "quality"), "features")
     voted = given.withColumn("__votes", F.concat_ws(",", *(v.cast("string") for v in votes.values())))
     table = given.select(*(v.alias(k) for k, v in votes.items())).groupBy(*votes).count().toPandas()  # at most 3 ** rules rows
     patterns = table[list(votes)].to_numpy().astype(int).reshape(-1, len(votes))

@@ -14,11 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 Rule = tuple[str, str, str]  # allow or block, host, path
 
 GRAMS = (3, 4, 5)
-# the words that the small labelled table is made from
-PLAIN = ("news", "library", "school", "museum", "recipes", "travel", "science", "history", "garden", "health", "music", "sports", "weather", "books", "research", "university", "community", "support", "review", "journal", "theatre", "nature", "city", "culture", "education")
-SHADY = ("casino", "poker", "viagra", "porn", "xxx", "escort", "payday", "loan", "lottery", "betting", "warez", "torrent", "keygen", "crack", "cialis", "jackpot", "slots", "hentai", "camgirls", "replica", "clickbait", "popunder", "phishing", "adserver", "tracker")
-PLAIN_SHAPES = ("https://www.{w}.example.org/en/{n}", "http://{w}.org/articles/{n}.html", "https://blog.{w}.com/de/{n}/", "https://m.{w}.net/fr/{n}?page=2", "http://{w}.edu/2023/05/{w}", "https://{w}.example.net/es/{n}#top", "https://{w}.gov/")
-SHADY_SHAPES = ("http://{w}-online.xyz/free-{w}", "https://best{w}.top/{w}/buy-now/{n}", "http://www.{w}24.biz/win-{w}.php", "https://cheap-{w}.club/{w}-bonus/{n}", "http://{w}.ads.example.com/{w}/click", "https://download.{w}.info/{w}-free/{n}", "http://{w}king.ru/{w}/")
+# what the small labelled table is made from: words of sites to allow and to block, syllables of names that tell nothing
+PLAIN = ("news", "library", "school", "museum", "recipes", "travel", "science", "history", "garden", "health", "music", "sports", "weather", "books", "research", "university", "community", "support", "review", "journal", "theatre", "nature", "city", "culture", "education", "kitchen", "family", "photo", "design", "market")
+SHADY = ("casino", "poker", "viagra", "porn", "xxx", "escort", "payday", "loans", "lottery", "betting", "bets", "warez", "torrent", "keygen", "cracked", "cialis", "jackpot", "slots", "hentai", "adult", "sex", "replica", "clickbait", "popunder", "phishing", "adserver", "ads", "tracker", "spam", "pills", "pharma", "malware", "dating", "gambling")
+HOOKS = ("win", "free", "cheap", "bonus", "farm", "track", "online", "deals", "best", "x", "hot", "now")
+SYLLABLES = ("ba", "con", "den", "el", "for", "gra", "her", "in", "ka", "lo", "man", "nor", "ou", "per", "re", "st", "the", "ti", "tion", "un", "ver", "wh", "ly", "ing")
+# both kinds of sites have the same shapes, so that only their names tell them apart
+HOSTS = ("{w}.com", "www.{w}.example.org", "m.{w}.net", "blog.{w}.example.com", "{w}.example.net", "www.{w}.info")
+PATHS = ("/en/{n}", "/fr/{n}.html", "/de/{n}/", "/es/{n}?page=2", "/{n}#top", "/", "")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -46,14 +49,25 @@ def with_grams(urls: DataFrame) -> DataFrame:
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table (url, label), 1 for block: every word in every shape of its kind."""
+    """The small labelled table (url, label, site), 1 for block: some 4,000 rows, every site name in every host shape.
 
-    def of(words: Sequence[str], shapes: Sequence[str], label: float) -> DataFrame:
-        rows = spark.range(1).select(F.explode(F.array(*map(F.lit, words))).alias("w")).select("w", F.posexplode(F.array(*map(F.lit, shapes))).alias("n", "shape"))
-        filled = F.replace(F.replace("shape", F.lit("{w}"), F.col("w")), F.lit("{n}"), (F.pmod(F.xxhash64("w", "n"), F.lit(90000)) + 10000).cast("string"))
-        return rows.select(filled.alias("url"), F.lit(label).alias("label"))
+    Names to block: each shady word alone, before and after hooks. Names to allow: each plain word
+    alone and in pairs, plain words with a hook, and names of syllables.
+    """
 
-    return of(PLAIN, PLAIN_SHAPES, 0.0).unionByName(of(SHADY, SHADY_SHAPES, 1.0))
+    def names(words: Sequence[str], others: Sequence[str], forms: Sequence[str], label: float) -> DataFrame:
+        rows = spark.range(1).select(F.explode(F.array(*map(F.lit, words))).alias("w")).select("w", F.posexplode(F.array(*map(F.lit, forms))).alias("i", "form"))
+        pick = F.get(F.array(*map(F.lit, others)), F.pmod(F.xxhash64("w", "i"), F.lit(len(others))).cast("int"))
+        return rows.select(F.replace(F.replace("form", F.lit("{w}"), F.col("w")), F.lit("{v}"), pick).alias("site"), F.lit(label).alias("label"))
+
+    shady = names(SHADY, HOOKS, ("{w}", "{w}-{v}", "{v}-{w}", "{w}{v}", "best-{w}"), 1.0)
+    plain = names(PLAIN, PLAIN, ("{w}", "{w}-{v}", "{w}{v}"), 0.0).unionByName(names(PLAIN, HOOKS, ("{w}-{v}", "{v}-{w}"), 0.0))
+    made_up = names(SYLLABLES, SYLLABLES, tuple("{w}" + "{v}" * (1 + i % 2) + SYLLABLES[(7 * i) % len(SYLLABLES)] for i in range(16)), 0.0)
+    sites = shady.unionByName(plain).unionByName(made_up)
+    hosts = sites.select("site", "label", F.explode(F.array(*map(F.lit, HOSTS))).alias("host"))
+    path = F.get(F.array(*map(F.lit, PATHS)), F.pmod(F.xxhash64("site", "host"), F.lit(len(PATHS))).cast("int"))
+    filled = F.replace(F.concat(F.lit("http://"), F.replace("host", F.lit("{w}"), F.col("site")), path), F.lit("{n}"), F.pmod(F.xxhash64("host", "site"), F.lit(1000)).cast("string"))
+    return hosts.select(filled.alias("url"), "label", "site")
 
 
 def train(labelled: DataFrame, buckets: int = 1 << 14):

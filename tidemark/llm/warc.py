@@ -14,10 +14,11 @@ import uuid
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.scratch import new_folder, open_folder, written
+from tidemark.llm.scratch import new_folder, open_folder, small_batches, written
 
 INDEX = "file string, offset long, length long, page_id long, url string, payload_digest string, record_type string"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value of the format
+BATCH = 256  # pages a task holds at a time
 DATE = "2024-01-01T00:00:00Z"  # pages carry no time
 
 
@@ -59,7 +60,8 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0, file_bytes:
     The payload is html in UTF-8, empty for null. Of records with equal payloads of ``least_bytes``
     or more the one with the largest page_id is the response and the others revisit it; smaller
     payloads are always responses. Rows that repeat that largest page_id are all responses. A null
-    page_id sorts below all others.
+    page_id sorts below all others. A task holds ``BATCH`` pages at a time, however long. An empty table gives an
+    empty index and no file.
     """
 
     def run(batches):
@@ -99,7 +101,8 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0, file_bytes:
     target = F.when(F.col("_big") & F.col("_top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_top")), F.col("_top"))
     rows = joined.select("page_id", "url", "html", target.alias("target"))
     parts = max(4, -(-pages.count() // 500_000))  # files of some 50 MB, not one from each task
-    return written(rows.mapInArrow(run, INDEX).repartition(parts), folder, "index")
+    with small_batches(pages.sparkSession, BATCH):
+        return written(rows.mapInArrow(run, INDEX).repartition(parts), folder, "index")
 
 
 def byte_ranges(index: DataFrame, most_gap: int = 1 << 16, most_bytes: int = 1 << 23) -> DataFrame:
@@ -124,7 +127,8 @@ def read_warc(index: DataFrame, folder: str, with_payload: bool = True, most_gap
     """The records of the given index rows, read by coalesced byte ranges.
 
     payload_bytes and payload_digest are those of the full payload: of a response they are taken
-    from the payload itself and checked against the headers, of a revisit from its headers.
+    from the payload itself and checked against the headers, of a revisit from its headers. Each
+    task reads some ``most_bytes`` of archives.
     """
 
     def run(batches):
@@ -155,7 +159,8 @@ def read_warc(index: DataFrame, folder: str, with_payload: bool = True, most_gap
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     ranges = byte_ranges(index, most_gap, most_bytes)
-    return ranges.repartition("file", F.floor(F.col("start") / most_bytes)).sortWithinPartitions("file", "start").mapInArrow(run, READ)
+    parts = -(-(index.agg(F.sum("length")).first()[0] or 1) // most_bytes)  # by number: the index is small, the archives are not
+    return ranges.repartition(parts, "file", F.floor(F.col("start") / most_bytes)).sortWithinPartitions("file", "start").mapInArrow(run, READ)
 
 
 def archive_digests(pages: DataFrame) -> DataFrame:
