@@ -8,7 +8,8 @@ Tokens are the words of a text with A-Z lower-cased, then one end token; before
   frequent tokens have small ids, which pack well.
 - for each length m of n-grams and each shard (the top bits of an n-gram's 64-bit key): ``edges``,
   where each of 2**14 buckets (the next bits) begins; ``rest``, the next 32 bits of the keys, in
-  order; and, alongside, ``small``, a byte for each value, with those over 254 in ``over``. Values:
+  order; and, alongside, ``small``, a byte or half a byte for each value, with those too large for
+  it in ``over``. Values:
   ``count`` (how often the n-gram stands for m = order, else the number of different tokens before
   it; for one that begins with a start mark, which nothing precedes, how often it stands) and, for
   it as a context, ``total`` (the counts of what follows it) and ``ones``, ``twos``, ``more`` (how
@@ -42,6 +43,7 @@ BUCKET_BITS = 14
 UNKNOWN = 0xFFFFFFFF  # id of tokens that training has not seen
 VALUES = ("count", "total", "ones", "twos", "more")
 BLOBS = "shard int, n long, data binary"
+MOST = np.array([15, 255, 15, 15, 15])  # from which on values of contexts are in ``over``: half bytes, and a byte for total
 COUNTS, CONTEXTS = 0, 1  # kinds of blobs: the first of the values, the others
 SPREAD = 1024  # groups that sums of shards travel in
 
@@ -235,8 +237,9 @@ class Model:
                 lo, hi = np.where(go & less, mid + 1, lo), np.where(go & ~less, mid, hi)
             lo = np.minimum(lo, len(rest) - 1)
             hit = np.flatnonzero((lo < end) & (rest[lo] == want))
-            values = self.opened(f"small-{m}-{s}", np.uint8).reshape(-1, len(names))[lo[hit]].astype(np.int64)
-            large = np.nonzero(values == 255)
+            small = self.opened(f"small-{m}-{s}", np.uint8).reshape(len(rest), -1)[lo[hit]].astype(np.int64)
+            values, most = (small, 255) if len(names) == 1 else (np.stack([small[:, 0] & 15, small[:, 2], small[:, 1] & 15, small[:, 1] >> 4, small[:, 0] >> 4], 1), MOST)
+            large = np.nonzero(values == most)
             if len(large[0]):
                 over = self.opened(f"over-{m}-{s}", np.int64).reshape(2, -1)
                 values[large] = over[1][np.searchsorted(over[0], lo[hit][large[0]] * len(names) + large[1])]
@@ -300,10 +303,14 @@ def _stored(level: int, model: Model):
         first = _firsts(keys[order])
         keys, ids, values = keys[order[first]], [c[order[first]] for c in columns[:level]], np.stack([_added(c[order], first) for c in columns[level:]], 1)
         bucket, rest = _places(keys, bits_of(level))
-        large = np.flatnonzero(values.ravel() > 254)
+        most = MOST if level < model.order else MOST[1:2]
+        small = np.minimum(values, most.astype(np.uint64)).astype(np.uint8)
+        if level < model.order:
+            small = np.stack([small[:, 0] | small[:, 4] << 4, small[:, 2] | small[:, 3] << 4, small[:, 1]], 1)
+        large = np.flatnonzero((values >= most.astype(np.uint64)).ravel())
         _save(folder, **{
             f"edges-{level}-{shard}": np.searchsorted(bucket, np.arange((1 << BUCKET_BITS) + 1)).astype(np.uint32),
-            f"small-{level}-{shard}": np.minimum(values, 255).astype(np.uint8),
+            f"small-{level}-{shard}": small,
             f"over-{level}-{shard}": np.stack([large, values.ravel()[large].astype(np.int64)]),
             f"rest-{level}-{shard}": rest,
         })
