@@ -23,11 +23,30 @@ def half_life_slope(phi: Column) -> Column:
 
 
 def wald(calm: Column, stressed: Column, var_calm: Column, var_stressed: Column, cov: Column, z: float = Z95) -> Column:
-    """struct(z, significant) of the test that both half-lives are equal, by ln|phi| of both."""
-    d = F.ln(F.abs(calm)) - F.ln(F.abs(stressed))
-    var = var_calm / calm**2 + var_stressed / stressed**2 - 2 * cov / (calm * stressed)
-    score = F.when(var > 0, d / F.sqrt(var))
-    return F.struct(score.alias("z"), (F.abs(score) > z).alias("significant"))
+    """struct(z, side) of the test that both half-lives are equal, that is |calm| = |stressed|, which is linear in the two: above, below, ns, or undetermined."""
+    same = F.when(F.signum(F.when(calm == 0, 1.0).otherwise(calm)) == F.signum(F.when(stressed == 0, 1.0).otherwise(stressed)), 1.0).otherwise(-1.0)
+    var = var_calm + var_stressed - 2 * same * cov
+    score = F.when(var > 0, (F.abs(calm) - F.abs(stressed)) / F.sqrt(var))
+    return F.struct(score.alias("z"), F.when(score > z, "above").when(score < -z, "below").when(score.isNotNull(), "ns").otherwise("undetermined").alias("side"))
+
+
+def switching_side(wald_side: Column, persistence: Column, persistence_se: Column, calm: Column, stressed: Column, z: float = Z95) -> Column:
+    """The side for half-lives under switching: that of the test where it does not reject; else only if the chain is surely persistent and both slopes positive."""
+    sure = F.coalesce((persistence - z * persistence_se > 0) & (calm > 0) & (stressed > 0), F.lit(False))
+    return F.when(wald_side == "ns", "ns").when(wald_side.isin("above", "below") & sure, wald_side).otherwise("undetermined")
+
+
+def ratio_sets(calm: Column, stressed: Column, var_calm: Column, var_stressed: Column, cov: Column, z: float = Z95) -> Column:
+    """struct(ratio, se, linear, log, fieller) of the half-lives' ratio ln|stressed| / ln|calm|: by its derivatives, those of its logarithm, and as a ratio of two normal estimates."""
+    lc, ls = F.ln(F.abs(calm)), F.ln(F.abs(stressed))
+    ratio, to_calm, to_stressed = ls / lc, -ls / (calm * lc * lc), 1 / (stressed * lc)
+    var = to_calm**2 * var_calm + to_stressed**2 * var_stressed + 2 * to_calm * to_stressed * cov
+    se = F.when(var >= 0, F.sqrt(var))
+    factor = F.exp(z * se / ratio)
+    bounded = lambda ok, lo, hi: F.when(ok, F.struct(F.lit("bounded").alias("shape"), lo.alias("lo"), hi.alias("hi"))).otherwise(F.lit(None).cast(SET))
+    linear = bounded(se.isNotNull(), ratio - z * se, ratio + z * se)
+    log = bounded(se.isNotNull() & (ratio > 0), ratio / factor, ratio * factor)
+    return F.struct(ratio.alias("ratio"), se.alias("se"), linear.alias("linear"), log.alias("log"), fieller(ls, lc, var_stressed / stressed**2, var_calm / calm**2, cov / (calm * stressed), z).alias("fieller"))
 
 
 def fieller(a: Column, b: Column, var_a: Column, var_b: Column, cov: Column, z: float = Z95) -> Column:

@@ -1,136 +1,176 @@
 """Gaussian hidden Markov models: a task per chunk of starts, replicates or values, a row per fit.
 
 A model is a row (k, pi, a, mu, sigma, ll) with states in ascending order of sigma. The kernels
-below work on a batch of members at once; Spark deals members to tasks, keeps the best and sums up.
-A series (keys, t, x) goes to a task as one array, so a single series has to fit a task.
+work on a batch of members at once, states first (see ``chain``), times in blocks; Spark deals
+members to tasks, keeps the best and sums up. A series (keys, n, x) goes to a task as one array.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from tidemark.operators import chain
 
 MODEL = "k int, pi array<double>, a array<array<double>>, mu array<double>, sigma array<double>, ll double"
 LOWEST_VAR = 1e-12
+Batch = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # pi (k, r), a (k, k, r), mu (k, r), sigma (k, r)
 
 
 # kernels -------------------------------------------------------------------------------------
 
 
 def densities(x: np.ndarray, mu: np.ndarray, sigma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(members, T, k) densities divided by the largest of each time, and the logs of those divisors."""
-    z = (x[None, :, None] - mu[:, None, :]) / sigma[:, None, :]
-    log = -0.5 * z * z - np.log(sigma)[:, None, :] - 0.5 * np.log(2 * np.pi)
-    top = log.max(2)
-    return np.exp(log - top[:, :, None]), top
-
-
-def filtered(b: np.ndarray, pi: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Causal state probabilities and the scale of each time."""
-    r, t, k = b.shape
-    alpha, scale = np.empty((r, t, k)), np.empty((r, t))
-    now = pi * b[:, 0]
-    for i in range(t):
-        if i:
-            now = np.einsum("rj,rjk->rk", alpha[:, i - 1], a) * b[:, i]
-        scale[:, i] = now.sum(1)
-        alpha[:, i] = now / scale[:, i, None]
-    return alpha, scale
-
-
-def smoothed(b: np.ndarray, a: np.ndarray, alpha: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two-sided probabilities and the expected number of each transition."""
-    r, t, k = b.shape
-    gamma, xi = np.empty((r, t, k)), np.zeros((r, k, k))
-    beta = np.ones((r, k))
-    gamma[:, -1] = alpha[:, -1]
-    for i in range(t - 2, -1, -1):
-        ahead = b[:, i + 1] * beta / scale[:, i + 1, None]
-        xi += alpha[:, i, :, None] * a * ahead[:, None, :]
-        beta = np.einsum("rjk,rk->rj", a, ahead)
-        gamma[:, i] = alpha[:, i] * beta
-    return gamma, xi
-
-
-def expectation(x, pi, a, mu, sigma):
-    b, top = densities(x, mu, sigma)
-    alpha, scale = filtered(b, pi, a)
-    gamma, xi = smoothed(b, a, alpha, scale)
-    return gamma, xi, np.log(scale).sum(1) + top.sum(1)
-
-
-def loglik(x, pi, a, mu, sigma) -> np.ndarray:
-    b, top = densities(x, mu, sigma)
-    _, scale = filtered(b, pi, a)
-    return np.log(scale).sum(1) + top.sum(1)
-
-
-def maximisation(x, gamma, xi, fixed: tuple[int, int, float] | None = None):
-    """New parameters; ``fixed`` holds one transition (i, j, value), the rest of its row sharing what is left."""
-    pi = gamma[:, 0] / gamma[:, 0].sum(1, keepdims=True)
-    a = xi / np.maximum(xi.sum(2, keepdims=True), 1e-300)
+    """(k, members, T) densities divided by the largest of each time, and the logs of those divisors; ``x`` is (T,) or (members, T)."""
+    z = (np.atleast_2d(x)[None] - mu[..., None]) / sigma[..., None]
+    log = -0.5 * z * z - np.log(sigma)[..., None] - 0.5 * np.log(2 * np.pi)
+    top = log.max(0)
+    return np.exp(log - top), top
+
+
+def steps_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a[..., None] * b[None, :, :, 1:]
+
+
+def filtered(x: np.ndarray, m: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Causal state probabilities (k, r, T), log-likelihoods, and the densities."""
+    b, top = densities(x, m[2], m[3])
+    alpha, log = chain.forward(m[0] * b[..., 0], steps_of(m[1], b))
+    return alpha, log[:, -1] + top.sum(1), b
+
+
+def expectation(x: np.ndarray, m: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two-sided probabilities (k, r, T), expected numbers of each transition (k, k, r), log-likelihoods."""
+    alpha, ll, b = filtered(x, m)
+    steps = steps_of(m[1], b)
+    gamma, pairs = chain.smoothed(alpha, chain.backward(steps), steps)
+    return gamma, pairs.sum(3), ll
+
+
+def loglik(x: np.ndarray, m: Batch) -> np.ndarray:
+    return filtered(x, m)[1]
+
+
+def scores(x: np.ndarray, m: Batch) -> tuple[np.ndarray, np.ndarray]:
+    """Slope of the log-likelihood in each transition (k, k, r), those at 0 included, and the expected visits of each state with a next time (k, r)."""
+    alpha, _, b = filtered(x, m)
+    beta = chain.backward(steps_of(m[1], b))
+    ahead = b[..., 1:] * beta[..., 1:]  # of the state that follows
+    norm = (alpha[..., :-1] * (m[1][..., None] * ahead[None]).sum(1)).sum(0)
+    slope = np.einsum("irt,jrt->ijr", alpha[..., :-1] / np.maximum(norm, chain.LEAST), ahead)
+    gamma = alpha * beta
+    return slope, (gamma / gamma.sum(0))[..., :-1].sum(2)
+
+
+def held(a: np.ndarray, cell: tuple[int, int], value) -> np.ndarray:
+    """Transitions with one cell at ``value`` (one or one per member), the rest of its row sharing what is left."""
+    i, j = cell
+    out, rest = a.copy(), a[i].copy()
+    rest[j] = 0
+    out[i] = rest / np.maximum(rest.sum(0), chain.LEAST) * (1 - value)
+    out[i, j] = value
+    return out
+
+
+def maximisation(x: np.ndarray, gamma: np.ndarray, pairs: np.ndarray, fixed: tuple[tuple[int, int], np.ndarray] | None = None) -> Batch:
+    """New parameters; ``fixed`` holds one transition (cell, value per member)."""
+    x = np.atleast_2d(x)
+    a = pairs / np.maximum(pairs.sum(1, keepdims=True), chain.LEAST)
     if fixed:
-        i, j, v = fixed
-        rest = a[:, i].copy()
-        rest[:, j] = 0
-        a[:, i] = rest / np.maximum(rest.sum(1, keepdims=True), 1e-300) * (1 - v)
-        a[:, i, j] = v
-    weight = np.maximum(gamma.sum(1), 1e-300)
-    mu = np.einsum("rtk,t->rk", gamma, x) / weight
-    var = np.einsum("rtk,rtk->rk", gamma, (x[None, :, None] - mu[:, None, :]) ** 2) / weight
-    return pi, a, mu, np.sqrt(np.maximum(var, LOWEST_VAR))
-
-
-def em(x, pi, a, mu, sigma, rounds: int, tol: float, fixed=None, least: int = 6):
-    """EM for a batch of members; those that gain less than ``tol`` leave it. Parameters, log-likelihood, rounds."""
-    done = [p.copy() for p in (pi, a, mu, sigma)]
-    live, ll, n = np.arange(len(pi)), np.full(len(pi), -np.inf), np.zeros(len(pi), int)
-    for i in range(1, rounds + 1):
-        part = [p[live] for p in done]
-        gamma, xi, new = expectation(x, *part)
-        gain, ll[live], n[live] = new - ll[live], new, i
-        go = ~((gain < tol) & (i > least))
-        if not go.any():
-            break
-        fresh = maximisation(x, gamma[go], xi[go], fixed)
-        live = live[go]
-        for p, f in zip(done, fresh, strict=True):
-            p[live] = f
-    return (*done, loglik(x, *done), n)
+        a = held(a, *fixed)
+    weight = np.maximum(gamma.sum(2), chain.LEAST)
+    mu = (gamma * x).sum(2) / weight
+    var = (gamma * (x - mu[..., None]) ** 2).sum(2) / weight
+    return gamma[..., 0] / gamma[..., 0].sum(0), a, mu, np.sqrt(np.maximum(var, LOWEST_VAR))
+
+
+def largest_move(old: Batch, new: Batch) -> np.ndarray:
+    """Per member the largest change of a parameter: means and scales in units of the old scales, probabilities as they are."""
+    return np.max([np.abs(new[0] - old[0]).max(0), np.abs(new[1] - old[1]).max((0, 1)), (np.abs(new[2] - old[2]) / old[3]).max(0), (np.abs(new[3] - old[3]) / old[3]).max(0)], axis=0)
+
 
+def take(m: Batch, which) -> Batch:
+    return tuple(p[..., which] for p in m)
 
-def by_sigma(pi, a, mu, sigma):
-    """Members with states renumbered in ascending order of sigma."""
-    order = np.argsort(sigma, axis=1, kind="stable")
-    take = lambda m: np.take_along_axis(m, order, 1)
-    rows = np.take_along_axis(a, order[:, :, None], 1)
-    return take(pi), np.take_along_axis(rows, order[:, None, :], 2), take(mu), take(sigma)
 
+def em(x: np.ndarray, m: Batch, rounds: int, tol: float, fixed=None, least: int = 6, step_tol: float | None = None, looks: tuple[int, ...] = ()):
+    """EM for a batch of members: (parameters, log-likelihoods, rounds, those stopped by tolerance, {round: log-likelihoods} at ``looks``).
 
-def starts(x: np.ndarray, k: int, numbers, seed: int):
-    """Random starts by number: Dirichlet rows, means near quantiles, scales around the whole's."""
-    sd, q = x.std() + 1e-12, np.quantile(x, (np.arange(k) + 0.5) / k)
-    out = []
-    for s in numbers:
-        g = np.random.default_rng([seed, k, int(s)])
-        out.append((g.dirichlet(np.full(k, 5.0)), g.dirichlet(np.full(k, 5.0), k), q + g.normal(0, 0.2 * sd, k), sd * g.uniform(0.5, 1.5, k)))
-    return [np.array(c) for c in zip(*out, strict=True)]
+    A member leaves when it gains less than ``tol`` after ``least`` rounds and, with ``step_tol``, no
+    parameter moves more than that.
+    """
+    x = np.atleast_2d(np.asarray(x, float))
+    r = m[0].shape[1]
+    done = tuple(p.copy() for p in m)
+    live, ll, n, stopped, seen = np.arange(r), np.full(r, -np.inf), np.zeros(r, int), np.zeros(r, bool), {}
+    for i in range(1, rounds + 1):
+        now, own = take(done, live), x if len(x) == 1 else x[live]
+        gamma, pairs, new = expectation(own, now)
+        gain, ll[live], n[live] = new - ll[live], new, i
+        fresh = maximisation(own, gamma, pairs, (fixed[0], np.broadcast_to(fixed[1], r)[live]) if fixed else None)
+        if i in looks:
+            seen[i] = ll.copy()
+        rest = ~((gain < tol) & (i > least))
+        if step_tol is not None:
+            rest |= largest_move(now, fresh) > step_tol
+        stopped[live[~rest]] = True
+        live = live[rest]
+        if not len(live):
+            break
+        for p, f in zip(done, take(fresh, rest), strict=True):
+            p[..., live] = f
+    return done, loglik(x, done), n, stopped, seen
 
 
-def spread_starts(x: np.ndarray, k: int, numbers, seed: int, low: float = 0.2, high: float = 5.0):
-    """Starts whose scales are drawn log-uniformly between ``low`` and ``high`` times the whole's."""
-    pi, a, mu, _ = starts(x, k, numbers, seed)
-    sd = x.std() + 1e-12
-    sigma = np.array([np.sort(sd * np.exp(np.random.default_rng([seed, k, int(s), 1]).uniform(np.log(low), np.log(high), k))) for s in numbers])
-    return pi, a, mu, sigma
+def by_order(m: Batch, key: int = 3) -> Batch:
+    """Members with states renumbered in ascending order of sigma (3) or mu (2)."""
+    order = np.argsort(m[key], axis=0, kind="stable")
+    move = lambda p: np.take_along_axis(p, order, 0)
+    rows = np.take_along_axis(m[1], order[:, None], 0)
+    return move(m[0]), np.take_along_axis(rows, order[None], 1), move(m[2]), move(m[3])
 
 
-def most_likely_path(x, pi, a, mu, sigma) -> np.ndarray:
+def drawn(x: np.ndarray, k: int, numbers, seed: int, kind: str = "random") -> Batch:
+    """Starts by number, from a quasi-random sequence of their own each: means at shifted quantiles, sticky or loose rows.
+
+    ``random`` scales lie within a factor of two of the whole's, ``spread`` ones within 25.
+    """
+    sd, members = x.std() + 1e-12, []
+    for number in numbers:
+        u = np.random.default_rng([seed, k, int(number), len(kind)])
+        at = np.sort((np.arange(k) + u.uniform(0, 1, k)) / k)
+        stay = u.uniform(0.3, 0.98, k)
+        leave = u.exponential(1.0, (k, k)) * (1 - np.eye(k))
+        a = leave / np.maximum(leave.sum(1, keepdims=True), 1e-12) * (1 - stay[:, None]) + np.diag(stay if k > 1 else np.ones(k))
+        reach = np.log(2.0 if kind == "random" else 25.0)
+        members.append((np.full(k, 1 / k), a, np.quantile(x, at), sd * np.exp(u.uniform(-reach, reach / 2, k))))
+    return tuple(np.stack(p, -1) for p in zip(*members, strict=True))
+
+
+def split(parent: Batch, factors=(0.5, 0.8, 1.25)) -> Batch:
+    """Starts with a state more: each state of the one parent becomes two, with scales and means a factor apart."""
+    pi, a, mu, sigma = (p[..., 0] for p in parent)
+    k, members = len(mu), []
+    for s in range(k):
+        order = [*range(k), s]
+        for f in factors:
+            new_a = a[np.ix_(order, order)].copy()
+            new_a[:, [s, k]] /= 2  # who came to the state comes to either half
+            new_sigma, new_mu = sigma[order].copy(), mu[order].copy()
+            new_sigma[s], new_sigma[k] = sigma[s] * f, sigma[s] / f
+            new_mu[s], new_mu[k] = mu[s] - (1 - f) * sigma[s] / 4, mu[s] + (1 - f) * sigma[s] / 4
+            new_pi = pi[order].copy()
+            new_pi[[s, k]] /= 2
+            members.append((new_pi, new_a, new_mu, new_sigma))
+    return tuple(np.stack(p, -1) for p in zip(*members, strict=True))
+
+
+def most_likely_path(x: np.ndarray, m: Batch) -> np.ndarray:
     """The jointly most probable states of one member."""
-    b, top = densities(x, mu[None], sigma[None])
-    log_b = np.log(np.maximum(b[0], 1e-300)) + top[0][:, None]
-    log_a, score = np.log(np.maximum(a, 1e-300)), np.log(np.maximum(pi, 1e-300)) + log_b[0]
-    back = np.zeros((len(x), len(pi)), np.int8)
+    b, top = densities(x, m[2], m[3])
+    log_b = (np.log(np.maximum(b[:, 0], chain.LEAST)) + top[0]).T
+    log_a, score = np.log(np.maximum(m[1][..., 0], chain.LEAST)), np.log(np.maximum(m[0][:, 0], chain.LEAST)) + log_b[0]
+    back = np.zeros(log_b.shape, np.int8)
     for i in range(1, len(x)):
         step = score[:, None] + log_a
         back[i] = step.argmax(0)
@@ -142,34 +182,54 @@ def most_likely_path(x, pi, a, mu, sigma) -> np.ndarray:
     return path
 
 
-def simulate(a, mu, sigma, t: int, rng) -> np.ndarray:
-    """A path from the stationary law."""
-    share = stationary(a)
-    u, s, states = rng.random(t), 0, np.empty(t, int)
-    edges = np.cumsum(a, axis=1)
-    s = int(np.searchsorted(np.cumsum(share), u[0]))
+def simulated(a: np.ndarray, mu: np.ndarray, sigma: np.ndarray, t: int, seeds) -> np.ndarray:
+    """Paths from the stationary law, one per seed, all stepped together: (paths, t)."""
+    draws = [np.random.default_rng(s) for s in seeds]
+    u, e = np.stack([g.uniform(size=t) for g in draws]), np.stack([g.normal(size=t) for g in draws])
+    upto = np.cumsum(a, axis=1)
+    states = np.empty(u.shape, np.int64)
+    edges = np.broadcast_to(np.cumsum(stationary(a)), (len(u), len(mu)))
     for i in range(t):
-        if i:
-            s = int(np.searchsorted(edges[s], u[i]))
-        states[i] = s = min(s, len(mu) - 1)
-    return mu[states] + sigma[states] * rng.standard_normal(t)
+        states[:, i] = np.minimum((u[:, i, None] >= edges).sum(1), len(mu) - 1)
+        edges = upto[states[:, i]]
+    return mu[states] + sigma[states] * e
 
 
 def stationary(a: np.ndarray) -> np.ndarray:
     k = len(a)
-    m = np.vstack([a.T - np.eye(k), np.ones(k)])
-    p = np.linalg.lstsq(m, np.append(np.zeros(k), 1.0), rcond=None)[0]
+    p = np.linalg.lstsq(np.vstack([a.T - np.eye(k), np.ones(k)]), np.append(np.zeros(k), 1.0), rcond=None)[0]
     p = np.clip(p, 0, None)
     return p / p.sum()
 
 
-def member(row) -> tuple[np.ndarray, ...]:
+def from_diagonal(diagonal, law, zero: tuple[int, int]) -> np.ndarray:
+    """The 3 x 3 transitions with this diagonal and stationary law and one cell at 0: six linear equations for the six other cells."""
+    d, law = np.asarray(diagonal, float), np.asarray(law, float)
+    if zero[0] == zero[1] or d.shape != (3,) or law.shape != (3,):
+        raise ValueError("three states, and a zero off the diagonal")
+    cells = [(i, j) for i in range(3) for j in range(3) if i != j]
+    rows, right = [], []
+    for s in range(3):
+        rows.append([float(i == s) for i, _ in cells])  # what leaves a state
+        right.append(1 - d[s])
+        rows.append([law[i] * (j == s) for i, j in cells])  # what comes to it
+        right.append(law[s] * (1 - d[s]))
+    rows.append([float(c == tuple(zero)) for c in cells])
+    right.append(0.0)
+    out = np.diag(d)
+    for (i, j), v in zip(cells, np.linalg.lstsq(np.array(rows), np.array(right), rcond=None)[0], strict=True):
+        out[i, j] = v
+    return out
+
+
+def batch_of(row) -> Batch:
     """Parameters of a model row as a batch of one."""
-    return tuple(np.array(v if c != "a" else [list(map(float, r)) for r in v], float)[None] for c, v in ((c, row[c]) for c in ("pi", "a", "mu", "sigma")))
+    return tuple(np.array([[float(v) for v in r] for r in row[c]] if c == "a" else row[c], float)[..., None] for c in ("pi", "a", "mu", "sigma"))
 
 
-def as_row(k, pi, a, mu, sigma, ll) -> dict:
-    return {"k": int(k), "pi": pi.tolist(), "a": a.tolist(), "mu": mu.tolist(), "sigma": sigma.tolist(), "ll": float(ll)}
+def row_of(m: Batch, i: int, ll) -> dict:
+    pi, a, mu, sigma = (p[..., i] for p in m)
+    return {"k": len(mu), "pi": pi.tolist(), "a": a.tolist(), "mu": mu.tolist(), "sigma": sigma.tolist(), "ll": float(ll)}
 
 
 # Spark -----------------------------------------------------------------------------------------
@@ -184,28 +244,52 @@ def key_schema(rows: DataFrame, keys: list[str]) -> str:
     return "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.select(*keys).schema)
 
 
-def fit(series: DataFrame, keys: list[str], ks=(2, 3), n_starts: int = 8, rounds: int = 500, tol: float = 1e-6, seed: int = 1, chunk: int = 4, kinds=("random",)) -> DataFrame:
+def each_row(rows: DataFrame, schema: str, of) -> DataFrame:
+    """``of(row as dict)`` gives the dicts of its result rows."""
+    names = [x.split()[0] for x in schema_fields(schema)]
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                yield pd.DataFrame(list(of(row)), columns=names)
+
+    return rows.mapInPandas(run, schema)
+
+
+def schema_fields(schema: str) -> list[str]:
+    """The fields of a flat schema string."""
+    from pyspark.sql.types import StructType
+
+    return [f"{f.name} {f.dataType.simpleString()}" for f in StructType.fromDDL(schema)]
+
+
+def chunks(rows: DataFrame, keys: list[str], total: int, size: int) -> DataFrame:
+    """A row per chunk of ``size`` of ``total`` numbers (column chunk), spread over tasks."""
+    return rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((total - 1) // size)))).repartition(*keys, "chunk")
+
+
+def numbers(chunk: int, total: int, size: int) -> range:
+    return range(chunk * size, min(total, (chunk + 1) * size))
+
+
+def fit(series: DataFrame, keys: list[str], ks=(2, 3), n_starts: int = 8, rounds: int = 500, tol: float = 1e-6, seed: int = 1, chunk: int = 20, kinds=("random",)) -> DataFrame:
     """All starts of all keys and numbers of states: (keys, start, kind, rounds, model columns, n).
 
     ``kinds``: random and spread starts. Starts go to tasks in chunks; the parameters of a start
     depend on its number alone.
     """
     plan = series.select(*keys, "n", "x", F.explode(F.array(*map(F.lit, ks))).alias("k")).select("*", F.explode(F.array(*map(F.lit, kinds))).alias("kind"))
-    plan = plan.select("*", F.explode(F.sequence(F.lit(0), F.lit((n_starts - 1) // chunk))).alias("chunk")).repartition(*keys, "k", "kind", "chunk")
 
-    def run(batches):
-        import pandas as pd
+    def of(row):
+        x, own = np.asarray(row["x"], float), numbers(row["chunk"], n_starts, chunk)
+        m, ll, n, _, _ = em(x, drawn(x, int(row["k"]), own, seed, row["kind"]), rounds, tol)
+        m = by_order(m)
+        for i, s in enumerate(own):
+            yield {**{c: row[c] for c in keys}, "start": s, "kind": row["kind"], "rounds": int(n[i]), **row_of(m, i, ll[i]), "n": int(row["n"])}
 
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                x, k = np.asarray(row.x, float), int(row.k)
-                numbers = range(row.chunk * chunk, min(n_starts, (row.chunk + 1) * chunk))
-                made = (spread_starts if row.kind == "spread" else starts)(x, k, numbers, seed)
-                *p, ll, n = em(x, *made, rounds, tol)
-                p = by_sigma(*p)
-                yield pd.DataFrame([{**{c: getattr(row, c) for c in keys}, "start": s, "kind": row.kind, "rounds": int(n[i]), **as_row(k, *(c[i] for c in p), ll[i]), "n": int(row.n)} for i, s in enumerate(numbers)])
-
-    return plan.mapInPandas(run, f"{key_schema(series, keys)}start int, kind string, rounds int, {MODEL}, n long")
+    return each_row(chunks(plan, [*keys, "k", "kind"], n_starts, chunk), f"{key_schema(series, keys)}start int, kind string, rounds int, {MODEL}, n long", of)
 
 
 def best(fits: DataFrame, keys: list[str]) -> DataFrame:
@@ -214,10 +298,35 @@ def best(fits: DataFrame, keys: list[str]) -> DataFrame:
     return fits.groupBy(*keys).agg(F.min_by(F.struct(*names), F.struct(-F.round("ll", 6), F.col("kind"), F.col("start"))).alias("m")).select(*keys, "m.*")
 
 
+def fit_split(series: DataFrame, parents: DataFrame, keys: list[str], factors=(0.5, 0.8, 1.25), rounds: int = 500, tol: float = 1e-6) -> DataFrame:
+    """Fits with a state more than ``parents`` (one model per key), started from splits of each of their states; columns of :func:`fit`, kind split."""
+
+    def of(row):
+        m, ll, n, _, _ = em(np.asarray(row["x"], float), split(batch_of(row), factors), rounds, tol)
+        m = by_order(m)
+        for i in range(len(ll)):
+            yield {**{c: row[c] for c in keys}, "start": i, "kind": "split", "rounds": int(n[i]), **row_of(m, i, ll[i]), "n": int(row["n"])}
+
+    joined = parents.drop("n").join(series.select(*keys, "n", "x"), keys).repartition(*keys, "k")
+    return each_row(joined, f"{key_schema(series, keys)}start int, kind string, rounds int, {MODEL}, n long", of)
+
+
+def fit_wide(series: DataFrame, keys: list[str], k: int, n_random: int, n_spread: int, parents: DataFrame | None = None, rounds: int = 500, tol: float = 1e-6) -> DataFrame:
+    """Random and spread starts, and splits of ``parents`` with a state less: one table of fits."""
+    out = fit(series, keys, (k,), n_random, rounds, tol)
+    if n_spread:
+        out = out.unionByName(fit(series, keys, (k,), n_spread, rounds, tol, seed=2, kinds=("spread",)))
+    return out if parents is None else out.unionByName(fit_split(series, parents, keys, rounds=rounds, tol=tol))
+
+
+def reached(fits: DataFrame, keys: list[str], near: float = 0.1) -> DataFrame:
+    """(keys, kind, starts, reached, best): per family of starts how many came within ``near`` of the best fit of all."""
+    top = F.max("ll").over(Window.partitionBy(*keys))
+    return fits.withColumn("_top", top).groupBy(*keys, "kind").agg(F.count("*").alias("starts"), F.count_if(F.col("_top") - F.col("ll") <= near).alias("reached"), F.max("ll").alias("best"))
+
+
 def optima(fits: DataFrame, keys: list[str], apart: float = 0.1) -> DataFrame:
     """Distinct optima per key: runs of log-likelihoods less than ``apart`` apart, with the number of starts that reached each."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys).orderBy(F.desc("ll"))
     new = F.coalesce((F.lag("ll").over(w) - F.col("ll") > apart).cast("int"), F.lit(0))
     return fits.withColumn("_new", new).withColumn("optimum", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "optimum").agg(F.max("ll").alias("ll"), F.count("*").alias("starts"))
@@ -225,8 +334,6 @@ def optima(fits: DataFrame, keys: list[str], apart: float = 0.1) -> DataFrame:
 
 def selection(models: DataFrame, keys: list[str]) -> DataFrame:
     """Information criteria per number of states, and the number that BIC prefers (the smaller of equals)."""
-    from pyspark.sql import Window
-
     from tidemark.functions.ratios import free_parameters, information_criteria
 
     ic = models.withColumn("_ic", information_criteria(F.col("ll"), free_parameters(F.col("k")), F.col("n"))).select(*keys, "k", "n", "ll", "_ic.*")
@@ -234,22 +341,35 @@ def selection(models: DataFrame, keys: list[str]) -> DataFrame:
     return ic.withColumns({"delta_bic": F.col("bic") - F.min("bic").over(w), "preferred": F.min_by("k", F.struct("bic", "k")).over(w)})
 
 
-def polish(series: DataFrame, models: DataFrame, keys: list[str], rounds: int = 5000, tol: float = 1e-9) -> DataFrame:
-    """EM from the given models to a finer tolerance; same columns."""
-    joined = models.join(series.select(*keys, "x"), keys)
+def polish(series: DataFrame, models: DataFrame, keys: list[str], rounds: int = 5000, tol: float = 1e-9, step_tol: float | None = None) -> DataFrame:
+    """EM from the given models to a finer tolerance of likelihood and, if wanted, of parameters; same columns."""
+
+    def of(row):
+        m, ll, _, _, _ = em(np.asarray(row["x"], float), batch_of(row), rounds, tol, step_tol=step_tol)
+        yield {**row, **row_of(by_order(m), 0, ll[0])}
+
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in models.schema)
+    return each_row(models.join(series.select(*keys, "x"), keys).select(*models.columns, "x"), schema, of)
 
-    def run(batches):
-        import pandas as pd
 
-        for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                *p, ll, _ = em(np.asarray(row["x"], float), *member(row), rounds, tol)
-                out.append({**row, **as_row(row["k"], *(c[0] for c in by_sigma(*p)), ll[0])})
-            yield pd.DataFrame(out, columns=[*batch.columns]).drop(columns="x")
+def protocol(series: DataFrame, keys: list[str], ks=(2,), n_starts: int = 8, rounds: int = 100_000, tol: float = 1e-6, polish_tol: float = 1e-9, step_tol: float = 1e-10) -> DataFrame:
+    """All starts, the best of each number of states, polished: a model row per key and k."""
+    fits = fit(series, keys, ks, n_starts, rounds, tol)
+    return polish(series, best(fits, [*keys, "k"]), keys, rounds, polish_tol, step_tol)
 
-    return joined.select(*models.columns, "x").mapInPandas(run, schema)
+
+def progress(series: DataFrame, keys: list[str], k: int, n_starts: int, looks: tuple[int, ...], tol: float = 1e-10, seed: int = 1, chunk: int = 20) -> DataFrame:
+    """(keys, start, round, ll, left): the log-likelihood of every start at given rounds, and what it still gained until its end."""
+
+    def of(row):
+        x, own = np.asarray(row["x"], float), numbers(row["chunk"], n_starts, chunk)
+        _, ll, _, _, seen = em(x, drawn(x, k, own, seed), max(100_000, *looks), tol, looks=looks)
+        for r in looks:
+            for i, s in enumerate(own):
+                now = seen.get(r, ll)[i]
+                yield {**{c: row[c] for c in keys}, "start": s, "round": r, "ll": float(now), "left": float(ll[i] - now)}
+
+    return each_row(chunks(series.select(*keys, "x"), keys, n_starts, chunk), f"{key_schema(series, keys)}start int, round int, ll double, left double", of)
 
 
 def states(series: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
@@ -260,15 +380,14 @@ def states(series: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
 
         for batch in batches:
             for row in batch.to_dict("records"):
-                x = np.asarray(row["x"], float)
-                pi, a, mu, sigma = member(row)
-                b, _ = densities(x, mu, sigma)
-                alpha, scale = filtered(b, pi, a)
-                gamma, _ = smoothed(b, a, alpha, scale)
-                ahead = np.vstack([pi[0], alpha[0, :-1] @ a[0]])
-                mean = ahead @ mu[0]
-                var = ahead @ (sigma[0] ** 2) + ahead @ mu[0] ** 2 - mean**2
-                yield pd.DataFrame({**{c: [row[c]] * len(x) for c in keys}, "k": int(row["k"]), "t": np.arange(len(x)), "x": x, "filtered": list(alpha[0]), "smoothed": list(gamma[0]), "state": most_likely_path(x, pi[0], a[0], mu[0], sigma[0]), "mean": mean, "var": var})
+                x, m = np.asarray(row["x"], float), batch_of(row)
+                alpha, _, _ = filtered(x, m)
+                gamma, _, _ = expectation(x, m)
+                pi, a, mu, sigma = (p[..., 0] for p in m)
+                ahead = np.vstack([pi, alpha[:, 0, :-1].T @ a])
+                mean = ahead @ mu
+                var = ahead @ (sigma**2 + mu**2) - mean**2
+                yield pd.DataFrame({**{c: [row[c]] * len(x) for c in keys}, "k": int(row["k"]), "t": np.arange(len(x)), "x": x, "filtered": list(alpha[:, 0].T), "smoothed": list(gamma[:, 0].T), "state": most_likely_path(x, m), "mean": mean, "var": var})
 
     schema = f"{key_schema(series, keys)}k int, t long, x double, filtered array<double>, smoothed array<double>, state int, mean double, var double"
     return models.join(series.select(*keys, "x"), keys).mapInPandas(run, schema)
@@ -284,95 +403,191 @@ def durations(model: Column | str = "a") -> Column:
     return F.transform(F.col(model) if isinstance(model, str) else model, lambda row, i: 1 / (1 - F.get(row, i)))
 
 
-def bootstrap(models: DataFrame, keys: list[str], t: int | None, reps: int = 500, seed: int = 20, rounds: int = 400, tol: float = 1e-5, chunk: int = 10) -> DataFrame:
-    """(keys, rep, ll, n_rounds, model columns): models refitted to simulated paths of ``t`` steps (None: as many as the model's series, its n), one row per replicate."""
-    plan = models.select(*keys, *[c for c in ("k", "pi", "a", "mu", "sigma")], (F.col("n") if t is None else F.lit(t)).cast("int").alias("t"), F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // chunk))).alias("chunk")).repartition(*keys, "chunk")
+def bootstrap(models: DataFrame, keys: list[str], t: int | None, reps: int = 500, seed: int = 20, rounds: int = 400, tol: float = 1e-5, chunk: int = 50, check: int = 0, n_starts: int = 8) -> DataFrame:
+    """(keys, rep, rounds, swapped, checked_ll, model columns): models refitted to simulated paths of ``t`` steps (None: as many as the model's series, its n), one row per replicate.
 
-    def run(batches):
-        import pandas as pd
+    ``swapped``: whether the order by sigma is another than that by mu is in the model. The first
+    ``check`` replicates are fitted from ``n_starts`` random starts too; ``checked_ll`` is the best of those.
+    """
+    plan = models.select(*keys, "k", "pi", "a", "mu", "sigma", (F.col("n") if t is None else F.lit(t)).cast("int").alias("t"))
+
+    def of(row):
+        m, own = batch_of(row), numbers(row["chunk"], reps, chunk)
+        x = simulated(m[1][..., 0], m[2][:, 0], m[3][:, 0], row["t"], [[seed, r] for r in own])
+        fitted, ll, n, _, _ = em(x, tuple(np.repeat(p, len(own), -1) for p in m), rounds, tol)
+        fitted = by_order(fitted)
+        was = np.argsort(m[2][:, 0], kind="stable")
+        for i, r in enumerate(own):
+            again = float(em(x[i], drawn(x[i], int(row["k"]), range(n_starts), seed), rounds, tol)[1].max()) if r < check else None
+            yield {**{c: row[c] for c in keys}, "rep": r, "rounds": int(n[i]), "swapped": bool((np.argsort(fitted[2][:, i], kind="stable") != was).any()), "checked_ll": again, **row_of(fitted, i, ll[i])}
+
+    return each_row(chunks(plan, keys, reps, chunk), f"{key_schema(models, keys)}rep int, rounds int, swapped boolean, checked_ll double, {MODEL}", of)
+
+
+def _long(models: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, parameter, v): a row per parameter of each model."""
+    cells = F.flatten(F.transform("a", lambda row, i: F.transform(row, lambda v, j: F.struct(F.concat(F.lit("a_"), i.cast("string"), F.lit("_"), j.cast("string")).alias("parameter"), v.alias("v")))))
+    one = lambda name: F.transform(name, lambda v, i: F.struct(F.concat(F.lit(f"{name}_"), i.cast("string")).alias("parameter"), v.alias("v")))
+    return models.select(*keys, F.inline(F.concat(cells, one("mu"), one("sigma"))))
+
+
+def by_mu(models: DataFrame) -> DataFrame:
+    """Model rows with states renumbered in ascending order of mu."""
+    order = F.transform(F.array_sort(F.transform("mu", lambda v, i: F.struct(v.alias("v"), i.alias("i")))), lambda s: s["i"])
+    put = lambda c: F.transform("_order", lambda i: F.get(c, i))
+    rows = F.transform("_order", lambda i: F.transform("_order", lambda j: F.get(F.get("a", i), j)))
+    return models.withColumn("_order", order).withColumns({"a": rows, "pi": put("pi"), "mu": put("mu"), "sigma": put("sigma")}).drop("_order")
 
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                pi, a, mu, sigma = member(row)
-                out = []
-                for r in range(row["chunk"] * chunk, min(reps, (row["chunk"] + 1) * chunk)):
-                    x = simulate(a[0], mu[0], sigma[0], row["t"], np.random.default_rng([seed, r]))
-                    *p, ll, n = em(x, pi, a, mu, sigma, rounds, tol)
-                    out.append({**{c: row[c] for c in keys}, "rep": r, "rounds": int(n[0]), **as_row(row["k"], *(c[0] for c in by_sigma(*p)), ll[0])})
-                yield pd.DataFrame(out)
 
-    return plan.mapInPandas(run, f"{key_schema(models, keys)}rep int, rounds int, {MODEL}")
+def bootstrap_summary(reps: DataFrame, point: DataFrame, keys: list[str], zero: float = 1e-6) -> DataFrame:
+    """(keys, labels, parameter, point, mean, bias, se, lo, hi, at_zero): over the replicates, per parameter, with states in order of sigma and of mu; at_zero is the share of replicates below ``zero``."""
+    out = None
+    for labels, order in (("sigma", lambda d: d), ("mu", by_mu)):
+        g = _long(order(reps), keys).groupBy(*keys, "parameter").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("se"), F.percentile("v", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"), F.avg((F.abs("v") < zero).cast("double")).alias("at_zero"))
+        p = _long(order(point), keys).withColumnRenamed("v", "point")
+        r = p.join(g, [*keys, "parameter"]).select(*keys, F.lit(labels).alias("labels"), "parameter", "point", "mean", (F.col("mean") - F.col("point")).alias("bias"), "se", F.get("_q", F.lit(0)).alias("lo"), F.get("_q", F.lit(1)).alias("hi"), "at_zero")
+        out = r if out is None else out.unionByName(r)
+    return out
 
 
-def bootstrap_summary(reps: DataFrame, point: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, parameter, point, mean, bias, se, lo, hi): over the replicates, per parameter."""
+def bootstrap_check(reps: DataFrame, keys: list[str], near: float = 1e-3) -> DataFrame:
+    """(keys, replicates, swapped, checked, short, worst): how often labels changed, and how often a refit from the truth fell ``near`` or more short of a search from random starts."""
+    short = F.col("checked_ll") - F.col("ll")
+    return reps.groupBy(*keys).agg(F.count("*").alias("replicates"), F.count_if("swapped").alias("swapped"), F.count("checked_ll").alias("checked"), F.count_if(short > near).alias("short"), F.max(short).alias("worst"))
 
-    def long(df, *more):
-        cells = F.flatten(F.transform("a", lambda row, i: F.transform(row, lambda v, j: F.struct(F.concat(F.lit("a_"), i.cast("string"), F.lit("_"), j.cast("string")).alias("parameter"), v.alias("v")))))
-        one = lambda name: F.transform(name, lambda v, i: F.struct(F.concat(F.lit(f"{name}_"), i.cast("string")).alias("parameter"), v.alias("v")))
-        return df.select(*keys, *more, F.inline(F.concat(cells, one("mu"), one("sigma"))))
 
-    g = long(reps).groupBy(*keys, "parameter").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("se"), F.percentile("v", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"))
-    p = long(point).withColumnRenamed("v", "point")
-    return p.join(g, [*keys, "parameter"]).select(*keys, "parameter", "point", "mean", (F.col("mean") - F.col("point")).alias("bias"), "se", F.get("_q", F.lit(0)).alias("lo"), F.get("_q", F.lit(1)).alias("hi"))
+def power(models: DataFrame, keys: list[str], cell: tuple[int, int], values, reps: int = 200, seed: int = 21, rounds: int = 400, tol: float = 1e-5, zero: float = 1e-6, chunk: int = 50) -> DataFrame:
+    """(keys, value, replicates, at_zero, mean): the share of refits with a transition at zero when its true value is each of ``values``."""
+    plan = models.select(*keys, "k", "pi", "a", "mu", "sigma", "n", F.explode(F.array(*map(F.lit, map(float, values)))).alias("value"))
 
+    def of(row):
+        pi, a, mu, sigma = batch_of(row)
+        a, own = held(a, cell, row["value"]), numbers(row["chunk"], reps, chunk)
+        x = simulated(a[..., 0], mu[:, 0], sigma[:, 0], int(row["n"]), [[seed, r, int(1e6 * row["value"])] for r in own])
+        fitted, _, _, _, _ = em(x, tuple(np.repeat(p, len(own), -1) for p in (pi, a, mu, sigma)), rounds, tol)
+        for i, r in enumerate(own):
+            yield {**{c: row[c] for c in keys}, "value": row["value"], "rep": r, "at": float(by_order(fitted)[1][cell[0], cell[1], i])}
+
+    found = each_row(chunks(plan, [*keys, "value"], reps, chunk), f"{key_schema(models, keys)}value double, rep int, at double", of)
+    return found.groupBy(*keys, "value").agg(F.count("*").alias("replicates"), F.avg((F.col("at") < zero).cast("double")).alias("at_zero"), F.avg("at").alias("mean"))
+
+
+# a transition near zero ----------------------------------------------------------------------
+
+
+def boundary_score(series: DataFrame, models: DataFrame, keys: list[str], cell: tuple[int, int], rounds: int = 5000, tol: float = 1e-10) -> DataFrame:
+    """(keys, ratio, at_boundary, ll_zero): with a transition held at 0 and the rest refitted, the slope of the likelihood in it per visit of its state.
+
+    Up to 1 the likelihood does not rise when the transition leaves 0, so its estimate is 0.
+    """
 
-def profile(series: DataFrame, models: DataFrame, keys: list[str], cell: tuple[int, int], values, rounds: int = 2000, tol: float = 1e-7) -> DataFrame:
+    def of(row):
+        x, m = np.asarray(row["x"], float), batch_of(row)
+        ratio, at_zero, ll, _ = _decision(x, m, cell, rounds, tol)
+        yield {**{c: row[c] for c in keys}, "ratio": ratio, "at_boundary": at_zero, "ll_zero": ll}
+
+    return each_row(models.join(series.select(*keys, "x"), keys), f"{key_schema(series, keys)}ratio double, at_boundary boolean, ll_zero double", of)
+
+
+def _constrained(x, m: Batch, cell, values, rounds: int, tol: float):
+    """EM with the cell held at each of ``values``, all at once, from one model."""
+    values = np.atleast_1d(np.asarray(values, float))
+    start = tuple(np.repeat(p, len(values), -1) for p in m)
+    start = start[0], held(start[1], cell, values), *start[2:]
+    return em(x, start, rounds, tol, fixed=(cell, values))
+
+
+def _decision(x, m: Batch, cell, rounds: int, tol: float):
+    at, ll, _, _, _ = _constrained(x, m, cell, 0.0, rounds, tol)
+    slope, visits = scores(x, at)
+    ratio = float(slope[cell[0], cell[1], 0] / visits[cell[0], 0])
+    return ratio, ratio <= 1, float(ll[0]), at
+
+
+def cell_estimate(series: DataFrame, models: DataFrame, keys: list[str], cell: tuple[int, int], leave: float = 1e-3, rounds: int = 5000, tol: float = 1e-10) -> DataFrame:
+    """(keys, at_boundary, estimate, ll_max, ll_zero): a transition's estimate; where it is not 0, EM leaves the maximum at 0 from ``leave``."""
+
+    def of(row):
+        x = np.asarray(row["x"], float)
+        _, at_zero, ll_zero, at = _decision(x, batch_of(row), cell, rounds, tol)
+        estimate, ll = 0.0, ll_zero
+        if not at_zero:
+            inner, got, _, _, _ = em(x, (at[0], held(at[1], cell, leave), *at[2:]), rounds, tol)
+            if got[0] > ll:
+                estimate, ll = float(inner[1][cell[0], cell[1], 0]), float(got[0])
+        yield {**{c: row[c] for c in keys}, "at_boundary": at_zero, "estimate": estimate, "ll_max": ll, "ll_zero": ll_zero}
+
+    return each_row(models.join(series.select(*keys, "x"), keys), f"{key_schema(series, keys)}at_boundary boolean, estimate double, ll_max double, ll_zero double", of)
+
+
+def profile(series: DataFrame, models: DataFrame, keys: list[str], cell: tuple[int, int], values, rounds: int = 5000, tol: float = 1e-8) -> DataFrame:
     """(keys, value, ll, drop): the likelihood with one transition held at each value, and twice its drop from the model's."""
     plan = models.join(series.select(*keys, "x"), keys).select(*models.columns, "x", F.explode(F.array(*map(F.lit, map(float, values)))).alias("value")).repartition(*keys, "value")
 
-    def run(batches):
-        import pandas as pd
-
-        for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                pi, a, mu, sigma = member(row)
-                i, j = cell
-                rest = a[:, i].copy()
-                rest[:, j] = 0
-                a[:, i] = rest / rest.sum(1, keepdims=True) * (1 - row["value"])
-                a[:, i, j] = row["value"]
-                *_, ll, _ = em(np.asarray(row["x"], float), pi, a, mu, sigma, rounds, tol, (i, j, row["value"]))
-                out.append({**{c: row[c] for c in keys}, "value": row["value"], "ll": float(ll[0]), "drop": 2 * (row["ll"] - float(ll[0]))})
-            yield pd.DataFrame(out, columns=[*keys, "value", "ll", "drop"])
+    def of(row):
+        ll = float(_constrained(np.asarray(row["x"], float), batch_of(row), cell, row["value"], rounds, tol)[1][0])
+        yield {**{c: row[c] for c in keys}, "value": row["value"], "ll": ll, "drop": 2 * (row["ll"] - ll)}
 
-    return plan.mapInPandas(run, f"{key_schema(models, keys)}value double, ll double, drop double")
+    return each_row(plan, f"{key_schema(models, keys)}value double, ll double, drop double", of)
 
 
 def profile_bound(drops: DataFrame, keys: list[str], critical: float = 2.705543454095404) -> DataFrame:
-    """Where the profile crosses the critical value going up, by linear interpolation between grid values."""
-    from pyspark.sql import Window
-
+    """Where the profile first reaches the critical value, by linear interpolation between grid values."""
     w = Window.partitionBy(*keys).orderBy("value")
     r = drops.withColumns({"_v": F.lag("value").over(w), "_d": F.lag("drop").over(w)}).where((F.col("_d") < critical) & (F.col("drop") >= critical))
     at = F.col("_v") + (critical - F.col("_d")) / (F.col("drop") - F.col("_d")) * (F.col("value") - F.col("_v"))
-    return r.groupBy(*keys).agg(F.max(at).alias("upper"))
+    return r.groupBy(*keys).agg(F.min(at).alias("upper"))
 
 
-def boundary_score(series: DataFrame, models: DataFrame, keys: list[str], cell: tuple[int, int]) -> DataFrame:
-    """(keys, ratio): slope of the likelihood in a transition at 0, per visit of its state; over 1 the maximum is inside."""
+GRID = (0.001, 0.002, 0.004, 0.008, 0.015, 0.03, 0.05, 0.08, 0.12, 0.2, 0.3, 0.45, 0.65, 0.9)
 
-    def run(batches):
-        import pandas as pd
 
-        for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                pi, a, mu, sigma = member(row)
-                x = np.asarray(row["x"], float)
-                i, j = cell
-                a[:, i, j] = 0
-                a[:, i] /= a[:, i].sum(1, keepdims=True)
-                b, _ = densities(x, mu, sigma)
-                alpha, scale = filtered(b, pi, a)
-                beta, slope, visits = np.ones((1, a.shape[1])), 0.0, 0.0
-                for t in range(len(x) - 2, -1, -1):
-                    ahead = b[:, t + 1] * beta / scale[:, t + 1, None]
-                    slope += float(alpha[0, t, i] * ahead[0, j])
-                    beta = np.einsum("rjk,rk->rj", a, ahead)
-                    visits += float(alpha[0, t, i] * beta[0, i])
-                out.append({**{c: row[c] for c in keys}, "ratio": slope / visits})
-            yield pd.DataFrame(out, columns=[*keys, "ratio"])
-
-    return models.join(series.select(*keys, "x"), keys).mapInPandas(run, f"{key_schema(series, keys)}ratio double")
+def refined_bound(series: DataFrame, models: DataFrame, keys: list[str], cell: tuple[int, int], critical: float = 2.705543454095404, grid=GRID, refine: int = 3, points: int = 8, rounds: int = 5000, tol: float = 1e-8) -> DataFrame:
+    """(keys, estimate, upper, evaluated): the bound by a bracket on a grid of steps above the estimate, cut ``refine`` times at ``points`` places; null if the profile never gets that low."""
+
+    def of(row):
+        x, m = np.asarray(row["x"], float), batch_of(row)
+        at = float(m[1][cell[0], cell[1], 0])
+        values, drops = np.array([at]), np.array([0.0])
+        new, upper = at + np.array(grid) * (1 - at), None
+        for _ in range(refine + 1):
+            ll = _constrained(x, m, cell, new, rounds, tol)[1]
+            values, drops = np.append(values, new), np.append(drops, 2 * (row["ll"] - ll))
+            order = np.argsort(values)
+            values, drops = values[order], drops[order]
+            over = np.flatnonzero(drops >= critical)
+            if not len(over):
+                break
+            hi = max(int(over[0]), 1)
+            lo = hi - 1
+            share = (critical - drops[lo]) / (drops[hi] - drops[lo]) if drops[hi] > drops[lo] else 1.0
+            upper = float(values[lo] + share * (values[hi] - values[lo]))
+            new = np.linspace(values[lo], values[hi], points + 2)[1:-1]
+        yield {**{c: row[c] for c in keys}, "estimate": at, "upper": upper, "evaluated": len(values) - 1}
+
+    return each_row(models.join(series.select(*keys, "x"), keys).repartition(*keys), f"{key_schema(models, keys)}estimate double, upper double, evaluated int", of)
+
+
+def inverted_test(series: DataFrame, models: DataFrame, keys: list[str], cell: tuple[int, int], values, reps: int = 200, level: float = 0.9, seed: int = 22, rounds: int = 2000, tol: float = 1e-7, chunk: int = 50) -> DataFrame:
+    """(keys, value, drop, critical, p, inside): for each value of a transition, the observed drop against those of paths simulated with it held there.
+
+    ``critical`` is the ``level`` quantile of the simulated drops, p the share of them that reach the
+    observed one; values inside belong to the confidence set.
+    """
+    joined = models.join(series.select(*keys, "x"), keys)
+    plan = joined.select(*models.columns, "x", F.explode(F.array(*map(F.lit, map(float, values)))).alias("value"))
+
+    def of(row):
+        x, m, own = np.asarray(row["x"], float), batch_of(row), numbers(row["chunk"], reps, chunk)
+        at, ll, _, _, _ = _constrained(x, m, cell, row["value"], rounds, tol)
+        drop = 2 * (row["ll"] - float(ll[0]))
+        paths = simulated(at[1][..., 0], at[2][:, 0], at[3][:, 0], len(x), [[seed, r, int(1e6 * row["value"])] for r in own])
+        start, held_at = tuple(np.repeat(p, len(own), -1) for p in at), np.full(len(own), row["value"])
+        zero = em(paths, start, rounds, tol, fixed=(cell, held_at))
+        free = em(paths, zero[0], rounds, tol)
+        for i in range(len(own)):
+            yield {**{c: row[c] for c in keys}, "value": row["value"], "drop": drop, "simulated": float(2 * max(free[1][i] - zero[1][i], 0.0))}
+
+    found = each_row(chunks(plan, [*keys, "value"], reps, chunk), f"{key_schema(models, keys)}value double, drop double, simulated double", of)
+    out = found.groupBy(*keys, "value").agg(F.first("drop").alias("drop"), F.percentile("simulated", F.lit(level)).alias("critical"), F.avg((F.col("simulated") >= F.col("drop")).cast("double")).alias("p"))
+    return out.withColumn("inside", F.col("drop") <= F.col("critical"))
