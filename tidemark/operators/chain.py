@@ -1,9 +1,10 @@
-"""Hidden chains as products of small matrices, and linear recurrences, without a loop over times.
+"""Hidden chains as products of small matrices, and linear recurrences, with short loops.
 
 A series of steps is cut into blocks of about the square root of its length; within all blocks at
 once, and over all members of a batch at once, the steps' k x k matrices are multiplied up, and the
-blocks are joined by their totals. States stand first: weights are (k, members, times), steps
-(k, k, members, times), the step from a time's states (first axis) to those of the next.
+blocks are joined by their totals; large batches are stepped time after time. States stand first:
+weights are (k, members, times), steps (k, k, members, times), the step from a time's states (first
+axis) to those of the next.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import math
 import numpy as np
 
 LEAST = 1e-300
+MANY = 500  # numbers per step from which on a loop over times is faster
 
 
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -31,9 +33,25 @@ def _block(now: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return out
 
 
+def _one_by_one(first: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same time after time: for batches so large that the k-fold work of the products costs more than a loop."""
+    k, _, r, t = steps.shape
+    ordered, rows, size = np.ascontiguousarray(np.moveaxis(steps, 3, 0)), np.empty((t + 1, k, r)), np.empty((t + 1, r))
+    size[0] = np.maximum(first.sum(0), LEAST)
+    rows[0] = now = first / size[0]
+    for i in range(t):
+        now = (now[:, None] * ordered[i]).sum(0)
+        size[i + 1] = now.sum(0)
+        now = now / np.maximum(size[i + 1], LEAST)
+        rows[i + 1] = now
+    return np.moveaxis(rows, 0, 2), np.cumsum(np.log(np.maximum(size, LEAST)), 0).T
+
+
 def forward(first: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """From weights ``first`` (k, r) of the first time: causal probabilities (k, r, t + 1), and the log of all weight up to each time (r, t + 1)."""
     k, _, r, t = steps.shape
+    if k * k * r > MANY:
+        return _one_by_one(first, steps)
     wide = max(1, math.isqrt(t))
     blocks = -(-t // wide)
     whole = np.zeros((k, k, r, blocks * wide))

@@ -93,32 +93,75 @@ def take(m: Batch, which) -> Batch:
     return tuple(p[..., which] for p in m)
 
 
-def em(x: np.ndarray, m: Batch, rounds: int, tol: float, fixed=None, least: int = 6, step_tol: float | None = None, looks: tuple[int, ...] = ()):
+def _flat(m: Batch) -> np.ndarray:
+    """Transitions, means and scales on scales without bounds: (parameters, members)."""
+    return np.concatenate([np.log(np.maximum(m[1], chain.LEAST)).reshape(-1, m[1].shape[-1]), m[2], np.log(m[3])])
+
+
+def _ahead(zero: Batch, one: Batch, two: Batch, fixed) -> Batch:
+    """Where the moves of two rounds of EM point to: a squared extrapolation per member, never short of the second round."""
+    f0, f1, f2 = map(_flat, (zero, one, two))
+    move, bend = f1 - f0, f2 - 2 * f1 + f0
+    size = np.minimum(-np.sqrt((move**2).sum(0) / np.maximum((bend**2).sum(0), chain.LEAST)), -1.0)
+    size = np.maximum(size, -64.0)
+    at = f0 - 2 * size * move + size**2 * bend
+    k, r = two[2].shape
+    log = np.clip(at[: k * k], f2[: k * k] - 1.5, f2[: k * k] + 1.5).reshape(k, k, r)  # a jump must not end at a transition of 0, which EM never leaves
+    a = np.exp(log - log.max(1, keepdims=True))
+    a /= a.sum(1, keepdims=True)
+    if fixed:
+        a = held(a, *fixed)
+    sigma = np.sqrt(np.maximum(np.exp(2 * np.clip(at[k * k + k :], -300, 300)), LOWEST_VAR))
+    return two[0], a, at[k * k : k * k + k], sigma
+
+
+def em(x: np.ndarray, m: Batch, rounds: int, tol: float, fixed=None, least: int = 6, step_tol: float | None = None, looks: tuple[int, ...] = (), jump: bool = True):
     """EM for a batch of members: (parameters, log-likelihoods, rounds, those stopped by tolerance, {round: log-likelihoods} at ``looks``).
 
-    A member leaves when it gains less than ``tol`` after ``least`` rounds and, with ``step_tol``, no
-    parameter moves more than that.
+    A member leaves when a round gains less than ``tol`` after ``least`` rounds and, with ``step_tol``,
+    moves no parameter by more than that. After every second round each member tries to jump ahead,
+    and falls back to where it was if the likelihood there is lower; with ``looks``, or without
+    ``jump``, rounds are plain.
     """
     x = np.atleast_2d(np.asarray(x, float))
     r = m[0].shape[1]
-    done = tuple(p.copy() for p in m)
-    live, ll, n, stopped, seen = np.arange(r), np.full(r, -np.inf), np.zeros(r, int), np.zeros(r, bool), {}
+    done, live = tuple(p.copy() for p in m), np.arange(r)
+    ll, n, stopped, seen = np.full(r, -np.inf), np.zeros(r, int), np.zeros(r, bool), {}
+    now, safe, floor, zero = done, None, None, None  # of the live members: parameters, where to fall back to, the likelihood to beat, parameters a round ago
     for i in range(1, rounds + 1):
-        now, own = take(done, live), x if len(x) == 1 else x[live]
+        own, held_at = x if len(x) == 1 else x[live], (fixed[0], np.broadcast_to(fixed[1], r)[live]) if fixed else None
         gamma, pairs, new = expectation(own, now)
-        gain, ll[live], n[live] = new - ll[live], new, i
-        fresh = maximisation(own, gamma, pairs, (fixed[0], np.broadcast_to(fixed[1], r)[live]) if fixed else None)
+        if safe is not None:  # after a jump
+            worse = np.flatnonzero(~(new >= floor))
+            if len(worse):
+                now = tuple(p.copy() for p in now)
+                for p, q in zip(now, safe, strict=True):
+                    p[..., worse] = q[..., worse]
+                g, q, l = expectation(own if len(own) == 1 else own[worse], take(now, worse))
+                gamma[:, worse], pairs[..., worse], new[worse] = g, q, l
+        gain = new - (ll[live] if floor is None else floor)
+        fresh = maximisation(own, gamma, pairs, held_at)
+        ll[live], n[live] = new, i
         if i in looks:
             seen[i] = ll.copy()
-        rest = ~((gain < tol) & (i > least))
+        # after a jump the gain is over two rounds or more, so only plain rounds may end a member
+        rest = np.ones(len(live), bool) if safe is not None else ~((gain < tol) & (i > least))
         if step_tol is not None:
             rest |= largest_move(now, fresh) > step_tol
+        for p, q in zip(done, now, strict=True):
+            p[..., live] = q
         stopped[live[~rest]] = True
-        live = live[rest]
-        if not len(live):
+        if not rest.any():
             break
-        for p, f in zip(done, take(fresh, rest), strict=True):
-            p[..., live] = f
+        live, now, fresh, new = live[rest], take(now, rest), take(fresh, rest), new[rest]
+        if zero is not None and jump and not looks:
+            there = _ahead(take(zero, rest), now, fresh, (held_at[0], held_at[1][rest]) if fixed else None)
+            safe, floor, zero, now = fresh, new, None, there
+        else:
+            safe, floor, zero, now = None, None, now, fresh
+    else:
+        for p, q in zip(done, now if safe is None else safe, strict=True):
+            p[..., live] = q
     return done, loglik(x, done), n, stopped, seen
 
 
@@ -512,7 +555,7 @@ def cell_estimate(series: DataFrame, models: DataFrame, keys: list[str], cell: t
         _, at_zero, ll_zero, at = _decision(x, batch_of(row), cell, rounds, tol)
         estimate, ll = 0.0, ll_zero
         if not at_zero:
-            inner, got, _, _, _ = em(x, (at[0], held(at[1], cell, leave), *at[2:]), rounds, tol)
+            inner, got, _, _, _ = em(x, (at[0], held(at[1], cell, leave), *at[2:]), rounds, tol, jump=False)
             if got[0] > ll:
                 estimate, ll = float(inner[1][cell[0], cell[1], 0]), float(got[0])
         yield {**{c: row[c] for c in keys}, "at_boundary": at_zero, "estimate": estimate, "ll_max": ll, "ll_zero": ll_zero}

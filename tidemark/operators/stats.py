@@ -92,22 +92,53 @@ def arch_lm(rows: DataFrame, keys: list[str], value: str, order: str, lag: int =
     return g.mapInPandas(solve, f"{schema}{', ' if schema else ''}n long, lm double, f double")
 
 
+def _with(rows: DataFrame, keys: list[str], *facts: Column) -> DataFrame:
+    """Adds facts of each key, computed by one aggregation and joined back: no window holds a whole key."""
+    found = rows.groupBy(*keys).agg(*facts)
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    named = found.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    return (rows.join(named, same) if keys else rows.crossJoin(named)).drop(*(f"_k{i}" for i in range(len(keys))))
+
+
 def winsorised(rows: DataFrame, keys: list[str], value: str, tail: float = 0.0005) -> DataFrame:
     """Adds ``capped``: the value clipped at its quantiles ``tail`` and 1 - ``tail`` per key."""
-    w = Window.partitionBy(*keys)
-    q = F.percentile(value, F.array(F.lit(tail), F.lit(1 - tail))).over(w)
-    return rows.withColumn("_q", q).withColumn("capped", F.greatest(F.least(F.col(value), F.get("_q", F.lit(1))), F.get("_q", F.lit(0)))).drop("_q")
+    r = _with(rows, keys, F.percentile(value, F.array(F.lit(tail), F.lit(1 - tail))).alias("_q"))
+    return r.withColumn("capped", F.greatest(F.least(F.col(value), F.get("_q", F.lit(1))), F.get("_q", F.lit(0)))).drop("_q")
 
 
 def sensitivity_variants(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
-    """Each row under four variants: baseline, the largest set to the second largest, the largest dropped, capped at the 99 % quantile."""
-    w = Window.partitionBy(*keys)
-    r = rows.withColumns({"_rn": F.row_number().over(w.orderBy(F.desc(value), order)), "_cap": F.percentile(value, F.lit(0.99)).over(w)})
-    r = r.withColumn("_second", F.max(F.when(F.col("_rn") == 2, F.col(value))).over(w))
-    v, top = F.col(value), F.col("_rn") == 1
+    """Each row under four variants: baseline, the largest set to the second largest, the largest (first of equals by ``order``) dropped, capped at the 99 % quantile."""
+    largest = F.max_by(F.col(order), F.struct(F.col(value), -F.unix_micros(F.col(order).cast("timestamp")))) if dict(rows.dtypes)[order].startswith("timestamp") else F.max_by(F.col(order), F.struct(F.col(value), -F.col(order)))
+    r = _with(rows.where(F.col(value).isNotNull()), keys, F.percentile(value, F.lit(0.99)).alias("_cap"), largest.alias("_at"))
+    second = rows.where(F.col(value).isNotNull())
+    second = _with(second, keys, largest.alias("_first")).where(F.col(order) != F.col("_first")).groupBy(*keys).agg(F.max(value).alias("_second")).withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    r = r.join(second, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left") if keys else r.crossJoin(second)
+    v, top = F.col(value), F.col(order) == F.col("_at")
+    made = lambda name, x: F.struct(F.lit(name).alias("variant"), x.alias("v"))
+    out = r.select(*rows.columns, F.inline(F.array(made("baseline", v), made("max_to_second", F.when(top, F.col("_second")).otherwise(v)), made("drop_max", F.when(~top, v)), made("cap_q99", F.least(v, F.col("_cap"))))).alias("variant", "_v"))
+    return out.where("_v is not null").drop(value).withColumnRenamed("_v", value)
+
+
+def upper_tail_variants(rows: DataFrame, keys: list[str], value: str, order: str, start: str, after: str) -> DataFrame:
+    """Each row under two variants: what lies over the 99 % quantile capped between ``start`` and ``after`` only, and all of it capped, from ``after`` on."""
+    r = _with(rows.where(F.col(value).isNotNull()), keys, F.percentile(value, F.lit(0.99)).alias("_cap"))
+    late = F.col(order) >= F.lit(after).cast(dict(rows.dtypes)[order])
+    within = (F.col(order) >= F.lit(start).cast(dict(rows.dtypes)[order])) & ~late
+    capped = F.least(F.col(value), F.col("_cap"))
     made = lambda name, x: F.struct(F.lit(name).alias("variant"), x.alias("v"))
-    out = r.select(*rows.columns, F.inline(F.array(made("baseline", v), made("max_to_second", F.when(top, F.col("_second")).otherwise(v)), made("drop_max", F.when(~top, v)), made("cap_q99", F.least(v, F.col("_cap"))))))
-    return out.where("v is not null").drop(value).withColumnRenamed("v", value)
+    out = r.select(*rows.columns, F.inline(F.array(made("tail_capped_within", F.when(within, capped).otherwise(F.col(value))), made("capped_from", F.when(late, capped)))).alias("variant", "_v"))
+    return out.where("_v is not null").drop(value).withColumnRenamed("_v", value)
+
+
+def residual_battery(rows: DataFrame, keys: list[str], value: str, order: str, lags: Sequence[int] = (10, 24), arch_lag: int = 12, trim: int = 5) -> DataFrame:
+    """(keys, test, lag, statistic, p): Ljung-Box of the residuals, their squares, sizes and log squares, ARCH of all and without the ``trim`` largest, Jarque-Bera."""
+    z = F.col(value)
+    kinds = {"z": z, "squares": z * z, "sizes": F.abs(z), "log_squares": F.ln(F.greatest(z * z, F.lit(1e-300)))}
+    long = rows.select(*keys, order, F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("_z")) for k, v in kinds.items()))))
+    boxes = ljung_box(long, [*keys, "kind"], "_z", order, lags).select(*keys, F.concat(F.lit("ljung_box_"), "kind").alias("test"), "lag", F.col("q").alias("statistic"), "p")
+    arch = lambda r, name: arch_lm(r, keys, value, order, arch_lag).select(*keys, F.lit(name).alias("test"), F.lit(arch_lag).alias("lag"), F.col("lm").alias("statistic"), chi2_sf(F.col("lm"), F.lit(arch_lag)).alias("p"))
+    jb = jarque_bera(rows, keys, value).select(*keys, F.lit("jarque_bera").alias("test"), F.lit(0).alias("lag"), F.col("jb").alias("statistic"), "p")
+    return boxes.unionByName(arch(rows, "arch")).unionByName(arch(trimmed(rows, keys, value, order, trim), "arch_trimmed")).unionByName(jb)
 
 
 def injected(rows: DataFrame, keys: list[str], value: str, order: str, put: float, positions: Sequence[int]) -> DataFrame:
