@@ -223,6 +223,33 @@ def test_repeats_of_random_cuts(spark):
     assert len(want) > 30 and got == want
 
 
+def test_repeated_lines_go(spark):
+    """Runs of three lines, against a search for every window of three lines."""
+    g, rows = random.Random(9), []
+    lines = [prose(700 + i, 12) for i in range(40)]
+    for i in range(50):
+        at, n = g.randrange(36), g.randrange(1, 9)
+        own = lines[at : at + n] + [prose(g.randrange(10**6), 5) for _ in range(g.randrange(3))] + lines[g.randrange(38) :][:3]
+        rows.append((i, "\n".join(g.choice(["", " ", "\t"]) + x + g.choice(["", "  ", "\n"]) for x in own)))
+    rows += [(100, None), (101, ""), (102, "\n \n"), (103, "one line")]
+    seen, want = set(), {}
+    for i, t in rows:
+        own = [x.strip() for x in (t or "").split("\n") if x.strip()]
+        for p in range(len(own) - 2):
+            k = tuple(own[p : p + 3])
+            if k in seen:
+                want.setdefault(i, set()).update(range(p, p + 3))
+            seen.add(k)
+    got = linededup.drop_repeated(spark.createDataFrame(rows, "doc_id long, text string"), run=3, gram=2, unit="line").collect()
+    texts = dict(rows)
+    assert len(want) > 20
+    for r in got:
+        own = [x.strip() for x in (texts[r.doc_id] or "").split("\n") if x.strip()]
+        gone = {x for s in r.removed for x in range(s.first, s.last)}
+        assert gone == want.get(r.doc_id, set()) and r.n_units == len(own)
+        assert [x.strip() for x in (r.text or "").split("\n") if x.strip()] == [x for k, x in enumerate(own) if k not in gone]
+
+
 def test_line_feed_stays_between_lines(spark):
     p = prose(31, 55)
     docs = spark.createDataFrame([(1, p), (2, f"first line\n{p}\nlast line"), (3, f"head {p}\ntail")], "doc_id long, text string")

@@ -138,6 +138,15 @@ def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the lines with a word, without the white space around them."""
+    starts, ends = spans(~SPACE[data], offsets)
+    begin, stop = spans(data != 10, offsets)
+    first, after = np.searchsorted(starts, begin), np.searchsorted(starts, stop)
+    some = after > first
+    return starts[first[some]], ends[after[some] - 1]
+
+
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, and the offsets of each text's words among them."""
     starts, ends = spans(~SPACE[data], offsets)

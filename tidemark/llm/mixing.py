@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.llm.scratch import new_folder, written
 
 ROUNDS = 16  # of the permutation
+LEAST_BUCKETS = 64  # of a source, for the running total
 CHUNK = 10_000  # slots dealt at a time: a source's share of a shard is cut into such pieces
 
 
@@ -132,7 +133,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     blocks = -(-sizes // block)
     # a source that is taken in full as often as it may has all its blocks that often; else slots of nearly `block` words each
     quota = np.where(blocks > 0, np.minimum(np.rint(aim / np.maximum(sizes / np.maximum(blocks, 1), 1)), np.floor(most_times) * blocks), 0).astype(np.int64)
-    plan = [(i, r.source, int(sizes[i]), float(aim[i]), int(blocks[i]), int(quota[i]), -(-r.docs // bucket_rows)) for i, r in enumerate(rows)]
+    plan = [(i, r.source, int(sizes[i]), float(aim[i]), int(blocks[i]), int(quota[i]), max(LEAST_BUCKETS, -(-r.docs // bucket_rows))) for i, r in enumerate(rows)]
     sources = spark.createDataFrame(plan, "source_no int, source string, source_size long, target double, blocks long, quota long, buckets long")
     few = F.broadcast(sources)  # at most most_sources rows
 

@@ -62,7 +62,8 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.repeated_runs(table(spark, sf_dir, "documents")).drop("tag")
+    cut = linededup.drop_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "removed", F.md5("text").alias("text_digest"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
