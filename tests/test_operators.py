@@ -395,3 +395,35 @@ def test_rebuilt_hours_end_on_the_bar_and_keep_the_shape(spark):
     got = J.reconstruct_hourly(coarse, proxy, ["k"]).orderBy("time").collect()
     left = (math.log(96 / 80) - sum(moves)) / 2
     assert got[-1].close == pytest.approx(96.0) and math.log(got[0].close / 80) == pytest.approx(moves[0] + left)
+
+
+# long series in pieces -----------------------------------------------------------------------
+
+
+def test_hac_slope_in_pieces(spark):
+    g = np.random.default_rng(21)
+    x = np.cumsum(g.normal(size=130))
+    y = 0.4 * x + g.normal(size=130)
+    rows = keyed(spark, [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "t int, x double, y double")
+    slope = ((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum()
+    s = (y - y.mean() - slope * (x - x.mean())) * (x - x.mean())
+    meat = (s * s).sum() + 2 * sum((1 - k / 6) * (s[k:] * s[:-k]).sum() for k in range(1, 6))
+    for piece in (7, 40, 1000):
+        got = T.hac_slope(rows, ["k"], "y", "x", "t", 5, piece).first()
+        assert (got.n, got.slope) == (130, pytest.approx(slope)) and got.se == pytest.approx(math.sqrt(meat) / ((x - x.mean()) ** 2).sum())
+
+
+def test_drawdowns_over_days(spark):
+    g = np.random.default_rng(22)
+    stamps, price = hours(200), 100 + np.cumsum(g.normal(size=200))
+    rows = keyed(spark, [(t, float(p)) for t, p in zip(stamps, price)], "time timestamp_ntz, close double")
+    lo, hi = stamps[60], stamps[150]
+    got = G.drawdown_context(rows, ["k"], F.lit(lo), F.lit(hi)).first()
+    down = price / np.maximum.accumulate(price) - 1
+    assert got.n == 91 and got.mean_drawdown == pytest.approx(down[60:151].mean()) and got.mean_price == pytest.approx(price[60:151].mean())
+
+
+def test_numbers_run_over_stretches(spark):
+    rows = spark.createDataFrame([(k, 40_000 * i) for k in ("a", None) for i in range(9)], "k string, t int")
+    got = T.numbered(rows, ["k"], "t").orderBy("k", "t").collect()
+    assert [r._i for r in got] == [*range(9)] * 2

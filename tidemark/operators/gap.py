@@ -91,9 +91,16 @@ def fit_errors(rows: DataFrame, keys: list[str], own: str, rebuilt: str, floor_o
 
 
 def drawdown_context(prices: DataFrame, keys: list[str], lo: Column, hi: Column, time: str = "time", close: str = "close") -> DataFrame:
-    """Mean price and mean drawdown from the running maximum of the whole history, inside a window."""
-    top = F.max(close).over(Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, 0))
-    r = prices.withColumn("_dd", F.col(close) / top - 1).where((F.col(time) >= lo) & (F.col(time) <= hi))
+    """Mean price and mean drawdown from the running maximum of the whole history, inside a window.
+
+    The maximum runs within days; that of the days before is carried by a row per day.
+    """
+    r = prices.withColumn("_day", F.date_trunc("day", time))
+    days = r.groupBy(*keys, "_day").agg(F.max(close).alias("_most")).withColumn("_carried", F.max("_most").over(Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)))
+    own = F.max(close).over(Window.partitionBy(*keys, "_day").orderBy(time).rowsBetween(Window.unboundedPreceding, 0))
+    within = (F.col(time) >= lo) & (F.col(time) <= hi)
+    r = r.withColumn("_own", own).where(within).join(days.drop("_most"), [*keys, "_day"])
+    r = r.withColumn("_dd", F.col(close) / F.greatest("_own", "_carried") - 1)
     return r.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(close).alias("mean_price"), F.avg("_dd").alias("mean_drawdown"))
 
 

@@ -173,8 +173,8 @@ def switch(classified: DataFrame, keys: list[str], time: str = "time", premium:
 
     ``late_old`` counts records of an older rule after the switch: the switch holds only if it is 0.
     """
-    first = F.min(F.when(F.col("regime") == "clamp_5bp", F.col(time))).over(Window.partitionBy(*keys))
-    r = classified.withColumn("_switch", first)
+    first = classified.groupBy(*keys).agg(F.min(F.when(F.col("regime") == "clamp_5bp", F.col(time))).alias("_switch"))
+    r = classified.join(first, keys) if keys else classified.crossJoin(F.broadcast(first))  # one row
     after = F.col(time) >= F.col("_switch")
     inside = F.col(premium).between(X.literal(X.FLOOR_8H) - X.literal(X.CLAMP), X.literal(X.FLOOR_8H) + X.literal(X.CLAMP))
     common, floor = after & (F.col("schedule") == "1h"), F.col("regime") == "floor"

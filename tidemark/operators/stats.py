@@ -21,17 +21,40 @@ def correlations(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return r.groupBy(*keys).agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"))
 
 
-def hac_slope(rows: DataFrame, keys: list[str], y: str, x: str, order: str, lags: int = 20) -> DataFrame:
+def stretch_of(rows: DataFrame, order: str) -> Column:
+    """A coarse part of the order column: days of stamps, 100,000s of numbers. Windows within it stay small however long a series is."""
+    kind = dict(rows.dtypes)[order]
+    return F.date_trunc("day", order).cast("string") if kind.startswith(("timestamp", "date")) else F.lpad(F.floor(F.col(order) / 100_000).cast("string"), 20, "0")
+
+
+def numbered(rows: DataFrame, keys: list[str], order: str, name: str = "_i") -> DataFrame:
+    """Adds each row's place (from 0) in its key's order: places within stretches, plus the rows of the stretches before."""
+    r = rows.withColumn("_stretch", stretch_of(rows, order))
+    before = r.groupBy(*keys, "_stretch").agg(F.count("*").alias("_n")).withColumn("_head", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)))
+    named = before.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_stretch").alias("_of"), F.coalesce("_head", F.lit(0)).alias("_head"))
+    same = F.col("_stretch") == F.col("_of")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_stretch").orderBy(order)) - 1
+    return r.withColumn("_own", own).join(named, same).withColumn(name, F.col("_own") + F.col("_head")).drop("_own", "_head", "_stretch", "_of", *(f"_k{i}" for i in range(len(keys))))
+
+
+def hac_slope(rows: DataFrame, keys: list[str], y: str, x: str, order: str, lags: int = 20, piece: int = 100_000) -> DataFrame:
     """Least-squares slope with a Newey-West standard error (Bartlett weights) and its 95 % interval.
 
-    The scores' lagged products come from ``lead`` over the ordered rows, one pass for all lags.
+    Means and slope come from one aggregation; the scores' lagged products from ``lead`` within
+    pieces of the numbered rows, each with the first rows of the next piece added, so that no window
+    holds a whole series.
     """
-    all_, w = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(order)
     both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    r = both.withColumns({"_mx": F.avg(x).over(all_), "_my": F.avg(y).over(all_), "_b": F.covar_pop(y, x).over(all_) / F.var_pop(x).over(all_)})
+    r = _with(both, keys, F.avg(x).alias("_mx"), F.avg(y).alias("_my"), (F.covar_pop(y, x) / F.var_pop(x)).alias("_b"))
     r = r.withColumn("_u", (F.col(y) - F.col("_my")) - F.col("_b") * (F.col(x) - F.col("_mx"))).withColumn("_s", F.col("_u") * (F.col(x) - F.col("_mx")))
+    at = numbered(r, keys, order).withColumn("_piece", F.floor(F.col("_i") / piece))
+    early = (F.col("_piece") > 0) & (F.col("_i") % piece < lags)
+    at = at.select("*", F.explode(F.when(early, F.array(F.col("_piece"), F.col("_piece") - 1)).otherwise(F.array("_piece"))).alias("_in"))
+    w = Window.partitionBy(*keys, "_in").orderBy("_i")
     ahead = sum((2 * (1 - k / (lags + 1)) * F.coalesce(F.lead("_s", k).over(w), F.lit(0.0)) for k in range(1, lags + 1)), F.lit(0.0))
-    g = r.withColumn("_m", F.col("_s") * (F.col("_s") + ahead)).groupBy(*keys).agg(F.count("*").alias("n"), F.first("_b").alias("slope"), F.sum("_m").alias("_meat"), F.sum((F.col(x) - F.col("_mx")) ** 2).alias("_xx"))
+    g = at.withColumn("_m", F.col("_s") * (F.col("_s") + ahead)).where(F.col("_in") == F.col("_piece")).groupBy(*keys).agg(F.count("*").alias("n"), F.first("_b").alias("slope"), F.sum("_m").alias("_meat"), F.sum((F.col(x) - F.col("_mx")) ** 2).alias("_xx"))
     se = F.sqrt(F.greatest(F.col("_meat"), F.lit(0.0))) / F.col("_xx")
     return g.select(*keys, "n", "slope", se.alias("se"), (F.col("slope") - 1.96 * se).alias("lo"), (F.col("slope") + 1.96 * se).alias("hi"))
 
