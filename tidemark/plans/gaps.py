@@ -130,11 +130,11 @@ def _shapley_sql() -> str:
 
 
 def fit_errors(spark, d):
-    """Block means of the premiums, put through the rule, against the block's last printed rate."""
+    """Block means of the premiums, put through the rule, against the block's last printed rate; in whole milli-bps, so that sums are exact in any order."""
     r = records(spark, d)
-    g = r.groupBy("venue", P.block_end(F.col("ts")).alias("block")).agg((F.max_by("r", "ts") / 1000).alias("own"), F.avg("premium_bps").alias("p"))
-    g = g.withColumn("rebuilt", X.funding_8h(F.col("p"), F.lit(1.0), F.lit(5.0)))
-    out = G.fit_errors(g, ["venue"], "own", "rebuilt", F.col("own") == 1, F.abs(F.col("rebuilt") - 1) < 1e-9, 20.0)
+    g = r.groupBy("venue", P.block_end(F.col("ts")).alias("block")).agg(F.max_by("r", "ts").alias("own"), F.round(F.avg("p")).cast("long").alias("p"))
+    g = g.withColumn("rebuilt", X.funding_8h(F.col("p"), F.lit(1000), F.lit(5000)))
+    out = G.fit_errors(g, ["venue"], "own", "rebuilt", F.col("own") == 1000, F.col("rebuilt") == 1000, 20_000)
     return rounded(out, "median_error", "mean_error", "p95_error", "largest_error", "share_close", "floor_agreement", digits=5)
 
 
@@ -179,8 +179,8 @@ SELECT venue, p, round(own_q, 5) AS own_q, round(other_q, 5) AS other_q, round(o
     "month_majority": (month_majority, f"WITH {REC}, s AS (SELECT venue, strftime(ts - INTERVAL 1 SECOND, '%Y-%m-%d') AS period, avg(CASE WHEN r = 1000 THEN 1.0 ELSE 0.0 END) AS share FROM fund GROUP BY 1, 2) SELECT venue, count(*) AS n, count(*) FILTER (share > 0.5) AS majority, arg_min(period, {{'s': share, 'p': period}}) AS lowest_period, round(min(share), 6) AS lowest, bool_and(share > 0.5) AS always FROM s GROUP BY 1"),
     "share_cube": (lambda spark, d: rounded(share_cube(spark, d), "share", digits=8), f"{CUBE} SELECT location, averaging, dispersion, round(share, 8) AS share FROM cube"),
     "shapley_split": (shapley, _shapley_sql()),
-    "fit_errors": (fit_errors, f"""WITH {REC}, g AS (SELECT venue, {BLOCK.format(t="ts")} AS block, arg_max(r, ts) / 1000.0::DOUBLE AS own, avg(premium_bps) AS p FROM fund GROUP BY 1, 2), h AS (SELECT *, p + greatest(least(1 - p, 5), -5) AS re FROM g), e AS (SELECT *, CASE WHEN own <> 1 THEN abs(own - re) END AS err FROM h)
-SELECT venue, count(*) AS n, count(err) AS off_floor, round(median(err), 5) AS median_error, round(avg(err), 5) AS mean_error, round(quantile_cont(err, 0.95), 5) AS p95_error, round(max(err), 5) AS largest_error, round(avg(CASE WHEN err <= 20 THEN 1.0 WHEN err > 20 THEN 0.0 END), 5) AS share_close, round(avg(CASE WHEN (own = 1) = (abs(re - 1) < 1e-9) THEN 1.0 ELSE 0.0 END), 5) AS floor_agreement FROM e GROUP BY 1"""),
+    "fit_errors": (fit_errors, f"""WITH {REC}, g AS (SELECT venue, {BLOCK.format(t="ts")} AS block, arg_max(r, ts) AS own, CAST(round(avg(p)) AS BIGINT) AS p FROM fund GROUP BY 1, 2), h AS (SELECT *, p + greatest(least(1000 - p, 5000), -5000) AS re FROM g), e AS (SELECT *, CASE WHEN own <> 1000 THEN abs(own - re) END AS err FROM h)
+SELECT venue, count(*) AS n, count(err) AS off_floor, round(median(err), 5) AS median_error, round(avg(err), 5) AS mean_error, round(quantile_cont(err, 0.95), 5) AS p95_error, round(max(err), 5) AS largest_error, round(avg(CASE WHEN err <= 20000 THEN 1.0 WHEN err > 20000 THEN 0.0 END), 5) AS share_close, round(avg(CASE WHEN (own = 1000) = (re = 1000) THEN 1.0 ELSE 0.0 END), 5) AS floor_agreement FROM e GROUP BY 1"""),
     "drawdown_context": (drawdown, f"WITH {REC}, t AS (SELECT venue, ts, 100 + value AS c, max(100 + value) OVER (PARTITION BY venue ORDER BY ts ROWS UNBOUNDED PRECEDING) AS top FROM fund) SELECT venue, count(*) AS n, round(avg(c), 6) AS mean_price, round(avg(c / top - 1), 6) AS mean_drawdown FROM t WHERE ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20' GROUP BY 1"),
     "binomial_share": (binomial, f"WITH {REC}, g AS (SELECT venue, count(*) FILTER (p > 0) AS k, count(*) AS n FROM fund GROUP BY 1) SELECT venue, k, n, round(k / n, 8) AS share, round(sqrt(k / n * (1 - k / n) / n), 8) AS se FROM g"),
     "changed_leaves": (changed_leaves, f"""WITH {REC}, {HOURLY_SQL}, h AS (SELECT venue || '/' || strftime(time, '%Y-%m-%d %H') AS path, m AS value FROM hr), o AS (SELECT * FROM h WHERE value % 5 <> 0), n AS (SELECT path, CASE WHEN value % 3 = 0 THEN value + 1 ELSE value END AS value FROM h WHERE value % 7 <> 0)
