@@ -184,20 +184,20 @@ def _runs(docs: DataFrame, table: DataFrame, run: int, unit: str, folder: str) -
     """(doc_id, tag, removed) of the documents with units to delete, from the table of blocks."""
     each = table.select("doc_id", "tag", F.explode(F.arrays_zip("at", "size", "mark", "block")).alias("m")).select("doc_id", "tag", "m.*")
     where = F.struct(F.col("doc_id").alias("d"), F.col("tag").alias("t"), F.col("at").alias("a"))
-    # sums are written before they are joined, so that Spark can split a frequent key
+    # sums are written before they are joined, so that Spark can split a frequent key; joins are by merging, the same plan at every size
     often = written(each.groupBy("mark").agg(F.count("*").alias("_n")).where("_n > 1").select("mark"), folder, "often")
-    met = written(each.join(often, "mark"), folder, "blocks")
+    met = written(each.join(often.hint("merge"), "mark"), folder, "blocks")
     groups = written(met.groupBy("mark", "block").agg(F.min(where).alias("first"), F.count("*").alias("n"), F.max("size").alias("size")), folder, "groups")
     copied = groups.where("n > 1").select("mark", "block", "first")
-    whole = met.join(copied, ["mark", "block"]).where(where != F.col("first")).select("doc_id", "tag", F.col("at").alias("first"), (F.col("at") + F.col("size") + (run - 1)).alias("last"))
+    whole = met.join(copied.hint("merge"), ["mark", "block"]).where(where != F.col("first")).select("doc_id", "tag", F.col("at").alias("first"), (F.col("at") + F.col("size") + (run - 1)).alias("last"))
     # fingerprints with several different blocks: the first of each, window by window
     several = written(groups.groupBy("mark").agg(F.count("*").alias("_n")).where("_n > 1").select("mark"), folder, "several")
-    opened = groups.join(several, "mark").groupBy(F.col("first.d").alias("o_doc"), F.col("first.t").alias("o_tag")).agg(F.collect_list(F.struct(F.col("first.a").alias("at"), "size")).alias("open"))
-    held = hashed(docs, unit).join(opened, F.col("doc_id").eqNullSafe(F.col("o_doc")) & (F.col("tag") == F.col("o_tag"))).select("doc_id", "tag", "units", "open")
+    opened = groups.join(several.hint("merge"), "mark").groupBy(F.col("first.d").alias("o_doc"), F.col("first.t").alias("o_tag")).agg(F.collect_list(F.struct(F.col("first.a").alias("at"), "size")).alias("open"))
+    held = hashed(docs, unit).join(opened.hint("merge"), F.col("doc_id").eqNullSafe(F.col("o_doc")) & (F.col("tag") == F.col("o_tag"))).select("doc_id", "tag", "units", "open")
     windows = written(_windows(held, run), folder, "windows")
     # a window's hash says all of its units, its fingerprint among them
     earliest = written(windows.groupBy("window").agg(F.min(where).alias("first"), F.count("*").alias("_n")).where("_n > 1").select("window", "first"), folder, "earliest")
-    single = windows.join(earliest, "window").where(where != F.col("first")).select("doc_id", "tag", F.col("at").alias("first"), (F.col("at") + run).alias("last"))
+    single = windows.join(earliest.hint("merge"), "window").where(where != F.col("first")).select("doc_id", "tag", F.col("at").alias("first"), (F.col("at") + run).alias("last"))
     step = F.struct(F.col("first").alias("first"), F.col("last").alias("last"))
     return written(_merged(whole.unionByName(single).groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set(step)).alias("all"))), folder, "removed")
 
@@ -234,7 +234,7 @@ def drop_repeated(docs: DataFrame, run: int = 50, gram: int = 8, unit: str = "wo
     table = written(marks(docs.select("doc_id", "text"), gram, run, unit), folder, "marks")
     runs = _runs(docs.select("doc_id", "text"), table, run, unit, folder).select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag"), F.col("removed").alias("__removed"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.crc32(F.coalesce("text", F.lit("")).cast("binary")) == F.col("__tag"))
-    joined = given.join(runs, same, "left").select(*(F.col(f"`{c}`") for c in given.columns), F.coalesce("__removed", F.array().cast(EMPTY)).alias("removed"))
+    joined = given.join(runs.hint("merge"), same, "left").select(*(F.col(f"`{c}`") for c in given.columns), F.coalesce("__removed", F.array().cast(EMPTY)).alias("removed"))
     fields, names = given.schema, given.columns
 
     def task(batches):
