@@ -25,6 +25,17 @@ def test_forward_pages_become_partitions(spark, tmp_path):
     assert rows.count() == 2000 and rows.select("time_ms").distinct().count() == 2000
 
 
+def test_series_without_rows_are_named(spark, tmp_path):
+    step = rest.SERIES["binance_premium_1h"]["step"]
+    for symbol, n in (("BTCUSDT", 5), ("ETHUSDT", 0)):
+        for p in rest.pages("binance_premium_1h", symbol, 0, 4 * step):
+            record(tmp_path, p, p.start, p.end, [[t * step, "0", "0", "0", "1e-6"] for t in range(n)])
+    wanted = {"start": 0, "end": 4 * step, "replay": str(tmp_path)}
+    assert rest.fetched(spark, [("binance_premium_1h", "BTCUSDT")], **wanted).count() == 5
+    with pytest.raises(ValueError, match="ETHUSDT"):
+        rest.fetched(spark, [("binance_premium_1h", "BTCUSDT, ETHUSDT")], **wanted)
+
+
 def test_backward_cursor_stops_and_keeps_each_stamp_once(tmp_path):
     step, n = rest.SERIES["bybit_funding"]["step"], 250
     page = rest.pages("bybit_funding", "BTCUSDT", 0, step * (n - 1))[0]

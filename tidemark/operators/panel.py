@@ -82,6 +82,21 @@ def compare_on_overlap(left: DataFrame, right: DataFrame, keys: list[str], field
     return long.groupBy("field").agg(F.count("*").alias("n"), F.max("diff").alias("largest"), F.max_by(time, F.struct(F.col("diff"), (-seconds(F.col(time))).alias("t"))).alias("at"), F.avg((F.col("diff") == 0).cast("double")).alias("share_equal"))
 
 
+def accepted(new: DataFrame, archived: DataFrame, keys: list[str], limits: dict[str, float], least_overlap: float, time: str = "time") -> DataFrame:
+    """(field, matched, largest, overlap, accepted): whether a new panel may stand for an archived one.
+
+    ``limits``: the largest difference allowed per field; ``least_overlap``: the share of the archived
+    rows that the new panel has to hold. An archive without a match is not accepted.
+    """
+    found = compare_on_overlap(new, archived, keys, list(limits), time).select("field", F.col("n").alias("matched"), "largest")
+    spark = new.sparkSession
+    wanted = F.broadcast(spark.createDataFrame(list(limits.items()), "field string, _limit double"))  # a row per field
+    rows = archived.agg(F.count("*").alias("_rows"))
+    out = wanted.join(found, "field", "left").crossJoin(F.broadcast(rows))  # one row
+    overlap = F.coalesce("matched", F.lit(0)) / F.greatest(F.col("_rows"), F.lit(1))
+    return out.select("field", F.coalesce("matched", F.lit(0)).alias("matched"), "largest", overlap.alias("overlap"), F.coalesce((overlap >= least_overlap) & (F.col("largest") <= F.col("_limit")), F.lit(False)).alias("accepted"))
+
+
 def interleave_blocks(rows: DataFrame, keys: list[str], value: str, hours: int = 8, time: str = "time") -> DataFrame:
     """One row per right-closed block with the values of its hours as columns h1 .. h<hours>; null where an hour is missing."""
     from tidemark.functions.periods import block_end

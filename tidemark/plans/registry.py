@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import floors, gaps, models, panels, runs
+from tidemark.plans import floors, gaps, models, panels, reports, runs
 
 FLAGSHIP = "floor_share_by_phase"
-PARTS = (floors, panels, runs, gaps, models)
+PARTS = (floors, panels, runs, gaps, models, reports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

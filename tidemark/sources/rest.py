@@ -140,3 +140,20 @@ class FundingSeries(DataSource):
 
 def register(spark) -> None:
     spark.dataSource.register(FundingSeries)
+
+
+def fetched(spark, wanted: list[tuple[str, str]], start: int, end: int, **options: str):
+    """All rows of several series (series, symbols joined by commas), as one table, after a check that every symbol of every series has answered with rows.
+
+    The check counts rows by series and symbol (a row each on the driver); names of empty ones are raised.
+    """
+    from functools import reduce
+
+    register(spark)
+    reads = [spark.read.format("funding_series").options(series=s, symbols=symbols, start=str(start), end=str(end), **options).load() for s, symbols in wanted]
+    rows = reduce(lambda a, b: a.unionByName(b), reads)
+    have = {(r.series, r.symbol) for r in rows.groupBy("series", "symbol").count().collect()}
+    empty = [(s, x.strip()) for s, symbols in wanted for x in symbols.split(",") if (s, x.strip()) not in have]
+    if empty:
+        raise ValueError(f"no rows for {empty}")
+    return rows
