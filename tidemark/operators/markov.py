@@ -308,16 +308,21 @@ def schema_fields(schema: str) -> list[str]:
     return [f"{f.name} {f.dataType.simpleString()}" for f in StructType.fromDDL(schema)]
 
 
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """Deal few, small, costly rows to tasks. By number, as adaptive execution puts small partitions of others together."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *by)
+
+
 def chunks(rows: DataFrame, keys: list[str], total: int, size: int) -> DataFrame:
     """A row per chunk of ``size`` of ``total`` numbers (column chunk), spread over tasks."""
-    return rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((total - 1) // size)))).repartition(*keys, "chunk")
+    return spread(rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((total - 1) // size)))), *keys, "chunk")
 
 
 def numbers(chunk: int, total: int, size: int) -> range:
     return range(chunk * size, min(total, (chunk + 1) * size))
 
 
-def fit(series: DataFrame, keys: list[str], ks=(2, 3), n_starts: int = 8, rounds: int = 500, tol: float = 1e-6, seed: int = 1, chunk: int = 20, kinds=("random",)) -> DataFrame:
+def fit(series: DataFrame, keys: list[str], ks=(2, 3), n_starts: int = 8, rounds: int = 500, tol: float = 1e-6, seed: int = 1, chunk: int = 10, kinds=("random",)) -> DataFrame:
     """All starts of all keys and numbers of states: (keys, start, kind, rounds, model columns, n).
 
     ``kinds``: random and spread starts. Starts go to tasks in chunks; the parameters of a start
@@ -350,7 +355,7 @@ def fit_split(series: DataFrame, parents: DataFrame, keys: list[str], factors=(0
         for i in range(len(ll)):
             yield {**{c: row[c] for c in keys}, "start": i, "kind": "split", "rounds": int(n[i]), **row_of(m, i, ll[i]), "n": int(row["n"])}
 
-    joined = parents.drop("n").join(series.select(*keys, "n", "x"), keys).repartition(*keys, "k")
+    joined = spread(parents.drop("n").join(series.select(*keys, "n", "x"), keys), *keys, "k")
     return each_row(joined, f"{key_schema(series, keys)}start int, kind string, rounds int, {MODEL}, n long", of)
 
 
@@ -392,7 +397,7 @@ def polish(series: DataFrame, models: DataFrame, keys: list[str], rounds: int =
         yield {**row, **row_of(by_order(m), 0, ll[0])}
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in models.schema)
-    return each_row(models.join(series.select(*keys, "x"), keys).select(*models.columns, "x"), schema, of)
+    return each_row(spread(models.join(series.select(*keys, "x"), keys).select(*models.columns, "x"), *keys, "k"), schema, of)
 
 
 def protocol(series: DataFrame, keys: list[str], ks=(2,), n_starts: int = 8, rounds: int = 100_000, tol: float = 1e-6, polish_tol: float = 1e-9, step_tol: float = 1e-10) -> DataFrame:
@@ -446,7 +451,7 @@ def durations(model: Column | str = "a") -> Column:
     return F.transform(F.col(model) if isinstance(model, str) else model, lambda row, i: 1 / (1 - F.get(row, i)))
 
 
-def bootstrap(models: DataFrame, keys: list[str], t: int | None, reps: int = 500, seed: int = 20, rounds: int = 400, tol: float = 1e-5, chunk: int = 50, check: int = 0, n_starts: int = 8) -> DataFrame:
+def bootstrap(models: DataFrame, keys: list[str], t: int | None, reps: int = 500, seed: int = 20, rounds: int = 400, tol: float = 1e-5, chunk: int = 25, check: int = 0, n_starts: int = 8) -> DataFrame:
     """(keys, rep, rounds, swapped, checked_ll, model columns): models refitted to simulated paths of ``t`` steps (None: as many as the model's series, its n), one row per replicate.
 
     ``swapped``: whether the order by sigma is another than that by mu is in the model. The first
@@ -499,7 +504,7 @@ def bootstrap_check(reps: DataFrame, keys: list[str], near: float = 1e-3) -> Dat
     return reps.groupBy(*keys).agg(F.count("*").alias("replicates"), F.count_if("swapped").alias("swapped"), F.count("checked_ll").alias("checked"), F.count_if(short > near).alias("short"), F.max(short).alias("worst"))
 
 
-def power(models: DataFrame, keys: list[str], cell: tuple[int, int], values, reps: int = 200, seed: int = 21, rounds: int = 400, tol: float = 1e-5, zero: float = 1e-6, chunk: int = 50) -> DataFrame:
+def power(models: DataFrame, keys: list[str], cell: tuple[int, int], values, reps: int = 200, seed: int = 21, rounds: int = 400, tol: float = 1e-5, zero: float = 1e-6, chunk: int = 25) -> DataFrame:
     """(keys, value, replicates, at_zero, mean): the share of refits with a transition at zero when its true value is each of ``values``."""
     plan = models.select(*keys, "k", "pi", "a", "mu", "sigma", "n", F.explode(F.array(*map(F.lit, map(float, values)))).alias("value"))
 
@@ -529,7 +534,7 @@ def boundary_score(series: DataFrame, models: DataFrame, keys: list[str], cell:
         ratio, at_zero, ll, _ = _decision(x, m, cell, rounds, tol)
         yield {**{c: row[c] for c in keys}, "ratio": ratio, "at_boundary": at_zero, "ll_zero": ll}
 
-    return each_row(models.join(series.select(*keys, "x"), keys), f"{key_schema(series, keys)}ratio double, at_boundary boolean, ll_zero double", of)
+    return each_row(spread(models.join(series.select(*keys, "x"), keys), *keys), f"{key_schema(series, keys)}ratio double, at_boundary boolean, ll_zero double", of)
 
 
 def _constrained(x, m: Batch, cell, values, rounds: int, tol: float):
@@ -560,18 +565,18 @@ def cell_estimate(series: DataFrame, models: DataFrame, keys: list[str], cell: t
                 estimate, ll = float(inner[1][cell[0], cell[1], 0]), float(got[0])
         yield {**{c: row[c] for c in keys}, "at_boundary": at_zero, "estimate": estimate, "ll_max": ll, "ll_zero": ll_zero}
 
-    return each_row(models.join(series.select(*keys, "x"), keys), f"{key_schema(series, keys)}at_boundary boolean, estimate double, ll_max double, ll_zero double", of)
+    return each_row(spread(models.join(series.select(*keys, "x"), keys), *keys), f"{key_schema(series, keys)}at_boundary boolean, estimate double, ll_max double, ll_zero double", of)
 
 
 def profile(series: DataFrame, models: DataFrame, keys: list[str], cell: tuple[int, int], values, rounds: int = 5000, tol: float = 1e-8) -> DataFrame:
     """(keys, value, ll, drop): the likelihood with one transition held at each value, and twice its drop from the model's."""
-    plan = models.join(series.select(*keys, "x"), keys).select(*models.columns, "x", F.explode(F.array(*map(F.lit, map(float, values)))).alias("value")).repartition(*keys, "value")
+    plan = models.join(series.select(*keys, "x"), keys).select(*models.columns, "x", F.explode(F.array(*map(F.lit, map(float, values)))).alias("value"))
 
     def of(row):
         ll = float(_constrained(np.asarray(row["x"], float), batch_of(row), cell, row["value"], rounds, tol)[1][0])
         yield {**{c: row[c] for c in keys}, "value": row["value"], "ll": ll, "drop": 2 * (row["ll"] - ll)}
 
-    return each_row(plan, f"{key_schema(models, keys)}value double, ll double, drop double", of)
+    return each_row(spread(plan, *keys, "value"), f"{key_schema(models, keys)}value double, ll double, drop double", of)
 
 
 def profile_bound(drops: DataFrame, keys: list[str], critical: float = 2.705543454095404) -> DataFrame:
@@ -608,10 +613,10 @@ def refined_bound(series: DataFrame, models: DataFrame, keys: list[str], cell: t
             new = np.linspace(values[lo], values[hi], points + 2)[1:-1]
         yield {**{c: row[c] for c in keys}, "estimate": at, "upper": upper, "evaluated": len(values) - 1}
 
-    return each_row(models.join(series.select(*keys, "x"), keys).repartition(*keys), f"{key_schema(models, keys)}estimate double, upper double, evaluated int", of)
+    return each_row(spread(models.join(series.select(*keys, "x"), keys), *keys), f"{key_schema(models, keys)}estimate double, upper double, evaluated int", of)
 
 
-def inverted_test(series: DataFrame, models: DataFrame, keys: list[str], cell: tuple[int, int], values, reps: int = 200, level: float = 0.9, seed: int = 22, rounds: int = 2000, tol: float = 1e-7, chunk: int = 50) -> DataFrame:
+def inverted_test(series: DataFrame, models: DataFrame, keys: list[str], cell: tuple[int, int], values, reps: int = 200, level: float = 0.9, seed: int = 22, rounds: int = 2000, tol: float = 1e-7, chunk: int = 25) -> DataFrame:
     """(keys, value, drop, critical, p, inside): for each value of a transition, the observed drop against those of paths simulated with it held there.
 
     ``critical`` is the ``level`` quantile of the simulated drops, p the share of them that reach the

@@ -191,7 +191,8 @@ def block_bootstrap_median(rows: DataFrame, keys: list[str], value: str, order:
     its own seeds, so the result does not depend on the partitioning. A key's series must fit a task.
     """
     series = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value]).alias("x"))
-    tasks = series.select(*keys, "x", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // chunk))).alias("chunk")).repartition("chunk", *keys)
+    tasks = series.select(*keys, "x", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // chunk))).alias("chunk"))
+    tasks = tasks.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "chunk", *keys)  # by number: few, small, costly rows
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
 
     def draw(batches):

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.operators import chain
-from tidemark.operators.markov import chunks, each_row, key_schema, numbers
+from tidemark.operators.markov import chunks, each_row, key_schema, numbers, spread
 
 NAMES = ("p00", "p11", "mu0", "mu1", "phi0", "phi1", "var0", "var1")
 FIT = "start int, ll double, " + ", ".join(f"{n} double" for n in NAMES) + ", regular boolean, spread double, rounds int, n long"
@@ -296,7 +296,7 @@ def _theta(row) -> np.ndarray:
     return np.array([row[n] for n in NAMES], float)
 
 
-def fit_switching(series: DataFrame, keys: list[str], n_starts: int = 40, rounds: int = 5000, tol: float = 1e-8, seed: int = 5, chunk: int = 20) -> DataFrame:
+def fit_switching(series: DataFrame, keys: list[str], n_starts: int = 40, rounds: int = 5000, tol: float = 1e-8, seed: int = 5, chunk: int = 10) -> DataFrame:
     """Every start of every key's series (keys, n, x): one row each, with whether its Hessian gives a covariance and the series' variance."""
 
     def of(row):
@@ -342,7 +342,7 @@ def inference(series: DataFrame, models: DataFrame, keys: list[str]) -> DataFram
         for name, c in covariances(_theta(row), np.asarray(row["x"], float)).items():
             yield {**{k: row[k] for k in keys}, "covariance": name, "theta": _theta(row).tolist(), "cov": c.tolist()}
 
-    return each_row(models.drop("x").join(series.select(*keys, "x"), keys), f"{key_schema(series, keys)}covariance string, theta array<double>, cov array<array<double>>", of)
+    return each_row(spread(models.drop("x").join(series.select(*keys, "x"), keys), *keys), f"{key_schema(series, keys)}covariance string, theta array<double>, cov array<array<double>>", of)
 
 
 def _estimate(name: str) -> Column:
@@ -390,7 +390,7 @@ def switching_delta(inferred: DataFrame, keys: list[str]) -> DataFrame:
         factor = np.exp(Z95 * s / r) if r > 0 else np.nan
         yield {**{k: row[k] for k in keys}, "covariance": row["covariance"], "half_life0": value[0], "half_life1": value[1], "se0": se[0], "se1": se[1], "ratio": r, "ratio_se": s, "lo": r - Z95 * s, "hi": r + Z95 * s, "log_lo": r / factor, "log_hi": r * factor}
 
-    return each_row(inferred, f"{key_schema(inferred, keys)}covariance string, {names}", of)
+    return each_row(spread(inferred, *keys, "covariance"), f"{key_schema(inferred, keys)}covariance string, {names}", of)
 
 
 def simulated_ratio(inferred: DataFrame, keys: list[str], draws: int = 50_000, chunk: int = 5_000, seed: int = 9, most: int = 10_000) -> DataFrame:
@@ -439,7 +439,7 @@ def influence(series: DataFrame, models: DataFrame, keys: list[str]) -> DataFram
         for t, share in enumerate(part / part.sum(), 1):
             yield {**{k: row[k] for k in keys}, "t": t, "y": y[t], "y_before": y[t - 1], "share": share}
 
-    return each_row(models.join(series.select(*keys, "x"), keys), f"{key_schema(series, keys)}t int, y double, y_before double, share double", of)
+    return each_row(spread(models.join(series.select(*keys, "x"), keys), *keys), f"{key_schema(series, keys)}t int, y double, y_before double, share double", of)
 
 
 def residuals(series: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
@@ -457,7 +457,7 @@ def residuals(series: DataFrame, models: DataFrame, keys: list[str]) -> DataFram
         for t in range(len(mean)):
             yield {**{k: row[k] for k in keys}, "t": t + 2, "x": y[t + 2], "mean": mean[t], "var": v[t], "z": (y[t + 2] - mean[t]) / math.sqrt(max(v[t], 1e-300)), "filtered": alpha[0, t + 2]}
 
-    return each_row(models.join(series.select(*keys, "x"), keys), f"{key_schema(series, keys)}t int, x double, mean double, var double, z double, filtered double", of)
+    return each_row(spread(models.join(series.select(*keys, "x"), keys), *keys), f"{key_schema(series, keys)}t int, x double, mean double, var double, z double, filtered double", of)
 
 
 def decay(models: DataFrame, keys: list[str], hours: int = 48) -> DataFrame:
@@ -494,7 +494,8 @@ def switching_half_life(p00, p11, phi0, phi1, start: int, level: float = 0.5, mo
 
 def fit_garch(series: DataFrame, keys: list[str], dists=("normal", "t"), scale: float = 1e4) -> DataFrame:
     """GARCH(1,1) per key and distribution, from four starts: (keys, dist, start, ll, mu, omega, alpha, beta, nu, n)."""
-    plan = series.select(*keys, "x", F.explode(F.array(*map(F.lit, dists))).alias("dist")).select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("start")).repartition(*keys, "dist", "start")
+    plan = series.select(*keys, "x", F.explode(F.array(*map(F.lit, dists))).alias("dist")).select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("start"))
+    plan = spread(plan, *keys, "dist", "start")
 
     def of(row):
         r = np.asarray(row["x"], float) * scale

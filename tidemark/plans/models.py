@@ -10,6 +10,7 @@ from tidemark.plans.tables import hourly, rounded
 # The reference's counts.
 STARTS, SELECTION_STARTS, SELECTION_KS = 8, 40, (2, 3, 4, 5)
 CAP, TOL = 100_000, 1e-6  # rounds of EM are stopped by the tolerance
+SEARCH_TOL, POLISH_TOL = 1e-3, 1e-8  # of the selection: all starts are searched, the best of each number of states is polished
 REPS, BOOT_CAP, BOOT_TOL = 500, 400, 1e-6
 POWER_REPS, ALTERNATIVES = 200, (0.003, 0.01)
 SWITCHING_STARTS, SEED_BLOCKS, DRAWS = 40, 6, 50_000
@@ -50,7 +51,7 @@ def hmm_wide(spark, d):
 
 
 def hmm_selection(spark, d):
-    return M.selection(M.best(fits(spark, d, SELECTION_KS, SELECTION_STARTS), ["venue", "k"]), ["venue"])
+    return M.selection(M.protocol(series(spark, d), ["venue"], SELECTION_KS, SELECTION_STARTS, CAP, SEARCH_TOL, POLISH_TOL, None), ["venue"])
 
 
 def hmm_polish(spark, d):
