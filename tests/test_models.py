@@ -296,6 +296,13 @@ def test_garch_fit(spark):
     assert r.alpha + r.beta == pytest.approx(0.9, abs=0.12)
 
 
+def test_chains_on_paths_without_states(spark):
+    g = spark.createDataFrame([(1, "normal", 0.0, 1.0, 0.0, 0.0, None, 250), (2, "normal", 0.0, 0.02, 0.3, 0.69, None, 600)], "key int, dist string, mu double, omega double, alpha double, beta double, nu double, n long")
+    got = {(r.key, r.k): r for r in W.chains_on_garch(g, ["key"], (1, 2), 6, 2, 300, chunk=2).collect()}
+    assert all(r.paths == 6 for r in got.values()) and got[1, 1].preferred + got[1, 2].preferred == 6
+    assert got[1, 1].preferred >= 5 and got[2, 2].preferred >= 4  # plain noise, and strong clustering
+
+
 def test_garch_loss_far_out():
     x = W.simulate_garch(0.0, 0.1, 0.1, 0.8, 50, np.random.default_rng(2))
     assert np.isfinite(W.garch_loss([0.0, 0.0, -800.0, -800.0], x, False))

@@ -129,13 +129,14 @@ def derivatives(theta: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarra
     pairs = [(i, j) for i in range(k) for j in range(i)]
     moved = [theta, *(theta + e[i] for i in range(k)), *(theta - e[i] for i in range(k))]
     moved += [theta + a * e[i] + b * e[j] for i, j in pairs for a, b in ((1, 1), (1, -1), (-1, 1), (-1, -1))]
-    each = terms(np.array(moved).T, y)
-    total, score, hess = each.sum(1), (each[1 : k + 1] - each[k + 1 : 2 * k + 1]).T / (2 * h), np.empty((k, k))
-    for i in range(k):
-        hess[i, i] = (total[1 + i] - 2 * total[0] + total[1 + k + i]) / h[i] ** 2
-    for q, (i, j) in enumerate(pairs):
-        four = total[2 * k + 1 + 4 * q : 2 * k + 5 + 4 * q]
-        hess[i, j] = hess[j, i] = (four[0] - four[1] - four[2] + four[3]) / (4 * h[i] * h[j])
+    with np.errstate(all="ignore"):  # a collapsed fit has no finite Hessian, which `regular` sees
+        each = terms(np.array(moved).T, y)
+        total, score, hess = each.sum(1), (each[1 : k + 1] - each[k + 1 : 2 * k + 1]).T / (2 * h), np.empty((k, k))
+        for i in range(k):
+            hess[i, i] = (total[1 + i] - 2 * total[0] + total[1 + k + i]) / h[i] ** 2
+        for q, (i, j) in enumerate(pairs):
+            four = total[2 * k + 1 + 4 * q : 2 * k + 5 + 4 * q]
+            hess[i, j] = hess[j, i] = (four[0] - four[1] - four[2] + four[3]) / (4 * h[i] * h[j])
     return score, hess
 
 
@@ -508,3 +509,24 @@ def fit_garch(series: DataFrame, keys: list[str], dists=("normal", "t"), scale:
     fits = each_row(plan, f"{key_schema(series, keys)}dist string, start int, ll double, mu double, omega double, alpha double, beta double, nu double, n long", of)
     names = [c for c in fits.columns if c not in [*keys, "dist"]]
     return fits.groupBy(*keys, "dist").agg(F.min_by(F.struct(*names), F.struct(-F.round("ll", 6), F.col("start"))).alias("m")).select(*keys, "dist", "m.*")
+
+
+def chains_on_garch(garch: DataFrame, keys: list[str], ks=(1, 2, 3), paths: int = 60, n_starts: int = 4, rounds: int = 2000, tol: float = 1e-4, seed: int = 31, chunk: int = 5) -> DataFrame:
+    """(keys, dist, k, paths, preferred): how many Gaussian chains of each size BIC prefers on paths simulated from fitted GARCH models, which have no states at all."""
+    from tidemark.operators import markov as M
+
+    def of(row):
+        for p in numbers(row["chunk"], paths, chunk):
+            x = simulate_garch(row["mu"], row["omega"], row["alpha"], row["beta"], int(row["n"]), np.random.default_rng([seed, p]), None if row["nu"] is None or np.isnan(row["nu"]) else row["nu"])
+            bic = []
+            for k in ks:
+                if k == 1:
+                    ll = -len(x) / 2 * (math.log(2 * math.pi * x.var()) + 1)
+                else:
+                    ll = float(M.em(x, M.drawn(x, k, range(n_starts), seed), rounds, tol)[1].max())
+                bic.append((k * k + 2 * k - 1) * math.log(len(x)) - 2 * ll)
+            for k, b in zip(ks, bic, strict=True):
+                yield {**{c: row[c] for c in keys}, "dist": row["dist"], "k": k, "path": p, "preferred": b == min(bic)}
+
+    found = each_row(chunks(garch, [*keys, "dist"], paths, chunk), f"{key_schema(garch, keys)}dist string, k int, path int, preferred boolean", of)
+    return found.groupBy(*keys, "dist", "k").agg(F.count("*").alias("paths"), F.count_if("preferred").alias("preferred"))

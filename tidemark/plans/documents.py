@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from tidemark.plans import floors, gaps, models, runs
+from tidemark.plans import floors, gaps, models, reports, runs
 from tidemark.sources.artifacts import payload
 
 
@@ -53,3 +53,23 @@ def model_document(spark: SparkSession, d: str) -> str:
         "garch": (models.garch(spark, d), ["venue", "dist"]),
         "ljung_box": (runs.ljung_box(spark, d), ["venue", "lag"]),
     })
+
+
+def windows_document(spark: SparkSession, d: str) -> str:
+    """The switching fit on rolling windows, on variants of the series and of its upper tail, and where values are injected."""
+    return payload({
+        "rolling": (models.switching_rolling(spark, d), ["venue", "window"]),
+        "sensitivity": (models.switching_sensitivity(spark, d), ["venue", "variant"]),
+        "upper_tail": (models.switching_upper_tail(spark, d), ["venue", "variant"]),
+        "injections": (reports.injection_times(spark, d), ["venue", "position"]),
+    })
+
+
+def diagnostics_document(spark: SparkSession, d: str) -> str:
+    """Residual tests, the ranking of models, and what the bootstrap says of the chain."""
+    return payload({
+        "residuals": (models.residual_battery(spark, d), ["venue", "model", "test", "lag"]),
+        "ranking": (models.model_ranking(spark, d), ["venue", "model"]),
+        "bootstrap": (models.hmm_bootstrap(spark, d), ["venue", "labels", "parameter"]),
+        "power": (models.hmm_power(spark, d), ["venue", "value"]),
+    })

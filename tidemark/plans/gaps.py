@@ -110,12 +110,31 @@ def shapley(spark, d):
     return rounded(G.shapley(share_cube(spark, d).withColumn("k", F.lit(1)), ["k"]), "part", "lowest", "highest", digits=7)
 
 
+def share_cube_by(spark, d):
+    """The same cube for all records and for each third of the month, every record exploded to its groups once."""
+    third = F.concat(F.lit("third "), F.least(F.floor((F.dayofmonth("ts") - 1) / 10) + 1, F.lit(3)).cast("string"))
+    r = records(spark, d).where("venue in ('click', 'view')").select("venue", "ts", "premium_bps", F.explode(F.array(F.lit("all"), third)).alias("grp"))
+    med = r.groupBy("grp").agg(F.median(F.when(F.col("venue") == "click", F.col("premium_bps"))).alias("click"), F.median(F.when(F.col("venue") == "view", F.col("premium_bps"))).alias("view"))
+    blocks = r.groupBy("grp", "venue", P.block_end(F.col("ts")).alias("_b")).agg(F.avg("premium_bps").alias("x")).select("grp", "venue", F.lit(1).alias("averaging"), "x")
+    both = r.select("grp", "venue", F.lit(0).alias("averaging"), F.col("premium_bps").alias("x")).unionByName(blocks).join(F.broadcast(med), "grp")  # a row per group
+    both = both.select("*", (F.col("venue") == "view").cast("int").alias("dispersion"), F.explode(F.array(F.lit(0), F.lit(1))).alias("location"))
+    own, to = F.when(F.col("venue") == "click", F.col("click")).otherwise(F.col("view")), F.when(F.col("location") == 0, F.col("click")).otherwise(F.col("view"))
+    return both.groupBy("grp", "location", "averaging", "dispersion").agg(F.avg((F.col("x") - own + to).between(-4, 6).cast("double")).alias("share"))
+
+
+def shapley_by(spark, d):
+    return rounded(G.shapley(share_cube_by(spark, d), ["grp"]), "part", "lowest", "highest", digits=7)
+
+
+CUBE_BY = f"""WITH {REC}, r AS (SELECT venue, ts, premium_bps AS x, unnest(['all', 'third ' || least((day(ts) - 1) // 10 + 1, 3)]) AS grp FROM fund WHERE venue IN ('click', 'view')), m AS (SELECT grp, median(x) FILTER (venue = 'click') AS c, median(x) FILTER (venue = 'view') AS v FROM r GROUP BY 1),
+b AS (SELECT grp, venue, 1 AS averaging, avg(x) AS x FROM r GROUP BY grp, venue, {BLOCK.format(t="ts")}), u AS (SELECT grp, venue, 0 AS averaging, x FROM r UNION ALL SELECT * FROM b), l AS (SELECT unnest([0, 1]) AS location),
+cube AS (SELECT grp, location, averaging, CASE WHEN venue = 'view' THEN 1 ELSE 0 END AS dispersion, avg(CASE WHEN x - CASE WHEN venue = 'click' THEN c ELSE v END + CASE WHEN location = 0 THEN c ELSE v END BETWEEN -4 AND 6 THEN 1.0::DOUBLE ELSE 0.0 END) AS share FROM u JOIN m USING (grp), l GROUP BY 1, 2, 3, 4)"""
 CUBE = f"""WITH {REC}, r AS (SELECT venue, ts, premium_bps AS x FROM fund WHERE venue IN ('click', 'view')), m AS (SELECT median(x) FILTER (venue = 'click') AS c, median(x) FILTER (venue = 'view') AS v FROM r),
 b AS (SELECT venue, 1 AS averaging, avg(x) AS x FROM r GROUP BY venue, {BLOCK.format(t="ts")}), u AS (SELECT venue, 0 AS averaging, x FROM r UNION ALL SELECT * FROM b), l AS (SELECT unnest([0, 1]) AS location),
 cube AS (SELECT location, averaging, CASE WHEN venue = 'view' THEN 1 ELSE 0 END AS dispersion, avg(CASE WHEN x - CASE WHEN venue = 'click' THEN c ELSE v END + CASE WHEN location = 0 THEN c ELSE v END BETWEEN -4 AND 6 THEN 1.0::DOUBLE ELSE 0.0 END) AS share FROM u, m, l GROUP BY 1, 2, 3)"""
 
 
-def _shapley_sql() -> str:
+def _shapley_sql(cube: str = CUBE, group: str = "") -> str:
     from itertools import permutations
 
     corner = lambda on: f"max(share) FILTER (location = {on[0]} AND averaging = {on[1]} AND dispersion = {on[2]})"
@@ -126,7 +145,8 @@ def _shapley_sql() -> str:
             before = corner(on)
             on[i] = 1
             parts[G.FACTORS[i]].append(f"{corner(on)} - {before}")
-    return f"{CUBE} " + " UNION ALL ".join(f"SELECT 1 AS k, '{f}' AS factor, round(({' + '.join(f'({x})' for x in p)}) / 6, 7) AS part, round(least({', '.join(p)}), 7) AS lowest, round(greatest({', '.join(p)}), 7) AS highest FROM cube" for f, p in parts.items())
+    key, tail = (group, f" GROUP BY {group}") if group else ("1 AS k", "")
+    return f"{cube} " + " UNION ALL ".join(f"SELECT {key}, '{f}' AS factor, round(({' + '.join(f'({x})' for x in p)}) / 6, 7) AS part, round(least({', '.join(p)}), 7) AS lowest, round(greatest({', '.join(p)}), 7) AS highest FROM cube{tail}" for f, p in parts.items())
 
 
 def fit_errors(spark, d):
@@ -178,6 +198,8 @@ SELECT venue, p, round(own_q, 5) AS own_q, round(other_q, 5) AS other_q, round(o
     "quarter_phases": (quarter_phases, f"WITH {REC}, m AS (SELECT venue, strftime(ts - INTERVAL 1 SECOND, '%Y-%m-%d') AS period, median(premium_bps) AS md FROM fund GROUP BY 1, 2) SELECT venue, period, round(md, 5) AS median, CASE WHEN md <= -4 THEN 'below' WHEN md <= 0 THEN 'lower' ELSE 'upper' END AS phase FROM m"),
     "month_majority": (month_majority, f"WITH {REC}, s AS (SELECT venue, strftime(ts - INTERVAL 1 SECOND, '%Y-%m-%d') AS period, avg(CASE WHEN r = 1000 THEN 1.0 ELSE 0.0 END) AS share FROM fund GROUP BY 1, 2) SELECT venue, count(*) AS n, count(*) FILTER (share > 0.5) AS majority, arg_min(period, {{'s': share, 'p': period}}) AS lowest_period, round(min(share), 6) AS lowest, bool_and(share > 0.5) AS always FROM s GROUP BY 1"),
     "share_cube": (lambda spark, d: rounded(share_cube(spark, d), "share", digits=8), f"{CUBE} SELECT location, averaging, dispersion, round(share, 8) AS share FROM cube"),
+    "share_cube_groups": (lambda spark, d: rounded(share_cube_by(spark, d), "share", digits=7), f"{CUBE_BY} SELECT grp, location, averaging, dispersion, round(share, 7) AS share FROM cube"),
+    "shapley_groups": (shapley_by, _shapley_sql(CUBE_BY, "grp")),
     "shapley_split": (shapley, _shapley_sql()),
     "fit_errors": (fit_errors, f"""WITH {REC}, g AS (SELECT venue, {BLOCK.format(t="ts")} AS block, arg_max(r, ts) AS own, CAST(round(avg(p)) AS BIGINT) AS p FROM fund GROUP BY 1, 2), h AS (SELECT *, p + greatest(least(1000 - p, 5000), -5000) AS re FROM g), e AS (SELECT *, CASE WHEN own <> 1000 THEN abs(own - re) END AS err FROM h)
 SELECT venue, count(*) AS n, count(err) AS off_floor, round(median(err), 5) AS median_error, round(avg(err), 5) AS mean_error, round(quantile_cont(err, 0.95), 5) AS p95_error, round(max(err), 5) AS largest_error, round(avg(CASE WHEN err <= 20000 THEN 1.0 WHEN err > 20000 THEN 0.0 END), 5) AS share_close, round(avg(CASE WHEN (own = 1000) = (re = 1000) THEN 1.0 ELSE 0.0 END), 5) AS floor_agreement FROM e GROUP BY 1"""),

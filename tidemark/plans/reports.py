@@ -86,6 +86,10 @@ def forest(spark, d):
     return rows.select("venue", "label", "ratio", F.col("linear.lo").alias("lo"), F.col("linear.hi").alias("hi"), (F.col("linear.lo") <= 0).alias("open_below"), F.col("linear").isNull().alias("undefined"), F.col("wald.side").alias("side"))
 
 
+def chains_on_garch(spark, d):
+    return W.chains_on_garch(models.garch(spark, d).where("dist = 'normal'"), ["venue"])
+
+
 def transition_geometry(spark, d):
     """Each transition of the two-state chain with its bootstrap interval."""
     return models.hmm_bootstrap(spark, d).where("labels = 'sigma' and parameter like 'a\\\\_%'").select("venue", F.split_part("parameter", F.lit("_"), F.lit(2)).cast("int").alias("from_state"), F.split_part("parameter", F.lit("_"), F.lit(3)).cast("int").alias("to_state"), "point", "lo", "hi", "at_zero")
@@ -104,4 +108,4 @@ SELECT venue, variant, count(*) AS n, round(avg(v), 6) AS mean, round(max(v), 6)
     "pricing_check": (pricing_check, f"""{DAYS}, j AS (SELECT b.venue, b.time, a.m AS x, b.m AS y FROM dy a JOIN dy b ON a.time = b.time AND a.venue = 'click' AND b.venue <> 'click'), r AS (SELECT *, rank() OVER (PARTITION BY venue ORDER BY x) + (count(*) OVER (PARTITION BY venue, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY venue ORDER BY y) + (count(*) OVER (PARTITION BY venue, y) - 1) / 2.0 AS ry,
 x - avg(x) OVER w AS dx, y - avg(y) OVER w AS dy FROM j WINDOW w AS (PARTITION BY venue, date_trunc('week', time)))
 SELECT venue, count(*) AS n, round(corr(x, y), 7) AS pearson, round(corr(rx, ry), 7) AS spearman, round(regr_slope(y, x), 7) AS slope, round(regr_slope(dy, dx), 7) AS within_slope FROM r GROUP BY 1"""),
-} | {f.__name__: (f, None) for f in (median_intervals, hmm_winsorised, two_hour_chain, switching_on_rate, switching_at_optima, forest, transition_geometry)}
+} | {f.__name__: (f, None) for f in (median_intervals, hmm_winsorised, two_hour_chain, switching_on_rate, switching_at_optima, forest, chains_on_garch, transition_geometry)}
