@@ -186,34 +186,38 @@ def covariances(theta: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     return {"hessian": bread, "opg": np.linalg.pinv(meat), "sandwich": bread @ meat @ bread}
 
 
-def halving(stay: np.ndarray, phi: np.ndarray, level: float = 0.5, most: int = 10_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def halving(stay: np.ndarray, phi: np.ndarray, level: float = 0.5, most: int = 10_000, stride: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For chains with stays and slopes (2, n): whole and interpolated hours until a shock in each regime has decayed to ``level``, and what is left after ``most`` hours where it has not.
 
-    All (2, n); hours are infinite where the level is not reached, and left is NaN where it is.
+    All (2, n); hours are infinite where the level is not reached, and left is NaN where it is. The
+    kernel's powers up to ``stride`` give that many hours at once; a path need not fall steadily, so
+    every hour is looked at.
     """
-    stay, phi = np.asarray(stay, float), np.asarray(phi, float)
-    n = stay.shape[1]
-    p = np.array([[stay[0], 1 - stay[0]], [1 - stay[1], stay[1]]])
-    m = p * phi[None]
+    kernel = transitions(np.asarray(stay, float)) * np.asarray(phi, float)[None]
+    n = kernel.shape[2]
     hours, exact, left = np.full((2, n), np.inf), np.full((2, n), np.inf), np.full((2, n), np.nan)
-    for start in (0, 1):
-        at, row, last = np.arange(n), np.zeros((2, n)), np.ones(n)
-        row[start] = 1
-        own = m
-        with np.errstate(all="ignore"):
-            for h in range(1, most + 1):
-                row = row[0] * own[0] + row[1] * own[1]
-                now = row.sum(0)
-                hit = now <= level
-                if hit.any():
-                    a, b = last[hit], now[hit]
-                    hours[start, at[hit]] = h
-                    exact[start, at[hit]] = h - 1 + np.where(b > 0, np.log(a / level) / np.log(a / b), (a - level) / (a - b))
-                    at, row, now, own = at[~hit], row[:, ~hit], now[~hit], own[..., ~hit]
-                last = now
-                if not len(at):
+    with np.errstate(all="ignore"):
+        powers = [kernel]
+        for _ in range(min(stride, most) - 1):
+            powers.append(np.einsum("ijn,jkn->ikn", powers[-1], kernel))
+        sums = np.stack([p.sum(1) for p in powers])  # (hours, from, n): what is left of a unit in each regime
+        for start in (0, 1):
+            weight, before, live = np.eye(2)[start][:, None].repeat(n, 1), np.ones(n), np.arange(n)
+            for passed in range(0, most, len(powers)):
+                path = np.einsum("in,hin->hn", weight, sums[: most - passed, :, live])
+                under = path <= level
+                there = under.any(0)
+                at = under.argmax(0)
+                upto = np.concatenate([before[None], path])
+                hi, lo = upto[at, np.arange(len(live))], upto[at + 1, np.arange(len(live))]
+                part = np.where(lo > 0, np.log(hi / level) / np.log(hi / lo), (hi - level) / (hi - lo))
+                done = live[there]
+                hours[start, done], exact[start, done] = passed + at[there] + 1, passed + at[there] + part[there]
+                weight = np.einsum("in,ijn->jn", weight, powers[-1][..., live])[:, ~there]
+                live, before = live[~there], path[-1, ~there]
+                if not len(live):
                     break
-        left[start, at] = last
+            left[start, live] = before
     return hours, exact, left
 
 
