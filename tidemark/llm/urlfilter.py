@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.llm.scratch import new_folder
+
 Rule = tuple[str, str, str]  # allow or block, host, path
 
 GRAMS = (3, 4, 5)
@@ -78,7 +80,10 @@ def train(labelled: DataFrame, buckets: int = 1 << 14):
         model = LogisticRegression(featuresCol="__features", labelCol="label", predictionCol="__block", probabilityCol="__probability", rawPredictionCol="__raw", regParam=0.01, maxIter=40).fit(rows)
     finally:
         rows.unpersist()
-    return hashing, model
+    # written and read back: a fitted model drags its training summary, and with it the session, into every task
+    path = f"{new_folder(labelled.sparkSession, 'url-filter')}/model"
+    model.write().save(path)
+    return hashing, LogisticRegressionModel.load(path)
 
 
 def rule_of(rules: Sequence[Rule], host: Column, path: Column) -> Column:
