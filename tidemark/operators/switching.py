@@ -515,22 +515,24 @@ def fit_garch(series: DataFrame, keys: list[str], dists=("normal", "t"), scale:
     return fits.groupBy(*keys, "dist").agg(F.min_by(F.struct(*names), F.struct(-F.round("ll", 6), F.col("start"))).alias("m")).select(*keys, "dist", "m.*")
 
 
-def chains_on_garch(garch: DataFrame, keys: list[str], ks=(1, 2, 3), paths: int = 60, n_starts: int = 4, rounds: int = 2000, tol: float = 1e-4, seed: int = 31, chunk: int = 5) -> DataFrame:
+def chains_on_garch(garch: DataFrame, keys: list[str], ks=(1, 2, 3), paths: int = 30, n_starts: int = 4, rounds: int = 1000, tol: float = 1e-3, seed: int = 31, chunk: int = 6) -> DataFrame:
     """(keys, dist, k, paths, preferred): how many Gaussian chains of each size BIC prefers on paths simulated from fitted GARCH models, which have no states at all."""
     from tidemark.operators import markov as M
 
     def of(row):
-        for p in numbers(row["chunk"], paths, chunk):
-            x = simulate_garch(row["mu"], row["omega"], row["alpha"], row["beta"], int(row["n"]), np.random.default_rng([seed, p]), None if row["nu"] is None or np.isnan(row["nu"]) else row["nu"])
-            bic = []
-            for k in ks:
-                if k == 1:
-                    ll = -len(x) / 2 * (math.log(2 * math.pi * x.var()) + 1)
-                else:
-                    ll = float(M.em(x, M.drawn(x, k, range(n_starts), seed), rounds, tol)[1].max())
-                bic.append((k * k + 2 * k - 1) * math.log(len(x)) - 2 * ll)
+        own, nu = numbers(row["chunk"], paths, chunk), None if row["nu"] is None or np.isnan(row["nu"]) else row["nu"]
+        x = np.stack([simulate_garch(row["mu"], row["omega"], row["alpha"], row["beta"], int(row["n"]), np.random.default_rng([seed, p]), nu) for p in own])
+        bic = []
+        for k in ks:
+            if k == 1:
+                ll = -x.shape[1] / 2 * (np.log(2 * math.pi * x.var(1)) + 1)
+            else:  # all paths and starts at once
+                m = tuple(np.concatenate(c, -1) for c in zip(*(M.drawn(v, k, range(n_starts), seed) for v in x), strict=True))
+                ll = M.em(np.repeat(x, n_starts, 0), m, rounds, tol)[1].reshape(len(x), n_starts).max(1)
+            bic.append((k * k + 2 * k - 1) * math.log(x.shape[1]) - 2 * ll)
+        for i, p in enumerate(own):
             for k, b in zip(ks, bic, strict=True):
-                yield {**{c: row[c] for c in keys}, "dist": row["dist"], "k": k, "path": p, "preferred": b == min(bic)}
+                yield {**{c: row[c] for c in keys}, "dist": row["dist"], "k": k, "path": p, "preferred": bool(b[i] == min(v[i] for v in bic))}
 
     found = each_row(chunks(garch, [*keys, "dist"], paths, chunk), f"{key_schema(garch, keys)}dist string, k int, path int, preferred boolean", of)
     return found.groupBy(*keys, "dist", "k").agg(F.count("*").alias("paths"), F.count_if("preferred").alias("preferred"))
