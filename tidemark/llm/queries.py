@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontam, kneser_ney, langid, linededup, minhash, mixing, quality, tokenbin, urlfilter, warc
+from tidemark.llm import bpe, decontam, kneser_ney, langid, linededup, minhash, mixing, quality, tokenbin, urlfilter, warc
 
 TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 END_ID = 2
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
@@ -76,8 +77,14 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path(RANKS), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_url_filters, op3_token_binary, op4_quality_rules, op5_decontamination, op6_mixing, op7_lm_scoring, op8_line_dedup, op9_language_id, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_warc, op2_url_filters, op3_token_binary, op4_quality_rules, op5_decontamination, op6_mixing, op7_lm_scoring, op8_line_dedup, op9_language_id, op10_ngram_jaccard_join, op11_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
