@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, decontam, kneser_ney, langid, linededup, minhash, mixing, quality, tokenbin, urlfilter, warc
+from tidemark.llm import bpe, decontam, dialogue, hardneg, kneser_ney, langid, linededup, minhash, mixing, quality, sql, tokenbin, urlfilter, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -83,10 +83,20 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path(RANKS), public_tokenizers.PATTERN)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hardneg.usable(table(spark, sf_dir, "embeddings"))
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hardneg.mine(moved, F.col("vec_id") % 50 == 0)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_url_filters, op3_token_binary, op4_quality_rules, op5_decontamination, op6_mixing, op7_lm_scoring, op8_line_dedup, op9_language_id, op10_ngram_jaccard_join, op11_byte_bpe)}
+    return {f.__name__: f for f in (op1_warc, op2_url_filters, op3_token_binary, op4_quality_rules, op5_decontamination, op6_mixing, op7_lm_scoring, op8_line_dedup, op9_language_id, op10_ngram_jaccard_join, op11_byte_bpe, op12_hard_negatives, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL for the queries that it can express as a whole: none, see the tests for their brute-force versions."""
-    return {}
+    """DuckDB SQL for the queries that it can express as a whole; see the tests for the others' brute-force versions."""
+    return {"op12_hard_negatives": sql.negatives(), "op13_conversation_repair": sql.dialogue()}
