@@ -230,12 +230,12 @@ def index(rows: DataFrame, folder: str, sample: int = SAMPLE, block: int = BLOCK
     rows = written(rows, folder, "rows")
     spark = rows.sparkSession
     facts = rows.agg(F.count("*").alias("n"), F.max(F.size("q")).alias("dim")).first()
-    n, dim = facts["n"], facts["dim"] or 0
+    n, dim = facts["n"], max(1, facts["dim"] or 0)  # empty vectors are zeros
     got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
     ids, labels = got.column("vec_id").to_numpy(), got.column("label").to_numpy()
     m = wide(matrix(got.column("q")), dim)
     leaves = min(MOST_LEAVES, max(least_slabs, n // slab))
-    depth = max(0, min(leaves - 1, len(ids) // 4).bit_length()) if dim else 0
+    depth = max(0, min(leaves - 1, len(ids) // 4).bit_length())
     tree = fit_tree(m, depth)
     shared = spark.sparkContext.broadcast(tree)  # bounded: MOST_LEAVES planes
 
@@ -318,7 +318,7 @@ def best_within(index: Index, anchors: DataFrame, folder: str, n: int, own_label
     lowest = F.array_min(F.transform("windows", lambda w: w["low"]))
     highest = F.array_max(F.transform("windows", lambda w: w["high"]))
     # what the teams of anchors span: the box of their vectors, as centre and radius
-    flat = teams.select("team", lowest.alias("low"), highest.alias("high"), F.posexplode("q").alias("i", "x")).groupBy("team", "i").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("m"))
+    flat = teams.select("team", lowest.alias("low"), highest.alias("high"), F.posexplode(F.when(F.size("q") > 0, F.col("q")).otherwise(F.array(F.lit(0).cast("long")))).alias("i", "x")).groupBy("team", "i").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("m"))
     boxes = flat.groupBy("team").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "a", "b"))), lambda s: F.struct(((s["a"] + s["b"]) / 2).alias("c"), ((s["b"] - s["a"]) / 2).alias("h"))).alias("box"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("m").alias("m"), F.min("m").alias("least"))
     add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
     norm = lambda xs, f: F.sqrt(add(F.transform(xs, lambda x: f(x) * f(x))))
