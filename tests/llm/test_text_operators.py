@@ -283,7 +283,7 @@ def test_decontamination(spark, corpus):
         207: prose(53, 30_000) + ", ".join(["", *long]),
     }
     docs = corpus.select("doc_id", "text").unionByName(spark.createDataFrame(list(planted.items()), "doc_id long, text string")).withColumn("tokens", F.lit(0))
-    want = {(200, 0, 13), (201, 0, 11), (202, 1, 13), (203, 2, 9), (206, 3, 2), (207, 0, 13)}
+    want = {(200, 0, 13), (201, 0, 11), (202, 1, 13), (203, 2, 9), (207, 0, 13)}  # not 206: an item of two tokens tells nothing
     for limit in (2_000_000, 3):  # broadcast, and by a shuffle
         got = decontam.contaminated(docs, bench, broadcast_bytes=limit).collect()
         assert {(r.doc_id, r.item_id, r.n_equal) for r in got} - {(205, 0, 12)} == want
@@ -308,7 +308,7 @@ def test_short_items_are_found(spark):
             text = " ".join("other" if i in wrong else x for i, x in enumerate(w))
             for before, after in (("", ""), ("two words ", " three more words")):
                 rows.append((len(rows), before + text + after))
-                if len(wrong) <= allowed and n >= 3:  # an item of one or two tokens matches nothing
+                if len(wrong) <= allowed and n >= decontam.LEAST:  # a shorter item matches nothing
                     want.add((len(rows) - 1, n, n - len(wrong)))
     got = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
     assert {(r.doc_id, r.item_id, r.n_equal) for r in got} == want
@@ -324,8 +324,9 @@ def test_only_texts_with_items_go(spark):
 def test_the_shortest_items_match_themselves_alone(spark):
     docs = spark.createDataFrame([(1, "Alpha, beta! gamma"), (2, "beta alpha"), (3, "delta")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta"), (2, "delta"), (3, ""), (4, "gamma delta")], "item_id long, text string")
-    assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()) == [(1, 1), (3, 2)]
+    assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs, items, least=1).collect()) == [(1, 1), (3, 2)]
     assert decontam.contaminated(docs, items, least=3).count() == 0
+    assert decontam.contaminated(docs, items).count() == 0 and decontam.drop_contaminated(docs, items).count() == 3
 
 
 def test_decontamination_of_nothing(spark, corpus, nothing):

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.llm.scratch import new_folder, written
 
 MASKS = ("11101011", "110100111")
+#: Items of fewer tokens than this are too short to tell anything and are left out: one word in common is no leak.
+LEAST = 5
 
 
 def token_hashes(text: Column) -> Column:
@@ -58,14 +60,14 @@ def _best(overlap: Column) -> Column:
     return F.array_max(scored)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, share: float = 0.8, masks: tuple[str, ...] = MASKS, broadcast_bytes: int = 1 << 25, least: int = 1) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, share: float = 0.8, masks: tuple[str, ...] = MASKS, broadcast_bytes: int = 1 << 25, least: int = LEAST) -> DataFrame:
     """(doc_id, item_id, n_equal, n_compared, doc_token, item_token): the best overlap of every document with every item it holds.
 
     ``docs`` (doc_id, text), ``benchmark`` (item_id, text); other columns are ignored. Seeds of the
     benchmark, each with the stretch of its item that a comparison needs, are broadcast if all of
     them together have up to ``broadcast_bytes``; beyond, Spark joins them by a shuffle. Items of fewer
-    tokens than ``overlap`` match where that share of all their tokens is equal, so an item of one
-    to four tokens matches itself alone; ``least`` leaves out items with fewer tokens. Texts that are
+    tokens than ``overlap`` match where that share of all their tokens is equal; those of fewer than
+    ``least`` match nothing (with a lower ``least``, an item of one to four tokens matches itself alone). Texts that are
     null, empty or without letters and digits match nothing; texts may have any length. Documents
     that stand twice under one doc_id give one row; a null doc_id or item_id is kept. An empty table
     on either side gives an empty table.
@@ -111,7 +113,7 @@ def _found(given: DataFrame, key: str, benchmark: DataFrame, overlap: int, share
     return top.select(key, "item_id", F.col("p.n_equal").cast("long").alias("n_equal"), F.col("p.n_compared").cast("long").alias("n_compared"), (-F.col("p.d")).cast("long").alias("doc_token"), (-F.col("p.i")).cast("long").alias("item_token"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, share: float = 0.8, masks: tuple[str, ...] = MASKS, broadcast_bytes: int = 1 << 25, least: int = 1) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, share: float = 0.8, masks: tuple[str, ...] = MASKS, broadcast_bytes: int = 1 << 25, least: int = LEAST) -> DataFrame:
     """The rows of ``docs`` whose own text holds no item; all columns. What else stands under a doc_id, null or not, plays no part."""
     digest = F.md5(F.coalesce("text", F.lit("")))
     given = docs.select(digest.alias("__text"), token_hashes(F.col("text")).alias("tokens"))
