@@ -154,7 +154,10 @@ def sharpened(theta: np.ndarray, y: np.ndarray, rounds: int = 8) -> np.ndarray:
         slope = score.sum(0)
         if not np.isfinite(hess).all() or (np.linalg.eigvalsh(hess) >= 0).any():
             break
-        step = -np.linalg.solve(hess, slope)
+        try:
+            step = -np.linalg.solve(hess, slope)
+        except np.linalg.LinAlgError:  # eigenvalues below zero by rounding alone
+            break
         tried = [theta + step * 0.5**i for i in range(6)]
         tried = np.array([x for x in tried if inside(x)]).T
         if not tried.size:
