@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import funding as X
 from tidemark.functions.periods import seconds
+from tidemark.operators.scan import blocked, carried, numbered, overlapped, same, segments, with_facts
+from tidemark.session import cut
 
 DAY = 86_400
 
@@ -65,8 +67,7 @@ def lagged_pairs(rows: DataFrame, keys: list[str], value: str, lag: int = 1, day
 
 def autocorrelations(rows: DataFrame, keys: list[str], value: str, lags=(1, 7, 30), day: str = "day") -> DataFrame:
     """(keys, lag, acf): sum of products of deviations from the full mean over pairs, by the full sum of squares."""
-    w = Window.partitionBy(*keys)
-    dev = rows.where(F.col(value).isNotNull()).withColumn("_x", F.col(value) - F.avg(value).over(w)).select(*keys, F.col(day).cast("date").alias("day"), "_x")
+    dev = with_facts(rows.where(F.col(value).isNotNull()), keys, F.avg(value).alias("_mean")).withColumn("_x", F.col(value) - F.col("_mean")).select(*keys, F.col(day).cast("date").alias("day"), "_x")
     total = dev.groupBy(*keys).agg(F.sum(F.col("_x") ** 2).alias("_ss"))
     ahead = dev.select(*keys, F.col("day").alias("_to"), F.col("_x").alias("_y"))
     spread = dev.select(*keys, "_x", F.explode(F.array(*map(F.lit, lags))).alias("lag"), "day").withColumn("_to", F.date_add("day", F.col("lag")))
@@ -86,8 +87,7 @@ def within_period(rows: DataFrame, keys: list[str], value: str, period: Column)
 
 def index_windows(rows: DataFrame, keys: list[str], order: str, width: int, step: int) -> DataFrame:
     """Each row once for every complete window of ``width`` rows that holds it; windows start every ``step`` rows."""
-    w = Window.partitionBy(*keys)
-    at = rows.withColumns({"_i": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count("*").over(w)})
+    at = with_facts(numbered(rows, keys, order), keys, F.count("*").alias("_n"))
     lo = F.greatest(F.ceil((F.col("_i") - width + 1) / step), F.lit(0))
     hi = F.least(F.floor(F.col("_i") / step), F.floor((F.col("_n") - width) / step))
     return at.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi").withColumn("window", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi", "_i", "_n")
@@ -95,19 +95,23 @@ def index_windows(rows: DataFrame, keys: list[str], order: str, width: int, step
 
 def trailing(rows: DataFrame, keys: list[str], order: str, value: str, width: int = 24, strict: bool = True) -> DataFrame:
     """Adds ``trailing``: the mean over the last ``width`` rows; null (strict) or shorter at the start."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(width - 1), 0)
+    r = overlapped(rows, keys, order, behind=width - 1)
+    w = Window.partitionBy(*keys, "_in").orderBy("_i").rowsBetween(-(width - 1), 0)
     mean = F.avg(value).over(w)
-    return rows.withColumn("trailing", F.when(F.count(value).over(w) == width, mean) if strict else mean)
+    r = r.withColumn("trailing", F.when(F.count(value).over(w) == width, mean) if strict else mean)
+    return r.where(F.col("_in") == F.col("_block")).drop("_i", "_block", "_in")
 
 
 def median_filter(rows: DataFrame, keys: list[str], order: str, value: str, width: int = 7) -> DataFrame:
     """Adds ``smooth``: the median over the row and its neighbours; beyond the ends the nearest value counts again."""
-    half, all_ = width // 2, Window.partitionBy(*keys)
-    w = all_.orderBy(order)
-    near = F.collect_list(value).over(w.rowsBetween(-half, half))
-    i, n = F.row_number().over(w), F.count("*").over(all_)
-    padded = F.concat(F.array_repeat(F.first(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.greatest(half + 1 - i, F.lit(0)).cast("int")), near, F.array_repeat(F.last(value).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.greatest(i + half - n, F.lit(0)).cast("int")))
-    return rows.withColumn("smooth", F.element_at(F.array_sort(padded), half + 1))
+    half = width // 2
+    r = with_facts(overlapped(rows, keys, order, half, half), keys, F.max("_i").alias("_last"))
+    w = Window.partitionBy(*keys, "_in").orderBy("_i")
+    near = F.collect_list(value).over(w.rowsBetween(-half, half))  # the row's neighbours; at the ends of the series fewer
+    i = F.col("_i")
+    padded = F.concat(F.array_repeat(F.get(near, F.lit(0)), F.greatest(half - i, F.lit(0)).cast("int")), near, F.array_repeat(F.element_at(near, -1), F.greatest(i + half - F.col("_last"), F.lit(0)).cast("int")))
+    r = r.withColumn("smooth", F.element_at(F.array_sort(padded), half + 1)).where(F.col("_in") == F.col("_block"))
+    return r.drop("_i", "_block", "_in", "_last")
 
 
 def rule_records(rows: DataFrame, keys: list[str], time: str = "time", rate: str = "rate", premium: str = "premium") -> DataFrame:
@@ -116,10 +120,9 @@ def rule_records(rows: DataFrame, keys: list[str], time: str = "time", rate: str
     A record four hours or more after the one before is eight-hourly (the first one: before the
     next). The eight-hour rate is the rate times 8 / hours covered.
     """
-    w = Window.partitionBy(*keys).orderBy(time)
-    gap = F.coalesce(seconds(F.col(time)) - seconds(F.lag(time).over(w)), seconds(F.lead(time).over(w)) - seconds(F.col(time)))
-    long = gap >= 4 * 3600
-    r = rows.withColumn("schedule", F.when(long, "8h").otherwise("1h"))
+    r = carried(rows, keys, time, {"_prev": F.col(time)}, {"_next": F.col(time)})
+    gap = F.coalesce(seconds(F.col(time)) - seconds(F.col("_prev")), seconds(F.col("_next")) - seconds(F.col(time)))
+    r = r.withColumn("schedule", F.when(gap >= 4 * 3600, "8h").otherwise("1h")).drop("_prev", "_next")
     eight = F.when(F.col("schedule") == "8h", F.col(rate)).otherwise((F.col(rate) * 8).cast(X.RATE))
     at_floor = F.col(rate) == F.when(F.col("schedule") == "8h", X.literal(X.FLOOR_8H)).otherwise(X.literal(X.FLOOR_HOURLY))
     r = r.withColumn("deviation", (eight - F.col(premium)).cast(X.RATE))
@@ -134,18 +137,16 @@ def eras(classified: DataFrame, keys: list[str], time: str = "time", premium: st
     next revealing record, counted as undetermined unless that record is unclamped. Per era: span,
     records, floor and other records, floor records outside the band and in-band records off the floor.
     """
-    w = Window.partitionBy(*keys).orderBy(time)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
     reveals = F.col("regime").isin("clamp_3bp", "clamp_5bp", "unclamped")
     mark = F.when(reveals, F.concat_ws(" ", "schedule", "regime"))
-    r = classified.withColumn("_mark", mark)
-    r = r.withColumns({"_back": F.last("_mark", True).over(back), "_ahead": F.first("_mark", True).over(ahead)})
+    r = cut(blocked(classified.withColumn("_mark", mark), keys, time))
+    r = cut(carried(r, keys, time, {"_back": F.col("_mark")}, {"_ahead": F.col("_mark")}, {"_stretch": F.col("_mark").isNotNull().cast("long")}))
     # from which era each record is, by the marks around it
     back_s, back_r = F.split_part("_back", F.lit(" "), F.lit(1)), F.split_part("_back", F.lit(" "), F.lit(2))
     ahead_s, ahead_r = F.split_part("_ahead", F.lit(" "), F.lit(1)), F.split_part("_ahead", F.lit(" "), F.lit(2))
-    seen_new = F.max(F.when(F.col("_mark").isNull() & (F.col("schedule") == ahead_s), 1)).over(Window.partitionBy(*keys, "_stretch").orderBy(time).rowsBetween(Window.unboundedPreceding, 0))
-    r = r.withColumn("_stretch", F.count("_mark").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    r = r.withColumn("_new", seen_new)
+    # from the first record of the new schedule on, per stretch between two marks
+    new = r.where(F.col("_mark").isNull() & (F.col("schedule") == ahead_s)).groupBy(*keys, "_stretch").agg(F.min("_i").alias("_from"))
+    r = same(r, new, [*keys, "_stretch"], "left").withColumn("_new", F.when(F.col("_i") >= F.col("_from"), 1)).drop("_from")
     era = (
         F.when(F.col("_mark").isNotNull(), F.col("_mark"))
         .when(F.col("_back").isNull(), F.col("_ahead"))
@@ -156,13 +157,12 @@ def eras(classified: DataFrame, keys: list[str], time: str = "time", premium: st
     )
     r = r.withColumn("_era", era)
     undetermined = F.col("_mark").isNull() & F.col("_back").isNotNull() & F.col("_ahead").isNotNull() & (F.col("_back") != F.col("_ahead")) & (back_s == ahead_s) & (back_r != "unclamped") & (ahead_r != "unclamped")
-    r = r.withColumn("_open", undetermined).withColumn("_change", (~F.col("_era").eqNullSafe(F.lag("_era").over(w))).cast("int"))
-    r = r.withColumn("era", F.sum("_change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    r = segments(r.withColumn("_open", undetermined), keys, time, F.col("_era"), "era")
     clamp = F.when(F.col("_era").endswith("clamp_3bp"), X.literal(X.CLAMP_OLD)).when(F.col("_era").endswith("clamp_5bp"), X.literal(X.CLAMP))
     inside = F.col(premium).between(X.literal(X.FLOOR_8H) - clamp, X.literal(X.FLOOR_8H) + clamp)
     floor = F.col("regime") == "floor"
     return r.withColumn("_in", inside).groupBy(*keys, "era").agg(
-        F.split_part(F.first("_era"), F.lit(" "), F.lit(1)).alias("schedule"), F.split_part(F.first("_era"), F.lit(" "), F.lit(2)).alias("rule"),
+        F.split_part(F.min("_era"), F.lit(" "), F.lit(1)).alias("schedule"), F.split_part(F.min("_era"), F.lit(" "), F.lit(2)).alias("rule"),
         F.min(time).alias("first_time"), F.max(time).alias("last_time"), F.count("*").alias("n_records"), F.count_if(floor).alias("n_floor"), F.count_if(F.col("regime") == "other").alias("n_other"),
         F.count_if(floor & F.coalesce(~F.col("_in"), F.lit(True))).alias("floor_not_in_band"), F.count_if(~floor & F.col("_in")).alias("in_band_not_floor"), F.count_if("_open").alias("undetermined_after"),
     )

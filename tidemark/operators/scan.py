@@ -15,11 +15,37 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.operators import chain
-from tidemark.operators.stats import numbered
+from tidemark.session import cut
 
 SIZE = 10_000
 
 
+def stretch_of(rows: DataFrame, order: str) -> Column:
+    """A coarse part of the order column: days of stamps, 100,000s of numbers. Windows within it stay small however long a series is."""
+    kind = dict(rows.dtypes)[order]
+    return F.date_trunc("day", order).cast("string") if kind.startswith(("timestamp", "date")) else F.lpad(F.floor(F.col(order) / 100_000).cast("string"), 20, "0")
+
+
+def numbered(rows: DataFrame, keys: list[str], order: str, name: str = "_i") -> DataFrame:
+    """Adds each row's place (from 0) in its key's order: places within stretches, plus the rows of the stretches before."""
+    r = rows.withColumn("_stretch", stretch_of(rows, order))
+    before = r.groupBy(*keys, "_stretch").agg(F.count("*").alias("_n")).withColumn("_head", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)))
+    named = before.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_stretch").alias("_of"), F.coalesce("_head", F.lit(0)).alias("_head"))
+    same = F.col("_stretch") == F.col("_of")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_stretch").orderBy(order)) - 1
+    return r.withColumn("_own", own).join(named, same).withColumn(name, F.col("_own") + F.col("_head")).drop("_own", "_head", "_stretch", "_of", *(f"_k{i}" for i in range(len(keys))))
+
+
+def with_facts(rows: DataFrame, keys: list[str], *facts: Column) -> DataFrame:
+    """Adds facts of each key, computed by one aggregation and joined back: no window holds a whole key."""
+    found = rows.groupBy(*keys).agg(*facts)
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    named = found.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    return (rows.join(named, same) if keys else rows.crossJoin(named)).drop(*(f"_k{i}" for i in range(len(keys))))
+
+
 def blocked(rows: DataFrame, keys: list[str], order: str, size: int = SIZE) -> DataFrame:
     """Adds _i, each row's place (from 0) in its key's order, and _block, its place over ``size``."""
     return numbered(rows, keys, order).withColumn("_block", F.floor(F.col("_i") / size))
@@ -104,32 +130,56 @@ def same(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner"
 # last known values ---------------------------------------------------------------------------
 
 
-def carried(rows: DataFrame, keys: list[str], order: str, ahead: bool = False, size: int = SIZE, **marks: Column) -> DataFrame:
-    """Adds, per named mark, its last value that is not null before the row (with ``ahead``: the next one after it).
+def carried(rows: DataFrame, keys: list[str], order: str, back: dict[str, Column] | None = None, ahead: dict[str, Column] | None = None, sums: dict[str, Column] | None = None, size: int = SIZE) -> DataFrame:
+    """Adds, per named mark of ``back``, its last value that is not null before the row; per mark of ``ahead`` the next one after it; per term of ``sums`` its sum up to the row, nulls as 0.
 
-    Within a block by a window; across blocks by the last mark of each block, carried over the
-    blocks' summaries. The names become the columns.
+    Within a block by windows; across blocks by the marks at the blocks' ends and the blocks' sums,
+    carried over one summary row per block. Rows that are blocked already keep their places.
     """
-    r = blocked(rows, keys, order, size).withColumns({f"_m_{n}": c for n, c in marks.items()})
-    own, ordered = Window.partitionBy(*keys, "_block"), F.col("_i")
-    near = own.orderBy(ordered.desc() if ahead else ordered).rowsBetween(Window.unboundedPreceding, -1)
-    ends = r.groupBy(*keys, "_block").agg(*((F.min_by if ahead else F.max_by)(f"_m_{n}", F.when(F.col(f"_m_{n}").isNotNull(), ordered)).alias(f"_e_{n}") for n in marks))
-    far = Window.partitionBy(*keys).orderBy(F.col("_block").desc() if ahead else F.col("_block")).rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(*keys, "_block", *(F.last(f"_e_{n}", True).over(far).alias(f"_f_{n}") for n in marks))
-    both = same(r.withColumns({f"_n_{n}": F.last(f"_m_{n}", True).over(near) for n in marks}), ends, [*keys, "_block"])
-    return both.withColumns({n: F.coalesce(f"_n_{n}", f"_f_{n}") for n in marks}).drop("_i", "_block", *(f"_{p}_{n}" for p in "mnf" for n in marks))
-
-
-def running(rows: DataFrame, keys: list[str], order: str, size: int = SIZE, **terms: Column) -> DataFrame:
-    """Adds, per named term, its sum over the key's rows up to this one: sums within blocks plus the sums of the blocks before."""
-    r = blocked(rows, keys, order, size).withColumns({f"_t_{n}": c for n, c in terms.items()})
-    near = Window.partitionBy(*keys, "_block").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    totals = r.groupBy(*keys, "_block").agg(*(F.sum(f"_t_{n}").alias(f"_s_{n}") for n in terms))
-    far = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    heads = totals.select(*keys, "_block", *(F.sum(f"_s_{n}").over(far).alias(f"_h_{n}") for n in terms))
-    both = same(r.withColumns({f"_o_{n}": F.sum(f"_t_{n}").over(near) for n in terms}), heads, [*keys, "_block"])
-    total = lambda n: F.when(F.col(f"_h_{n}").isNull(), F.col(f"_o_{n}")).otherwise(F.col(f"_h_{n}") + F.coalesce(F.col(f"_o_{n}"), F.lit(0)))
-    return both.withColumns({n: total(n) for n in terms}).drop("_i", "_block", *(f"_{p}_{n}" for p in "toh" for n in terms))
+    back, ahead, sums = back or {}, ahead or {}, sums or {}
+    known = "_block" in rows.columns
+    r = rows if known else blocked(rows, keys, order, size)
+    r = r.withColumns({f"_m_{n}": c for n, c in {**back, **ahead}.items()} | {f"_m_{n}": F.coalesce(c, F.lit(0)) for n, c in sums.items()})
+    there = lambda n: F.when(F.col(f"_m_{n}").isNotNull(), F.col("_i"))
+    ends = r.groupBy(*keys, "_block").agg(*(F.max_by(f"_m_{n}", there(n)).alias(f"_e_{n}") for n in back), *(F.min_by(f"_m_{n}", there(n)).alias(f"_e_{n}") for n in ahead), *(F.sum(f"_m_{n}").alias(f"_e_{n}") for n in sums))
+    near, far = Window.partitionBy(*keys, "_block"), Window.partitionBy(*keys)
+    up = lambda w, o, to: w.orderBy(o).rowsBetween(Window.unboundedPreceding, to)
+    sides = [(n, F.col("_i"), F.col("_block")) for n in back] + [(n, F.col("_i").desc(), F.col("_block").desc()) for n in ahead]
+    ends = ends.select(*keys, "_block", *(F.last(f"_e_{n}", True).over(up(far, o, -1)).alias(f"_f_{n}") for n, _, o in sides), *(F.sum(f"_e_{n}").over(up(far, F.col("_block"), -1)).alias(f"_f_{n}") for n in sums))
+    r = r.withColumns({f"_n_{n}": F.last(f"_m_{n}", True).over(up(near, o, -1)) for n, o, _ in sides} | {f"_n_{n}": F.sum(f"_m_{n}").over(up(near, F.col("_i"), 0)) for n in sums})
+    both = same(r, ends, [*keys, "_block"])
+    both = both.withColumns({n: F.coalesce(f"_n_{n}", f"_f_{n}") for n, *_ in sides} | {n: F.coalesce(f"_f_{n}", F.lit(0)) + F.col(f"_n_{n}") for n in sums})
+    both = both.drop(*(f"_{p}_{n}" for p in "mnf" for n in (*back, *ahead, *sums)))
+    return both if known else both.drop("_i", "_block")
+
+
+def segments(rows: DataFrame, keys: list[str], order: str, value: Column, name: str = "segment", size: int = SIZE) -> DataFrame:
+    """Adds the running number, from 1, of the stretches of one value (null is a value too).
+
+    A block's summary is its first and last value and its number of changes; whether a block's first
+    row begins a stretch depends on the last value of the block before.
+    """
+    known = "_block" in rows.columns
+    r = (rows if known else blocked(rows, keys, order, size)).withColumn("_v", F.struct(value.alias("v")))
+    near, far = Window.partitionBy(*keys, "_block").orderBy("_i"), Window.partitionBy(*keys).orderBy("_block")
+    before = F.lag("_v").over(near)
+    r = r.withColumn("_c", F.when(before.isNotNull() & ~F.col("_v").eqNullSafe(before), 1).otherwise(0))
+    ends = r.groupBy(*keys, "_block").agg(F.min_by("_v", "_i").alias("_a"), F.max_by("_v", "_i").alias("_z"), F.sum("_c").alias("_n"))
+    ends = ends.withColumn("_new", (~F.col("_a").eqNullSafe(F.lag("_z").over(far))).cast("int"))
+    ends = ends.select(*keys, "_block", (F.coalesce(F.sum(F.col("_n") + F.col("_new")).over(far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_new")).alias("_h"))
+    both = same(r.withColumn("_o", F.sum("_c").over(near.rowsBetween(Window.unboundedPreceding, 0))), ends, [*keys, "_block"])
+    both = both.withColumn(name, F.col("_h") + F.col("_o")).drop("_v", "_c", "_h", "_o")
+    return both if known else both.drop("_i", "_block")
+
+
+def overlapped(rows: DataFrame, keys: list[str], order: str, behind: int = 0, ahead: int = 0, size: int = SIZE) -> DataFrame:
+    """Blocked rows once more in every block whose rows look at them, up to ``behind`` rows back or ``ahead`` rows on: windows by (keys, _in), ordered by _i.
+
+    A row's own copy is the one with _in = _block; ``behind`` and ``ahead`` may exceed ``size``.
+    """
+    i = F.col("_i")
+    of = lambda place: F.floor(place / size)
+    return blocked(rows, keys, order, size).withColumn("_in", F.explode(F.sequence(of(F.greatest(i - ahead, F.lit(0))), of(i + behind)))).where((F.col("_in") * size <= i + behind) & ((F.col("_in") + 1) * size > i - ahead))
 
 
 # linear recurrences --------------------------------------------------------------------------
@@ -143,7 +193,7 @@ def recurrence(rows: DataFrame, keys: list[str], order: str, shift: str, factor:
     that such a row repeats the level.
     """
     clean = rows.select(*keys, order, F.coalesce(F.col(shift).cast("double"), F.lit(0.0)).alias("_a"), F.coalesce(F.col(factor).cast("double"), F.lit(1.0)).alias("_b"))
-    blocks = packed(clean, keys, order, [order, "_a", "_b"], size)
+    blocks = cut(packed(clean, keys, order, [order, "_a", "_b"], size))
     one = F.struct(F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))
     reach = F.aggregate("rows", one, lambda acc, r: F.struct((r["_a"] + r["_b"] * acc["a"]).alias("a"), (r["_b"] * acc["b"]).alias("b")))
     head = fields(blocks, *keys, "_block")
@@ -182,7 +232,7 @@ def _run(first: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
 
 def series_blocks(rows: DataFrame, keys: list[str], value: str, order: str, size: int = SIZE) -> DataFrame:
     """(keys, _block, rows of x): the blocks of each key's values that are not null."""
-    return packed(rows.where(F.col(value).isNotNull()).select(*keys, order, F.col(value).cast("double").alias("x")), keys, order, [order, "x"], size)
+    return cut(packed(rows.where(F.col(value).isNotNull()).select(*keys, order, F.col(value).cast("double").alias("x")), keys, order, [order, "x"], size))
 
 
 def transfers(blocks: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
@@ -206,7 +256,7 @@ def edges(products: DataFrame, keys: list[str]) -> DataFrame:
     ``prior``: of those at its first row, by the rows before; ``after``: what the states of its
     last row make of all rows after it, up to a factor; ``ll``: the log-likelihood up to its end.
     """
-    head = fields(products, *keys, "_block")
+    head, products = fields(products, *keys, "_block"), cut(products)
 
     def forth(row, state):
         before, ll = (None, 0.0) if state is None else state
@@ -299,7 +349,25 @@ def em_step(blocks: DataFrame, models: DataFrame, keys: list[str], least_var: fl
         F.when(some, F.sqrt(F.greatest(F.col("d2") / F.col("n") - move * move, F.lit(least_var)))).otherwise(F.col("sigma")).alias("sigma"),
     )
     row = F.array_sort(F.collect_list(F.struct("s", "pi", "a", "mu", "sigma")))
-    return state.groupBy(*keys).agg(F.first("ll").alias("ll"), row.alias("_r")).select(*keys, *(F.transform("_r", lambda r, n=n: r[n]).alias(n) for n in MODEL), "ll")
+    return state.groupBy(*keys).agg(F.first("ll").alias("ll"), row.alias("_r")).select(*keys, *(F.col("_r")[n].alias(n) for n in MODEL), "ll")
+
+
+def fit(blocks: DataFrame, models: DataFrame, keys: list[str], rounds: int = 500, tol: float = 1e-6) -> DataFrame:
+    """(keys, pi, a, mu, sigma, ll, rounds): EM from ``models`` until no key gains more than ``tol``, or for ``rounds``; ll is that of the model.
+
+    Every round is one pass over all blocks of all keys; models and likelihoods stay in tables, and
+    only the largest gain comes to the driver.
+    """
+    now, before, made = models.select(*keys, *MODEL), None, 0
+    while True:
+        step = cut(em_step(blocks, now, keys))
+        gain = None
+        if before is not None:
+            told = same(step.select(*keys, F.col("ll").alias("_now")), before.select(*keys, F.col("ll").alias("_then")), keys)
+            gain = told.agg(F.max(F.col("_now") - F.col("_then"))).first()[0]
+        if made == rounds or (gain is not None and gain <= tol) or (before is not None and gain is None):
+            return same(now, step.select(*keys, "ll"), keys).withColumn("rounds", F.lit(made))
+        now, before, made = step.select(*keys, *MODEL), step, made + 1
 
 
 def likely_path(rows: DataFrame, models: DataFrame, keys: list[str], value: str, order: str, size: int = SIZE) -> DataFrame:
@@ -364,6 +432,6 @@ def likely_path(rows: DataFrame, models: DataFrame, keys: list[str], value: str,
         return out[::-1]
 
     scored = each(blocks, head + "m array<array<double>>, pi array<double>, a array<array<double>>", best)
-    known = same(blocks, chained(scored, keys, ["_block"], forth, head + "before array<double>"), [*keys, "_block"])
+    known = cut(same(blocks, chained(scored, keys, ["_block"], forth, head + "before array<double>"), [*keys, "_block"]))
     ends = chained(each(known, head + "came array<int>, best int", pointers), keys, ["_block"], follow, head + "end int", backwards=True)
     return each(same(known, ends, [*keys, "_block"]), f"{fields(rows, *keys)}`{order}` {kind}, state int", path)

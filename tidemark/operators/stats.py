@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.operators.scan import numbered, overlapped, with_facts
+
 
 def average_rank(value: str, keys: list[str]) -> Column:
     """Rank with ties at their mean rank."""
@@ -21,24 +23,6 @@ def correlations(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return r.groupBy(*keys).agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"))
 
 
-def stretch_of(rows: DataFrame, order: str) -> Column:
-    """A coarse part of the order column: days of stamps, 100,000s of numbers. Windows within it stay small however long a series is."""
-    kind = dict(rows.dtypes)[order]
-    return F.date_trunc("day", order).cast("string") if kind.startswith(("timestamp", "date")) else F.lpad(F.floor(F.col(order) / 100_000).cast("string"), 20, "0")
-
-
-def numbered(rows: DataFrame, keys: list[str], order: str, name: str = "_i") -> DataFrame:
-    """Adds each row's place (from 0) in its key's order: places within stretches, plus the rows of the stretches before."""
-    r = rows.withColumn("_stretch", stretch_of(rows, order))
-    before = r.groupBy(*keys, "_stretch").agg(F.count("*").alias("_n")).withColumn("_head", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)))
-    named = before.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_stretch").alias("_of"), F.coalesce("_head", F.lit(0)).alias("_head"))
-    same = F.col("_stretch") == F.col("_of")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    own = F.row_number().over(Window.partitionBy(*keys, "_stretch").orderBy(order)) - 1
-    return r.withColumn("_own", own).join(named, same).withColumn(name, F.col("_own") + F.col("_head")).drop("_own", "_head", "_stretch", "_of", *(f"_k{i}" for i in range(len(keys))))
-
-
 def hac_slope(rows: DataFrame, keys: list[str], y: str, x: str, order: str, lags: int = 20, piece: int = 100_000) -> DataFrame:
     """Least-squares slope with a Newey-West standard error (Bartlett weights) and its 95 % interval.
 
@@ -47,7 +31,7 @@ def hac_slope(rows: DataFrame, keys: list[str], y: str, x: str, order: str, lags
     holds a whole series.
     """
     both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    r = _with(both, keys, F.avg(x).alias("_mx"), F.avg(y).alias("_my"), (F.covar_pop(y, x) / F.var_pop(x)).alias("_b"))
+    r = with_facts(both, keys, F.avg(x).alias("_mx"), F.avg(y).alias("_my"), (F.covar_pop(y, x) / F.var_pop(x)).alias("_b"))
     r = r.withColumn("_u", (F.col(y) - F.col("_my")) - F.col("_b") * (F.col(x) - F.col("_mx"))).withColumn("_s", F.col("_u") * (F.col(x) - F.col("_mx")))
     at = numbered(r, keys, order).withColumn("_piece", F.floor(F.col("_i") / piece))
     early = (F.col("_piece") > 0) & (F.col("_i") % piece < lags)
@@ -75,10 +59,10 @@ def chi2_sf(x: Column, df: Column) -> Column:
 
 def ljung_box(rows: DataFrame, keys: list[str], value: str, order: str, lags: Sequence[int] = (10, 24)) -> DataFrame:
     """(keys, lag, q, p): T (T + 2) sum rho_k^2 / (T - k), for even lags."""
-    all_, w = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(order)
     top = max(lags)
-    r = rows.withColumn("_d", F.col(value) - F.avg(value).over(all_))
-    r = r.withColumns({f"_l{k}": F.lag("_d", k).over(w) for k in range(1, top + 1)})
+    r = overlapped(with_facts(rows, keys, F.avg(value).alias("_mean")).withColumn("_d", F.col(value) - F.col("_mean")), keys, order, behind=top)
+    w = Window.partitionBy(*keys, "_in").orderBy("_i")
+    r = r.withColumns({f"_l{k}": F.lag("_d", k).over(w) for k in range(1, top + 1)}).where(F.col("_in") == F.col("_block"))
     g = r.groupBy(*keys).agg(F.count("_d").alias("n"), F.sum(F.col("_d") ** 2).alias("_ss"), *(F.sum(F.col("_d") * F.col(f"_l{k}")).alias(f"_c{k}") for k in range(1, top + 1)))
     q = lambda m: F.col("n") * (F.col("n") + 2) * sum(((F.col(f"_c{k}") / F.col("_ss")) ** 2 / (F.col("n") - k) for k in range(1, m + 1)), F.lit(0.0))
     out = g.select(*keys, "n", F.inline(F.array(*(F.struct(F.lit(m).alias("lag"), q(m).alias("q")) for m in lags))))
@@ -87,8 +71,9 @@ def ljung_box(rows: DataFrame, keys: list[str], value: str, order: str, lags: Se
 
 def arch_lm(rows: DataFrame, keys: list[str], value: str, order: str, lag: int = 12) -> DataFrame:
     """(keys, n, lm, f): T R^2 of squared values on their own ``lag`` lags; the normal equations are solved per key."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    r = rows.select(*keys, order, (F.col(value) ** 2).alias("_y")).withColumns({f"_x{k}": F.lag("_y", k).over(w) for k in range(1, lag + 1)}).dropna()
+    w = Window.partitionBy(*keys, "_in").orderBy("_i")
+    r = overlapped(rows.select(*keys, order, (F.col(value) ** 2).alias("_y")), keys, order, behind=lag)
+    r = r.withColumns({f"_x{k}": F.lag("_y", k).over(w) for k in range(1, lag + 1)}).where(F.col("_in") == F.col("_block")).dropna()
     names = ["_one", "_y", *(f"_x{k}" for k in range(1, lag + 1))]
     r = r.withColumn("_one", F.lit(1.0))
     # one row of cross products per key: the least squares needs no rows in Python
@@ -115,26 +100,18 @@ def arch_lm(rows: DataFrame, keys: list[str], value: str, order: str, lag: int =
     return g.mapInPandas(solve, f"{schema}{', ' if schema else ''}n long, lm double, f double")
 
 
-def _with(rows: DataFrame, keys: list[str], *facts: Column) -> DataFrame:
-    """Adds facts of each key, computed by one aggregation and joined back: no window holds a whole key."""
-    found = rows.groupBy(*keys).agg(*facts)
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    named = found.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
-    return (rows.join(named, same) if keys else rows.crossJoin(named)).drop(*(f"_k{i}" for i in range(len(keys))))
-
-
 def winsorised(rows: DataFrame, keys: list[str], value: str, tail: float = 0.0005) -> DataFrame:
     """Adds ``capped``: the value clipped at its quantiles ``tail`` and 1 - ``tail`` per key."""
-    r = _with(rows, keys, F.percentile(value, F.array(F.lit(tail), F.lit(1 - tail))).alias("_q"))
+    r = with_facts(rows, keys, F.percentile(value, F.array(F.lit(tail), F.lit(1 - tail))).alias("_q"))
     return r.withColumn("capped", F.greatest(F.least(F.col(value), F.get("_q", F.lit(1))), F.get("_q", F.lit(0)))).drop("_q")
 
 
 def sensitivity_variants(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """Each row under four variants: baseline, the largest set to the second largest, the largest (first of equals by ``order``) dropped, capped at the 99 % quantile."""
     largest = F.max_by(F.col(order), F.struct(F.col(value), -F.unix_micros(F.col(order).cast("timestamp")))) if dict(rows.dtypes)[order].startswith("timestamp") else F.max_by(F.col(order), F.struct(F.col(value), -F.col(order)))
-    r = _with(rows.where(F.col(value).isNotNull()), keys, F.percentile(value, F.lit(0.99)).alias("_cap"), largest.alias("_at"))
+    r = with_facts(rows.where(F.col(value).isNotNull()), keys, F.percentile(value, F.lit(0.99)).alias("_cap"), largest.alias("_at"))
     second = rows.where(F.col(value).isNotNull())
-    second = _with(second, keys, largest.alias("_first")).where(F.col(order) != F.col("_first")).groupBy(*keys).agg(F.max(value).alias("_second")).withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    second = with_facts(second, keys, largest.alias("_first")).where(F.col(order) != F.col("_first")).groupBy(*keys).agg(F.max(value).alias("_second")).withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
     r = r.join(second, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left") if keys else r.crossJoin(second)
     v, top = F.col(value), F.col(order) == F.col("_at")
     made = lambda name, x: F.struct(F.lit(name).alias("variant"), x.alias("v"))
@@ -144,7 +121,7 @@ def sensitivity_variants(rows: DataFrame, keys: list[str], value: str, order: st
 
 def upper_tail_variants(rows: DataFrame, keys: list[str], value: str, order: str, start: str, after: str) -> DataFrame:
     """Each row under two variants: what lies over the 99 % quantile capped between ``start`` and ``after`` only, and all of it capped, from ``after`` on."""
-    r = _with(rows.where(F.col(value).isNotNull()), keys, F.percentile(value, F.lit(0.99)).alias("_cap"))
+    r = with_facts(rows.where(F.col(value).isNotNull()), keys, F.percentile(value, F.lit(0.99)).alias("_cap"))
     late = F.col(order) >= F.lit(after).cast(dict(rows.dtypes)[order])
     within = (F.col(order) >= F.lit(start).cast(dict(rows.dtypes)[order])) & ~late
     capped = F.least(F.col(value), F.col("_cap"))

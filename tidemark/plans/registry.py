@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import floors, gaps, models, panels, reports, runs
+from tidemark.plans import floors, gaps, models, panels, reports, runs, scans
 
 FLAGSHIP = "floor_share_by_phase"
-PARTS = (floors, panels, runs, gaps, models, reports)
+PARTS = (floors, panels, runs, gaps, models, reports, scans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

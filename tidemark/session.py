@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -29,3 +30,21 @@ def share_package(spark: SparkSession) -> None:
             z.write(f, f"{home.name}/{f.relative_to(home)}")
     sc.addPyFile(str(path))
     sc._tidemark_shared = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; where that is unset, an own temporary one in local mode, and an error on a cluster."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: used again without being computed again, and still there when executors are lost."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
