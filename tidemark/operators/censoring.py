@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.operators.scan import same
+from tidemark.operators.selection import quantiles
+
 
 def floor_counts(rows: DataFrame, keys: list[str], rate: Column, floor: Column) -> DataFrame:
     """Per key: records below, at and above the floor by exact comparison, and their shares."""
@@ -55,7 +58,10 @@ def location(rows: DataFrame, keys: list[str], value: str, lo: float = -4.0, hi:
 def describe(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, mean, sd (n - 1), min, median, max, skewness and excess kurtosis (both of the population); nulls and non-finite values are left out."""
     v = F.when(~F.isnan(value) & (F.abs(F.col(value)) < float("inf")), F.col(value))
-    return rows.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.median(v).alias("median"), F.max(v).alias("max"), F.skewness(v).alias("skew"), F.kurtosis(v).alias("excess_kurtosis"))
+    g = rows.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"), F.skewness(v).alias("skew"), F.kurtosis(v).alias("excess_kurtosis"))
+    middle = quantiles(rows.select(*keys, v.alias("_v")), keys, "_v", (0.5,)).select(*keys, F.get("q", F.lit(0)).alias("median"))
+    both = same(g, middle, keys, "left") if keys else g.join(middle, F.lit(True), "left")  # one row each
+    return both.select(*keys, "n", "mean", "sd", "min", "median", "max", "skew", "excess_kurtosis")
 
 
 def floor_summary_by_period(rows: DataFrame, keys: list[str], levels: dict[str, Column], rate: Column, floor: Column) -> DataFrame:

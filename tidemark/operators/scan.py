@@ -120,11 +120,11 @@ def chained(summaries: DataFrame, keys: list[str], order: list[str], step: Calla
 
 def same(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
     """Join by the named columns, nulls equal; the right side's are dropped."""
-    named = right.withColumnsRenamed({n: f"_r{i}" for i, n in enumerate(names)})
+    named = right.withColumnsRenamed({n: f"_same{i}" for i, n in enumerate(names)})
     on = F.lit(True)
     for i, n in enumerate(names):
-        on = on & F.col(n).eqNullSafe(F.col(f"_r{i}"))
-    return left.join(named, on, how).drop(*(f"_r{i}" for i in range(len(names))))
+        on = on & F.col(n).eqNullSafe(F.col(f"_same{i}"))
+    return left.join(named, on, how).drop(*(f"_same{i}" for i in range(len(names))))
 
 
 # last known values ---------------------------------------------------------------------------

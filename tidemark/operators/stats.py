@@ -7,20 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.operators.scan import numbered, overlapped, with_facts
-
-
-def average_rank(value: str, keys: list[str]) -> Column:
-    """Rank with ties at their mean rank."""
-    w = Window.partitionBy(*keys)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2
-
-
-def correlations(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """n, Pearson's and Spearman's correlation of the rows that have both."""
-    both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    r = both.withColumns({"_rx": average_rank(x, keys), "_ry": average_rank(y, keys)})
-    return r.groupBy(*keys).agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"))
+from tidemark.operators.scan import numbered, overlapped, same, with_facts
+from tidemark.operators.selection import correlations, quantiles  # noqa: F401
 
 
 def hac_slope(rows: DataFrame, keys: list[str], y: str, x: str, order: str, lags: int = 20, piece: int = 100_000) -> DataFrame:
@@ -100,16 +88,23 @@ def arch_lm(rows: DataFrame, keys: list[str], value: str, order: str, lag: int =
     return g.mapInPandas(solve, f"{schema}{', ' if schema else ''}n long, lm double, f double")
 
 
+def with_quantiles(rows: DataFrame, keys: list[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Adds _q, the key's quantiles as an array, found by counting."""
+    found = quantiles(rows, keys, value, probs).select(*keys, F.col("q").alias("_q"))
+    return same(rows, found, keys, "left") if keys else rows.crossJoin(found)  # one row
+
+
 def winsorised(rows: DataFrame, keys: list[str], value: str, tail: float = 0.0005) -> DataFrame:
     """Adds ``capped``: the value clipped at its quantiles ``tail`` and 1 - ``tail`` per key."""
-    r = with_facts(rows, keys, F.percentile(value, F.array(F.lit(tail), F.lit(1 - tail))).alias("_q"))
+    r = with_quantiles(rows, keys, value, (tail, 1 - tail))
     return r.withColumn("capped", F.greatest(F.least(F.col(value), F.get("_q", F.lit(1))), F.get("_q", F.lit(0)))).drop("_q")
 
 
 def sensitivity_variants(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """Each row under four variants: baseline, the largest set to the second largest, the largest (first of equals by ``order``) dropped, capped at the 99 % quantile."""
     largest = F.max_by(F.col(order), F.struct(F.col(value), -F.unix_micros(F.col(order).cast("timestamp")))) if dict(rows.dtypes)[order].startswith("timestamp") else F.max_by(F.col(order), F.struct(F.col(value), -F.col(order)))
-    r = with_facts(rows.where(F.col(value).isNotNull()), keys, F.percentile(value, F.lit(0.99)).alias("_cap"), largest.alias("_at"))
+    there = rows.where(F.col(value).isNotNull())
+    r = with_facts(with_quantiles(there, keys, value, (0.99,)).withColumn("_cap", F.get("_q", F.lit(0))), keys, largest.alias("_at"))
     second = rows.where(F.col(value).isNotNull())
     second = with_facts(second, keys, largest.alias("_first")).where(F.col(order) != F.col("_first")).groupBy(*keys).agg(F.max(value).alias("_second")).withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
     r = r.join(second, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left") if keys else r.crossJoin(second)
@@ -121,7 +116,7 @@ def sensitivity_variants(rows: DataFrame, keys: list[str], value: str, order: st
 
 def upper_tail_variants(rows: DataFrame, keys: list[str], value: str, order: str, start: str, after: str) -> DataFrame:
     """Each row under two variants: what lies over the 99 % quantile capped between ``start`` and ``after`` only, and all of it capped, from ``after`` on."""
-    r = with_facts(rows.where(F.col(value).isNotNull()), keys, F.percentile(value, F.lit(0.99)).alias("_cap"))
+    r = with_quantiles(rows.where(F.col(value).isNotNull()), keys, value, (0.99,)).withColumn("_cap", F.get("_q", F.lit(0)))
     late = F.col(order) >= F.lit(after).cast(dict(rows.dtypes)[order])
     within = (F.col(order) >= F.lit(start).cast(dict(rows.dtypes)[order])) & ~late
     capped = F.least(F.col(value), F.col("_cap"))

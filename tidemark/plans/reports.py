@@ -27,13 +27,14 @@ def upper_tail(spark, d):
 
 
 def pricing_check(spark, d):
-    """Daily means of one venue against those of the others: correlations, slope, and the slope of what lies within weeks."""
+    """Daily means of one venue against those of the others: correlations, and the slope with its HAC error, of the means and of what lies within weeks."""
     day = hourly(spark, d).groupBy("venue", F.date_trunc("day", "time").alias("time")).agg(F.avg("m").alias("m"))
     both = day.where("venue <> 'click'").withColumnRenamed("m", "y").join(day.where("venue = 'click'").select("time", F.col("m").alias("x")), "time")
     week = both.groupBy("venue", F.date_trunc("week", "time").alias("week")).agg(F.avg("x").alias("_wx"), F.avg("y").alias("_wy"))
-    within = both.withColumn("week", F.date_trunc("week", "time")).join(week, ["venue", "week"]).groupBy("venue").agg(F.regr_slope(F.col("y") - F.col("_wy"), F.col("x") - F.col("_wx")).alias("within_slope"))
-    slope = both.groupBy("venue").agg(F.regr_slope("y", "x").alias("slope"))
-    return rounded(T.correlations(both, ["venue"], "x", "y").join(slope, "venue").join(within, "venue"), "pearson", "spearman", "slope", "within_slope", digits=7)
+    net = both.withColumn("week", F.date_trunc("week", "time")).join(week, ["venue", "week"]).select("venue", "time", (F.col("x") - F.col("_wx")).alias("x"), (F.col("y") - F.col("_wy")).alias("y"))
+    slope = lambda r, p: T.hac_slope(r, ["venue"], "y", "x", "time", HAC_DAYS).select("venue", F.col("slope").alias(f"{p}slope"), F.col("se").alias(f"{p}se"), F.col("lo").alias(f"{p}lo"), F.col("hi").alias(f"{p}hi"))
+    found = T.correlations(both, ["venue"], "x", "y").join(slope(both, ""), "venue").join(slope(net, "within_"), "venue")
+    return rounded(found, *(c for c in found.columns if c not in ("venue", "n")), digits=6)
 
 
 def median_intervals(spark, d):
@@ -95,8 +96,19 @@ def transition_geometry(spark, d):
     return models.hmm_bootstrap(spark, d).where("labels = 'sigma' and parameter like 'a\\\\_%'").select("venue", F.split_part("parameter", F.lit("_"), F.lit(2)).cast("int").alias("from_state"), F.split_part("parameter", F.lit("_"), F.lit(3)).cast("int").alias("to_state"), "point", "lo", "hi", "at_zero")
 
 
+HAC_DAYS = 20  # days of Newey-West weights
 DAYS = f"WITH {REC}, {HOURLY_SQL}, dy AS (SELECT venue, date_trunc('day', time) AS time, avg(m) AS m FROM hr GROUP BY 1, 2)"
 
+AHEAD = " + ".join(f"2 * (1 - {k} / {HAC_DAYS + 1}.0) * coalesce(lead(s, {k}) OVER w, 0)" for k in range(1, HAC_DAYS + 1))
+
+
+def hac_sql(name: str, x: str, y: str) -> str:
+    """The slope of y on x by venue in order of time, with its HAC error, as a table ``name``."""
+    return f"""{name}0 AS (SELECT venue, time, b, {x} - mx AS e, (({y} - my) - b * ({x} - mx)) * ({x} - mx) AS s FROM (SELECT *, avg({x}) OVER v AS mx, avg({y}) OVER v AS my, covar_pop({y}, {x}) OVER v / var_pop({x}) OVER v AS b FROM r WINDOW v AS (PARTITION BY venue)) z),
+{name}1 AS (SELECT venue, b, e * e AS xx, s * (s + {AHEAD}) AS m FROM {name}0 WINDOW w AS (PARTITION BY venue ORDER BY time)),
+{name}2 AS (SELECT venue, any_value(b) AS slope, sqrt(greatest(sum(m), 0)) / sum(xx) AS se FROM {name}1 GROUP BY 1), {name} AS (SELECT *, slope - 1.96 * se AS lo, slope + 1.96 * se AS hi FROM {name}2)"""
+
+
 QUERIES = {
     "panel_acceptance": (acceptance, f"""WITH {REC}, h AS (SELECT venue, time, CAST(sum(p) AS BIGINT) AS total, count(*) AS n, max(p) AS most FROM fund GROUP BY 1, 2), j AS (SELECT a.time, abs(a.total - b.total) AS total, abs(a.n - b.n) AS n, abs(a.most - b.most) AS most FROM h a JOIN h b ON a.time = b.time AND a.venue = 'click' AND b.venue = 'view'),
 l AS (SELECT unnest(['total', 'n', 'most']) AS field, unnest([total, n, most]) AS diff, unnest([40000.0, 5.0, 1e9]) AS most_allowed FROM j), s AS (SELECT count(*) AS n_right FROM h WHERE venue = 'view')
@@ -106,6 +118,6 @@ SELECT field, count(*) AS matched, round(max(diff), 6) AS largest, round(count(*
 u AS (SELECT venue, 'tail_capped_within' AS variant, CASE WHEN time >= TIMESTAMP '2024-01-10' AND time < TIMESTAMP '2024-01-20' THEN w ELSE v END AS v FROM x UNION ALL SELECT venue, 'capped_from', w FROM x WHERE time >= TIMESTAMP '2024-01-20')
 SELECT venue, variant, count(*) AS n, round(avg(v), 6) AS mean, round(max(v), 6) AS largest FROM u GROUP BY 1, 2"""),
     "pricing_check": (pricing_check, f"""{DAYS}, j AS (SELECT b.venue, b.time, a.m AS x, b.m AS y FROM dy a JOIN dy b ON a.time = b.time AND a.venue = 'click' AND b.venue <> 'click'), r AS (SELECT *, rank() OVER (PARTITION BY venue ORDER BY x) + (count(*) OVER (PARTITION BY venue, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY venue ORDER BY y) + (count(*) OVER (PARTITION BY venue, y) - 1) / 2.0 AS ry,
-x - avg(x) OVER w AS dx, y - avg(y) OVER w AS dy FROM j WINDOW w AS (PARTITION BY venue, date_trunc('week', time)))
-SELECT venue, count(*) AS n, round(corr(x, y), 7) AS pearson, round(corr(rx, ry), 7) AS spearman, round(regr_slope(y, x), 7) AS slope, round(regr_slope(dy, dx), 7) AS within_slope FROM r GROUP BY 1"""),
+x - avg(x) OVER w AS dx, y - avg(y) OVER w AS dy FROM j WINDOW w AS (PARTITION BY venue, date_trunc('week', time))), c AS (SELECT venue, count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY 1), {hac_sql("a", "x", "y")}, {hac_sql("b", "dx", "dy")}
+SELECT c.*, {", ".join(f"round({t}.{c}, 6) + 0.0 AS {p}{c}" for t, p in (("a", ""), ("b", "within_")) for c in ("slope", "se", "lo", "hi"))} FROM c JOIN a USING (venue) JOIN b USING (venue)"""),
 } | {f.__name__: (f, None) for f in (median_intervals, hmm_winsorised, two_hour_chain, switching_on_rate, switching_at_optima, forest, chains_on_garch, transition_geometry)}

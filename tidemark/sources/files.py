@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.periods import parse_stamp, shifted
+from tidemark.operators.scan import carried, same
 
 # fixed values: column orders of the files
 CANDLES = "time timestamp_ntz, o double, h double, l double, c double, v double"
@@ -77,15 +78,42 @@ def resolved(rows: DataFrame, names: Mapping[str, tuple[str, ...]] = CONTEXT_NAM
 
 def context(rows: DataFrame, coin: str) -> DataFrame:
     """Typed archive context of one coin: time (epoch seconds, milliseconds or ISO text), funding, premium and prices."""
-    r = resolved(rows.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in rows.columns)))
+    return typed_context(resolved(rows.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in rows.columns))), coin)
+
+
+def typed_context(r: DataFrame, coin: str) -> DataFrame:
+    """The rows of one coin from a context of texts under canonical names."""
     rest = [c for c in r.columns if c not in ("time", "coin")]
     return r.where(F.upper(F.trim("coin")) == coin.upper()).select(parse_stamp(F.col("time")).alias("time"), *(number(F.col(c)).alias(c) for c in rest)).where("time is not null")
 
 
+def holes(stored: DataFrame, keys: list[str], time: str, step: int, start: int, end: int) -> DataFrame:
+    """(keys, start, end): closed spans of [start, end] in which a key's stamps lack steps; whole numbers of one unit.
+
+    Stamps that stand ``step`` apart or closer leave no hole. What precedes a stamp is carried over
+    blocks, so no task holds a series. Keys without any stamp are not there: see ``uncovered``.
+    """
+    s = stored.select(*keys, F.col(time).cast("long").alias("_t")).where(F.col("_t").between(start, end)).distinct()
+    s = carried(s, keys, "_t", {"_prev": F.col("_t")})
+    between = s.select(*keys, F.coalesce(F.col("_prev") + step, F.lit(start)).alias("start"), (F.col("_t") - step).alias("end"), F.col("_prev").isNull().alias("_first"), "_t")
+    between = between.select(*keys, "start", F.when(F.col("_first"), F.col("_t") - 1).otherwise(F.col("end")).alias("end")).where(F.col("start") <= F.col("end"))
+    after = s.groupBy(*keys).agg((F.max("_t") + step).alias("start")).select(*keys, "start", F.lit(end).cast("long").alias("end")).where(F.col("start") <= end)
+    return between.unionByName(after)
+
+
+def uncovered(stored: DataFrame, wanted: DataFrame, keys: list[str], time: str, step: int, start: int, end: int) -> DataFrame:
+    """(keys, start, end): the spans that a store of stamps lacks for each key of ``wanted``; the whole of it where nothing is stored."""
+    found = holes(stored, keys, time, step, start, end)
+    asked = wanted.select(*keys).distinct()
+    none = same(asked, stored.where(F.col(time).between(start, end)).select(*keys).distinct(), keys, "left_anti")
+    return same(found, asked, keys, "left_semi").unionByName(none.select(*keys, F.lit(start).cast("long").alias("start"), F.lit(end).cast("long").alias("end")))
+
+
 def covers(minutes: DataFrame, start: str, end: str) -> bool:
-    """Whether a cached minute table reaches both ends of a span."""
-    row = minutes.agg(F.min("open_ms").alias("a"), F.max("open_ms").alias("b")).select((F.col("a") <= F.unix_millis(F.lit(start).cast("timestamp"))) & (F.col("b") >= F.unix_millis(F.lit(end).cast("timestamp")) - 60_000)).first()
-    return bool(row[0])
+    """Whether a cached minute table has every minute of a span, its end left out."""
+    ms = minutes.sparkSession.range(1).select(F.unix_millis(F.lit(start).cast("timestamp")).alias("a"), (F.unix_millis(F.lit(end).cast("timestamp")) - 60_000).alias("b")).first()
+    one = minutes.select(F.lit(1).alias("_k"), "open_ms")
+    return uncovered(one, one.sparkSession.range(1).select(F.lit(1).alias("_k")), ["_k"], "open_ms", 60_000, ms.a, ms.b).isEmpty()
 
 
 def write_csv(rows: DataFrame, path: str, compression: str = "none") -> int:

@@ -11,13 +11,14 @@ instead (named by a digest of URL and body), which tests and offline runs use.
 from __future__ import annotations
 
 import hashlib
+import http.client
 import json
 import time
 import urllib.error
 import urllib.request
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 # fixed values: page sizes, addresses and field places of the venues' public interfaces
 SERIES = {
@@ -55,7 +56,7 @@ def fetch(url: str, body: str | None = None, retries: int = 6, pause: float = 0.
             if e.code not in RETRY or k == retries - 1:
                 raise
             time.sleep(float(e.headers.get("Retry-After") or 2**k))
-        except urllib.error.URLError:
+        except (urllib.error.URLError, TimeoutError, ConnectionError, http.client.HTTPException, ValueError):  # ValueError: an answer that is no JSON
             if k == retries - 1:
                 raise
             time.sleep(2**k)
@@ -109,23 +110,84 @@ def rows_of(page: Page, **how):
             start = max(stamps) + 1
 
 
+@dataclass
+class Lane(InputPartition):
+    """Pages that are asked for one after the other, ``pause`` seconds apart."""
+
+    pages: list[Page]
+    pause: float
+
+
+def lanes(found: list[Page], pause: float, most: int) -> list[Lane]:
+    """Pages dealt to partitions. Without a pace each page is one; with it, up to ``most`` lanes share it: each waits ``most`` times as long, so that together they ask once per ``pause``."""
+    if pause <= 0:
+        return [Lane([p], 0.0) for p in found]
+    n = max(1, min(most, len(found)))
+    return [Lane(found[i::n], pause * n) for i in range(n)]
+
+
+def read_lane(lane: Lane, replay: str | None):
+    for page in lane.pages:
+        yield from rows_of(page, pause=lane.pause, replay=replay)
+
+
 class Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.o = options
 
     def partitions(self):
-        start, end = int(self.o["start"]), int(self.o["end"])
-        found = [p for symbol in self.o["symbols"].split(",") for p in pages(self.o["series"], symbol.strip(), start, end, int(self.o.get("slices", "1")))]
-        if not found:
+        slices = int(self.o.get("slices", "1"))
+        if "spans" in self.o:  # symbol, start, end of what is to be fetched
+            spans = [tuple(x) for x in json.loads(self.o["spans"])]
+        else:
+            spans = [(symbol.strip(), int(self.o["start"]), int(self.o["end"])) for symbol in self.o["symbols"].split(",")]
+        found = [p for symbol, start, end in spans for p in pages(self.o["series"], symbol, start, end, slices)]
+        if not found and "spans" not in self.o:
             raise ValueError("an empty span")
-        return found
+        return lanes(found, float(self.o.get("pause", "0")), int(self.o.get("lanes", "1"))) or [Lane([], 0.0)]
+
+    def read(self, partition):
+        yield from read_lane(partition, self.o.get("replay"))
+
+
+class StreamReader(DataSourceStreamReader):
+    """Pages as a stream: the offset is the first stamp not read yet, by symbol.
+
+    A batch reaches from the committed offset to ``end`` or, without it, to now less ``delay``
+    milliseconds. Spark keeps the offsets in the query's checkpoint, so a restart goes on where the
+    last finished batch ended. All requests of a batch share one pace.
+    """
+
+    def __init__(self, options: dict[str, str]):
+        self.o = options
+        self.symbols = [x.strip() for x in options["symbols"].split(",")]
+
+    def initialOffset(self) -> dict:
+        return {symbol: int(self.o["start"]) for symbol in self.symbols}
+
+    def latestOffset(self) -> dict:
+        end = int(self.o["end"]) if "end" in self.o else int(time.time() * 1000) - int(self.o.get("delay", "0"))
+        return {symbol: end + 1 for symbol in self.symbols}
+
+    def partitions(self, start: dict, end: dict):
+        first = int(self.o["start"])  # of a symbol that joined later
+        found = [p for symbol in sorted(end) for p in pages(self.o["series"], symbol, start.get(symbol, first), end[symbol] - 1)]
+        return lanes(found, float(self.o.get("pause", "0")), int(self.o.get("lanes", "1"))) or [Lane([], 0.0)]
 
     def read(self, partition):
-        yield from rows_of(partition, pause=float(self.o.get("pause", "0")), replay=self.o.get("replay"))
+        yield from read_lane(partition, self.o.get("replay"))
+
+    def commit(self, end: dict) -> None:
+        """Nothing is held for batches that are done."""
 
 
 class FundingSeries(DataSource):
-    """``spark.read.format("funding_series")`` with options series, symbols, start, end (ms), slices, pause, replay."""
+    """``spark.read.format("funding_series")``, or ``readStream``, with options series, symbols, start, end (ms), slices, replay.
+
+    ``pause``: seconds between two requests of all partitions together, which are then ``lanes``.
+    ``spans`` (batch): a JSON list of symbol, start, end instead of symbols, start and end. A stream
+    needs no ``end``.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -137,6 +199,9 @@ class FundingSeries(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return Reader(dict(self.options))
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return StreamReader(dict(self.options))
+
 
 def register(spark) -> None:
     spark.dataSource.register(FundingSeries)
@@ -157,3 +222,22 @@ def fetched(spark, wanted: list[tuple[str, str]], start: int, end: int, **option
     if empty:
         raise ValueError(f"no rows for {empty}")
     return rows
+
+
+def completed(spark, series: str, stored, symbols: list[str], start: int, end: int, **options: str):
+    """The stored rows (SCHEMA) with what they lack of a span, fetched: only spans without stored stamps are asked for.
+
+    The spans, a row each, come to the driver, where Spark plans partitions.
+    """
+    from pyspark.sql import functions as F
+
+    from tidemark.sources.files import uncovered
+
+    register(spark)
+    wanted = spark.createDataFrame([(s,) for s in symbols], "symbol string")
+    have = stored.where((F.col("series") == series) & F.col("symbol").isin(symbols))
+    spans = [(r.symbol, r.start, r.end) for r in uncovered(have, wanted, ["symbol"], "time_ms", SERIES[series]["step"], start, end).orderBy("symbol", "start").collect()]
+    if not spans:
+        return stored
+    new = spark.read.format("funding_series").options(series=series, spans=json.dumps(spans), **options).load()
+    return stored.unionByName(new)
