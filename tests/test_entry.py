@@ -49,3 +49,40 @@ def test_documents(spark):
     assert d["venues"]["click"]["at"] + d["venues"]["click"]["below"] + d["venues"]["click"]["above"] == d["venues"]["click"]["n"]
     d = json.loads(documents.gap_document(spark, DATA))
     assert set(d["split"]["1"]) == {"location", "averaging", "dispersion"}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_documents_are_refreshed_block_by_block(spark, tmp_path, monkeypatch):
+    import json
+
+    from tidemark.plans import documents
+
+    folder = f"file://{tmp_path}/history"
+    assert documents.refresh(spark, DATA, folder, "history", ["order", "levels"]) == 1
+    first = json.loads(documents.stored(spark, folder, "history"))
+    assert set(first) == {"order", "levels"} and {"window", "M", "D"} <= set(first["levels"]["click_8h"])
+
+    def lost(spark, d):
+        raise RuntimeError("lost")
+
+    parts = documents.DOCUMENTS["history"]
+    monkeypatch.setitem(parts, "shift", (lost, parts["shift"][1]))
+    with pytest.raises(RuntimeError, match="lost"):
+        documents.refresh(spark, DATA, folder, "history", ["ranking", "shift"])
+    assert json.loads(documents.stored(spark, folder, "history")) == first  # the earlier artifact is whole
+    assert documents.refresh(spark, DATA, folder, "history", ["ranking"]) == 2
+    both = json.loads(documents.stored(spark, folder, "history"))
+    assert set(both) == {"order", "levels", "ranking"} and both["order"] == first["order"]
+    assert json.loads(documents.stored(spark, folder, "history", 1)) == first
+    with pytest.raises(ValueError, match="no blocks"):
+        documents.refresh(spark, DATA, folder, "history", ["absent"])
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_trees_of_documents_have_a_row_per_leaf(spark):
+    from tidemark.plans import documents
+
+    for name in ("floors", "history", "gap", "series"):
+        for block, (query, keys) in documents.DOCUMENTS[name].items():
+            rows = query(spark, DATA)
+            assert rows.count() == rows.select(*keys).distinct().count(), (name, block)

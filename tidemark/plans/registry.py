@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import caches, floors, gaps, models, panels, reports, runs, scans, selections
+from tidemark.plans import caches, floors, gaps, levels, models, panels, reports, runs, scans, selections
 
 FLAGSHIP = "floor_share_by_phase"
-PARTS = (floors, panels, runs, gaps, models, reports, scans, selections, caches)
+PARTS = (floors, panels, runs, gaps, models, reports, scans, selections, caches, levels)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
