@@ -7,14 +7,23 @@ from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.operators.scan import same
+from tidemark.operators.selection import quantiles
+
 FACTORS = ("location", "averaging", "dispersion")
 
 
-def gap_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """n, mean, quartiles and share above 0, of the values that are there."""
-    v = F.col(value)
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = rows.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), q.alias("_q"), F.avg((v > 0).cast("double")).alias("share_positive"))
+def gap_stats(rows: DataFrame, keys: list[str], value: str, wide: bool = False) -> DataFrame:
+    """n, mean, quartiles and share above 0, of the values that are there.
+
+    ``wide``: keys whose values a task should not hold, as those of a whole venue; their quartiles
+    are found by counting. Otherwise, for keys such as days, a key's values are held to be sorted.
+    """
+    v, probs = F.col(value), (0.25, 0.5, 0.75)
+    g = rows.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.avg((v > 0).cast("double")).alias("share_positive"), *([] if wide else [F.percentile(v, F.array(*map(F.lit, probs))).alias("_q")]))
+    if wide:
+        found = quantiles(rows, keys, value, probs).select(*keys, F.col("q").alias("_q"))
+        g = same(g, found, keys, "left") if keys else g.join(found, F.lit(True), "left")  # one row each
     return g.select(*keys, "n", "mean", *(F.get("_q", F.lit(i)).alias(f"q{p}") for i, p in enumerate((25, 50, 75))), "share_positive")
 
 

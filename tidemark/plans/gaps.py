@@ -22,7 +22,7 @@ def gaps(spark, d):
 
 
 def gap_stats(spark, d):
-    return rounded(G.gap_stats(gaps(spark, d), ["venue"], "g"), *COLUMNS)
+    return rounded(G.gap_stats(gaps(spark, d), ["venue"], "g", wide=True), *COLUMNS)
 
 
 def gap_by_day(spark, d):
