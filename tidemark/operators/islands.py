@@ -114,13 +114,15 @@ def median_filter(rows: DataFrame, keys: list[str], order: str, value: str, widt
     return r.drop("_i", "_block", "_in", "_last")
 
 
-def rule_records(rows: DataFrame, keys: list[str], time: str = "time", rate: str = "rate", premium: str = "premium") -> DataFrame:
+def rule_records(rows: DataFrame, keys: list[str], time: str = "time", rate: str = "rate", premium: str = "premium", places: bool = False) -> DataFrame:
     """Classify funding records: adds schedule (8h or 1h), deviation (exact) and regime.
 
     A record four hours or more after the one before is eight-hourly (the first one: before the
-    next). The eight-hour rate is the rate times 8 / hours covered.
+    next). The eight-hour rate is the rate times 8 / hours covered. With ``places`` the rows keep
+    their places in blocks, which ``eras`` then need not number again.
     """
-    r = carried(rows, keys, time, {"_prev": F.col(time)}, {"_next": F.col(time)})
+    r = carried(cut(blocked(rows, keys, time)), keys, time, {"_prev": F.col(time)}, {"_next": F.col(time)})
+    r = r if places else r.drop("_i", "_block")
     gap = F.coalesce(seconds(F.col(time)) - seconds(F.col("_prev")), seconds(F.col("_next")) - seconds(F.col(time)))
     r = r.withColumn("schedule", F.when(gap >= 4 * 3600, "8h").otherwise("1h")).drop("_prev", "_next")
     eight = F.when(F.col("schedule") == "8h", F.col(rate)).otherwise((F.col(rate) * 8).cast(X.RATE))
@@ -139,7 +141,8 @@ def eras(classified: DataFrame, keys: list[str], time: str = "time", premium: st
     """
     reveals = F.col("regime").isin("clamp_3bp", "clamp_5bp", "unclamped")
     mark = F.when(reveals, F.concat_ws(" ", "schedule", "regime"))
-    r = cut(blocked(classified.withColumn("_mark", mark), keys, time))
+    r = classified.withColumn("_mark", mark)
+    r = cut(r if "_block" in classified.columns else blocked(r, keys, time))
     r = cut(carried(r, keys, time, {"_back": F.col("_mark")}, {"_ahead": F.col("_mark")}, {"_stretch": F.col("_mark").isNotNull().cast("long")}))
     # from which era each record is, by the marks around it
     back_s, back_r = F.split_part("_back", F.lit(" "), F.lit(1)), F.split_part("_back", F.lit(" "), F.lit(2))

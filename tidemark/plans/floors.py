@@ -96,7 +96,7 @@ def describe(spark, d):
     return rounded(C.describe(records(spark, d), ["venue"], "premium_bps"), "mean", "sd", "min", "median", "max", "skew", "excess_kurtosis")
 
 
-def rule_records(spark, d):
+def rule_records(spark, d, places=False):
     """Hourly records of each venue under two clamps and none, by third of the hours, classified."""
     from pyspark.sql import Window
 
@@ -107,7 +107,7 @@ def rule_records(spark, d):
     exact = lambda x, k: (x.cast("decimal(12,0)") * F.lit(k).cast("decimal(11,10)")).cast(X.RATE)
     h = h.withColumn("_part", part).withColumn("r8", F.when(F.col("_part") == 2, F.col("p")).otherwise(r8))
     h = h.select("venue", "time", "p", "r8", exact(F.col("r8") * 125, "0.0000000001").alias("rate"), exact(F.col("p") * 1000, "0.0000000001").alias("premium"))
-    return I.rule_records(h, ["venue"])
+    return I.rule_records(h, ["venue"], places=places)
 
 
 def rule_classes(spark, d):
@@ -119,7 +119,7 @@ def rule_switch(spark, d):
 
 
 def rule_eras(spark, d):
-    return I.eras(rule_records(spark, d), ["venue"])
+    return I.eras(rule_records(spark, d, places=True), ["venue"])
 
 
 def ratio_sets(spark, d):
