@@ -329,10 +329,39 @@ def test_the_shortest_items_match_themselves_alone(spark):
     assert decontam.contaminated(docs, items).count() == 0 and decontam.drop_contaminated(docs, items).count() == 3
 
 
+def test_one_token_over_and_over(spark):
+    """Places of an item that look alike are one place; broadcast and shuffle give the same rows, copies and hot seeds included."""
+    rows = [(1, "go " * 3000), (2, "go " * 3000), (3, "stop " * 12 + "go " * 12), (4, prose(60, 500)), (5, "a b c d " * 400), (None, "go " * 20), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, "go " * 2000), (2, "a b c d " * 300), (3, prose(60, 40)), (3, prose(60, 40)), (None, prose(60, 20)), (7, None)], "item_id long, text string")
+    found = [sorted(map(tuple, decontam.contaminated(docs, items, broadcast_bytes=limit).collect()), key=str) for limit in (1 << 25, 1)]
+    assert found[0] == found[1]
+    assert {r[:4] for r in found[0]} == {(1, 1, 13, 13), (2, 1, 13, 13), (3, 1, 12, 13), (4, 3, 13, 13), (4, None, 13, 13), (5, 2, 13, 13), (None, 1, 13, 13)}
+    assert all(r[4:] == (0, 0) for r in found[0] if r[0] in (1, 2, 4, 5, None))
+
+
+def test_columns_with_the_names_that_operators_use(spark, corpus):
+    taken = ["text_key", "row_key", "Row_Size", "row_pieces", "row_round", "RUN_DOC", "run_tag", "run_cut", "_row_key", "text_hash", "seed", "mark"]
+    docs = corpus.select("doc_id", "text", "source", *(F.lit(f"{c} of it").alias(c) for c in taken))
+    item = spark.createDataFrame([(1, prose(2, 60), "x")], "item_id long, text string, text_key string")
+    mixed = mixing.taken_texts(docs, mixing.mix(docs))
+    for out, plain in (
+        (decontam.drop_contaminated(docs, item), decontam.drop_contaminated(corpus, item)),
+        (minhash.drop_near_duplicates(docs), minhash.drop_near_duplicates(corpus)),
+        (linededup.drop_repeated(docs).drop("n_units", "n_removed", "removed"), linededup.drop_repeated(corpus)),
+        (mixed, mixing.taken_texts(corpus, mixing.mix(corpus))),
+    ):
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert Counter((r.doc_id, r.text) for r in got) == Counter((r.doc_id, r.text) for r in plain.collect())
+        assert all(r[c] == f"{c} of it" for r in got for c in taken)
+
+
 def test_decontamination_of_nothing(spark, corpus, nothing):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminated(corpus, empty).collect() == []
     assert decontam.contaminated(nothing, empty).collect() == []
+    assert decontam.contaminated(corpus, empty, broadcast_bytes=-1).collect() == decontam.contaminated(nothing, empty, broadcast_bytes=-1).collect() == []
 
 
 # 4

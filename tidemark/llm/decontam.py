@@ -10,6 +10,11 @@ The two masks together hit every window of 13 tokens with up to two substitution
 enumeration). An item shorter than ``overlap`` has seeds of its own: its tokens are cut into one
 part more than substitutions are allowed, so that one part stays whole; every part is a seed, at
 its place in the item, and documents are searched for parts of those lengths.
+
+Where the seeds of the benchmark are few they are broadcast, and windows never leave their task. Else
+a window is a row of three numbers: a broadcast of the seeds' remainders, of bounded size, drops
+windows that cannot match, the rest is joined by a shuffle, and only texts with a hit are laid beside
+items. Places of a text or an item that look alike (a token over and over) are one place.
 """
 
 from __future__ import annotations
@@ -18,11 +23,13 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.scratch import new_folder, written
+from tidemark.llm.scratch import free_name, new_folder, written
 
 MASKS = ("11101011", "110100111")
 #: Items of fewer tokens than this are too short to tell anything and are left out: one word in common is no leak.
 LEAST = 5
+#: Remainders of seeds that windows are tried against before a shuffle: at most so many rows are broadcast, however large the benchmark.
+REMAINDERS = 1 << 22
 
 
 def token_hashes(text: Column) -> Column:
@@ -65,19 +72,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, share
 
     ``docs`` (doc_id, text), ``benchmark`` (item_id, text); other columns are ignored. Seeds of the
     benchmark, each with the stretch of its item that a comparison needs, are broadcast if all of
-    them together have up to ``broadcast_bytes``; beyond, Spark joins them by a shuffle. Items of fewer
+    them together have up to ``broadcast_bytes``; beyond, Spark joins them by a shuffle, with the same
+    result. Items of fewer
     tokens than ``overlap`` match where that share of all their tokens is equal; those of fewer than
     ``least`` match nothing (with a lower ``least``, an item of one to four tokens matches itself alone). Texts that are
     null, empty or without letters and digits match nothing; texts may have any length. Documents
     that stand twice under one doc_id give one row; a null doc_id or item_id is kept. An empty table
     on either side gives an empty table.
     """
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_hashes(F.col("text")).alias("tokens"))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return _found(given, "doc_id", benchmark, overlap, share, masks, broadcast_bytes, least)
 
 
+def _hits(given: DataFrame, key: str, seeds: DataFrame, masks: tuple[str, ...], small: bool) -> DataFrame:
+    """The windows of ``given`` (``key``, text) whose seed an item has: key, tokens, at and the columns of ``seeds``."""
+    tokens = token_hashes(F.col("text")).alias("tokens")
+    if small:
+        return _windows(given.select(key, tokens), key, "tokens", masks).join(F.broadcast(seeds), "seed")
+    # texts of one hash are each compared with what any of them may hold; copies ask once
+    text_hash = F.xxhash64("text").alias("text_hash")
+    remainder = F.pmod(F.col("seed"), F.lit(REMAINDERS)).alias("remainder")
+    known = seeds.select(remainder).distinct()
+    windows = _windows(given.select(text_hash, tokens), "text_hash", "tokens", masks).select("text_hash", "at", "seed", remainder)
+    asked = windows.join(F.broadcast(known), "remainder", "left_semi").select("text_hash", "at", "seed").distinct()
+    met = asked.join(seeds.hint("merge"), "seed")
+    # tokens once per text, before the join, not once per hit
+    return met.join(given.select(key, text_hash, tokens), "text_hash").select(key, "tokens", "at", *seeds.columns)
+
+
 def _found(given: DataFrame, key: str, benchmark: DataFrame, overlap: int, share: float, masks: tuple[str, ...], broadcast_bytes: int, least: int) -> DataFrame:
-    """As :func:`contaminated`, for rows (``key``, tokens)."""
+    """As :func:`contaminated`, for rows (``key``, text)."""
     folder = new_folder(given.sparkSession, "decontam")
     reach, after = overlap - 1, overlap + max(map(len, masks))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), token_hashes(F.col("text")).alias("item"))
@@ -92,17 +116,22 @@ def _found(given: DataFrame, key: str, benchmark: DataFrame, overlap: int, share
         at_length = F.when(F.size("item") == n, own).otherwise(at_length)
     short = items.where(F.size("item").between(least, overlap - 1)).select("item_id", "item", F.inline(at_length)).select("item_id", "item", "at", "seed")
     seeds = long.unionByName(short).select("seed", "item_id", F.col("at").alias("item_at"), lead.alias("lead"), F.size("item").alias("n_item"), F.slice("item", F.col("at") - lead + 1, lead + after).alias("item"))
-    seeds = written(seeds.distinct(), folder, "seeds")
+    # of places with the same stretch around them the first: the others give the same overlaps, later in the item
+    seeds = seeds.groupBy("seed", "item_id", "lead", "n_item", "item").agg(F.min("item_at").alias("item_at"))
+    seeds = written(seeds, folder, "seeds")
     small = seeds.count() * (8 * (reach + after) + 64) <= broadcast_bytes
-    bounded = F.broadcast if small else (lambda x: x)
-    hits = _windows(given, key, "tokens", (*masks, *plain)).join(bounded(seeds), "seed")
+    hits = _hits(given, key, seeds, (*masks, *plain), small)
     back = F.least("at", "lead")
-    # written, so that the comparison below stays out of the join, which then runs as compiled code over all windows
-    side = written(hits.select(
-        key, "item_id", "n_item", (F.col("at") - back).alias("doc_from"), (F.col("item_at") - back).alias("item_from"),
+    # of places of a text and an item that look alike the first, before anything is compared; its two starts in one number
+    alike = hits.select(
+        key, "item_id", "n_item",
         F.slice("tokens", F.col("at") - back + 1, back + after).alias("mine"),
         F.slice("item", F.col("lead") - back + 1, back + after).alias("theirs"),
-    ), folder, "hits")
+        (F.shiftleft((F.col("at") - back).cast("long"), 32) + (F.col("item_at") - back)).alias("starts"),
+    ).groupBy(key, "item_id", "n_item", "mine", "theirs").agg(F.min("starts").alias("starts"))
+    # written, so that the comparison below stays out of the join, which then runs as compiled code over all windows
+    side = written(alike, folder, "hits")
+    side = side.withColumns({"doc_from": F.shiftright("starts", 32).cast("int"), "item_from": F.col("starts").bitwiseAND((1 << 32) - 1).cast("int")})
     n = F.least(F.size("mine"), F.size("theirs"))
     side = side.withColumn("same", F.zip_with(F.slice("mine", F.lit(1), n), F.slice("theirs", F.lit(1), n), lambda a, b: (a == b).cast("int")))
     wide = F.least("n_item", F.lit(overlap))
@@ -114,8 +143,14 @@ def _found(given: DataFrame, key: str, benchmark: DataFrame, overlap: int, share
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, overlap: int = 13, share: float = 0.8, masks: tuple[str, ...] = MASKS, broadcast_bytes: int = 1 << 25, least: int = LEAST) -> DataFrame:
-    """The rows of ``docs`` whose own text holds no item; all columns. What else stands under a doc_id, null or not, plays no part."""
+    """The rows of ``docs`` whose own text holds no item; all columns, whatever their names.
+
+    What else stands under a doc_id, null or not, plays no part. A null or empty text holds no item;
+    texts may have any length; rows that stand twice stay or go together; an empty table gives an
+    empty table.
+    """
+    key = free_name(docs, "text_key")
     digest = F.md5(F.coalesce("text", F.lit("")))
-    given = docs.select(digest.alias("__text"), token_hashes(F.col("text")).alias("tokens"))
-    bad = _found(given, "__text", benchmark, overlap, share, masks, broadcast_bytes, least).select("__text").distinct()
-    return docs.withColumn("__text", digest).join(bad, "__text", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    given = docs.select(digest.alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
+    bad = _found(given, "text_key", benchmark, overlap, share, masks, broadcast_bytes, least).select(F.col("text_key").alias(key)).distinct()
+    return docs.withColumn(key, digest).join(bad, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

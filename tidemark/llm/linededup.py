@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.kernels import tidied
-from tidemark.llm.scratch import new_folder, written
+from tidemark.llm.scratch import free_name, new_folder, written
 
 EMPTY = "array<struct<first:int,last:int>>"
 
@@ -226,15 +226,16 @@ def drop_repeated(docs: DataFrame, run: int = 50, gram: int = 8, unit: str = "wo
     ``removed`` lists struct(first, last) ranges of the old text's units, last exclusive; it is empty
     for a document without repeats, whose text is unchanged. A run goes with the white space after
     it; a line feed stays between what was on different lines. A null text stays null; it and an
-    empty one have no units. Columns of ``docs`` named like the new ones are replaced; for the rest
+    empty one have no units. Columns of ``docs`` named like the new ones are replaced, others may have any names; for the rest
     see :func:`repeated_runs`.
     """
     folder = new_folder(docs.sparkSession, "linededup")
     given = docs.drop("n_units", "n_removed", "removed")
+    doc, tag, cut = (free_name(given, name) for name in ("run_doc", "run_tag", "run_cut"))
     table = written(marks(docs.select("doc_id", "text"), gram, run, unit), folder, "marks")
-    runs = _runs(docs.select("doc_id", "text"), table, run, unit, folder).select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag"), F.col("removed").alias("__removed"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.crc32(F.coalesce("text", F.lit("")).cast("binary")) == F.col("__tag"))
-    joined = given.join(runs.hint("merge"), same, "left").select(*(F.col(f"`{c}`") for c in given.columns), F.coalesce("__removed", F.array().cast(EMPTY)).alias("removed"))
+    runs = _runs(docs.select("doc_id", "text"), table, run, unit, folder).select(F.col("doc_id").alias(doc), F.col("tag").alias(tag), F.col("removed").alias(cut))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.crc32(F.coalesce("text", F.lit("")).cast("binary")) == F.col(tag))
+    joined = given.join(runs.hint("merge"), same, "left").select(*(F.col(f"`{c}`") for c in given.columns), F.coalesce(cut, F.array().cast(EMPTY)).alias("removed"))
     fields, names = given.schema, given.columns
 
     def task(batches):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.kernels import tidied
-from tidemark.llm.scratch import new_folder, written
+from tidemark.llm.scratch import free_name, new_folder, written
 
 
 def band_plan(threshold: float = 0.8, recall: float = 0.999, most_hashes: int = 400) -> tuple[int, int]:
@@ -263,11 +263,13 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, re
     The row with the smallest doc_id stays (one with a null doc_id only where no other is), of
     several texts under it the one with the smallest digest, and of rows equal in doc_id and text
     one of them. So rows are told apart by doc_id and text together: other rows of the same doc_id
-    stay if they are the first of classes of their own.
+    stay if they are the first of classes of their own. Columns may have any names; a null text counts
+    as empty, texts may have any length, and an empty table gives an empty table.
     """
+    key = free_name(docs, "row_key")
     _, texts = _classes(docs, k, threshold, recall, block)
     first = F.min(F.struct(F.col("rep").isNull(), "rep", "copy_key")).alias("f")
-    kept = texts.groupBy("root").agg(first).select(_row_key(F.col("f.rep"), F.col("f.copy_key")).alias("__row"))
+    kept = texts.groupBy("root").agg(first).select(_row_key(F.col("f.rep"), F.col("f.copy_key")).alias(key))
     # equal rows become one within tasks, then by a shuffle that the join uses too
-    one = docs.withColumn("__row", _row_key(F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))))).dropDuplicates(["__row"])
-    return one.join(kept.hint("merge"), "__row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    one = docs.withColumn(key, _row_key(F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))))).dropDuplicates([key])
+    return one.join(kept.hint("merge"), key, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.scratch import new_folder, written
+from tidemark.llm.scratch import free_name, new_folder, written
 
 ROUNDS = 16  # of the permutation
 LEAST_BUCKETS = 64  # of a source, for the running total
@@ -170,19 +170,22 @@ def taken_texts(docs: DataFrame, mixed: Mix) -> DataFrame:
     A document comes once with the words taken once or more and again with those taken twice or
     more, and so on; words that are not taken are cut out, and a text taken whole is unchanged. Of
     rows equal in doc_id, text and source, each of which the mix treats by itself, one gives the
-    other columns. ``n_chars``, where it is a column, is the length of the new text.
+    other columns. ``n_chars``, where it is a column, is the length of the new text. Columns may have any
+    names. A null or empty text has no words and is not taken; texts may have any length; an empty
+    table gives an empty table.
     """
     columns, fields = docs.columns, docs.schema
+    row, size, pieces_, round_ = (free_name(docs, name) for name in ("row_key", "row_size", "row_pieces", "row_round"))
 
     def key(doc_id, text_key, source):
         null = lambda c: F.coalesce(c, F.lit("-"))
         return F.md5(F.concat(null(doc_id.cast("string")), F.lit(":"), text_key, F.when(source.isNull(), "-").otherwise(F.concat(F.lit(":"), source))))
 
-    plan = mixed.documents.where("taken > 0").select(key(F.col("doc_id"), F.col("text_key"), F.col("source")).alias("__row"), F.col("size").alias("__size"), F.col("pieces").alias("__pieces"))
+    plan = mixed.documents.where("taken > 0").select(key(F.col("doc_id"), F.col("text_key"), F.col("source")).alias(row), F.col("size").alias(size), F.col("pieces").alias(pieces_))
     # equal rows become one within tasks, then by a shuffle that the join uses too; each of their plans meets that one
-    one = docs.withColumn("__row", key(F.col("doc_id").cast("long"), F.md5(F.coalesce("text", F.lit(""))), F.col("source").cast("string"))).dropDuplicates(["__row"])
-    most = F.array_max(F.col("__pieces.times")).cast("int")
-    rounds = one.join(plan.hint("merge"), "__row").select(*(F.col(f"`{c}`") for c in columns), "__size", "__pieces", F.explode(F.sequence(F.lit(1), most)).alias("__round"))
+    one = docs.withColumn(row, key(F.col("doc_id").cast("long"), F.md5(F.coalesce("text", F.lit(""))), F.col("source").cast("string"))).dropDuplicates([row])
+    most = F.array_max(F.col(f"`{pieces_}`.times")).cast("int")
+    rounds = one.join(plan.hint("merge"), row).select(*(F.col(f"`{c}`") for c in columns), size, pieces_, F.explode(F.sequence(F.lit(1), most)).alias(round_))
 
     def run(batches):
         import pyarrow as pa
@@ -190,8 +193,8 @@ def taken_texts(docs: DataFrame, mixed: Mix) -> DataFrame:
         from tidemark.llm import kernels as K
 
         for batch in batches:
-            texts, sizes, rounds_ = batch.column("text"), batch.column("__size").to_pylist(), batch.column("__round").to_pylist()
-            pieces, out = batch.column("__pieces").to_pylist(), []
+            texts, sizes, rounds_ = batch.column("text"), batch.column(size).to_pylist(), batch.column(round_).to_pylist()
+            pieces, out = batch.column(pieces_).to_pylist(), []
             for i, j, data, offsets in K.chunks(texts):
                 starts, _ = K.spans(~K.SPACE[data], offsets)
                 at = np.searchsorted(starts, offsets)

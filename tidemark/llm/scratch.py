@@ -41,6 +41,14 @@ def open_folder(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def free_name(table: DataFrame, name: str) -> str:
+    """``name``, or, where a column of ``table`` has it in any case, ``name`` after as many underscores as it takes."""
+    taken = {c.lower() for c in table.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """While it lasts, Python workers get at most ``rows`` rows at a time; for jobs that are run inside it."""
