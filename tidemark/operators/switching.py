@@ -244,15 +244,22 @@ def logistic(x):
     return 1 / (1 + np.exp(np.minimum(-x, 700)))
 
 
-def garch_loss(free, r: np.ndarray, nu_free: bool) -> float:
-    """Negative log-likelihood at unconstrained parameters: mu, ln omega, logits of alpha + beta and alpha's share [, ln (nu - 2)]."""
-    mu, omega = free[0], math.exp(min(free[1], 50))
+def garch_parameters(free, nu_free: bool) -> tuple:
+    """mu, omega, alpha, beta, nu (None for normal errors) at unconstrained parameters: mu, ln omega, logits of alpha + beta and alpha's share [, ln (nu - 2)].
+
+    The likelihood is flat far out (thin tails have no best nu), so a search may end anywhere there; the logs are held within bounds.
+    """
     both, share = logistic(free[2]), logistic(free[3])
+    return free[0], math.exp(min(free[1], 50)), both * share, both * (1 - share), 2 + math.exp(min(max(free[4], -20), 10)) if nu_free else None
+
+
+def garch_loss(free, r: np.ndarray, nu_free: bool) -> float:
+    """Negative log-likelihood at unconstrained parameters."""
+    mu, omega, alpha, beta, nu = garch_parameters(free, nu_free)
     e = r - mu
-    h = np.maximum(garch_variance(e, omega, both * share, both * (1 - share), e.var()), 1e-300)
+    h = np.maximum(garch_variance(e, omega, alpha, beta, e.var()), 1e-300)
     if not nu_free:
         return 0.5 * float((np.log(2 * np.pi * h) + e * e / h).sum())
-    nu = 2 + math.exp(min(free[4], 10))
     const = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(math.pi * (nu - 2))
     return -float((const - 0.5 * np.log(h) - (nu + 1) / 2 * np.log1p(e * e / (h * (nu - 2)))).sum())
 
@@ -510,8 +517,8 @@ def fit_garch(series: DataFrame, keys: list[str], dists=("normal", "t"), scale:
         free = [r.mean(), math.log(max(r.var(), 1e-300) * 0.05), (2.0, 3.0, 1.0, 4.0)[row["start"]], (-2.0, -1.0, 0.0, -3.0)[row["start"]]]
         student = row["dist"] == "t"
         x, loss = nelder_mead(lambda p: garch_loss(p, r, student), np.array(free + [math.log(4.0)] * student))
-        both, share = logistic(x[2]), logistic(x[3])
-        yield {**{k: row[k] for k in keys}, "dist": row["dist"], "start": row["start"], "ll": -loss + len(r) * math.log(scale), "mu": x[0] / scale, "omega": math.exp(x[1]) / scale**2, "alpha": both * share, "beta": both * (1 - share), "nu": 2 + math.exp(x[4]) if student else None, "n": len(r)}
+        mu, omega, alpha, beta, nu = garch_parameters(x, student)  # those at which the loss was taken
+        yield {**{k: row[k] for k in keys}, "dist": row["dist"], "start": row["start"], "ll": -loss + len(r) * math.log(scale), "mu": mu / scale, "omega": omega / scale**2, "alpha": alpha, "beta": beta, "nu": nu, "n": len(r)}
 
     fits = each_row(plan, f"{key_schema(series, keys)}dist string, start int, ll double, mu double, omega double, alpha double, beta double, nu double, n long", of)
     names = [c for c in fits.columns if c not in [*keys, "dist"]]
