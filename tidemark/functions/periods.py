@@ -35,8 +35,9 @@ def hour_of(time: Column) -> Column:
 
 
 def block_end(time: Column, hours: int = 8) -> Column:
-    """End of the right-closed block (t - hours, t] that holds ``time``."""
-    return from_seconds(F.ceil(seconds(time) / (3600 * hours)) * 3600 * hours)
+    """End of the right-closed block (t - hours, t] that holds ``time``, to the microsecond: a fraction of a second past an end belongs to the next block."""
+    m = F.unix_micros(time.cast("timestamp"))
+    return ntz(F.timestamp_micros(m + F.pmod(-m, F.lit(3_600_000_000 * hours))))
 
 
 def next_block(time: Column, hours: int = 8) -> Column:
