@@ -26,10 +26,11 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _block(now: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    """Row vectors (k, r) times the products (wide, k, k, r) of a block."""
-    out = now[0] * whole[:, 0]
+    """Row vectors (k, ...) times products (..., k, k, ...), which stand before as many axes as a vector's parts have."""
+    at = whole.ndim - now.ndim - 1
+    out = now[0] * whole.take(0, at)
     for j in range(1, len(now)):
-        out += now[j] * whole[:, j]
+        out += now[j] * whole.take(j, at)
     return out
 
 
@@ -50,34 +51,38 @@ def _one_by_one(first: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.nd
 def forward(first: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """From weights ``first`` (k, r) of the first time: causal probabilities (k, r, t + 1), and the log of all weight up to each time (r, t + 1)."""
     k, _, r, t = steps.shape
-    if k * k * r > MANY:
-        return _one_by_one(first, steps)
+    return _one_by_one(first, steps) if k * k * r > MANY else _in_blocks(first, steps)
+
+
+def _in_blocks(first: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    k, _, r, t = steps.shape
     wide = max(1, math.isqrt(t))
     blocks = -(-t // wide)
     whole = np.zeros((k, k, r, blocks * wide))
     whole[..., :t] = steps
     whole[..., t:] = np.eye(k)[:, :, None, None]
     whole = np.ascontiguousarray(np.moveaxis(whole.reshape(k, k, r, blocks, wide), 4, 0))
-    log = np.zeros((wide, r, blocks))
+    log = np.empty((wide, r, blocks))
     for i in range(wide):  # products within all blocks
         if i:
             whole[i] = _times(whole[i - 1], whole[i])
-        size = np.maximum(whole[i].sum((0, 1)), LEAST)
-        whole[i] /= size
-        log[i] = np.log(size) + (log[i - 1] if i else 0)
-    rows, told = np.empty((wide, k, r, blocks)), np.empty((wide, r, blocks))
+        np.maximum(whole[i].reshape(k * k, r, blocks).sum(0), LEAST, out=log[i])
+        whole[i] /= log[i]
+    log = np.cumsum(np.log(log, out=log), 0)
     size = np.maximum(first.sum(0), LEAST)
-    now, so_far = first / size, np.log(size)
-    begin = now
-    for b in range(blocks):  # from block to block
-        rows[..., b] = _block(now, whole[..., b])
-        size = np.maximum(rows[..., b].sum(1), LEAST)
-        rows[..., b] /= size[:, None]
-        told[..., b] = so_far + log[..., b] + np.log(size)
-        now, so_far = rows[-1, ..., b], told[-1, ..., b]
+    begin, so_far = np.empty((blocks + 1, k, r)), np.empty((blocks + 1, r))
+    begin[0], so_far[0] = first / size, np.log(size)
+    for b, total in enumerate(np.ascontiguousarray(np.moveaxis(whole[-1], 3, 0))):  # from block to block, by their totals alone
+        now = _block(begin[b], total)
+        size = np.maximum(now.sum(0), LEAST)
+        begin[b + 1], so_far[b + 1] = now / size, so_far[b] + log[-1, :, b] + np.log(size)
+    rows = _block(np.ascontiguousarray(np.moveaxis(begin[:-1], 0, 2)), whole)  # all times of all blocks at once
+    size = np.maximum(rows.sum(1), LEAST)
+    rows /= size[:, None]
+    told = so_far[:-1].T + log + np.log(size)
     rows = np.moveaxis(rows, 0, 3).reshape(k, r, -1)[..., :t]
     told = np.moveaxis(told, 0, 2).reshape(r, -1)[..., :t]
-    return np.concatenate([begin[..., None], rows], 2), np.concatenate([np.log(np.maximum(first.sum(0), LEAST))[:, None], told], 1)
+    return np.concatenate([np.moveaxis(begin[:1], 0, 2), rows], 2), np.concatenate([so_far[:1].T, told], 1)
 
 
 def backward(steps: np.ndarray) -> np.ndarray:
@@ -87,6 +92,15 @@ def backward(steps: np.ndarray) -> np.ndarray:
     return turned[..., ::-1]
 
 
+def both(first: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What :func:`forward` and :func:`backward` give, in one pass over twice the members."""
+    k, _, r, _ = steps.shape
+    if k * k * r > MANY:
+        return *forward(first, steps), backward(steps)
+    rows, log = _in_blocks(np.concatenate([first, np.ones((k, r))], 1), np.concatenate([steps, np.swapaxes(steps[..., ::-1], 0, 1)], 2))
+    return rows[:, :r], log[:r], rows[:, r:, ::-1]
+
+
 def smoothed(alpha: np.ndarray, beta: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two-sided probabilities (k, r, t + 1) of the states and (k, k, r, t) of each step's pairs of states."""
     gamma = alpha * beta

@@ -41,10 +41,11 @@ def filtered(x: np.ndarray, m: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def expectation(x: np.ndarray, m: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two-sided probabilities (k, r, T), expected numbers of each transition (k, k, r), log-likelihoods."""
-    alpha, ll, b = filtered(x, m)
+    b, top = densities(x, m[2], m[3])
     steps = steps_of(m[1], b)
-    gamma, pairs = chain.smoothed(alpha, chain.backward(steps), steps)
-    return gamma, pairs.sum(3), ll
+    alpha, log, beta = chain.both(m[0] * b[..., 0], steps)
+    gamma, pairs = chain.smoothed(alpha, beta, steps)
+    return gamma, pairs.sum(3), log[:, -1] + top.sum(1)
 
 
 def loglik(x: np.ndarray, m: Batch) -> np.ndarray:

@@ -58,8 +58,8 @@ def loglik(theta: np.ndarray, y: np.ndarray) -> np.ndarray:
 def improved(theta: np.ndarray, y: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
     """One round of EM: new parameters and the log-likelihoods of the old ones. Means, slopes and variances follow one after the other."""
     steps, top = steps_of(theta, y)
-    alpha, log = chain.forward(law(theta), steps)
-    _, w = chain.smoothed(alpha, chain.backward(steps), steps)
+    alpha, log, beta = chain.both(law(theta), steps)
+    _, w = chain.smoothed(alpha, beta, steps)
     new, now, before = theta.copy(), y[1:], y[:-1]
     n, sy, sx = w.sum(3), (w * now).sum(3), (w * before).sum(3)
     syy, sxx, syx = (w * now**2).sum(3), (w * before**2).sum(3), (w * (now * before)).sum(3)
