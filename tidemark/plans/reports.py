@@ -81,9 +81,10 @@ def switching_at_optima(spark, d):
 
 def forest(spark, d):
     """Ratios of half-lives with their intervals from the whole series, its windows and its variants, one below the other; open ends are marked."""
-    whole = W.ratio_report(models.inferred(spark, d)).where("covariance = 'hessian'").select("venue", F.lit("whole").alias("label"), "sets.ratio", "sets.linear", "wald")
-    label = lambda df, kind, c: df.select("venue", F.concat(F.lit(f"{kind} "), F.col(c).cast("string")).alias("label"), "ratio", "linear", "wald")
-    rows = whole.unionByName(label(models.switching_rolling(spark, d), "window", "window")).unionByName(label(models.switching_sensitivity(spark, d), "variant", "variant"))
+    variant = F.concat(F.lit("variant "), "variant")
+    labels = F.when(F.col("variant") == "baseline", F.array(F.lit("whole"), variant)).otherwise(F.array(variant))  # the baseline is the whole series: one fit for both
+    label = lambda df, c: df.select("venue", F.explode(c).alias("label"), "ratio", "linear", "wald")
+    rows = label(models.switching_sensitivity(spark, d), labels).unionByName(label(models.switching_rolling(spark, d), F.array(F.concat(F.lit("window "), F.col("window").cast("string")))))
     return rows.select("venue", "label", "ratio", F.col("linear.lo").alias("lo"), F.col("linear.hi").alias("hi"), (F.col("linear.lo") <= 0).alias("open_below"), F.col("linear").isNull().alias("undefined"), F.col("wald.side").alias("side"))
 
 
