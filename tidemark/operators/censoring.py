@@ -24,24 +24,30 @@ def phase_shares(rows: DataFrame, keys: list[str], at_floor: Column, phase: Colu
     return g.withColumns({"smallest": F.min("share").over(w), "largest": F.max("share").over(w)})
 
 
-def censored_quantiles(rows: DataFrame, keys: list[str], value: str, probs: Sequence[float] = (0.25, 0.5, 0.75), inside: float = 1.0) -> DataFrame:
+def censored_quantiles(rows: DataFrame, keys: list[str], value: str, probs: Sequence[float] = (0.25, 0.5, 0.75), inside: float = 1.0, plain: bool = False) -> DataFrame:
     """(keys, p, q, n): linear-interpolated quantiles where nulls stand inside the band.
 
     A null sorts at ``inside``; a quantile is null if one of the two order statistics that it
     lies between, with a weight, is hidden. Values are first counted, so the ranking handles
-    distinct values, and a rank range is looked up instead of a row.
+    distinct values, and a rank range is looked up instead of a row. ``plain``: nulls are left out,
+    and both order statistics are weighted and added with one rounding, as SQL's quantile_cont does.
     """
-    counted = rows.groupBy(*keys, F.coalesce(F.col(value), F.lit(inside)).alias("_v"), F.col(value).isNull().alias("_hidden")).count()
+    counted = (rows.where(F.col(value).isNotNull()) if plain else rows).groupBy(*keys, F.coalesce(F.col(value), F.lit(inside)).alias("_v"), F.col(value).isNull().alias("_hidden")).count()
     order = Window.partitionBy(*keys).orderBy("_v", "_hidden")
     upto = counted.withColumns({"_hi": F.sum("count").over(order.rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("count").over(Window.partitionBy(*keys))})
     at = upto.withColumn("_lo", F.col("_hi") - F.col("count"))
     at = at.select("*", F.explode(F.array(*map(F.lit, probs))).alias("p")).withColumn("_h", (F.col("n") - 1) * F.col("p"))
-    down, up = F.floor(F.col("_h") + 1e-12), F.ceil(F.col("_h") - 1e-12)
+    slack = 0.0 if plain else 1e-12
+    down, up = F.floor(F.col("_h") + slack), F.ceil(F.col("_h") - slack)
     hit = lambda r: (F.col("_lo") <= r) & (r < F.col("_hi"))
     at = at.where(hit(down) | hit(up))
     g = at.groupBy(*keys, "p").agg(F.max(F.when(hit(down), F.col("_v"))).alias("_a"), F.max(F.when(hit(up), F.col("_v"))).alias("_b"), F.max("_hidden").alias("_any"), F.max("_h").alias("_h"), F.max("n").alias("n"))
-    share = F.col("_h") - F.floor(F.col("_h") + 1e-12)
-    return g.select(*keys, "p", F.when(~F.col("_any"), F.col("_a") + (F.col("_b") - F.col("_a")) * share).alias("q"), "n")
+    share = F.col("_h") - down
+    if plain:
+        between = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), F.col("_a"), 1 - share, F.col("_b") * share).cast("double")
+    else:
+        between = F.col("_a") + (F.col("_b") - F.col("_a")) * share
+    return g.select(*keys, "p", F.when(~F.col("_any"), F.when(down == up, F.col("_a")).otherwise(between) if plain else between).alias("q"), "n")
 
 
 def wide_quantiles(q: DataFrame, keys: list[str], probs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:

@@ -50,8 +50,9 @@ HOURLY_SQL = "hr AS (SELECT venue, time, CAST(round(avg(p)) AS BIGINT) AS m FROM
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
-    """The named columns rounded, without negative zeros."""
-    return df.withColumns({n: F.round(F.col(n), digits) + F.lit(0.0) for n in names})
+    """The named columns rounded, without negative zeros; halves are told in units of the last digit, as SQL does, not by the number's shortest text."""
+    unit = F.lit(float(10**digits))
+    return df.withColumns({n: F.round(F.col(n).cast("double") * unit) / unit + F.lit(0.0) for n in names})
 
 
 def texts(df: DataFrame, *names: str) -> DataFrame:
