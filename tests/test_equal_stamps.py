@@ -25,7 +25,7 @@ def equal(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["block_order", "block_order_summary", "fit_errors", "order_levels"])
+@pytest.mark.parametrize("name", ["block_order", "block_order_summary", "fit_errors", "order_levels", "quantile_gap_levels", "quantile_gaps"])
 def test_queries_equal_their_sql_on_equal_stamps(spark, equal, name):
     duck = pytest.importorskip("duckdb").connect()
     duck.sql("set timezone = 'UTC'")
